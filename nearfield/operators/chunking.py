@@ -161,6 +161,20 @@ def _sentence_cutter(size: int, overlap: int, min_chars: int):
     return sentence_chunks
 
 
+def with_chunk_count(
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    name: str = "chunks",
+    chunk_tokens: int = tx.DEFAULT_CHUNK_TOKENS,
+    overlap_percent: float = tx.DEFAULT_OVERLAP_PERCENT,
+    min_chars: int = tx.DEFAULT_MIN_CHARS,
+) -> DataFrame:
+    """Add the number of sentence-aware chunks of each text (0 for NULL), without a shuffle."""
+    size, overlap = chunk_sizes(chunk_tokens, overlap_percent)
+    return docs.withColumn(name, F.size(_sentence_cutter(size, overlap, min_chars)(F.col(text))))
+
+
 def split_sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per sentence: ``doc_id, sentence_index, sentence``."""
     return docs.select(

@@ -36,6 +36,7 @@ def chunk_documents(
     keep_sentences: bool = True,
     min_chars: int = tx.DEFAULT_MIN_CHARS,
     keep: list[str] | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """One row per chunk: ``doc_id, chunk_id, chunk_index, start_index, end_index, text, tokens``.
 
@@ -43,21 +44,24 @@ def chunk_documents(
     trimmed text is shorter are dropped.  Indexes count the untrimmed text.
     ``chunk_id`` depends only on the document id, the position and the options.
     ``keep`` names further document columns to carry along (not the text itself).
+    ``keep_empty`` keeps one row without a chunk for a document that has none.
     """
     size, overlap = chunk_sizes(chunk_tokens, overlap_percent)
     options = f"{chunk_tokens}/{overlap_percent:g}/{int(keep_sentences)}/{min_chars}"
-    source = docs.where(F.col(text).isNotNull())
+    source = docs if keep_empty else docs.where(F.col(text).isNotNull())
     kept = [F.col(name) for name in keep or []]
     key = F.col(doc_id).alias("doc_id")
     if keep_sentences:
         cut = _sentence_cutter(size, overlap, min_chars)
-        rows = source.select(key, *kept, F.inline(cut(F.col(text))))
+        explode = F.inline_outer if keep_empty else F.inline
+        rows = source.select(key, *kept, explode(cut(F.col(text))))
     else:
-        rows = _fixed_chunks(source, key, kept, F.col(text), size, overlap, min_chars)
+        explode = F.posexplode_outer if keep_empty else F.posexplode
+        rows = _fixed_chunks(source, key, kept, F.col(text), size, overlap, min_chars, explode)
     chunk_id = tx.name_uuid(F.col("doc_id"), F.col("chunk_index"), F.col("start_index"), F.lit(options))
     return rows.select(
         "doc_id",
-        chunk_id.alias("chunk_id"),
+        F.when(F.col("chunk_index").isNotNull(), chunk_id).alias("chunk_id"),
         "chunk_index",
         "start_index",
         "end_index",
@@ -68,7 +72,7 @@ def chunk_documents(
 
 
 def _fixed_chunks(
-    source: DataFrame, key: Column, kept: list[Column], text: Column, size: int, overlap: int, min_chars: int
+    source: DataFrame, key: Column, kept: list[Column], text: Column, size: int, overlap: int, min_chars: int, explode
 ) -> DataFrame:
     """Fixed-size chunks inside the JVM.
 
@@ -102,7 +106,7 @@ def _fixed_chunks(
 
     chunks = F.transform(F.slice(F.col("_pieces"), F.lit(1), count), assemble)
     long_enough = F.filter(chunks, lambda c: (F.col("_length") < min_chars) | (F.length(c["chunk_text"]) >= min_chars))
-    numbered = pieces.select("doc_id", *kept, "_length", F.posexplode(long_enough).alias("chunk_index", "c"))
+    numbered = pieces.select("doc_id", *kept, "_length", explode(long_enough).alias("chunk_index", "c"))
     counted = F.when(F.col("_length") < min_chars, F.col("_length")).otherwise(F.length("c.chunk_text"))
     tokens = F.ceil(counted / F.lit(tx.CHARS_PER_TOKEN)).cast("int")
     return numbered.select("doc_id", *kept, "chunk_index", "c.*", tokens.alias("tokens"))

@@ -17,6 +17,7 @@ from nearfield.functions import text as tx
 from nearfield.operators.chunking import chunk_documents
 from nearfield.operators.embedding import EmbeddingProvider, embed_texts
 from nearfield.operators.points import latest, without_keys
+from nearfield.session import stored
 from nearfield.plans.ingest import ChunkOptions, compose_payload
 
 OPERATIONS = ("insert", "update", "delete")  # fixed values: the operations listened to
@@ -63,38 +64,37 @@ def changed_points(effective: DataFrame, settings: ChangeSettings) -> DataFrame:
     """
     document = effective.schema["full_document"].dataType
     fields = [name for name in settings.metadata if name in document.names]
-    upserts = effective.where(F.col("action") == "upsert").select(
+    upsert = F.col("action") == "upsert"
+    docs = effective.select(
         "seq",
         "doc_id",
-        F.col("full_document")[settings.text].alias("text"),
-        *[F.col("full_document")[name].alias(name) for name in fields],
+        F.when(upsert, F.col("full_document")[settings.text]).alias("text"),
+        *[F.when(upsert, F.col("full_document")[name]).alias(name) for name in fields],
     )
     chunks = chunk_documents(
-        upserts,
+        docs,
         chunk_tokens=settings.options.chunk_tokens,
         overlap_percent=settings.options.overlap_percent,
         keep=["seq", *fields],
+        keep_empty=True,
     )
-    points = compose_payload(
+    return compose_payload(
         embed_texts(chunks, settings.factory),
         source=settings.source,
         synced_at=F.current_timestamp(),
         metadata=fields,
     ).withColumnsRenamed({"chunk_id": "id", "synced_at": "updated_at"})
-    # A marker for every changed document keeps an older point from coming back.
-    marks = effective.select("seq", "doc_id")
-    return points.unionByName(marks, allowMissingColumns=True)
 
 
 def apply_changes(points: DataFrame, changes: DataFrame, settings: ChangeSettings) -> DataFrame:
     """Points after a batch of changes: those of changed documents give way to the new ones."""
-    effective = effective_changes(changes, text=settings.text)
-    new = changed_points(effective, settings).where(F.col("id").isNotNull()).drop("seq")
-    return without_keys(points, effective, "doc_id").unionByName(new, allowMissingColumns=True)
+    changed = stored(changed_points(effective_changes(changes, text=settings.text), settings), "changed")
+    new = changed.where(F.col("id").isNotNull()).drop("seq")
+    return without_keys(points, changed, "doc_id").unionByName(new, allowMissingColumns=True)
 
 
 class ChangeLog:
-    """Points as a log of changes: ``<path>/base`` and one folder per micro-batch.
+    """Points as a log of changes: one folder per micro-batch below ``<path>/log``.
 
     A micro-batch writes only its own rows, in a folder named by its number, so
     running it again after a failure gives the same log; nothing already written
@@ -111,15 +111,16 @@ class ChangeLog:
         changed_points(effective, settings).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
 
     def points(self) -> DataFrame:
-        """The current points."""
-        log = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/log")
-        newest = Window.partitionBy("doc_id").orderBy(F.col("seq").desc())
-        current = log.withColumn("_age", F.rank().over(newest)).where(F.col("_age") == 1).drop("_age")
-        return current.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+        """The current points of the documents in the log."""
+        log = self.spark.read.parquet(f"{self.path}/log")
+        # A change seen twice counts once, as written by the later batch.
+        newest = Window.partitionBy("doc_id").orderBy(F.col("seq").desc(), F.col("batch").desc())
+        current = log.withColumn("_age", F.rank().over(newest)).where(F.col("_age") == 1)
+        return current.where(F.col("id").isNotNull()).drop("_age", "batch")
 
     def compacted(self, base: DataFrame) -> DataFrame:
         """``base`` points with the log applied, to be written as the next base."""
-        log = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/log")
+        log = self.spark.read.parquet(f"{self.path}/log")
         return without_keys(base, log, "doc_id").unionByName(self.points().drop("seq"), allowMissingColumns=True)
 
     def follow(

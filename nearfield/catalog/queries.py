@@ -33,9 +33,12 @@ HASHING = provider_factory("hashing", dimensions=64)
 COUNTING = provider_factory("hashing", dimensions=64, normalize=False)  # whole numbers: sums are exact
 
 
-def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+def query(name: str) -> Callable[[Query], Query]:
+    def add(build: Query) -> Query:
+        QUERIES[name] = build
+        return build
+
+    return add
 
 
 def _shown(name: str):
@@ -50,33 +53,33 @@ def _hits(hits: DataFrame, *also: str) -> DataFrame:
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"), *also)
 
 
-@query
+@query("search_cosine")
 def search_cosine(spark, folder):
     return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10))
 
 
-@query
+@query("search_dot")
 def search_dot(spark, folder):
     return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10, metric="dot"))
 
 
-@query
+@query("search_euclid")
 def search_euclid(spark, folder):
     return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10, metric="euclid"))
 
 
-@query
+@query("search_threshold")
 def search_threshold(spark, folder):
     return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10, threshold=0.3))
 
 
-@query
+@query("search_blocked")
 def search_blocked(spark, folder):
     """The plan for more queries than fit every task, at any size."""
     return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10, broadcast_rows=0))
 
 
-@query
+@query("search_ann")
 def search_ann(spark, folder):
     """Cell index with the exact second pass."""
     path = scratch_path(spark, "index")
@@ -90,13 +93,13 @@ SEARCH_FILTER = {
 }
 
 
-@query
+@query("search_filtered")
 def search_filtered(spark, folder):
     options = QueryOptions(where=SEARCH_FILTER)
     return _hits(run_queries(given.points(spark, folder), given.vector_queries(spark, folder), options))
 
 
-@query
+@query("search_projection")
 def search_projection(spark, folder):
     options = QueryOptions(payload=["lang", "source", "label"])
     hits = run_queries(given.points(spark, folder), given.vector_queries(spark, folder), options)
@@ -108,13 +111,13 @@ def _embedded_chunks(spark, folder) -> DataFrame:
     return embed_texts(chunks, COUNTING).withColumnRenamed("chunk_id", "id")
 
 
-@query
+@query("search_text")
 def search_text(spark, folder):
     queries = query_vectors(given.text_queries(spark, folder), COUNTING)
     return _hits(run_queries(_embedded_chunks(spark, folder), queries))
 
 
-@query
+@query("assemble_context")
 def assemble_contexts(spark, folder):
     points = stored(_embedded_chunks(spark, folder), "chunks")
     queries = query_vectors(given.text_queries(spark, folder), COUNTING)
@@ -128,8 +131,6 @@ def assemble_contexts(spark, folder):
     )
 
 
-QUERIES["assemble_context"] = QUERIES.pop("assemble_contexts")
-
 
 # --- re-ranking ---------------------------------------------------------------
 
@@ -139,18 +140,18 @@ def _reranked(spark, folder, options: QueryOptions) -> DataFrame:
     return _hits(hits, F.round("mmr_score", 6).alias("mmr_score"))
 
 
-@query
+@query("mmr")
 def mmr(spark, folder):
     # A stored vector as its own query makes lambda 0.5 tie everywhere.
     return _reranked(spark, folder, QueryOptions(top_k=10, fetch_k=50, mmr=True, mmr_lambda=0.7))
 
 
-@query
+@query("diversity")
 def diversity(spark, folder):
     return _reranked(spark, folder, QueryOptions(top_k=10, fetch_k=50, diversity=True, diversity_weight=0.3))
 
 
-@query
+@query("query_flags")
 def query_flags(spark, folder):
     """How many hits above a threshold each query got, and whether a re-ranker ran."""
     options = QueryOptions(top_k=5, threshold=0.35, mmr=True, mmr_lambda=0.7, where=flt.range_("label", gte=5))
@@ -161,7 +162,7 @@ def query_flags(spark, folder):
 # --- vectors and points -------------------------------------------------------
 
 
-@query
+@query("pairwise_cosine")
 def pairwise_cosine(spark, folder):
     """Every vector against the one before it."""
     own = given.vectors(spark, folder).select("id", "vector")
@@ -169,25 +170,21 @@ def pairwise_cosine(spark, folder):
     return own.join(before, "id").select("id", F.round(cosine(F.col("vector"), F.col("other")), 6).alias("cosine"))
 
 
-@query
+@query("check_dims")
 def check_vector_dims(spark, folder):
     short = F.when(F.col("label") == 3, F.slice("vector", 1, 32)).otherwise(F.col("vector"))
     wrong = check_dims(given.vectors(spark, folder).withColumn("vector", short), 64)
     return wrong.select("id", F.size("vector").alias("dim"))
 
 
-QUERIES["check_dims"] = QUERIES.pop("check_vector_dims")
 
-
-@query
+@query("points_info")
 def info(spark, folder):
     return points_info(given.vectors(spark, folder))
 
 
-QUERIES["points_info"] = QUERIES.pop("info")
-
 
-@query
+@query("upsert_points")
 def upsert(spark, folder):
     """Re-label some points twice in one batch and add new ones."""
     old = given.vectors(spark, folder)
@@ -200,10 +197,8 @@ def upsert(spark, folder):
     return result.select("id", "label", F.size("vector").alias("dim"))
 
 
-QUERIES["upsert_points"] = QUERIES.pop("upsert")
 
-
-@query
+@query("delete_ids")
 def delete_ids(spark, folder):
     toxic = given.table(spark, folder, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
     return delete_points(given.vectors(spark, folder), ids=toxic).remaining.select("id", "label")
@@ -214,18 +209,18 @@ def _fixed(spark, folder, **options) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", "start_index", "end_index", "tokens")
 
 
-@query
+@query("delete_doc")
 def delete_doc(spark, folder):
     return delete_points(_fixed(spark, folder), doc_id=7).remaining
 
 
-@query
+@query("delete_filter")
 def delete_filter(spark, folder):
     left = delete_points(given.points(spark, folder), where=flt.match("quality", 0)).remaining
     return left.select("id", "label", _shown("quality"))
 
 
-@query
+@query("replace_by_doc")
 def replace_by_doc(spark, folder):
     """Documents of good quality are chunked again, into smaller chunks."""
     good = given.table(spark, folder, "labels").where(F.col("quality") == 1).select("doc_id")
@@ -271,26 +266,24 @@ QUERIES.update({name: _filter_query(spec) for name, spec in FILTERS.items()})
 # --- text ---------------------------------------------------------------------
 
 
-@query
+@query("token_estimate")
 def token_estimate(spark, folder):
     return given.documents(spark, folder).select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query
+@query("validate_text")
 def validate_text(spark, folder):
     reason = tx.validation_reason(F.col("text"), 1000)
     return given.documents(spark, folder).select("doc_id", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
-@query
+@query("split_sentences")
 def sentences(spark, folder):
     return split_sentences(given.documents(spark, folder))
 
 
-QUERIES["split_sentences"] = QUERIES.pop("sentences")
-
 
-@query
+@query("clean_text")
 def clean_text(spark, folder):
     """Documents with mixed line ends, blank lines and tabs put in."""
     rough = F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n\r\n\r\n\r\n\t "))
@@ -298,34 +291,32 @@ def clean_text(spark, folder):
     return given.documents(spark, folder).select("doc_id", tx.clean_text(rough).alias("cleaned"))
 
 
-@query
+@query("chunk_fixed")
 def chunk_fixed(spark, folder):
     chunks = chunk_documents(given.documents(spark, folder), chunk_tokens=100, keep_sentences=False)
     return chunks.select("doc_id", "chunk_index", "start_index", "end_index", "text", "tokens")
 
 
-@query
+@query("chunk_sentence")
 def chunk_sentence(spark, folder):
     chunks = chunk_documents(given.documents(spark, folder))
     return chunks.select("doc_id", "chunk_index", "start_index", "end_index", "text", "tokens")
 
 
-@query
+@query("chunk_ids")
 def chunk_ids(spark, folder):
     chunks = chunk_documents(given.documents(spark, folder), keep_sentences=False)
     return chunks.select("doc_id", "chunk_index", "chunk_id")
 
 
-@query
+@query("chunk_stats")
 def chunk_statistics(spark, folder):
     chunks = chunk_documents(given.documents(spark, folder), keep=["lang"])
     return chunk_stats(chunks, "lang").select("lang", "chunks", F.round("avg_chunk_chars", 6).alias("avg_chunk_chars"))
 
 
-QUERIES["chunk_stats"] = QUERIES.pop("chunk_statistics")
 
-
-@query
+@query("embed_chunks")
 def embed_chunks(spark, folder):
     """The non-zero weights of every chunk's vector."""
     chunks = chunk_documents(given.documents(spark, folder))
@@ -334,25 +325,23 @@ def embed_chunks(spark, folder):
     return weights.where(F.col("weight") != 0).withColumn("weight", F.round("weight", 6))
 
 
-@query
+@query("embed_summary")
 def embed_totals(spark, folder):
     accepted, _ = split_valid(given.documents(spark, folder), 2000)
     return embed_summary(chunk_documents(accepted), 64)
 
 
-QUERIES["embed_summary"] = QUERIES.pop("embed_totals")
-
 
 # --- sources ------------------------------------------------------------------
 
 
-@query
+@query("csv_to_text")
 def csv_to_text(spark, folder):
     customers = number_rows(given.table(spark, folder, "customer"), ["c_custkey"])
     return csv_lines(customers, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
 
 
-@query
+@query("extract_files")
 def extract_file_text(spark, folder):
     """Raw web pages as uploaded files."""
     pages = given.table(spark, folder, "pages").select(
@@ -361,10 +350,8 @@ def extract_file_text(spark, folder):
     return extract_files(pages).select("filename", "size", "type", "content", "reason")
 
 
-QUERIES["extract_files"] = QUERIES.pop("extract_file_text")
 
-
-@query
+@query("sheet_rows")
 def sheet_rows(spark, folder):
     rows = sheet_cells(given.sheet(spark, folder).withColumn("turn_no", F.col("turn")), ["turn_no"])
     return sheet_documents(
@@ -377,63 +364,53 @@ def sheet_rows(spark, folder):
     )
 
 
-@query
+@query("sheet_preview")
 def sheet_first_rows(spark, folder):
     return sheet_preview(given.sheet(spark, folder), ["conv_id", "turn"])
 
 
-QUERIES["sheet_preview"] = QUERIES.pop("sheet_first_rows")
-
 
-@query
+@query("sheet_sync_stats")
 def sheet_stats(spark, folder):
     rows = sheet_cells(given.sheet(spark, folder))
     docs = sheet_documents(rows, sheet="talks", key="conv_id", text_columns=["role", "text"])
     return sheet_sync_stats(with_chunk_count(docs))
 
 
-QUERIES["sheet_sync_stats"] = QUERIES.pop("sheet_stats")
 
-
-@query
+@query("scan_missing_embedding")
 def scan_missing_embedding(spark, folder):
     return scan_documents(given.sync_source(spark, folder), only_missing=True).select("doc_id", "lang", "n_chars")
 
 
-@query
+@query("source_status")
 def status(spark, folder):
     return source_status(given.sync_source(spark, folder))
 
 
-QUERIES["source_status"] = QUERIES.pop("status")
-
 
 # --- sync ---------------------------------------------------------------------
 
 
-@query
+@query("sync_eligibility")
 def sync_eligibility(spark, folder):
     action = sync_action(F.col("text"), F.col("embedding"), re_embed=False)
     return given.sync_source(spark, folder).select("doc_id", action.alias("action"))
 
 
-@query
+@query("sync_preview")
 def preview(spark, folder):
     return sync_preview(given.sync_source(spark, folder))
 
 
-QUERIES["sync_preview"] = QUERIES.pop("preview")
 
-
-@query
+@query("sync_stats")
 def stats(spark, folder):
     return sync_stats(given.sync_source(spark, folder), re_embed=False)
 
 
-QUERIES["sync_stats"] = QUERIES.pop("stats")
-
 
-@query
+@query("compose_payload")
 def payload(spark, folder):
     """A document's own source wins over the base one; German documents have none."""
     docs = given.labelled(spark, folder).withColumn("source", F.when(F.col("lang") != "de", F.col("source")))
@@ -443,13 +420,11 @@ def payload(spark, folder):
     return composed.select("doc_id", "source", "synced_at", "lang", _shown("quality"))
 
 
-QUERIES["compose_payload"] = QUERIES.pop("payload")
-
 
 # --- changes ------------------------------------------------------------------
 
 
-@query
+@query("cdc_classify")
 def cdc_classify(spark, folder):
     changes = classify_changes(given.change_events(given.table(spark, folder, "events")))
     return changes.select(F.col("seq.event_id").alias("event_id"), "doc_id", "op", "action")
@@ -462,7 +437,7 @@ def _changed(points: DataFrame) -> DataFrame:
     return points.select("doc_id", "chunk_index", "start_index", "end_index", "tokens", "text", "category")
 
 
-@query
+@query("cdc_apply")
 def cdc_apply(spark, folder):
     """Change events applied to the chunks of the documents they are about."""
     chunks = chunk_documents(given.documents(spark, folder), keep_sentences=False, keep=["lang"])
@@ -471,7 +446,7 @@ def cdc_apply(spark, folder):
     return _changed(apply_changes(points, changes, CHANGES))
 
 
-@query
+@query("cdc_stream")
 def cdc_stream(spark, folder):
     """The same events through a streaming query, into a change log."""
     events = given.table(spark, folder, "events")

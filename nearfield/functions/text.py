@@ -44,7 +44,12 @@ def clean_text(text: Column) -> Column:
     """Unix line ends, at most one blank line in a row, single spaces, trimmed."""
     unix = F.regexp_replace(text, "\r\n?", "\n")
     spaced = F.regexp_replace(unix, "\n{3,}", "\n\n")
-    return trim(F.regexp_replace(spaced, "[ \t]+", " "))
+    return trim(F.regexp_replace(spaced, "\t[ \t]*| [ \t]+", " "))  # lone spaces may stay
+
+
+def is_blank(text: Column) -> Column:
+    """True for NULL, empty and white-space-only text; looks no further than the first other character."""
+    return ~F.coalesce(F.rlike(text, F.lit("[^" + WHITESPACE_CLASS[1:])), F.lit(False))
 
 
 def usable_text(text: Column) -> Column:
@@ -55,8 +60,7 @@ def usable_text(text: Column) -> Column:
 def validation_reason(text: Column, max_tokens: int = DEFAULT_MAX_TOKENS) -> Column:
     """NULL for a text that may be embedded, else why not."""
     tokens = token_estimate(text)
-    blank = F.coalesce(F.length(trim(text)) == 0, F.lit(True))
-    return F.when(blank, F.lit("Text is empty")).when(
+    return F.when(is_blank(text), F.lit("Text is empty")).when(
         tokens > max_tokens,
         F.concat(
             F.lit("Text too long: ~"), tokens.cast("string"), F.lit(f" tokens (max: {max_tokens})")
@@ -67,7 +71,7 @@ def validation_reason(text: Column, max_tokens: int = DEFAULT_MAX_TOKENS) -> Col
 def sentences(text: Column) -> Column:
     """Array of sentences: cut at whitespace after ``.``, ``!`` or ``?``; blanks dropped."""
     pieces = F.split(text, f"(?<=[.!?]){WHITESPACE_CLASS}+")
-    return F.filter(pieces, lambda piece: F.length(trim(piece)) > 0)
+    return F.filter(pieces, lambda piece: ~is_blank(piece))
 
 
 def file_extension(name: Column) -> Column:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -17,6 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from nearfield.functions.vectors import arrow_vectors
 
 SLICE = 100  # fixed value: texts per provider call
+WORD_GAP = "[ \\t\\n\\v\\f\\r]+"
 
 
 @runtime_checkable
@@ -26,6 +27,7 @@ class EmbeddingProvider(Protocol):
     name: str
     dimensions: int
     max_input_tokens: int
+    # A provider may also set ``slice_size``, the most texts per call (100 unless set).
 
     def embed_batch(self, texts: Sequence[str]) -> np.ndarray:
         """A ``len(texts) x dimensions`` matrix, rows in the order of ``texts``."""
@@ -40,6 +42,7 @@ class HashingProvider:
 
     name = "hashing"
     max_input_tokens = 8191
+    slice_size = 2048
 
     def __init__(self, dimensions: int = 64, normalize: bool = True):
         self.dimensions = dimensions
@@ -47,16 +50,19 @@ class HashingProvider:
         self._slot = lru_cache(maxsize=1 << 17)(self._hash_word)
 
     def _hash_word(self, word: str) -> tuple[int, float]:
+        if not word:
+            return 0, 0.0
         digest = hashlib.md5(word.encode()).hexdigest()
         return int(digest[:8], 16) % self.dimensions, 1.0 if int(digest[8], 16) < 8 else -1.0
 
     def embed_batch(self, texts: Sequence[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), self.dimensions))
-        for row, text in enumerate(texts):
-            words = [self._slot(w) for w in re.split(r"[ \t\n\v\f\r]+", text.lower()) if w]
-            if words:
-                buckets, signs = zip(*words)
-                np.add.at(vectors[row], list(buckets), signs)
+        words = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), WORD_GAP)
+        coded = words.flatten().dictionary_encode()
+        slots = np.array([self._slot(word) for word in coded.dictionary.to_pylist()]).reshape(-1, 2)[coded.indices]
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(words))
+        cell = text * self.dimensions + slots[:, 0].astype(np.int64)
+        sums = np.bincount(cell, slots[:, 1], len(texts) * self.dimensions)
+        vectors = sums.reshape(len(texts), self.dimensions)
         if self.normalize:
             norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
             np.divide(vectors, norms, out=vectors, where=norms > 0)
@@ -89,7 +95,7 @@ def embed_texts(
 ) -> DataFrame:
     """Add ``vector``: the provider's vector of ``text`` (NULL for a NULL text).
 
-    Within an Arrow batch each distinct text is sent once, in slices of 100.
+    Within an Arrow batch each distinct text is sent once, in slices.
     ``share_copies`` first brings equal texts together (one shuffle), which pays
     for a costly model; copies of one text go to up to ``spread`` tasks, so a
     text that makes up much of the data does not end up in one.
@@ -107,8 +113,9 @@ def embed_texts(
             if last is not None and texts and texts[0] == last[0]:  # a run of copies goes on
                 table[0] = last[1]
                 todo = todo[1:]
-            for at in range(0, len(todo), SLICE):
-                part = todo[at : at + SLICE]
+            size = getattr(provider, "slice_size", SLICE)
+            for at in range(0, len(todo), size):
+                part = todo[at : at + size]
                 table[part] = provider.embed_batch([texts[i] for i in part])
             rows = codes.indices
             if texts:

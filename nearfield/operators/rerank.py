@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import row_cosine
@@ -20,7 +23,7 @@ def rerank_mmr(
     """Maximal marginal relevance.
 
     Takes ``query_id, rank, id, score, vector, query_vector`` and returns
-    ``query_id, id, original_score, mmr_score, mmr_rank``.  Of the first
+    ``query_id, id, original_score, mmr_score, mmr_rank``; ranks start at 1.  Of the first
     ``fetch_k`` hits it picks, one at a time, the one with the best
     ``lambda * cos(query, hit) - (1 - lambda) * max cos(hit, picked)``; ties go to
     the earlier hit.  Hits without a vector are left out; if none has one, the
@@ -85,50 +88,71 @@ def _greedy(n: int, top_k: int, standing, picked_now) -> tuple[list[int], list[f
 
 
 def _per_query(considered: DataFrame, hits: DataFrame, top_k: int, pick) -> DataFrame:
-    """Run ``pick`` on the hits of each query: at most a fetch limit of rows per group."""
+    """Run ``pick`` on the hits of each query, which stand together in rank order within a partition."""
     fields = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
     schema = (
         f"query_id {fields['query_id']}, id {fields['id']}, "
         "original_score double, mmr_score double, mmr_rank int"
     )
-    if "query_vector" in fields:  # one copy per group is enough
-        needed = considered.select(
-            "query_id", "rank", "id", "score", "vector",
-            F.when(F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) == 1, F.col("query_vector")).alias("query_vector"),
-        )
-    else:
-        needed = considered.select("query_id", "rank", "id", "score", "vector")
-
-    def one_query(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rank")
-        scores = np.nan_to_num(group.column("score").to_numpy())
-        rows = group.column("vector").to_pylist()
-        valid = [i for i, v in enumerate(rows) if v]
-        if valid:
-            if len({len(rows[i]) for i in valid}) > 1:
-                raise ValueError("vectors must have the same length")
-            vectors = np.nan_to_num(np.array([rows[i] for i in valid], dtype=np.float64))
-            query = None
-            if "query_vector" in group.column_names:
-                query = np.nan_to_num(
-                    np.array(group.column("query_vector").drop_null()[0].as_py(), dtype=np.float64)
-                )
-                if query.shape[0] != vectors.shape[1]:
+    needed = [F.col(name) for name in ("query_id", "rank", "id", "score", "vector")]
+    if "query_vector" in fields:  # one copy per query is enough
+        needed.append(F.when(F.col("rank") == 1, F.col("query_vector")).alias("query_vector"))
+    together = considered.select(*needed).repartition("query_id").sortWithinPartitions("query_id", "rank")
+
+    def rerank(table: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        """The picks of all queries of ``table``; ``starts`` are their first rows and the end."""
+        scores = np.nan_to_num(table.column("score").to_numpy())
+        sizes = pc.fill_null(pc.list_value_length(table.column("vector")), 0).to_numpy()
+        values = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        values = np.nan_to_num(values.astype(np.float64))
+        ends = np.cumsum(sizes)
+        taken, standing, places = [], [], []
+        for first, last in zip(starts, starts[1:]):
+            rows = first + np.nonzero(sizes[first:last])[0]
+            if len(rows):
+                dim = sizes[rows[0]]
+                if (sizes[rows] != dim).any():
                     raise ValueError("vectors must have the same length")
-            order, values = pick(scores[valid], vectors, query)
-            taken = [valid[i] for i in order]
-        else:
-            taken = list(range(min(top_k, len(rows))))
-            values = scores[taken].tolist()
-        return pa.table(
-            {
-                "query_id": group.column("query_id").take(taken),
-                "id": group.column("id").take(taken),
-                "original_score": pa.array(scores[taken]),
-                "mmr_score": pa.array(values, pa.float64()),
-                "mmr_rank": pa.array(range(1, len(taken) + 1), pa.int32()),
-            }
+                vectors = values[ends[rows[0]] - dim : ends[rows[-1]]].reshape(len(rows), dim)
+                query = None
+                if "query_vector" in table.column_names:
+                    query = np.nan_to_num(np.array(table.column("query_vector")[first].as_py(), dtype=np.float64))
+                    if query.shape != (dim,):
+                        raise ValueError("vectors must have the same length")
+                order, values_at = pick(scores[rows], vectors, query)
+                at = rows[order]
+            else:
+                at = np.arange(first, min(last, first + top_k))
+                values_at = scores[at]
+            taken.append(at)
+            standing.append(values_at)
+            places.append(np.arange(1, len(at) + 1))
+        at = np.concatenate(taken)
+        return pa.RecordBatch.from_arrays(
+            [
+                table.column("query_id").combine_chunks().take(pa.array(at)),
+                table.column("id").combine_chunks().take(pa.array(at)),
+                pa.array(scores[at]),
+                pa.array(np.concatenate(standing)),
+                pa.array(np.concatenate(places), pa.int32()),
+            ],
+            ["query_id", "id", "original_score", "mmr_score", "mmr_rank"],
         )
 
-    return needed.groupBy("query_id").applyInArrow(one_query, schema)
-
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last query so far; more of its hits may follow
+        for block in blocks:
+            table = pa.Table.from_batches([block])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            ids = table.column("query_id")
+            changes = np.nonzero(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy())[0] + 1
+            starts = [0, *changes.tolist()]
+            held = table.slice(starts[-1])
+            if len(starts) > 1:
+                yield rerank(table.slice(0, starts[-1]), starts)
+        if held is not None and held.num_rows:
+            yield rerank(held, [0, held.num_rows])
+
+    return together.mapInArrow(run, schema)

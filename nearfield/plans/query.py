@@ -100,9 +100,10 @@ def run_queries(
         threshold=options.threshold,
         broadcast_rows=broadcast_rows,
     )
-    # A proven bound: fetch hits for each of at most broadcast_rows queries, else unknown.
-    few = queries.limit(broadcast_rows + 1).count() <= broadcast_rows
-    most = options.fetch * broadcast_rows if few else None
+    # A proven bound on the hits, where the queries are few.
+    asked = queries.limit(broadcast_rows + 1).count()
+    few = asked <= broadcast_rows
+    most = options.fetch * asked if few else None
     columns = list(options.payload) + (["vector"] if options.with_vectors else [])
     if not options.reranks:
         return attach_payload(hits, points, columns, most_hits=most) if columns else hits
@@ -110,8 +111,8 @@ def run_queries(
     with_vectors = attach_payload(hits, points, ["vector"], most_hits=most)
     if options.mmr:
         own = queries.select("query_id", F.col("vector").alias("query_vector"))
-        asked = with_vectors.join(F.broadcast(own) if few else own, "query_id")
-        picked = rerank_mmr(asked, top_k=options.top_k, lambda_=options.mmr_lambda, fetch_k=options.fetch_k)
+        paired = with_vectors.join(F.broadcast(own) if few else own, "query_id")
+        picked = rerank_mmr(paired, top_k=options.top_k, lambda_=options.mmr_lambda, fetch_k=options.fetch_k)
     else:
         picked = rerank_diversity(with_vectors, top_k=options.top_k, weight=options.diversity_weight)
     ranked = picked.select(

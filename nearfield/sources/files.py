@@ -55,7 +55,7 @@ def extract_files(files: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("size") > MAX_FILE_BYTES, F.lit("File too large"))
         .when(F.col("type").isin(*NO_PARSER), F.concat(F.lit("No parser for "), F.col("type")))
-        .when(F.coalesce(F.length(tx.trim(F.col("text"))), F.lit(0)) == 0, F.lit("No readable content found in file"))
+        .when(tx.is_blank(F.col("text")), F.lit("No readable content found in file"))
     )
     taken = parsed.withColumn("reason", reason)
     return taken.select(

@@ -108,7 +108,7 @@ def search_projection(spark, folder):
 
 def _embedded_chunks(spark, folder) -> DataFrame:
     chunks = chunk_documents(given.documents(spark, folder), keep=["source"])
-    return embed_texts(chunks, COUNTING).withColumnRenamed("chunk_id", "id")
+    return embed_texts(chunks, COUNTING, share_copies=True).withColumnRenamed("chunk_id", "id")
 
 
 @query("search_text")

@@ -62,7 +62,7 @@ class HashingProvider:
         text = np.repeat(np.arange(len(texts)), pc.list_value_length(words))
         cell = text * self.dimensions + slots[:, 0].astype(np.int64)
         sums = np.bincount(cell, slots[:, 1], len(texts) * self.dimensions)
-        vectors = sums.reshape(len(texts), self.dimensions)
+        vectors = sums.astype(np.float64).reshape(len(texts), self.dimensions)
         if self.normalize:
             norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
             np.divide(vectors, norms, out=vectors, where=norms > 0)

@@ -19,7 +19,9 @@ from nearfield.operators.topk import BestK
 MAX_K = 1000  # fixed value: largest topK and fetchK of a request
 BROADCAST_ROWS = 8192  # most queries that are sent to every task
 BROADCAST_BYTES = 128 << 20  # ... and most bytes of query vectors
-CELL_BYTES = 64 << 20  # vector bytes of one side of a grid cell
+CELL_BYTES = 1 << 30  # vector bytes of the points of a grid cell
+STATE_ROWS = 4_000_000  # most hits a task keeps at a time, over all its queries
+SCAN_TASKS = 4096  # most scan tasks, or four per core where that is more
 MERGE_SPREAD = 64  # first-level groups per query when partial results are merged
 
 
@@ -74,7 +76,7 @@ def search(
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")
     )
-    batch = small_batch(asked, "query_id", "vector", broadcast_rows)
+    batch = small_batch(asked, "query_id", "vector", min(broadcast_rows, STATE_ROWS // k))
     schema = partial_schema(candidates, asked)
     if batch is not None:
         partial = scan_points(candidates, batch, k, metric, threshold, schema)
@@ -120,10 +122,12 @@ def scan_points(
 ) -> DataFrame:
     """One pass over the points; a task returns at most ``k`` rows per query, however many points it reads.
 
+    The number of tasks is bounded (without a shuffle), and so are the partial results.
     With ``routes`` (queries x cells, boolean) points carry a ``cell`` and meet
     only the queries routed to it.
     """
-    shared = points.sparkSession.sparkContext.broadcast((batch.ids, batch.vectors, routes))
+    context = points.sparkSession.sparkContext
+    shared = context.broadcast((batch.ids, batch.vectors, routes))
 
     def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors, allowed = shared.value
@@ -145,42 +149,66 @@ def scan_points(
         if id_type is not None:
             yield partial_rows(best, query_ids, id_type, TaskContext.get().partitionId())
 
-    return points.mapInArrow(scan, schema)
+    return points.coalesce(max(SCAN_TASKS, 4 * context.defaultParallelism)).mapInArrow(scan, schema)
 
 
 def _grid(points: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, schema: str) -> DataFrame:
     """Every block of queries meets every block of points in one cell.
 
     Blocks are drawn by a hash of the id, so no key or value can make a cell
-    grow; a cell returns at most ``k`` rows per query.
+    grow.  A task holds the queries of a cell and reads its points as a stream;
+    it returns at most ``k`` rows per query.
     """
-    first = queries.select(F.size("vector")).first()
-    dim = first[0] if first else 1
-    per_block = max(256, CELL_BYTES // (8 * max(1, dim)))
-    p_blocks = max(1, math.ceil(points.count() / per_block))
-    q_blocks = max(1, math.ceil(queries.count() / per_block))
-    left = points.select(
-        "*",
-        F.pmod(F.xxhash64("id"), F.lit(p_blocks)).cast("int").alias("p"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"),
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    dim = max(1, size["dim"] or 1)
+    p_blocks = max(1, math.ceil(points.count() * 8 * dim / CELL_BYTES))
+    q_blocks = max(1, math.ceil(size["n"] / min(BROADCAST_BYTES // (8 * dim), STATE_ROWS // k)))
+
+    def blocks_of(name: str, n: int):
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = queries.select(
+        every(p_blocks).alias("p"), blocks_of("query_id", q_blocks).alias("q"), F.lit(0).alias("kind"),
+        "query_id", F.col("vector").alias("query_vector"),
+    )
+    offered = points.select(
+        blocks_of("id", p_blocks).alias("p"), every(q_blocks).alias("q"), F.lit(1).alias("kind"), "id", "vector"
     )
-    right = queries.select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q"),
-        F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))).alias("p"),
+    cells = asked.unionByName(offered, allowMissingColumns=True).repartition("p", "q")
+    ordered = cells.sortWithinPartitions("p", "q", "kind").select(
+        "p", "q", "kind", "query_id", "query_vector", "id", "vector"
     )
 
-    def cell(key, some_points: pa.Table, some_queries: pa.Table) -> pa.Table:
-        ids = some_points.column("id")
-        if not some_points.num_rows or not some_queries.num_rows:
-            return pa.table({"query_id": some_queries["query_id"].slice(0, 0), "id": ids.slice(0, 0),
-                             "score": pa.array([], pa.float64()), "part": pa.array([], pa.int32())})
-        best = BestK(matrix(some_queries.column("vector"), dim), k, metric, threshold)
-        best.offer(ids.to_numpy(), matrix(some_points.column("vector"), dim))
-        query_ids = some_queries.column("query_id").combine_chunks()
-        return pa.Table.from_batches([partial_rows(best, query_ids, ids.type, key[0].as_py())])
-
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(cell, schema)
+    def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asking, best, id_type = None, [], None, None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                yield partial_rows(best, pa.concat_arrays([ids for ids, _ in asking]), id_type, cell[0])
+
+        for block in blocks:
+            keys = np.stack([block.column(i).to_numpy() for i in range(3)], axis=1)
+            starts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]])
+            for first, last in zip(starts[:-1], starts[1:]):
+                if first == last:
+                    continue
+                here, part = tuple(keys[first, :2].tolist()), block.slice(first, last - first)
+                if here != cell:
+                    yield from finish()
+                    cell, asking, best = here, [], None
+                if keys[first, 2] == 0:
+                    asking.append((part.column(3), matrix(part.column(4), dim)))
+                elif asking:
+                    if best is None:
+                        best = BestK(np.concatenate([rows for _, rows in asking]), k, metric, threshold)
+                        id_type = part.column(5).type
+                    best.offer(part.column(5).to_numpy(zero_copy_only=False), matrix(part.column(6), dim))
+        yield from finish()
+
+    return ordered.mapInArrow(scan, schema)
 
 
 def merge_best(partial: DataFrame, k: int, metric: str) -> DataFrame:

@@ -63,6 +63,16 @@ def test_exact_search(data, frames, metric, threshold, broadcast_rows):
     assert listed(got) == brute(*data, 7, metric, threshold)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+def test_many_small_grid_cells(data, frames, metric, monkeypatch):
+    from nearfield.operators import search as module
+
+    monkeypatch.setattr(module, "CELL_BYTES", 1500)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 400)
+    got = search(*frames, 7, metric=metric, broadcast_rows=0)
+    assert listed(got) == brute(*data, 7, metric)
+
+
 def test_more_hits_than_points(data, frames):
     assert listed(search(*frames, 500)) == brute(*data, 500, "cosine")
 

@@ -161,7 +161,9 @@ def _grid(points: DataFrame, queries: DataFrame, k: int, metric: str, threshold:
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     dim = max(1, size["dim"] or 1)
-    p_blocks = max(1, math.ceil(points.count() * 8 * dim / CELL_BYTES))
+    n_points = points.count()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    p_blocks = max(1, math.ceil(n_points * 8 * dim / CELL_BYTES), min(cores, n_points // 4096))
     q_blocks = max(1, math.ceil(size["n"] / min(BROADCAST_BYTES // (8 * dim), STATE_ROWS // k)))
 
     def blocks_of(name: str, n: int):
@@ -177,7 +179,8 @@ def _grid(points: DataFrame, queries: DataFrame, k: int, metric: str, threshold:
     offered = points.select(
         blocks_of("id", p_blocks).alias("p"), every(q_blocks).alias("q"), F.lit(1).alias("kind"), "id", "vector"
     )
-    cells = asked.unionByName(offered, allowMissingColumns=True).repartition("p", "q")
+    cells = asked.unionByName(offered, allowMissingColumns=True)
+    cells = cells.repartition(min(p_blocks * q_blocks, 200_000), "p", "q")
     ordered = cells.sortWithinPartitions("p", "q", "kind").select(
         "p", "q", "kind", "query_id", "query_vector", "id", "vector"
     )

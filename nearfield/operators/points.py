@@ -18,15 +18,18 @@ SMALL_KEYS = 1_000_000  # most keys that are sent to every task
 UUID_SHAPE = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
+def small_side(keys: DataFrame, most: int = SMALL_KEYS) -> DataFrame:
+    """``keys``, marked to go to every task if there are at most ``most`` rows (counted no further)."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def without_keys(df: DataFrame, keys: DataFrame, on: str, small: int = SMALL_KEYS) -> DataFrame:
     """Rows whose key is not among ``keys``.
 
     Keys are counted (up to ``small``) to choose the join: few go to every task
     and the table is not shuffled; many meet it in a shuffled anti join.
     """
-    keys = keys.select(on).distinct()
-    few = keys.limit(small + 1).count() <= small
-    return df.join(F.broadcast(keys) if few else keys, on, "left_anti")
+    return df.join(small_side(keys.select(on).distinct(), small), on, "left_anti")
 
 
 def latest(df: DataFrame, key: str | list[str], order: Column) -> DataFrame:
@@ -88,9 +91,7 @@ def delete_points(
     An empty list of ids counts as not given; a DataFrame of ids may be of any size.
     """
     if isinstance(ids, DataFrame):
-        keys = ids.select(id).distinct()
-        few = keys.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS
-        side = F.broadcast(keys) if few else keys
+        side = small_side(ids.select(id).distinct())
         return Deletion(points.join(side, id, "left_anti"), points.join(side, id, "left_semi"), "ids")
     if ids:
         condition, by = F.col(id).isin(list(ids)), "ids"

@@ -62,13 +62,15 @@ def search(
     query_id: str = "query_id",
     query_vector: str = "vector",
     broadcast_rows: int = BROADCAST_ROWS,
+    batch: QueryBatch | None = None,
 ) -> DataFrame:
     """The ``k`` best points of every query: ``query_id, rank, id, score``.
 
     ``where`` is applied before ranking, ``threshold`` keeps scores at or above
     it (distances at or below it).  Ties go to the smaller id.  Query ids must be
     unique.  A small set of queries goes to every task and points stay where
-    they are; a larger one meets the points in the cells of a grid.
+    they are; a larger one meets the points in the cells of a grid.  ``batch``
+    is what ``small_batch`` returned for the queries, if already at hand.
     """
     check_request(k, metric)
     candidates = points.where(compile_filter(where, points.schema)) if where else points
@@ -76,7 +78,9 @@ def search(
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")
     )
-    batch = small_batch(asked, "query_id", "vector", min(broadcast_rows, STATE_ROWS // k))
+    most = min(broadcast_rows, STATE_ROWS // k)
+    if batch is None or len(batch) > most:
+        batch = small_batch(asked, "query_id", "vector", most)
     schema = partial_schema(candidates, asked)
     if batch is not None:
         partial = scan_points(candidates, batch, k, metric, threshold, schema)

@@ -17,7 +17,7 @@ from nearfield.operators.rerank import (
     rerank_diversity,
     rerank_mmr,
 )
-from nearfield.operators.search import BROADCAST_ROWS, MAX_K, attach_payload, search
+from nearfield.operators.search import BROADCAST_ROWS, MAX_K, attach_payload, search, small_batch
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,7 @@ def run_queries(
     Points carry ``id, vector`` and payload columns, queries ``query_id, vector``.
     MMR wins where both re-rankers are on.  Vectors and payload join only the hits.
     """
+    batch = small_batch(queries, "query_id", "vector", broadcast_rows)
     hits = search(
         points,
         queries,
@@ -99,11 +100,10 @@ def run_queries(
         where=options.where,
         threshold=options.threshold,
         broadcast_rows=broadcast_rows,
+        batch=batch,
     )
     # A proven bound on the hits, where the queries are few.
-    asked = queries.limit(broadcast_rows + 1).count()
-    few = asked <= broadcast_rows
-    most = options.fetch * asked if few else None
+    most = options.fetch * len(batch) if batch is not None else None
     columns = list(options.payload) + (["vector"] if options.with_vectors else [])
     if not options.reranks:
         return attach_payload(hits, points, columns, most_hits=most) if columns else hits
@@ -111,7 +111,7 @@ def run_queries(
     with_vectors = attach_payload(hits, points, ["vector"], most_hits=most)
     if options.mmr:
         own = queries.select("query_id", F.col("vector").alias("query_vector"))
-        paired = with_vectors.join(F.broadcast(own) if few else own, "query_id")
+        paired = with_vectors.join(F.broadcast(own) if batch is not None else own, "query_id")
         picked = rerank_mmr(paired, top_k=options.top_k, lambda_=options.mmr_lambda, fetch_k=options.fetch_k)
     else:
         picked = rerank_diversity(with_vectors, top_k=options.top_k, weight=options.diversity_weight)

@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where the session names none (a local run) a temporary one is made.
     """
     global _own_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.points import small_side
 from nearfield.session import stored
 
 
@@ -28,7 +29,7 @@ def _add_offsets(placed: DataFrame, part: Column, name: str, within: list[str] |
     # One row per block (file split or partition), so a window over them is small.
     before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    joined = placed.join(starts, [*(within or []), "_part"])
+    joined = placed.join(small_side(starts), [*(within or []), "_part"])
     number = (F.col("_before") + F.col("_seat") - F.col("_first") + 1).cast("bigint")
     return joined.withColumn(name, number).drop("_part", "_seat", "_before", "_first")
 

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import text as tx
 from nearfield.operators.points import latest
-from nearfield.sources.rows import number_file_rows
+from nearfield.sources.files import read_csv_rows
 
 MAX_COLUMNS = 26  # fixed value: columns A to Z
 
 
 def read_sheet(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """A sheet from a CSV file, with ``row_number``."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    numbered = number_file_rows(reader.csv(path))
-    cells = [name for name in numbered.columns if name not in ("file", "row_number")]
-    return numbered.select("row_number", *[f"`{c}`" for c in cells]).transform(sheet_cells, ["row_number"])
+    return sheet_cells(read_csv_rows(spark, path, multi_line=multi_line).drop("file"), ["row_number"])
 
 
 def sheet_cells(rows: DataFrame, also: list[str] | None = None) -> DataFrame:

@@ -17,8 +17,9 @@ from nearfield.functions import text as tx
 from nearfield.operators.chunking import chunk_documents
 from nearfield.operators.embedding import EmbeddingProvider, embed_texts
 from nearfield.operators.points import latest, without_keys
-from nearfield.session import stored
 from nearfield.plans.ingest import ChunkOptions, compose_payload
+from nearfield.session import stored
+from nearfield.sources.sheets import sheet_cells, sheet_documents
 
 OPERATIONS = ("insert", "update", "delete")  # fixed values: the operations listened to
 METADATA = ("title", "category", "source", "tags")  # fixed values: metadata taken by default
@@ -132,3 +133,62 @@ class ChangeLog:
         )
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
         return writer.start()
+
+
+def sheet_changes(
+    rows: DataFrame,
+    *,
+    spreadsheet: str,
+    sheet: str,
+    key: str,
+    text_columns: list[str],
+    metadata_columns: list[str] | None = None,
+) -> DataFrame:
+    """Sheet rows (with ``seq``) as updates of the documents they describe."""
+    metadata = metadata_columns or []
+    docs = sheet_documents(
+        sheet_cells(rows, ["seq"]),
+        sheet=sheet,
+        key=key,
+        text_columns=text_columns,
+        metadata_columns=metadata,
+        keep=["seq"],
+    )
+    document = F.struct(
+        "text", "row_key", F.lit(spreadsheet).alias("spreadsheet_id"), F.lit(sheet).alias("sheet_name"), *metadata
+    )
+    return docs.select("seq", F.lit("update").alias("op"), "doc_id", document.alias("full_document"))
+
+
+def follow_sheet(
+    log: ChangeLog,
+    path: str,
+    columns: list[str],
+    checkpoint: str,
+    settings: ChangeSettings,
+    *,
+    once: bool = True,
+    every: str = "60 minutes",
+    **sheet: object,
+) -> StreamingQuery:
+    """Take in every CSV export that appears below ``path``; later files, and later rows of a file, win.
+
+    ``sheet`` holds the arguments of :func:`sheet_changes`.  With ``once`` the
+    query takes what is new since its last run and stops, to be run on a schedule.
+    """
+    schema = ", ".join(f"`{name}` string" for name in columns)
+    origin = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    rows = (
+        log.spark.readStream.schema(schema)
+        .options(header=True, escape='"', multiLine=True)
+        .csv(path)
+        .select(*[f"`{name}`" for name in columns], origin.alias("_origin"))
+    )
+
+    def take(batch: DataFrame, number: int) -> None:
+        seq = F.struct("_origin.*", F.monotonically_increasing_id().alias("row"))
+        log.write_batch(sheet_changes(batch.withColumn("seq", seq).drop("_origin"), **sheet), number, settings)
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+    return writer.start()

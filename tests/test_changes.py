@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from nearfield.operators.embedding import provider_factory
 from nearfield.plans.ingest import ChunkOptions
-from nearfield.streaming.changes import ChangeLog, ChangeSettings, apply_changes, classify_changes, effective_changes
+from nearfield.streaming.changes import (
+    ChangeLog, ChangeSettings, apply_changes, classify_changes, effective_changes, follow_sheet,
+)
 
 SCHEMA = "seq bigint, op string, doc_id string, full_document struct<text: string, category: string, source: string>"
 SETTINGS = ChangeSettings(provider_factory("hashing", dimensions=8), ChunkOptions(chunk_tokens=50))
@@ -132,3 +134,28 @@ def test_compaction(spark, changes, tmp_path):
         [("d0", "x", "old", "base"), ("other", "y", "kept", "base")], "doc_id string, id string, category string, source string"
     )
     assert summary(log.compacted(base)) == sorted([*expected(changes), ("other", "kept", "base")])
+
+
+def test_sheet_exports_are_taken_in_one_after_the_other(spark, tmp_path):
+    folder, log = tmp_path / "in", ChangeLog(spark, str(tmp_path / "log"))
+    folder.mkdir()
+    settings = ChangeSettings(
+        provider_factory("hashing", dimensions=8), metadata=["row_key", "sheet_name", "tag"], source="google_sheets"
+    )
+
+    def run():
+        follow_sheet(
+            log, str(folder), ["q", "a", "tag"], str(tmp_path / "state"), settings,
+            spreadsheet="id", sheet="S", key="q", text_columns=["q", "a"], metadata_columns=["tag"],
+        ).awaitTermination()
+
+    (folder / "1.csv").write_text("q,a,tag\nk1,old,x\nk1,older row,\nk2,\"two\nlines\",y\n")
+    run()
+    (folder / "2.csv").write_text("q,a,tag\nk1,new,z\n")
+    run()
+    run()
+    got = {r.doc_id: (r.text, r.tag, r.source, r.sheet_name) for r in log.points().collect()}
+    assert got == {
+        "sheet_S_k1": ("q: k1\na: new", "z", "google_sheets", "S"),
+        "sheet_S_k2": ("q: k2\na: two\nlines", "y", "google_sheets", "S"),
+    }

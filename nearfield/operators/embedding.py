@@ -90,6 +90,7 @@ def embed_texts(
     *,
     text: str = "text",
     vector: str = "vector",
+    error: str | None = None,
     share_copies: bool = False,
     spread: int = 32,
 ) -> DataFrame:
@@ -98,41 +99,61 @@ def embed_texts(
     Within an Arrow batch each distinct text is sent once, in slices.
     ``share_copies`` first brings equal texts together (one shuffle), which pays
     for a costly model; copies of one text go to up to ``spread`` tasks, so a
-    text that makes up much of the data does not end up in one.
+    text that makes up much of the data does not end up in one.  With ``error``
+    a text the provider fails on gets a NULL vector and the message in that
+    column; without, it fails the job.
     """
 
-    @arrow_udf("array<double>")
+    def call(provider: EmbeddingProvider, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
+        if error is None:
+            return provider.embed_batch(texts), [None] * len(texts)
+        try:
+            return provider.embed_batch(texts), [None] * len(texts)
+        except Exception as problem:  # find the texts at fault; the others get their vectors
+            if len(texts) == 1:
+                return np.zeros((1, provider.dimensions)), [str(problem) or type(problem).__name__]
+            parts = [call(provider, [one]) for one in texts]
+            return np.concatenate([rows for rows, _ in parts]), [m for _, found in parts for m in found]
+
+    @arrow_udf("struct<vector:array<double>,error:string>")
     def embed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         provider = factory()
-        last: tuple[str, np.ndarray] | None = None
+        size = getattr(provider, "slice_size", SLICE)
+        last: tuple[str, np.ndarray, str | None] | None = None
         for column in columns:
             codes = column.dictionary_encode()
             texts = codes.dictionary.to_pylist()
             table = np.zeros((len(texts), provider.dimensions))
+            failures: list[str | None] = [None] * len(texts)
             todo = list(range(len(texts)))
             if last is not None and texts and texts[0] == last[0]:  # a run of copies goes on
-                table[0] = last[1]
+                table[0], failures[0] = last[1:]
                 todo = todo[1:]
-            size = getattr(provider, "slice_size", SLICE)
             for at in range(0, len(todo), size):
                 part = todo[at : at + size]
-                table[part] = provider.embed_batch([texts[i] for i in part])
-            rows = codes.indices
+                table[part], messages = call(provider, [texts[i] for i in part])
+                for i, message in zip(part, messages):
+                    failures[i] = message
             if texts:
-                tail = next((i for i in reversed(rows.to_pylist()) if i is not None), None)
-                last = (texts[tail], table[tail].copy()) if tail is not None else last
-            present = rows.is_valid().to_numpy(zero_copy_only=False)
-            vectors = arrow_vectors(table[rows.fill_null(0).to_numpy()] if texts else np.zeros((len(rows), 0)))
-            yield vectors if present.all() else pa.array(
-                [v if p else None for v, p in zip(vectors.to_pylist(), present)], vectors.type
-            )
+                tail = int(pc.max(codes.indices).as_py())  # new texts are coded in order of appearance
+                last = (texts[tail], table[tail].copy(), failures[tail])
+            messages = pa.array([*failures, None], pa.string())
+            rows = codes.indices.fill_null(len(texts)).to_numpy()
+            vectors = arrow_vectors(np.vstack([table, np.zeros((1, provider.dimensions))])[rows])
+            found = messages.take(pa.array(rows))
+            absent = np.equal(rows, len(texts)) | found.is_valid().to_numpy(zero_copy_only=False)
+            if absent.any():
+                vectors = pc.if_else(pa.array(absent), pa.scalar(None, vectors.type), vectors)
+            yield pa.StructArray.from_arrays([vectors, found], ["vector", "error"])
 
     if share_copies:
         copies = F.xxhash64(text)
         salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in _hashable(df)]), F.lit(spread))
         df = df.withColumn("_copies", copies).repartition("_copies", salt).sortWithinPartitions("_copies")
         df = df.drop("_copies")
-    return df.withColumn(vector, embed.asNondeterministic()(F.col(text)))
+    both = df.withColumn("_embedded", embed.asNondeterministic()(F.col(text)))
+    both = both.withColumn(vector, F.col("_embedded.vector"))
+    return (both.withColumn(error, F.col("_embedded.error")) if error else both).drop("_embedded")
 
 
 def _hashable(df: DataFrame) -> list[str]:

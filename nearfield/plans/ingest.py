@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from nearfield.functions import text as tx
 from nearfield.operators.chunking import chunk_documents, with_chunk_count
 from nearfield.operators.embedding import EmbeddingProvider, embed_texts
+from nearfield.operators.points import without_keys
+from nearfield.session import stored
 from nearfield.sources.sheets import sheet_documents
 
 Factory = Callable[[], EmbeddingProvider]
@@ -141,8 +143,12 @@ def sync_points(
     embedding: str | None = "embedding",
     re_embed: bool = True,
     share_copies: bool = False,
+    error: str | None = None,
 ) -> DataFrame:
-    """The points a bulk sync produces; replace those of the same documents with ``replace_docs``."""
+    """The points a bulk sync produces; replace those of the same documents with ``replace_docs``.
+
+    With ``error`` failures of the provider are kept in that column, for :func:`settle`.
+    """
     known = F.col(embedding) if embedding else F.lit(None)
     taken = docs.where(sync_action(F.col(text), known, re_embed) == "process")
     fields = [name for name in metadata or [] if name != text]
@@ -154,11 +160,21 @@ def sync_points(
         overlap_percent=options.overlap_percent,
         keep=fields,
     )
-    points = embed_texts(chunks, factory, share_copies=share_copies)
+    points = embed_texts(chunks, factory, share_copies=share_copies, error=error)
     composed = compose_payload(points, source=source, synced_at=synced_at, metadata=fields)
     return composed.withColumnRenamed("chunk_id", "id")
 
 
+def settle(points: DataFrame, *, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """The points of documents embedded in full, and ``doc_id, error`` of each document that failed.
+
+    The points are stored first, so the provider runs once.
+    """
+    tried = stored(points, "embedded")
+    failed = tried.where(F.col(error).isNotNull()).groupBy("doc_id").agg(F.min(error).alias("error"))
+    return without_keys(tried.drop(error), failed, "doc_id"), failed
+
+
 def sync_sheet(
     rows: DataFrame,
     factory: Factory,

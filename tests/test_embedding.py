@@ -68,3 +68,28 @@ def test_summary(spark):
     rows = {r.doc_id: (r.total_chunks, r.total_tokens, r.embedding_dimensions) for r in embed_summary(chunks, 8, "doc_id").collect()}
     assert rows == {1: (2, 15, 8), 2: (1, 1, 8)}
     assert embed_summary(chunks.limit(0), 8).first().asDict() == {"total_chunks": 0, "total_tokens": 0, "embedding_dimensions": 8}
+
+
+class Picky(Counting):
+    """Fails on some texts."""
+
+    def embed_batch(self, texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("cannot embed this")
+        return super().embed_batch(texts)
+
+
+def test_failures_are_kept_apart(spark):
+    from nearfield.plans.ingest import settle, sync_points
+
+    docs = spark.createDataFrame(
+        [(i, ("bad" if i % 10 == 0 else "good") + f" text {i}") for i in range(200)] + [(500, "fine. " * 400 + "bad")],
+        "doc_id int, text string",
+    )
+    points = sync_points(docs, Picky, synced_at=F.lit("t"), embedding=None, error="error")
+    good, failed = settle(points)
+    assert {r.doc_id: r.error for r in failed.collect()} == {i: "cannot embed this" for i in [*range(0, 200, 10), 500]}
+    rows = good.collect()
+    assert {r.doc_id for r in rows} == {i for i in range(200) if i % 10} and all(r.vector is not None for r in rows)
+    with pytest.raises(Exception, match="cannot embed this"):
+        sync_points(docs, Picky, synced_at=F.lit("t"), embedding=None).collect()

@@ -19,6 +19,7 @@ from pyspark.sql.functions import arrow_udf
 
 from nearfield.functions.vectors import matrix
 from nearfield.operators.search import check_request, merge_best, partial_schema, scan_points, search, small_batch
+from nearfield.session import stored
 
 TRAIN_PER_CELL = 256  # points per cell looked at to place the centres
 MAX_CENTRE_BYTES = 64 << 20
@@ -64,8 +65,9 @@ def build_index(
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     if metric == "cosine":  # zero vectors have no direction and get a cell of their own
         train = train.where(length > 0).withColumn("vector", F.transform("vector", lambda x: x / length))
+    features = stored(train.select(F.col("vector").cast("array<double>").alias("vector")), "train")  # read every round
     fitted = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(
-        train.select(array_to_vector("vector").alias("features"))
+        features.select(array_to_vector("vector").alias("features"))
     )
     centres = np.array(fitted.clusterCenters())
     if centres.nbytes > MAX_CENTRE_BYTES:
@@ -74,11 +76,10 @@ def build_index(
     extents = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("points"), F.max("distance").alias("radius"))
     rows = extents.collect()  # one per cell
     _small_table(spark, centres, metric, rows).write.mode("overwrite").parquet(f"{path}/cells")
-    files = F.create_map(*[F.lit(v) for r in rows for v in (r["cell"], -(-r["points"] // FILE_POINTS))])
-    spread = F.pmod(F.xxhash64("id"), F.element_at(files, F.col("cell")))
-    placed.drop("distance").repartition("cell", spread).write.mode("overwrite").partitionBy("cell").parquet(
-        f"{path}/points"
-    )
+    files = spark.createDataFrame([(r["cell"], -(-r["points"] // FILE_POINTS)) for r in rows], "cell int, files bigint")
+    spread = placed.join(F.broadcast(files), "cell")  # one row per cell
+    spread = spread.repartition("cell", F.pmod(F.xxhash64("id"), F.col("files"))).drop("distance", "files")
+    spread.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/points")
 
 
 def _small_table(spark: SparkSession, centres: np.ndarray, metric: str, rows: list) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.vectors import METRICS
+from nearfield.operators.points import delete_points, replace_docs, upsert_points
 
 
 def scan_documents(docs: DataFrame, *, only_missing: bool = False, embedding: str = "embedding") -> DataFrame:
@@ -74,7 +77,7 @@ class PointTable:
             empty = "id string, doc_id string, vector array<double>"
             return self.spark.createDataFrame([], empty)
         version, schema = current
-        return self.spark.read.schema(T.StructType.fromJson(_json(schema))).parquet(f"{self.path}/v{version}")
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/v{version}")
 
     def write(self, points: DataFrame) -> int:
         """Store ``points`` as the next version and return its number."""
@@ -86,8 +89,36 @@ class PointTable:
         ).write.mode("append").json(f"{self.path}/versions")
         return version
 
-
-def _json(text: str) -> dict:
-    import json
-
-    return json.loads(text)
+    def upsert(
+        self, new: DataFrame, *, order: str | None = None, metric: str = "cosine", create_if_missing: bool = True
+    ) -> tuple[int, bool]:
+        """Upsert points; returns how many were submitted and whether the table was made just now."""
+        spec = self.spec()
+        if spec is None:
+            first = new.select(F.size("vector").alias("dim")).first()
+            if first is None:
+                raise ValueError("give at least one point")
+            spec = (first["dim"], metric)
+        created = self.ensure(*spec, create_if_missing=create_if_missing)
+        old = self.read() if self._current() else new.drop(*[order] if order else []).limit(0)
+        self.write(upsert_points(old, new, order=order, dim=spec[0]))
+        return new.count(), created
+
+    def delete(self, **criteria) -> tuple[str, int]:
+        """Delete points (see ``delete_points``); returns what decided and how many went."""
+        deletion = delete_points(self.read(), **criteria)
+        count = deletion.count()
+        if count:
+            self.write(deletion.remaining)
+        return deletion.deleted_by, count
+
+    def replace(self, new: DataFrame, docs: DataFrame) -> None:
+        """Replace all points of ``docs`` by ``new``."""
+        self.write(replace_docs(self.read(), new, docs) if self._current() else new)
+
+    def info(self) -> DataFrame:
+        """One row: number of points, vector size and metric."""
+        dim, metric = self.spec() or (None, None)
+        return self.read().agg(
+            F.count(F.lit(1)).alias("points"), F.lit(dim).cast("int").alias("dim"), F.lit(metric).cast("string").alias("metric")
+        )

@@ -103,3 +103,22 @@ def test_point_table(spark, old, tmp_path):
     new = new_points(spark, [("z", "d", [9.0, 9.0], 1)])
     assert table.write(pt.upsert_points(table.read(), new, order="turn", dim=2)) == 2
     assert {r.id for r in table.read().collect()} == {"a", "b", "c", "z"}
+
+
+def test_point_table_requests(spark, old, tmp_path):
+    table = PointTable(spark, str(tmp_path / "points"))
+    new = new_points(spark, [("a", "d1", [1.0, 2.0], 1), ("b", "d1", [3.0, 4.0], 1), ("a", "d2", [5.0, 6.0], 2)])
+    with pytest.raises(ValueError, match="no points table"):
+        table.upsert(new, create_if_missing=False)
+    assert table.upsert(new, order="turn") == (3, True)
+    assert table.upsert(new, order="turn") == (3, False)
+    assert table.read().columns == ["id", "doc_id", "vector"]
+    assert table.info().first().asDict() == {"points": 2, "dim": 2, "metric": "cosine"}
+    with pytest.raises(Exception, match="expected 2 values"):
+        table.upsert(new_points(spark, [("c", "d", [1.0], 1)]))
+    assert table.info().first().points == 2  # the failed write left the old state
+    table.replace(new_points(spark, [("n", "d1", [0.0, 1.0], 1)]).drop("turn"), spark.createDataFrame([("d1",)], "doc_id string"))
+    assert {r.id for r in table.read().collect()} == {"a", "n"}
+    assert table.delete(doc_id="d2") == ("doc_id", 1)
+    assert table.delete(ids=["nobody"]) == ("ids", 0)
+    assert {r.id for r in table.read().collect()} == {"n"}

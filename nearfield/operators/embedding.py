@@ -151,9 +151,9 @@ def embed_texts(
         salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in _hashable(df)]), F.lit(spread))
         df = df.withColumn("_copies", copies).repartition("_copies", salt).sortWithinPartitions("_copies")
         df = df.drop("_copies")
-    both = df.withColumn("_embedded", embed.asNondeterministic()(F.col(text)))
-    both = both.withColumn(vector, F.col("_embedded.vector"))
-    return (both.withColumn(error, F.col("_embedded.error")) if error else both).drop("_embedded")
+    both = df.withColumn("_result", embed.asNondeterministic()(F.col(text)))
+    both = both.withColumn(vector, F.col("_result.vector"))
+    return (both.withColumn(error, F.col("_result.error")) if error else both).drop("_result")
 
 
 def _hashable(df: DataFrame) -> list[str]:

@@ -95,12 +95,16 @@ def _csv_text():
     return csv_text
 
 
-def read_csv_rows(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def read_csv_rows(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
     """Rows of CSV files of one layout, all strings, with ``file`` and ``row_number``.
 
-    Cells may hold line breaks; where none do, ``multi_line=False`` lets Spark
-    split large files.
+    A file is read in splits unless cells hold line breaks.  Where
+    ``multi_line`` does not say, one pass over the lines finds out: without a
+    line that has an odd number of quotes no cell can go on to the next line.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return number_file_rows(reader.csv(path))
 

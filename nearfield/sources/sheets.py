@@ -12,8 +12,8 @@ from nearfield.sources.files import read_csv_rows
 MAX_COLUMNS = 26  # fixed value: columns A to Z
 
 
-def read_sheet(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """A sheet from a CSV file, with ``row_number``."""
+def read_sheet(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
+    """A sheet from a CSV file, with ``row_number`` (see ``read_csv_rows``)."""
     return sheet_cells(read_csv_rows(spark, path, multi_line=multi_line).drop("file"), ["row_number"])
 
 

@@ -81,6 +81,16 @@ def test_null_texts_and_carried_columns(spark):
     assert [r.chunks for r in with_chunk_count(docs).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_characters_outside_the_basic_plane_count_once(spark):
+    text = "\U0001f600" * 300
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    for keep_sentences in (True, False):
+        rows = chunk_documents(docs, chunk_tokens=50, overlap_percent=0, keep_sentences=keep_sentences).orderBy("chunk_index").collect()
+        assert [(r.start_index, r.end_index, r.text, r.tokens) for r in rows] == [
+            (0, 200, text[:200], 50), (200, 300, text[:100], 25)
+        ]
+
+
 def test_ids_are_stable_and_distinct(spark):
     docs = spark.createDataFrame([(1, "word. " * 2000), (2, "word. " * 2000)], "doc_id int, text string")
     once = [r.chunk_id for r in chunk_documents(docs).collect()]

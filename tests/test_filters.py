@@ -104,3 +104,65 @@ def test_scalar_conditions_reach_the_scan(spark, tmp_path):
     spec = {"must": [{"key": "id", "range": {"gte": 3}}], "must_not": [{"key": "s", "match": {"value": "5"}}]}
     plan = flt.filter_rows(spark.read.parquet(path), spec)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(id,3)" in plan and "Or(IsNull(s),Not(EqualTo(s,5)))" in plan
+
+
+def passes(row, spec):
+    """The meaning of a filter, one row at a time."""
+
+    def holds(entry):
+        value = row.get(entry["key"])
+        for one in value if isinstance(value, list) else [value]:
+            if one is None:
+                continue
+            if "match" in entry:
+                want = entry["match"]["value"]
+                kind = lambda v: "number" if isinstance(v, (int, float)) and not isinstance(v, bool) else type(v)
+                if kind(one) == kind(want) and one == want:
+                    return True
+            elif isinstance(one, (int, float)) and not isinstance(one, bool):
+                if all(flt.BOUNDS[name](one, bound) for name, bound in entry["range"].items()):
+                    return True
+        return False
+
+    return (
+        all(map(holds, spec.get("must", [])))
+        and (not spec.get("should") or any(map(holds, spec["should"])))
+        and not any(map(holds, spec.get("must_not", [])))
+    )
+
+
+def test_random_filters(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [
+        {
+            "id": i,
+            "s": rng.choice(["a", "b", None]),
+            "n": rng.choice([1, 2, 3, None]),
+            "d": rng.choice([0.5, 1.0, 2.5, None]),
+            "flag": rng.choice([True, False, None]),
+            "tags": rng.choice([["a"], ["a", "b"], [], [None, "b"], None]),
+            "nums": rng.choice([[1], [2, 3], None]),
+        }
+        for i in range(150)
+    ]
+    schema = "id int, s string, n int, d double, flag boolean, tags array<string>, nums array<int>"
+    df = spark.createDataFrame(rows, schema)
+
+    def entry():
+        key = rng.choice(["s", "n", "d", "flag", "tags", "nums", "none"])
+        if rng.random() < 0.6:
+            return {"key": key, "match": {"value": rng.choice(["a", "b", 1, 2, 2.5, 1.0, True, False])}}
+        names = rng.sample(list(flt.BOUNDS), rng.randint(1, 2))
+        return {"key": key, "range": {name: rng.choice([0, 1, 1.5, 2]) for name in names}}
+
+    specs = [
+        {c: [entry() for _ in range(rng.randint(0, 3))] for c in flt.CLAUSES if rng.random() < 0.6} for _ in range(120)
+    ]
+    shown = df.select("id", *[flt.compile_filter(s, df.schema, as_value=True).alias(f"f{i}") for i, s in enumerate(specs)])
+    for got, row in zip(shown.orderBy("id").collect(), rows):
+        for i, spec in enumerate(specs):
+            assert got[f"f{i}"] == passes(row, spec), (row, spec)
+    for spec in specs[:10]:
+        assert {r.id for r in flt.filter_rows(df, spec).collect()} == {r["id"] for r in rows if passes(r, spec)}

@@ -157,3 +157,40 @@ def test_a_query_vector_beats_its_text(spark):
     assert rows[2] == make().embed_batch(["some words"])[0].tolist()
     with pytest.raises(ValueError):
         query_vectors(queries)
+
+
+def test_points_and_queries_without_vectors_take_no_part(spark, data, frames):
+    points, queries = frames
+    more_points = points.unionByName(spark.createDataFrame([("none", None)], "id string, vector array<double>"))
+    more_queries = queries.unionByName(spark.createDataFrame([(7777, None)], "query_id int, vector array<double>"))
+    for rows in (100, 0):
+        assert listed(search(more_points, more_queries, 3, broadcast_rows=rows)) == brute(*data, 3, "cosine")
+    assert search(points.limit(0), queries, 3).count() == 0
+    assert search(points, queries.limit(0), 3).count() == 0
+
+
+def test_single_precision_points(spark, data, frames):
+    points, queries = frames
+    single = points.selectExpr("id", "cast(vector as array<float>) as vector")
+    kept = [(r.id, r.vector) for r in single.collect()]
+    assert listed(search(single, queries, 5)) == brute(kept, data[1], 5, "cosine")
+
+
+def test_values_beyond_single_precision():
+    """Vectors far from the origin, and very small or large ones, still rank exactly."""
+    rng = np.random.default_rng(4)
+    for metric, move, scale in (("euclid", 1e7, 1.0), ("dot", 0.0, 1e-15), ("euclid", 0.0, 1e9), ("cosine", 0.0, 1e-30)):
+        points = (rng.normal(size=(3000, 6)) + move) * scale
+        queries = (rng.normal(size=(9, 6)) + move) * scale
+        best = BestK(queries, 8, metric)
+        for part in np.array_split(np.arange(3000), 5):
+            best.offer(part, points[part])
+        q, ids, _ = best.result()
+        for i in range(9):
+            if metric == "euclid":
+                order = np.sqrt(((points - queries[i]) ** 2).sum(axis=1))
+            else:
+                order = -(points * queries[i]).sum(axis=1)
+                if metric == "cosine":
+                    order = order / np.sqrt((points**2).sum(axis=1)) / np.sqrt((queries[i] ** 2).sum())
+            assert ids[q == i].tolist() == np.argsort(order, kind="stable")[:8].tolist(), metric

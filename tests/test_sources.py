@@ -23,7 +23,7 @@ def test_rows_are_numbered_in_order_across_partitions(spark):
     assert sorted((r.k, r.row_number) for r in numbered) == [(i, i + 1) for i in range(5000)]
 
 
-@pytest.mark.parametrize("multi_line", [True, False])
+@pytest.mark.parametrize("multi_line", [True, False, None])
 def test_csv_rows_keep_file_order(spark, tmp_path, multi_line):
     head = "n,name,note\n"
     write(tmp_path / "in" / "a.csv", head + "".join(f'{i},"x, ""y""",\n' for i in range(3000)))
@@ -40,6 +40,12 @@ def test_csv_rows_keep_file_order(spark, tmp_path, multi_line):
     assert {r.line for r in lines} == {'Row 2: n: 1, name: x, "y", note: ', "Row 2: n: 1, name: z, note: t1"}
 
 
+def test_line_breaks_in_cells_are_noticed(spark, tmp_path):
+    path = write(tmp_path / "in" / "a.csv", 'n,note\n1,"one\ntwo"\n2,"a","b\n","c"\n3,plain\n')
+    rows = files.read_csv_rows(spark, path).orderBy("row_number").collect()
+    assert [(r.row_number, r.n) for r in rows] == [(1, "1"), (2, "2"), (3, "3")] and rows[0].note == "one\ntwo"
+
+
 def test_files_by_kind(spark, tmp_path):
     folder = tmp_path / "up"
     write(folder / "A.TXT", "one\r\n\r\n\r\n\r\ntwo  \t three ")

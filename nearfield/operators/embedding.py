@@ -92,15 +92,13 @@ def embed_texts(
     vector: str = "vector",
     error: str | None = None,
     share_copies: bool = False,
-    spread: int = 32,
 ) -> DataFrame:
     """Add ``vector``: the provider's vector of ``text`` (NULL for a NULL text).
 
     Within an Arrow batch each distinct text is sent once, in slices.
     ``share_copies`` first brings equal texts together (one shuffle), which pays
-    for a costly model; copies of one text go to up to ``spread`` tasks, so a
-    text that makes up much of the data does not end up in one.  With ``error``
-    a text the provider fails on gets a NULL vector and the message in that
+    for a costly model; adaptive execution splits the partition of a text that
+    makes up much of the data, and each part sends it once.  With ``error`` a text the provider fails on gets a NULL vector and the message in that
     column; without, it fails the job.
     """
 
@@ -147,20 +145,13 @@ def embed_texts(
             yield pa.StructArray.from_arrays([vectors, found], ["vector", "error"])
 
     if share_copies:
-        copies = F.xxhash64(text)
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in _hashable(df)]), F.lit(spread))
-        df = df.withColumn("_copies", copies).repartition("_copies", salt).sortWithinPartitions("_copies")
-        df = df.drop("_copies")
+        together = df.withColumn("_copies", F.xxhash64(text)).hint("rebalance", F.col("_copies"))
+        df = together.sortWithinPartitions("_copies").drop("_copies")
     both = df.withColumn("_result", embed.asNondeterministic()(F.col(text)))
     both = both.withColumn(vector, F.col("_result.vector"))
     return (both.withColumn(error, F.col("_result.error")) if error else both).drop("_result")
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns that tell copies apart (maps and variants cannot be hashed)."""
-    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-
-
 def attach_vectors(df: DataFrame, vectors: DataFrame, on: str, vector: str = "vector") -> DataFrame:
     """Add precomputed vectors by key; a row without one gets an empty vector."""
     joined = df.join(vectors.select(on, F.col(vector).alias("vector")), on, "left")

@@ -34,15 +34,18 @@ def test_slices_order_and_copies(spark):
     assert embed_texts(df.limit(0), provider_factory("counting")).count() == 0
 
 
-def test_hot_text_is_spread(spark):
-    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t "), "id")).alias("text"))
-    out = embed_texts(df.repartition(4), provider_factory("hashing", dimensions=4), share_copies=True)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little data would be put together
+def test_hot_text_is_split(spark):
+    hot = "hot " * 500
+    body = F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.lit("t "), F.repeat(F.col("id").cast("string"), 300)))
+    pad = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{i}")), 256) for i in range(8)])  # as copies compress
+    df = spark.range(3000).select("id", body.alias("text"), pad.alias("pad")).repartition(16, "id")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
     try:
-        spread = out.where("text = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        out = embed_texts(df, provider_factory("hashing", dimensions=4), share_copies=True)
+        parts = out.select(F.spark_partition_id().alias("p"), (F.col("text") == hot).alias("hot"), "id", "pad").collect()
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert spread > 1 and out.count() == 4000
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len({r.p for r in parts if r.hot}) > 1 and len({r.id for r in parts}) == 3000
 
 
 def test_hashing_provider():

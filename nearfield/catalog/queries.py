@@ -17,7 +17,15 @@ from nearfield.operators.embedding import embed_summary, embed_texts, provider_f
 from nearfield.operators.index import build_index, search_index
 from nearfield.operators.points import check_dims, delete_points, points_info, replace_docs, upsert_points
 from nearfield.operators.search import search
-from nearfield.plans.ingest import compose_payload, split_valid, sync_action, sync_preview, sync_stats
+from nearfield.plans.ingest import (
+    compose_payload,
+    split_valid,
+    sync_action,
+    sync_points,
+    sync_preview,
+    sync_sheet,
+    sync_stats,
+)
 from nearfield.plans.query import QueryOptions, query_summary, query_vectors, run_queries
 from nearfield.session import scratch_path, stored
 from nearfield.sources.files import csv_lines, extract_files
@@ -151,6 +159,16 @@ def diversity(spark, folder):
     return _reranked(spark, folder, QueryOptions(top_k=10, fetch_k=50, diversity=True, diversity_weight=0.3))
 
 
+@query("query_request")
+def query_request(spark, folder):
+    """Filter, threshold, MMR and payload in one request."""
+    options = QueryOptions(
+        top_k=5, fetch_k=20, where=SEARCH_FILTER, threshold=0.1, mmr=True, mmr_lambda=0.7, payload=["lang", "source"]
+    )
+    hits = run_queries(given.points(spark, folder), given.vector_queries(spark, folder), options)
+    return _hits(hits, F.round("mmr_score", 6).alias("mmr_score"), "lang", "source")
+
+
 @query("query_flags")
 def query_flags(spark, folder):
     """How many hits above a threshold each query got, and whether a re-ranker ran."""
@@ -410,6 +428,34 @@ def stats(spark, folder):
 
 
 
+@query("sync_points")
+def bulk_points(spark, folder):
+    points = sync_points(
+        given.sync_source(spark, folder), HASHING, synced_at=F.lit("2024-01-01T00:00:00.000Z"), metadata=["lang"]
+    )
+    return points.select(
+        "id", "doc_id", "source", "lang", "chunk_index", "start_index", "end_index", "tokens", F.size("vector").alias("dim")
+    )
+
+
+@query("sheet_points")
+def sheet_points(spark, folder):
+    points = sync_sheet(
+        sheet_cells(given.sheet(spark, folder).withColumn("turn_no", F.col("turn")), ["turn_no"]),
+        HASHING,
+        spreadsheet="book",
+        sheet="talks",
+        key="conv_id",
+        text_columns=["role", "text"],
+        metadata_columns=["turn"],
+        order=["turn_no"],
+        synced_at=F.lit("2024-01-01T00:00:00.000Z"),
+    )
+    return points.select(
+        "id", "doc_id", "source", "sheet_name", "row_key", "turn", "chunk_index", "text", F.size("vector").alias("dim")
+    )
+
+
 @query("compose_payload")
 def payload(spark, folder):
     """A document's own source wins over the base one; German documents have none."""

@@ -50,11 +50,11 @@ POINTS = (
 FILTERED = f"(SELECT * FROM {POINTS} WHERE lang = 'en' AND n_chars >= 200 AND coalesce(toxic, 0) <> 1)"
 
 
-def _greedy(first: str, later: str, update: str, k: int = 10, fetch: int = 50) -> str:
+def _greedy(first: str, later: str, update: str, k: int = 10, fetch: int = 50, found: str = "SELECT * FROM sim") -> str:
     """One candidate per query and step: ``carry`` sums up its similarity to those picked so far."""
     return f"""
 WITH RECURSIVE sim AS MATERIALIZED ({_pairs()}),
-cand AS MATERIALIZED (SELECT * FROM ({_ranked('SELECT * FROM sim')}) WHERE rank <= {fetch}),
+cand AS MATERIALIZED (SELECT * FROM ({_ranked(found)}) WHERE rank <= {fetch}),
 st AS (
   SELECT query_id, 0 AS step, id, rank, score, NULL::DOUBLE AS carry, NULL::BIGINT AS chosen, NULL::DOUBLE AS value
   FROM cand
@@ -184,6 +184,7 @@ SYNC_SOURCE = (
     f"ELSE d.text END AS text FROM {LABELLED} d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"
 )
 SHEET = "(SELECT row_number() OVER () AS doc_id, concat('role: ', role, chr(10), 'text: ', text) AS text FROM conversations)"
+LAST_TURN = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations) WHERE age = 1)"
 EVENT = """(
 SELECT event_id, ts, user_id AS doc_id, event_type,
   CASE event_type WHEN 'signup' THEN 'insert' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'update'
@@ -269,6 +270,12 @@ SQL: dict[str, str] = {
         "0.7 * score - 0.3 * carry / step",
         "coalesce(t.carry, 0) + x.score",
     ),
+    "query_request": f"SELECT r.*, lang, source FROM ("
+    + _greedy(
+        "0.7 * score", "0.7 * score - 0.3 * carry", "greatest(coalesce(t.carry, -1), x.score)", 5, 20,
+        f"SELECT * FROM ({_pairs(FILTERED)}) WHERE score >= 0.1",
+    )
+    + f") r JOIN {POINTS} p ON p.vec_id = r.id",
     "query_flags": f"SELECT vec_id AS query_id, 5 AS top_k, least(coalesce(n, 0), 5) AS actual_k, coalesce(n, 0) > 0 AS mmr_applied, "
     f"false AS diversity_applied FROM embeddings LEFT JOIN (SELECT query_id, count(*) AS n FROM "
     f"({_pairs('(SELECT * FROM embeddings WHERE label >= 5)')}) WHERE score >= 0.35 GROUP BY 1) ON query_id = vec_id",
@@ -325,7 +332,18 @@ SQL: dict[str, str] = {
     f"CASE WHEN length({_trim('html')}) = 0 THEN 'No readable content found in file' END AS reason FROM pages)",
     "sheet_rows": "SELECT concat('sheet_talks_', conv_id) AS doc_id, conv_id::VARCHAR AS row_key, concat('role: ', "
     "coalesce(role, ''), chr(10), 'text: ', coalesce(text, '')) AS text, nullif(turn::VARCHAR, '') AS turn FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations) WHERE age = 1",
+    + LAST_TURN,
+    "sheet_points": _with_chunks(
+        f"(SELECT concat('sheet_talks_', conv_id) AS doc_id, concat('role: ', role, chr(10), 'text: ', text) AS text FROM {LAST_TURN})",
+        f"SELECT {_chunk_uuid('400/15/1/50')} AS id, doc_id, 'google_sheets' AS source, 'talks' AS sheet_name, "
+        "conv_id::VARCHAR AS row_key, turn::VARCHAR AS turn, chunk_index, c.text, 64::INTEGER AS dim FROM chunk c "
+        f"JOIN (SELECT conv_id, turn, concat('sheet_talks_', conv_id) AS doc_id FROM {LAST_TURN}) USING (doc_id)",
+    ),
+    "sync_points": _with_chunks(
+        f"(SELECT * FROM {SYNC_SOURCE} WHERE text <> '')",
+        f"SELECT {_chunk_uuid('400/15/1/50')} AS id, doc_id, 'mongo' AS source, lang, chunk_index, start_index, end_index, "
+        "tokens, 64::INTEGER AS dim FROM chunk JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)",
+    ),
     "sheet_preview": "SELECT conv_id, turn, role, text, (SELECT count(*) FROM conversations) AS total_rows, "
     "'role, text' AS column_names FROM conversations ORDER BY conv_id, turn LIMIT 3",
     "sheet_sync_stats": _with_chunks(

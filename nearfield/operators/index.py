@@ -135,7 +135,7 @@ def search_index(
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")
     )
-    batch = small_batch(asked, "query_id", "vector")
+    batch = small_batch(queries, query_id, query_vector)
     if batch is None or len(batch) * k > 2_000_000:
         return search(points, asked, k, metric=metric, threshold=threshold)
 

@@ -19,14 +19,17 @@ UUID_SHAPE = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def small_side(keys: DataFrame, most: int = SMALL_KEYS) -> DataFrame:
-    """``keys``, marked to go to every task if there are at most ``most`` rows (counted no further)."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    """``keys``, marked to go to every task if there are at most ``most`` rows.
+
+    A plain count runs in parallel; counting behind a limit would bring the rows to one task.
+    """
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def without_keys(df: DataFrame, keys: DataFrame, on: str, small: int = SMALL_KEYS) -> DataFrame:
     """Rows whose key is not among ``keys``.
 
-    Keys are counted (up to ``small``) to choose the join: few go to every task
+    Keys are counted to choose the join: few go to every task
     and the table is not shuffled; many meet it in a shuffled anti join.
     """
     return df.join(small_side(keys.select(on).distinct(), small), on, "left_anti")

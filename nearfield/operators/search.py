@@ -37,10 +37,10 @@ class QueryBatch:
 
 
 def small_batch(queries: DataFrame, query_id: str, vector: str, max_rows: int = BROADCAST_ROWS) -> QueryBatch | None:
-    """The queries, if there are at most ``max_rows``; never fetches more than one row beyond."""
-    table = queries.select(query_id, vector).where(F.col(vector).isNotNull()).limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    """The queries, if there are at most ``max_rows``: counted first, and fetched only then."""
+    if queries.count() > max_rows:
         return None
+    table = queries.select(query_id, vector).where(F.col(vector).isNotNull()).toArrow()
     ids = table.column(0).combine_chunks()
     if not table.num_rows:
         return QueryBatch(ids, np.zeros((0, 1)))
@@ -73,14 +73,14 @@ def search(
     is what ``small_batch`` returned for the queries, if already at hand.
     """
     check_request(k, metric)
+    most = min(broadcast_rows, STATE_ROWS // k)
+    if batch is None or len(batch) > most:
+        batch = small_batch(queries, query_id, query_vector, most)
     candidates = points.where(compile_filter(where, points.schema)) if where else points
     candidates = candidates.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).alias("vector"))
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")
     )
-    most = min(broadcast_rows, STATE_ROWS // k)
-    if batch is None or len(batch) > most:
-        batch = small_batch(asked, "query_id", "vector", most)
     schema = partial_schema(candidates, asked)
     if batch is not None:
         partial = scan_points(candidates, batch, k, metric, threshold, schema)

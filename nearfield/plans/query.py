@@ -18,6 +18,7 @@ from nearfield.operators.rerank import (
     rerank_mmr,
 )
 from nearfield.operators.search import BROADCAST_ROWS, MAX_K, attach_payload, search, small_batch
+from nearfield.session import stored
 
 
 @dataclass(frozen=True)
@@ -66,17 +67,21 @@ def query_vectors(
     text: str = "text",
     vector: str = "vector",
 ) -> DataFrame:
-    """``query_id, vector``: a query's own vector where it has one, else its embedded text."""
+    """``query_id, vector``: a query's own vector where it has one, else its embedded text.
+
+    Embedded texts are stored, so that the provider runs once however often the result is read.
+    """
     if text not in queries.columns:
         return queries.select("query_id", vector)
     if factory is None:
         raise ValueError("text queries need an embedding provider")
     if vector not in queries.columns:
-        return embed_texts(queries.select("query_id", text), factory, text=text, vector=vector).drop(text)
+        embedded = embed_texts(queries.select("query_id", text), factory, text=text, vector=vector)
+        return stored(embedded.drop(text), "queries")
     missing = F.when(F.col(vector).isNull(), F.col(text))
     embedded = embed_texts(queries.withColumn("_text", missing), factory, text="_text", vector="_embedded")
     own = F.col(vector).cast("array<double>")
-    return embedded.select("query_id", F.coalesce(own, F.col("_embedded")).alias(vector))
+    return stored(embedded.select("query_id", F.coalesce(own, F.col("_embedded")).alias(vector)), "queries")
 
 
 def run_queries(
@@ -104,7 +109,7 @@ def run_queries(
     )
     # A proven bound on the hits, where the queries are few.
     most = options.fetch * len(batch) if batch is not None else None
-    columns = list(options.payload) + (["vector"] if options.with_vectors else [])
+    columns = list(dict.fromkeys([*options.payload, *(["vector"] if options.with_vectors else [])]))
     if not options.reranks:
         return attach_payload(hits, points, columns, most_hits=most) if columns else hits
 

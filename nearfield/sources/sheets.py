@@ -44,7 +44,7 @@ def sheet_documents(
     if not text_columns:
         raise ValueError("at least one text column is needed")
     if order:
-        rows = latest(rows, key, F.struct(*order))
+        rows = latest(rows, f"`{key}`", F.struct(*order))
     return rows.select(
         F.concat(F.lit(f"sheet_{sheet}_"), F.col(f"`{key}`")).alias("doc_id"),
         F.col(f"`{key}`").alias("row_key"),

@@ -67,3 +67,23 @@ ordered AS (
 SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM ordered
 """
+
+
+@query
+def op10_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from nearfield.llm import simhash
+
+    groups = simhash.near_groups(table(spark, folder, "documents"), words=4, radius=4)
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return groups.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
+@query
+def op8_reduced_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from nearfield.llm import packing
+
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))

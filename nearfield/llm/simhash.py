@@ -77,11 +77,12 @@ def masks(radius: int, family: int) -> list[int]:
 
 def _bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, first of its group) within runs of equal ``key``."""
+    bits = fp.view(np.uint64)  # counting bits of a signed number takes its absolute value
     here, step, found = np.arange(len(key) - 1), 1, []
     while len(here):
         here = here[here + step < len(key)]
         here = here[key[here] == key[here + step]]
-        near = here[np.bitwise_count(fp[here] ^ fp[here + step]) <= radius]
+        near = here[np.bitwise_count(bits[here] ^ bits[here + step]) <= radius]
         if len(near):
             found.append(np.stack([near, near + step]))
         step += 1

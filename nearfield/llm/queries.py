@@ -87,3 +87,16 @@ def op8_reduced_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     from nearfield.llm import packing
 
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from nearfield.llm import toxicity
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, folder, "labels").where(~held_out).select("doc_id", "toxic")
+    scored = toxicity.toxicity(table(spark, folder, "documents"), labels)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted)

@@ -33,7 +33,8 @@ LEAST_GAIN = 30.0
 PREFIXES = (4, 5, 6)
 #: A word's toxic share counts as if so many rows more had the average share.
 PRIOR_ROWS = 1.0
-LEAST_SHARE = 0.85
+#: Toxic share that a word needs, and the beginning of words.
+LEAST_SHARE, LEAST_SHARE_BEGINNING = 0.7, 0.85
 
 # Letters that signs may stand for.
 LOOKALIKES = {
@@ -233,7 +234,8 @@ def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, floa
     part = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
     gain = 2 * (part(F.col("bad"), share, F.lit(rate)) + part(F.col("all") - F.col("bad"), 1 - share, F.lit(1 - rate)))
     weight = (F.col("bad") + PRIOR_ROWS * rate) / (F.col("all") + PRIOR_ROWS)
-    telling = counts.where((gain >= LEAST_GAIN) & (weight >= LEAST_SHARE)).select("feature", weight.alias("weight"))
+    least = F.when(F.col("feature").endswith("~"), LEAST_SHARE_BEGINNING).otherwise(LEAST_SHARE)
+    telling = counts.where((gain >= LEAST_GAIN) & (weight >= least)).select("feature", weight.alias("weight"))
     # The gain asks for several toxic rows of the bounded sample each, so these are few.
     weights = {r.feature: r.weight for r in telling.collect()}
     scored = scores(labelled, model, weights, 0.0).where("score = 0")

@@ -28,8 +28,6 @@ from nearfield.session import stored
 
 #: Labelled rows that are learned from, at most; chosen by a hash of the id.
 TRAIN_ROWS = 16_000
-#: Twice the log-likelihood ratio above which a word's share of toxic rows is no chance.
-LEAST_GAIN = 30.0
 PREFIXES = (4, 5, 6)
 #: A word's toxic share counts as if so many rows more had the average share.
 PRIOR_ROWS = 1.0
@@ -230,12 +228,15 @@ def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, floa
     counts = counts.agg(
         F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("bad"), F.sum("n").alias("all")
     )
+    counts = stored(counts, "word-counts")
+    # Twice the log-likelihood ratio that hardly any of so many words reaches by chance.
+    least_gain = 2 * math.log(max(2, counts.count()))
     rate, share = bad / (bad + good), F.col("bad") / F.col("all")
     part = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
     gain = 2 * (part(F.col("bad"), share, F.lit(rate)) + part(F.col("all") - F.col("bad"), 1 - share, F.lit(1 - rate)))
     weight = (F.col("bad") + PRIOR_ROWS * rate) / (F.col("all") + PRIOR_ROWS)
     least = F.when(F.col("feature").endswith("~"), LEAST_SHARE_BEGINNING).otherwise(LEAST_SHARE)
-    telling = counts.where((gain >= LEAST_GAIN) & (weight >= least)).select("feature", weight.alias("weight"))
+    telling = counts.where((gain >= least_gain) & (weight >= least)).select("feature", weight.alias("weight"))
     # The gain asks for several toxic rows of the bounded sample each, so these are few.
     weights = {r.feature: r.weight for r in telling.collect()}
     scored = scores(labelled, model, weights, 0.0).where("score = 0")

@@ -100,3 +100,36 @@ def op7_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, folder, "documents"), labels)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted)
+
+
+@query
+def op2_compression_language(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from nearfield.llm import language
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = language.languages(docs, language.dictionaries(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+@query
+def op5_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels of an id are the outcome of the page with that id: bad if toxic or of low quality."""
+    from pyspark.sql import functions as F
+
+    from nearfield.llm import reputation
+
+    bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return reputation.judge(table(spark, folder, "pages"), outcomes, RULES)

@@ -29,8 +29,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Expected pieces of one length that one task numbers together.
 SLICE_ROWS = 4096
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 400_000
+#: Words whose ids a task remembers between batches of text.
+KNOWN_WORDS = 500_000
 _TEXT_BYTES = 8 << 20  # text tokenised at once
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -38,7 +38,7 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many), ...
 
 
 class WordIds:
-    """Ids of words, each distinct one tokenised once while it is remembered.
+    """Ids of words, each distinct part tokenised once while it is remembered.
 
     The tokenizer lower-cases a word and cuts it into runs (of letters, of signs, ...), whose last ids it marks.  Words
     of letters and perhaps signs after them are put together from both parts; letters are one run, so many words are
@@ -52,42 +52,43 @@ class WordIds:
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _add_letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
-            cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                self.known.update((word, ids[a:b]) for word, a, b in zip(part, [0, *cuts], cuts))
-            else:
-                self._add_single(part)
+        for at in range(0, len(words), 8192):
+            parts = [words[k : k + 256] for k in range(at, min(at + 8192, len(words)), 256)]
+            found = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+            for part, ids in zip(parts, (e.ids for e in found)):
+                cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
+                if len(cuts) == len(part):
+                    self.known.update((word, ids[a:b]) for word, a, b in zip(part, [0, *cuts], cuts))
+                else:
+                    self._add_single(part)
 
     def _add_single(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
+            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
 
-    def _add(self, words: list[str]) -> None:
-        single, two = [], []
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {"": []}
+        known, letters, single, parts = self.known, set(), set(), []
         for word in words:
             low = word.lower()
             bare = low.rstrip(".,;:!?|*&$%#")
             # The form of sigma at a word's end depends on what follows, so such words are left as they are.
             if bare.isalpha() and "\u03c2" not in bare:
-                two.append((word, bare, low[len(bare) :]))
+                signs = low[len(bare) :]
+                if bare not in known:
+                    letters.add(bare)
+                if signs not in known:
+                    single.add(signs)
+                parts.append((bare, signs))
             else:
-                single.append(word)
-        self._add_single(single)
-        self._add_single(list({signs for _, _, signs in two} - self.known.keys()))
-        self._add_letters(list({bare for _, bare, _ in two} - self.known.keys()))
-        self.known.update((word, self.known[bare] + self.known[signs]) for word, bare, signs in two)
-
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {"": []}
-            new = words
-        self._add(new)
-        return [self.known[w] for w in words]
+                if word not in known:
+                    single.add(word)
+                parts.append((word, ""))
+        self._add_single(list(single))
+        self._add_letters(list(letters))
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
 
 
 def token_ids(word_ids: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

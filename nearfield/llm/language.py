@@ -1,7 +1,7 @@
 """Language by compression: the language whose dictionary makes a text smallest.
 
 Per learned language a raw-content dictionary for zstandard holds pieces of a bounded sample of its labelled texts.
-Every whole text is compressed with each dictionary; the smallest result names the language (ties: the smaller name),
+The letters of every whole text are compressed with each dictionary, in blocks; the smallest sum names the language (ties: the smaller name),
 and a narrow margin to the second marks the answer as rejected.  Texts without letters, null texts, and all texts if no
 language could be learned, are ``und`` with score 0.  Rows are judged one by one: repeated rows and extra columns don't
 matter, and null or empty labels are never learned.
@@ -21,13 +21,22 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 96
 SAMPLE_CHARS = 1200
 DICTIONARY_BYTES = 110_000
-LEVEL = 1
+#: Bytes compressed at once: in a longer run a text would be its own dictionary.
+BLOCK_BYTES = 4096
 #: An answer is rejected if the second language needs less than so much more, and less than so many bytes more.
 NARROW_SHARE, NARROW_BYTES = 0.004, 4
 #: How fast the score nears 1 with the bits that the second language needs more: repeats in a text count for less.
 TRUST = 1 / 16
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """Lower-case words of the whole text, without signs and digits."""
+    return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
+
+
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language, from rows (doc_id, text, lang) chosen by a hash of the text."""
     piece = F.substring("text", 1, SAMPLE_CHARS)
@@ -40,7 +49,7 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     for row in chosen.select("lang", "key", "piece").collect():
         found.setdefault(row.lang, []).append((row.key, row.piece))
     # What stands last in a dictionary is cheapest to point at; the order among samples doesn't matter.
-    return {lang: "\n".join(p for _, p in sorted(pieces)).encode()[-DICTIONARY_BYTES:] for lang, pieces in found.items()}
+    return {lang: b" ".join(letters(p) for _, p in sorted(pieces))[-DICTIONARY_BYTES:] for lang, pieces in found.items()}
 
 
 def languages(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
@@ -50,20 +59,24 @@ def languages(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packers, letter = [], re.compile(r"[^\W\d_]")
+        packers = []
+        how = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_GREEDY, window_log=18, chain_log=16, hash_log=17, search_log=4, min_match=4,
+            target_length=0, write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
         for name in names:
             content = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False))
+            content.precompute_compress(compression_params=how)
+            packers.append(zstandard.ZstdCompressor(compression_params=how, dict_data=content))
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                text = text.as_py()
-                if not text or not names or not letter.search(text):
+                data = letters(text.as_py() or "")
+                if not data or not names:
                     out.append(("und", 0.0, True))
                     continue
-                data = text.encode("utf-8", "surrogatepass")
-                sizes = np.array([len(p.compress(data)) for p in packers])
+                blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
+                sizes = np.array([sum(len(p.compress(b)) for b in blocks) for p in packers])
                 best = int(sizes.argmin())
                 more = sizes - sizes[best]
                 second = int(np.delete(more, best).min()) if len(names) > 1 else int(sizes[best])

@@ -133,3 +133,17 @@ def op5_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
     outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return reputation.judge(table(spark, folder, "pages"), outcomes, RULES)
+
+
+@query
+def op4_warc_members(spark: SparkSession, folder: str) -> DataFrame:
+    from nearfield.llm import warc
+
+    return warc.archive(table(spark, folder, "pages"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from nearfield.llm import suffixes
+
+    return suffixes.remove_repeats(table(spark, folder, "documents"))

@@ -147,3 +147,10 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from nearfield.llm import suffixes
 
     return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op1_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    from nearfield.llm import neighbours
+
+    return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 100 == 0)

@@ -279,8 +279,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, dict[str, flo
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Copies bear witness once: of texts whose words have the same smallest hash, one row is learned from.
-    sketch = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda word: F.xxhash64(word)))
+    # Copies bear witness once: of texts whose sentences have the same smallest hash, one row is learned from.
+    sentences = F.filter(F.split(F.lower("text"), r"[.\n]+"), lambda part: F.length(part) > 20)
+    sketch = F.coalesce(F.array_min(F.transform(sentences, lambda part: F.xxhash64(part))), F.xxhash64("text"))
     sample = sample.join(F.broadcast(chosen), "doc_id").select("text", "toxic", sketch.alias("sketch"))
     sample = sample.dropDuplicates(["sketch", "toxic"]).drop("sketch")
     return model, *telling_words(stored(sample, "labelled"), model)

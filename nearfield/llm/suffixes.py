@@ -31,8 +31,8 @@ from nearfield.session import stored
 
 LENGTH = 200
 GRAM = 40
-#: Segments of one key that may meet in one shard.
-HOT = 20_000
+#: Segments of one key, and windows in them, that may meet in one shard.
+HOT, HOT_WINDOWS = 20_000, 4 << 20
 #: Windows in a segment, at most.
 SEGMENT = 4096
 #: Bytes of segments whose suffixes are sorted together, unless one key has more.
@@ -101,15 +101,18 @@ class Windows:
         np.add.at(self.valid, self.offsets[1:][long] - length + 1, -1)
         self.valid = np.cumsum(self.valid[: len(self.keys)]).astype(bool)
 
-    def key_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and the number of places whose gram is one."""
-        if not len(self.keys):
-            return self.keys, np.empty(0, np.int64)
+    def key_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, the places whose gram is one, its segments, and the windows in them."""
+        if not self.valid.any():
+            return self.keys[:0], *[np.empty(0, np.int64)] * 3
         width = self.length - GRAM + 1
         # A place is one if the largest key of the windows over it is its own hash; invalid windows don't count.
         keys = np.where(self.valid, self.keys, np.uint64(0))
         padded = np.r_[np.zeros(width - 1, np.uint64), keys, np.zeros(width - 1, np.uint64)]
-        return np.unique(self.grams[_sliding(padded, width, np.maximum) == self.grams], return_counts=True)
+        found, places = np.unique(self.grams[_sliding(padded, width, np.maximum) == self.grams], return_counts=True)
+        _, first, last, key = self.segments()
+        at = np.searchsorted(found, key)
+        return found, places, np.bincount(at, minlength=len(found)), np.bincount(at, last - first + 1, len(found)).astype(np.int64)
 
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, first start, last start within the document, key) of each run of windows of one key."""
@@ -294,15 +297,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_keys(texts: DataFrame, length: int) -> DataFrame:
-    """First pass: (key, n) of the keys that occur at more than one place, stored."""
+    """First pass: (key, segments, windows) of the keys that occur at more than one place, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            keys, n = Windows(batch.column("data"), length).key_counts()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            keys, *counts = Windows(batch.column("data"), length).key_counts()
+            columns = [pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "places", "segments", "windows"])
 
-    counts = texts.select("data").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return stored(counts.where("n > 1"), "repeated-keys")
+    counts = texts.select("data").mapInArrow(run, "key bigint, places bigint, segments bigint, windows bigint")
+    counts = counts.groupBy("key").agg(*[F.sum(n).alias(n) for n in ("places", "segments", "windows")])
+    return stored(counts.where("places > 1").drop("places"), "repeated-keys")
 
 
 def _filter(keys: DataFrame, most_bits: int) -> np.ndarray:
@@ -327,12 +332,15 @@ def _in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def segments(texts: DataFrame, keys: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """Second pass: (key, segment, id, hash, first, last) of segments whose key may be repeated.
 
-    Of a key with more than ``hot`` places come single windows instead, with their digest as segment and part of it as key.
+    Of a key with more than ``hot`` segments come single windows instead, with their digest as segment and part of it as key.
     """
     spark = texts.sparkSession
     table = spark.sparkContext.broadcast(_filter(keys, FILTER_BITS))
-    most = max(hot, (keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 1_000_000)  # so at most a million are hot
-    hot_keys = np.sort(keys.where(F.col("n") > most).select("key").toArrow().column("key").to_numpy().view(np.uint64))
+    # At most a millionth of all are hot.
+    segments, windows = keys.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in ("segments", "windows")]).first()
+    many_segments, many_windows = max(hot, segments // 1_000_000), max(HOT_WINDOWS, windows // 1_000_000)
+    many = (F.col("segments") > many_segments) | (F.col("windows") > many_windows)
+    hot_keys = np.sort(keys.where(many).select("key").toArrow().column("key").to_numpy().view(np.uint64))
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

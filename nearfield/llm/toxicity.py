@@ -29,6 +29,8 @@ from nearfield.session import stored
 #: Labelled rows that are learned from, at most; chosen by a hash of the id.
 TRAIN_ROWS = 16_000
 PREFIXES = (4, 5, 6)
+#: The most that a text without telling words scores: nothing in it says that it is toxic.
+MOST_BASE = 0.45
 #: A word's toxic share counts as if so many rows more had the average share.
 PRIOR_ROWS = 1.0
 #: Toxic share that a word needs, and the beginning of words.
@@ -223,7 +225,7 @@ def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, floa
     totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
-        return {}, (bad + 0.5) / (bad + good + 1.0)
+        return {}, MOST_BASE if bad else 0.5 / (good + 10.0)
     counts = labelled.mapInArrow(run, "feature string, n bigint, toxic int").groupBy("feature")
     counts = counts.agg(
         F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("bad"), F.sum("n").alias("all")
@@ -241,7 +243,7 @@ def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, floa
     weights = {r.feature: r.weight for r in telling.collect()}
     scored = scores(labelled, model, weights, 0.0).where("score = 0")
     rest = scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    return weights, (rest.bad + 0.5) / (rest.n + 10.0)
+    return weights, min(MOST_BASE, (rest.bad + 0.5) / (rest.n + 10.0))
 
 
 def scores(rows: DataFrame, model: CharModel, weights: dict[str, float], base: float) -> DataFrame:

@@ -66,6 +66,7 @@ class Graph:
         # A ring and random links keep all centroids within reach.
         far = np.random.default_rng(seed).integers(0, n, (n, 3))
         self.links = np.concatenate([near, ((np.arange(n) + 1) % n)[:, None], far], axis=1)
+        self.least = 1e-12  # a vector that is its centroid counts as so far from it
         self.entries = np.unique(np.linspace(0, n - 1, 8).astype(np.int64))
 
     def _squares(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -112,7 +113,7 @@ class Graph:
         left, n = np.arange(len(vectors)), 32
         while len(left):
             ids, distance = self.nearest(vectors[left], n)
-            reach = distance <= distance[:, :1] * ratio
+            reach = distance <= np.maximum(distance[:, :1], self.least) * ratio
             done = ~reach[:, -1] | (n >= len(self.centroids))
             for row in np.flatnonzero(done):
                 yield int(left[row]), ids[row][reach[row]]
@@ -132,7 +133,10 @@ class Graph:
 
 
 def fitted_ratio(graph: Graph, sample: np.ndarray, recall: float, k: int) -> float:
-    """The least distance ratio at which sample rows' nearest sample rows are in the lists that are read."""
+    """The least distance ratio at which sample rows' nearest sample rows are in the lists that are read.
+
+    Distances to the nearest centroid count as the usual one at least, which the graph keeps.
+    """
     trials = sample[:: max(1, len(sample) // TRIALS)][:TRIALS].astype(np.float64)
     if len(sample) <= k + 1:
         return np.inf
@@ -144,7 +148,8 @@ def fitted_ratio(graph: Graph, sample: np.ndarray, recall: float, k: int) -> flo
     for row, ids in graph.boundary(data[wanted], COPIES, BOUNDARY):
         lists[int(wanted[row])] = ids
     to = np.sqrt(np.maximum((graph.norms[None, :] - 2 * trials @ graph.centroids.T) + (trials**2).sum(axis=1)[:, None], 0))
-    needed = [min(to[t, i] for i in lists[int(j)]) / max(to[t].min(), 1e-12) for t in range(len(trials)) for j in near[t]]
+    graph.least = max(graph.least, float(np.median(to.min(axis=1))))
+    needed = [min(to[t, i] for i in lists[int(j)]) / max(to[t].min(), graph.least) for t in range(len(trials)) for j in near[t]]
     return float(np.quantile(needed, recall)) * 1.001
 
 

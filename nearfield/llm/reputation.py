@@ -84,7 +84,7 @@ def reputations(hosts: DataFrame, max_bad: float, deviations: float) -> DataFram
     domains = stored(hosts.groupBy("domain", "suffix").agg(*sums, F.count(F.lit(1)).alias("units")), "domains")
     suffixes = stored(domains.groupBy("suffix").agg(*sums, F.count(F.lit(1)).alias("units")), "suffixes")
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    mean = (total.bad + 0.5) / (total.n + 1.0)
+    mean = (total.bad + 0.5) / (total.n + 10.0)  # few outcomes say little against a page
 
     suffixes, _ = _shrunk(suffixes.withColumn("mean", F.lit(mean)))
     above = stored(suffixes.select("suffix", F.col("post").alias("mean"), "units"), "suffix-rates")

@@ -30,8 +30,8 @@ END_ID = 1
 #: Expected pieces of one length that one task numbers together.
 SLICE_ROWS = 4096
 #: Words whose ids a task remembers between batches of text.
-KNOWN_WORDS = 500_000
-_TEXT_BYTES = 8 << 20  # text tokenised at once
+KNOWN_WORDS = 300_000
+_TEXT_BYTES = 4 << 20  # text tokenised at once
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), ...

@@ -48,7 +48,7 @@ _SYMBOLS = 64
 _LETTER = re.compile(r"[^\W\d_]")
 _ODD = re.compile(r"[0-9@$!|+*._~^#%&=:,;/\\-]|([^\W\d_])\1\1")
 _EDGE = ".,;:!?\"'()[]{}<>|&%#*=-_~"
-_TEXT_BYTES = 8 << 20
+_TEXT_BYTES = 4 << 20
 _LONGEST = 40  # characters of a word written with signs; longer ones are codes or addresses, read as they stand
 
 
@@ -246,29 +246,33 @@ def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, floa
     return weights, min(MOST_BASE, (rest.bad + 0.5) / (rest.n + 10.0))
 
 
-def scores(rows: DataFrame, model: CharModel, weights: dict[str, float], base: float) -> DataFrame:
-    """``rows`` with a double ``score`` of their text."""
-
+def _scored(texts: pa.Array, model: CharModel, weights: dict[str, float], base: float) -> np.ndarray:
     def weigh(form: str) -> float:
         return max(weights.get(f, 0.0) for f in _features(form))
 
+    words = Words(texts)
+    weight = np.zeros(len(words.distinct))
+    for i, word in enumerate(words.distinct):
+        for form in restored(word, model):
+            weight[i] = max(weight[i], weigh(form))
+    clear = np.zeros(len(texts))  # log of the chance that no word is meant
+    here = np.flatnonzero(weight[words.at] > 0)
+    if len(here):
+        pairs = np.unique(words.doc[here] * len(weight) + words.at[here])
+        doc, word = np.divmod(pairs, len(weight))
+        np.add.at(clear, doc, np.log1p(-np.minimum(weight[word], 0.9999)))
+    for doc, letters in words.apart():
+        for form in joined(letters, model):
+            clear[doc] += math.log1p(-min(weigh(form), 0.9999))
+    return 1.0 - (1.0 - base) * np.exp(clear)
+
+
+def scores(rows: DataFrame, model: CharModel, weights: dict[str, float], base: float) -> DataFrame:
+    """``rows`` with a double ``score`` of their text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            words = Words(batch.column("text"))
-            weight = np.zeros(len(words.distinct))
-            for i, word in enumerate(words.distinct):
-                for form in restored(word, model):
-                    weight[i] = max(weight[i], weigh(form))
-            clear = np.zeros(batch.num_rows)  # log of the chance that no word is meant
-            here = np.flatnonzero(weight[words.at] > 0)
-            if len(here):
-                pairs = np.unique(words.doc[here] * len(weight) + words.at[here])
-                doc, word = np.divmod(pairs, len(weight))
-                np.add.at(clear, doc, np.log1p(-np.minimum(weight[word], 0.9999)))
-            for doc, letters in words.apart():
-                for form in joined(letters, model):
-                    clear[doc] += math.log1p(-min(weigh(form), 0.9999))
-            score = 1.0 - (1.0 - base) * np.exp(clear)
+            score = _scored(batch.column("text"), model, weights, base)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
     schema = rows.select("*", F.lit(0.0).alias("score")).schema
@@ -299,5 +303,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` whose score is below ``threshold``, all columns kept."""
     model, weights, base = fitted(docs, labels)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return scores(rows, model, weights, base).where(F.col("score") < threshold).select("row.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            yield batch.filter(pa.array(_scored(batch.column("text"), model, weights, base) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -26,9 +26,9 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors with the payload of the document of the same id."""
+    """Vectors with the payload of the document of the same id; many have none."""
     docs = labelled(spark, folder).select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", "quality", "toxic")
-    return vectors(spark, folder).join(docs, "id")
+    return vectors(spark, folder).join(docs, "id", "left")
 
 
 def vector_queries(spark: SparkSession, folder: str) -> DataFrame:

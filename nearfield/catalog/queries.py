@@ -345,8 +345,9 @@ def embed_chunks(spark, folder):
 
 @query("embed_summary")
 def embed_totals(spark, folder):
-    accepted, _ = split_valid(given.documents(spark, folder), 2000)
-    return embed_summary(chunk_documents(accepted), 64)
+    """Every document that has text, whatever its length."""
+    usable = given.documents(spark, folder).where(tx.usable_text(F.col("text")))
+    return embed_summary(chunk_documents(usable), 64)
 
 
 

@@ -45,7 +45,7 @@ def _search(pairs: str, k: int = 10, metric: str = "cosine", where: str = "true"
 
 POINTS = (
     "(SELECT e.vec_id, e.embedding, e.label, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM embeddings e "
-    "JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"
+    "LEFT JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 )
 FILTERED = f"(SELECT * FROM {POINTS} WHERE lang = 'en' AND n_chars >= 200 AND coalesce(toxic, 0) <> 1)"
 
@@ -320,7 +320,7 @@ SQL: dict[str, str] = {
         f", w AS ({_weights('chunk', 'doc_id, chunk_index')})",
     ),
     "embed_summary": _with_chunks(
-        f"(SELECT * FROM documents WHERE length({_trim('text')}) > 0 AND ceil(length(text) / 4.0) <= 2000)",
+        f"(SELECT * FROM documents WHERE length({_trim('text')}) > 0)",
         "SELECT count(*) AS total_chunks, sum(tokens)::BIGINT AS total_tokens, 64::INTEGER AS embedding_dimensions FROM chunk",
     ),
     "csv_to_text": "SELECT row_number() OVER (ORDER BY c_custkey) AS row_number, concat('Row ', row_number() OVER (ORDER BY "

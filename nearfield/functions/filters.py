@@ -220,10 +220,14 @@ def compile_filter(
 
     Plain scalar entries stay plain comparisons, so Catalyst pushes them to the
     scan.  With ``as_value`` the Column is never NULL and can be projected.
+    Keys that name no column are looked up in the column ``variant``, or in the
+    only one of that type.
     """
     if spec is None:
         return F.lit(True)
     check(spec)
+    free = [field.name for field in schema if isinstance(field.dataType, T.VariantType)]
+    variant = variant or (free[0] if len(free) == 1 else None)
 
     def positive(entry: Mapping[str, Any]) -> Column:
         found = _lookup(entry["key"], schema, variant)

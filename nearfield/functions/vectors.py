@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 METRICS = ("cosine", "dot", "euclid")
 
 
+def _finite(x: Column) -> Column:
+    """A missing, NaN or infinite element counts as 0, here and in ``matrix``."""
+    x = x.cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x).otherwise(F.lit(0.0))
+
+
 def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(
-        a, b, lambda x, y: F.coalesce(x.cast("double"), F.lit(0.0)) * F.coalesce(y.cast("double"), F.lit(0.0))
-    )
+    products = F.zip_with(a, b, lambda x, y: _finite(x) * _finite(y))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
@@ -28,14 +32,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Rows of an Arrow list column as a float64 matrix; every row must hold ``dim`` values."""
+    """Rows of an Arrow list column as a float64 matrix; every row must hold ``dim`` values.
+
+    Elements that are missing or not finite count as 0.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = pc.list_value_length(column)
     if len(column) and pc.min_max(lengths).as_py() != {"min": dim, "max": dim}:
         raise ValueError(f"expected vectors of {dim} values, found lengths {pc.unique(lengths).to_pylist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=np.float64).reshape(len(column), dim)
+    return np.nan_to_num(np.asarray(flat, dtype=np.float64), posinf=0.0, neginf=0.0).reshape(len(column), dim)
 
 
 def arrow_vectors(rows: np.ndarray) -> pa.Array:

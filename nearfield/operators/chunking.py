@@ -115,11 +115,10 @@ def _fixed_chunks(
 CHUNK_TYPE = "array<struct<chunk_index:int,start_index:int,end_index:int,chunk_text:string,tokens:int>>"
 
 
-def _sentence_cutter(size: int, overlap: int, min_chars: int):
-    """An Arrow UDF: text -> array of chunks that end at sentence ends where one is near."""
+def _cutter(size: int, overlap: int, min_chars: int, keep_sentences: bool = True):
+    """The function that cuts a text into ``(start, end, trimmed text)``."""
     sentence_end = re.compile(f"[.!?]{tx.WHITESPACE_CLASS}+")
     blank = tx.WHITESPACE
-    per_token = tx.CHARS_PER_TOKEN
     radius_cap, radius_share, shift = SEARCH_RADIUS, RADIUS_SHARE, SHIFT_SHARE * size
 
     def end_near(text: str, target: int, radius: int) -> int:
@@ -128,6 +127,10 @@ def _sentence_cutter(size: int, overlap: int, min_chars: int):
         return nearest if abs(nearest - target) < min(radius, shift) else target
 
     def spans(text: str) -> Iterator[tuple[int, int]]:
+        if not keep_sentences:
+            for start in range(0, max(1, len(text) - overlap), size - overlap):
+                yield start, min(start + size, len(text))
+            return
         last, radius = len(text), min(radius_cap, int(len(text) * radius_share))
         start = end = 0
         while end < last:
@@ -142,6 +145,25 @@ def _sentence_cutter(size: int, overlap: int, min_chars: int):
         trimmed = ((s, e, text[s:e].strip(blank)) for s, e in spans(text))
         return [chunk for chunk in trimmed if len(chunk[2]) >= min_chars]
 
+    return cut
+
+
+def _chunk_counter(size: int, overlap: int, min_chars: int, keep_sentences: bool):
+    """Arrow UDF from texts to numbers of chunks."""
+    cut = _cutter(size, overlap, min_chars, keep_sentences)
+
+    @arrow_udf("int")
+    def chunk_count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield pa.array([0 if text is None else len(cut(text)) for text in column.to_pylist()], pa.int32())
+
+    return chunk_count
+
+
+def _sentence_cutter(size: int, overlap: int, min_chars: int):
+    """An Arrow UDF: text -> array of chunks that end at sentence ends where one is near."""
+    cut, per_token = _cutter(size, overlap, min_chars), tx.CHARS_PER_TOKEN
+
     @arrow_udf(CHUNK_TYPE)
     def sentence_chunks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
@@ -172,11 +194,12 @@ def with_chunk_count(
     name: str = "chunks",
     chunk_tokens: int = tx.DEFAULT_CHUNK_TOKENS,
     overlap_percent: float = tx.DEFAULT_OVERLAP_PERCENT,
+    keep_sentences: bool = True,
     min_chars: int = tx.DEFAULT_MIN_CHARS,
 ) -> DataFrame:
-    """Add the number of sentence-aware chunks of each text (0 for NULL), without a shuffle."""
+    """Add the number of chunks of each text (0 for NULL), without a shuffle and without making the chunks."""
     size, overlap = chunk_sizes(chunk_tokens, overlap_percent)
-    return docs.withColumn(name, F.size(_sentence_cutter(size, overlap, min_chars)(F.col(text))))
+    return docs.withColumn(name, _chunk_counter(size, overlap, min_chars, keep_sentences)(F.col(text)))
 
 
 def split_sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

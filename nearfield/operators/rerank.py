@@ -104,7 +104,7 @@ def _per_query(considered: DataFrame, hits: DataFrame, top_k: int, pick) -> Data
         scores = np.nan_to_num(table.column("score").to_numpy())
         sizes = pc.fill_null(pc.list_value_length(table.column("vector")), 0).to_numpy()
         values = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        values = np.nan_to_num(values.astype(np.float64))
+        values = np.nan_to_num(values.astype(np.float64), posinf=0.0, neginf=0.0)
         ends = np.cumsum(sizes)
         taken, standing, places = [], [], []
         for first, last in zip(starts, starts[1:]):
@@ -116,7 +116,8 @@ def _per_query(considered: DataFrame, hits: DataFrame, top_k: int, pick) -> Data
                 vectors = values[ends[rows[0]] - dim : ends[rows[-1]]].reshape(len(rows), dim)
                 query = None
                 if "query_vector" in table.column_names:
-                    query = np.nan_to_num(np.array(table.column("query_vector")[first].as_py(), dtype=np.float64))
+                    query = np.array(table.column("query_vector")[first].as_py(), dtype=np.float64)
+                    query = np.nan_to_num(query, posinf=0.0, neginf=0.0)
                     if query.shape != (dim,):
                         raise ValueError("vectors must have the same length")
                 order, values_at = pick(scores[rows], vectors, query)

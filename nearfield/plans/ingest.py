@@ -48,9 +48,14 @@ def embed_documents(
     text: str = "text",
     keep: list[str] | None = None,
     share_copies: bool = False,
-) -> DataFrame:
-    """Chunks of every valid document with their vectors."""
-    accepted, _ = split_valid(docs, factory().max_input_tokens, text=text)
+    max_tokens: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Chunks of every valid document with their vectors, and the other documents with a ``reason``.
+
+    ``max_tokens`` is the longest text taken, by default what the provider takes.
+    """
+    most = factory().max_input_tokens if max_tokens is None else max_tokens
+    accepted, rejected = split_valid(docs, most, text=text)
     chunks = chunk_documents(
         accepted,
         doc_id=doc_id,
@@ -60,7 +65,7 @@ def embed_documents(
         keep_sentences=options.keep_sentences,
         keep=keep,
     )
-    return embed_texts(chunks, factory, share_copies=share_copies)
+    return embed_texts(chunks, factory, share_copies=share_copies), rejected
 
 
 def sync_action(text: Column, embedding: Column, re_embed: bool = True) -> Column:
@@ -99,7 +104,10 @@ def sync_preview(
         F.col(doc_id).alias("doc_id"), F.col(embedding).isNotNull().alias("has_embedding"), F.col(text).alias("text")
     )
     counted = with_chunk_count(
-        taken, chunk_tokens=options.chunk_tokens, overlap_percent=options.overlap_percent
+        taken,
+        chunk_tokens=options.chunk_tokens,
+        overlap_percent=options.overlap_percent,
+        keep_sentences=options.keep_sentences,
     )
     return counted.select("doc_id", "chunks", "has_embedding", F.length("text").alias("text_length"))
 
@@ -119,7 +127,10 @@ def sync_stats(
         sync_action(F.col(text), F.col(embedding), re_embed).alias("action"), F.col(text).alias("text")
     ).withColumn("text", F.when(takes, F.col("text")))
     counted = with_chunk_count(
-        judged, chunk_tokens=options.chunk_tokens, overlap_percent=options.overlap_percent
+        judged,
+        chunk_tokens=options.chunk_tokens,
+        overlap_percent=options.overlap_percent,
+        keep_sentences=options.keep_sentences,
     )
     chunks = F.coalesce(F.sum("chunks"), F.lit(0)).cast("bigint")
     return counted.agg(
@@ -158,6 +169,7 @@ def sync_points(
         text=text,
         chunk_tokens=options.chunk_tokens,
         overlap_percent=options.overlap_percent,
+        keep_sentences=options.keep_sentences,
         keep=fields,
     )
     points = embed_texts(chunks, factory, share_copies=share_copies, error=error)

@@ -17,10 +17,17 @@ def read_sheet(spark: SparkSession, path: str, *, multi_line: bool | None = None
     return sheet_cells(read_csv_rows(spark, path, multi_line=multi_line).drop("file"), ["row_number"])
 
 
-def sheet_cells(rows: DataFrame, also: list[str] | None = None) -> DataFrame:
-    """The first 26 columns as strings, a missing cell as an empty one; ``also`` passes through."""
+def left_out_columns(rows: DataFrame, also: list[str] | None = None, max_columns: int | None = MAX_COLUMNS) -> list[str]:
+    """The columns that ``sheet_cells`` does not take."""
+    cells = [name for name in rows.columns if name not in (also or [])]
+    return [] if max_columns is None else cells[max_columns:]
+
+
+def sheet_cells(rows: DataFrame, also: list[str] | None = None, max_columns: int | None = MAX_COLUMNS) -> DataFrame:
+    """The first ``max_columns`` columns (None: all) as strings, a missing cell as an empty one; ``also`` passes through."""
     also = also or []
-    cells = [name for name in rows.columns if name not in also][:MAX_COLUMNS]
+    out = left_out_columns(rows, also, max_columns)
+    cells = [name for name in rows.columns if name not in also and name not in out]
     return rows.select(
         *also, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in cells]
     )

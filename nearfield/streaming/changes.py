@@ -76,6 +76,7 @@ def changed_points(effective: DataFrame, settings: ChangeSettings) -> DataFrame:
         docs,
         chunk_tokens=settings.options.chunk_tokens,
         overlap_percent=settings.options.overlap_percent,
+        keep_sentences=settings.options.keep_sentences,
         keep=["seq", *fields],
         keep_empty=True,
     )

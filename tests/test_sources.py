@@ -64,10 +64,18 @@ def test_files_by_kind(spark, tmp_path):
     assert got["noext"].type == "noext" and got["noext"].content == "plain"
 
 
-def test_too_large_files_are_named_not_read(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "MAX_FILE_BYTES", 10)
+def test_cells_beyond_the_header_are_kept(spark, tmp_path):
+    path = write(tmp_path / "in" / "ragged.csv", 'h1,h2\n1,2,3\n4\n"a,b",5,6,7\n')
+    rows = files.read_csv_rows(spark, path).drop("file").orderBy("row_number")
+    assert rows.columns == ["h1", "h2", "column_3", "column_4", "row_number"]
+    assert [tuple(r)[:4] for r in rows.collect()] == [("1", "2", "3", None), ("4", None, None, None), ("a,b", "5", "6", "7")]
+    text = files.extract_files(files.read_files(spark, str(tmp_path / "in"))).first().content
+    assert text.splitlines()[0] == "Row 1: h1: 1, h2: 2, column_3: 3"
+
+
+def test_too_large_files_are_named_not_read(spark, tmp_path):
     write(tmp_path / "up" / "big.txt", "x" * 11)
-    row = files.extract_files(files.read_files(spark, str(tmp_path / "up"))).first()
+    row = files.extract_files(files.read_files(spark, str(tmp_path / "up"), max_bytes=10), max_bytes=10).first()
     assert (row.filename, row.reason, row.content, row.size) == ("big.txt", "File too large", None, 11)
 
 
@@ -145,7 +153,9 @@ def test_embed_request(spark, docs):
     assert {r.doc_id: r.reason for r in rejected.collect()} == {
         1: "Text too long: ~600 tokens (max: 500)", 2: "Text is empty", 3: "Text is empty", 5: "Text is empty"
     }
-    rows = embed_documents(docs, HASHING, ChunkOptions(chunk_tokens=50, overlap_percent=0), keep=["category"]).collect()
+    rows, left = embed_documents(docs, HASHING, ChunkOptions(chunk_tokens=50, overlap_percent=0), keep=["category"])
+    rows = rows.collect()
+    assert {r.doc_id for r in left.collect()} == {2, 3, 5}
     assert {r.doc_id for r in rows} == {1, 4} and all(len(r.vector) == 16 for r in rows)
     for bad in ({"chunk_tokens": 49}, {"overlap_percent": 51}):
         with pytest.raises(ValueError):

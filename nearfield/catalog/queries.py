@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,16 +84,42 @@ def search_threshold(spark, folder):
 
 @query("search_blocked")
 def search_blocked(spark, folder):
-    """The plan for more queries than fit every task, at any size."""
-    return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10, broadcast_rows=0))
+    """Queries in several batches, each a pass over the points."""
+    return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10, broadcast_rows=200))
 
 
 @query("search_ann")
 def search_ann(spark, folder):
-    """Cell index with the exact second pass."""
+    """Cell index, all cells probed."""
     path = scratch_path(spark, "index")
     build_index(given.vectors(spark, folder), path, cells=16)
-    return _hits(search_index(spark, path, given.vector_queries(spark, folder), 10, probes=4))
+    return _hits(search_index(spark, path, given.vector_queries(spark, folder), 10, probes=None))
+
+
+@query("search_ann_probes")
+def search_ann_probes(spark, folder):
+    """Cells around given centres (the axes), the three nearest probed, queries in several batches."""
+    path = scratch_path(spark, "index")
+    build_index(given.vectors(spark, folder), path, cells=64, metric="euclid", centres=np.eye(64))
+    queries = given.vector_queries(spark, folder)
+    return _hits(search_index(spark, path, queries, 10, probes=3, broadcast_rows=300))
+
+
+def _holed(vectors: DataFrame) -> DataFrame:
+    """Vectors of which some elements are missing or not a number."""
+    element = lambda x, i: F.when((F.col("id") + i) % 97 == 0, F.lit(None)).when((F.col("id") * 3 + i) % 89 == 0, float("nan")).otherwise(x)
+    return vectors.withColumn("vector", F.transform("vector", element))
+
+
+def _search_holed(metric: str) -> Query:
+    def run(spark, folder):
+        points = _holed(given.vectors(spark, folder))
+        return _hits(search(points, points.select(F.col("id").alias("query_id"), "vector"), 10, metric=metric))
+
+    return run
+
+
+QUERIES.update({f"search_holed_{metric}": _search_holed(metric) for metric in ("cosine", "dot", "euclid")})
 
 
 SEARCH_FILTER = {

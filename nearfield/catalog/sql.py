@@ -47,6 +47,17 @@ POINTS = (
     "(SELECT e.vec_id, e.embedding, e.label, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM embeddings e "
     "LEFT JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 )
+# The nearest axis is the one of the largest element; of empty cells none is probed.
+NEAR_AXES = (
+    "SELECT vec_id, axis, row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(greatest(2 - 2 * value + 0.0, 0)), axis) AS place FROM "
+    "(SELECT vec_id, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS axis FROM embeddings) "
+    "WHERE axis IN (SELECT DISTINCT arg_max(axis, value) OVER (PARTITION BY vec_id) FROM "
+    "(SELECT vec_id, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS axis FROM embeddings))"
+)
+HOLED = (
+    "(SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id + i - 1) % 97 = 0 OR (vec_id * 3 + i - 1) % 89 = 0 "
+    "THEN 0 ELSE x END) AS embedding FROM embeddings)"
+)
 FILTERED = f"(SELECT * FROM {POINTS} WHERE lang = 'en' AND n_chars >= 200 AND coalesce(toxic, 0) <> 1)"
 
 
@@ -245,6 +256,15 @@ SQL: dict[str, str] = {
     "search_cosine": _search(_pairs()),
     "search_blocked": _search(_pairs()),
     "search_ann": _search(_pairs()),
+    "search_ann_probes": _search(
+        f"SELECT c.* FROM ({_pairs(metric='euclid')}) c JOIN ({NEAR_AXES}) a ON a.vec_id = c.query_id "
+        f"JOIN ({NEAR_AXES}) b ON b.vec_id = c.id AND b.place = 1 AND b.axis = a.axis WHERE a.place <= 3",
+        metric="euclid",
+    ),
+    **{
+        f"search_holed_{metric}": _search(_pairs(HOLED, metric).replace("FROM embeddings q", f"FROM {HOLED} q"), metric=metric)
+        for metric in METRIC
+    },
     "search_dot": _search(_pairs(metric="dot"), metric="dot"),
     "search_euclid": _search(_pairs(metric="euclid"), metric="euclid"),
     "search_threshold": _search(_pairs(), where="score >= 0.3"),

@@ -1,8 +1,6 @@
-"""A cell index of points, and search that reads only the cells it needs.
+"""A cell index of points, and search that reads only the cells nearest to a query.
 
-``probes`` trades recall for speed; with ``exact`` a second pass reads every
-further cell that could still hold a better point, so the result equals the
-exact search.
+``probes`` trades recall for speed; all cells together are the exact search.
 """
 
 from __future__ import annotations
@@ -18,13 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from nearfield.functions.vectors import matrix
-from nearfield.operators.search import check_request, merge_best, partial_schema, scan_points, search, small_batch
+from nearfield.operators.search import (
+    BROADCAST_ROWS,
+    batch_rows,
+    check_request,
+    fetch_batch,
+    merge_best,
+    partial_schema,
+    query_blocks,
+    scan_points,
+)
 from nearfield.session import stored
 
-TRAIN_PER_CELL = 256  # points per cell looked at to place the centres
 MAX_CENTRE_BYTES = 64 << 20
 FILE_POINTS = 1_000_000  # about as many points per index file
-LOOSE = 1e-7  # how much a bound may err
+ROUTE_VALUES = 16 << 20  # most entries of a table of queries and cells
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -47,11 +53,11 @@ def build_index(
     vector: str = "vector",
     keep: list[str] | None = None,
     seed: int = 7,
+    centres: np.ndarray | None = None,
 ) -> None:
     """Write points partitioned by nearest centre, with the centres and the extent of each cell.
 
-    Centres are placed on a bounded share of the points; every point is
-    indexed.  A cell that holds much of the data is spread over many files.
+    Centres are fitted on all points, unless given; every point is indexed.  A cell that holds much of the data is spread over many files.
     """
     if metric not in ("cosine", "euclid"):
         raise ValueError("a cell index needs the cosine or euclid metric")
@@ -59,20 +65,19 @@ def build_index(
     source = points.where(F.col(vector).isNotNull()).select(
         F.col(id).alias("id"), F.col(vector).alias("vector"), *(keep or [])
     )
-    total = source.count()
-    share = min(1.0, cells * TRAIN_PER_CELL / max(1, total))
-    train = source.select("vector") if share == 1.0 else source.select("vector").sample(share, seed)
+    train = source.select("vector")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     if metric == "cosine":  # zero vectors have no direction and get a cell of their own
         train = train.where(length > 0).withColumn("vector", F.transform("vector", lambda x: x / length))
-    features = stored(train.select(F.col("vector").cast("array<double>").alias("vector")), "train")  # read every round
-    fitted = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(
-        features.select(array_to_vector("vector").alias("features"))
-    )
-    centres = np.array(fitted.clusterCenters())
+    if centres is None:
+        features = stored(train.select(F.col("vector").cast("array<double>").alias("vector")), "train")  # read every round
+        fitted = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(
+            features.select(array_to_vector("vector").alias("features"))
+        )
+        centres = np.array(fitted.clusterCenters())
     if centres.nbytes > MAX_CENTRE_BYTES:
         raise ValueError("too many cells for this vector size")
-    placed = _assign(source, centres, metric)
+    placed = stored(_assign(source, centres, metric), "placed")
     extents = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("points"), F.max("distance").alias("radius"))
     rows = extents.collect()  # one per cell
     _small_table(spark, centres, metric, rows).write.mode("overwrite").parquet(f"{path}/cells")
@@ -117,16 +122,17 @@ def search_index(
     queries: DataFrame,
     k: int = 10,
     *,
-    probes: int = 4,
-    exact: bool = True,
+    probes: int | None = 4,
     threshold: float | None = None,
     query_id: str = "query_id",
     query_vector: str = "vector",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """The ``k`` best points of every query: ``query_id, rank, id, score``.
+    """The ``k`` best points of every query in its ``probes`` nearest cells: ``query_id, rank, id, score``.
 
-    The first pass reads the ``probes`` nearest cells of each query.  Without
-    ``exact`` that is the (approximate) result.
+    None probes all cells, which is the exact search.  What a query finds
+    depends on no other query: a large set is answered batch by batch, each
+    batch reading only the cells that its queries probe.
     """
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # one row per cell
     metric = cells[0]["metric"]
@@ -135,61 +141,27 @@ def search_index(
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector")
     )
-    batch = small_batch(queries, query_id, query_vector)
-    if batch is None or len(batch) * k > 2_000_000:
-        return search(points, asked, k, metric=metric, threshold=threshold)
-
-    schema = partial_schema(points, asked)
     real = [c for c in cells if c["cell"] >= 0]
     extra = [c for c in cells if c["cell"] < 0 and c["points"]]
     centres = np.array([c["centre"] for c in real])
     filled = np.array([c["points"] > 0 for c in real])
-    radius = np.array([c["radius"] for c in real])
-    vectors = _unit(batch.vectors) if metric == "cosine" else batch.vectors
-    gaps = _distances(vectors, centres) if len(batch) else np.zeros((0, len(centres)))
-    order = np.argsort(np.where(filled, gaps, np.inf), axis=1, kind="stable")[:, :probes]
-    visit = np.zeros((len(batch), len(centres)), dtype=bool)
-    np.put_along_axis(visit, order, True, axis=1)
-    visit &= filled
-
-    def one_pass(routes: np.ndarray, with_extra: bool) -> DataFrame:
-        # Column -1 of the routes is the cell of points without a direction.
-        table = np.concatenate([routes, np.full((len(batch), 1), with_extra)], axis=1)
-        wanted = [int(c) for c in np.nonzero(routes.any(axis=0))[0]] + ([-1] if with_extra and extra else [])
-        chosen = points.where(F.col("cell").isin(wanted)) if wanted else points.where(F.lit(False))
-        return scan_points(chosen, batch, k, metric, threshold, schema, table)
-
-    first = merge_best(one_pass(visit, True), k, metric)
-    if not exact:
-        return first
-    found = first.toArrow()  # at most k rows per query of a small batch
-    reach = _reach(found, batch.ids, k, metric, threshold)
-    nearest = gaps.argmin(axis=1) if len(batch) else np.zeros(0, dtype=int)
-    closest = np.maximum(gaps - radius[None, :], _past_bisector(gaps, nearest, centres))
-    more = (closest <= reach[:, None] + LOOSE) & filled[None, :] & ~visit
-    kept = spark.createDataFrame(found, first.schema).select("query_id", "id", "score", F.lit(-1).alias("part"))
-    return merge_best(kept.unionByName(one_pass(more, False)), k, metric)
-
-
-def _past_bisector(gaps: np.ndarray, nearest: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Least distance from a query to the side of the bisector on which a cell's points lie."""
-    own = gaps[np.arange(len(gaps)), nearest][:, None]
-    between = _distances(centres[nearest], centres) if len(gaps) else gaps
-    top = gaps**2 - own**2
-    return np.divide(top, 2 * between, out=np.zeros_like(top), where=between > 0)
-
-
-def _reach(found: pa.Table, ids: pa.Array, k: int, metric: str, threshold: float | None) -> np.ndarray:
-    """How far from a query a point may lie and still enter its result."""
-    hits = found.to_pandas()
-    full = hits[hits["rank"] == k].set_index("query_id")["score"]
-    worst = full.reindex(ids.to_pandas()).to_numpy(dtype=float)
-    if metric == "euclid":
-        limit = np.where(np.isnan(worst), np.inf, worst)
-        return limit if threshold is None else np.minimum(limit, threshold)
-    limit = np.where(np.isnan(worst), -np.inf, worst)
-    limit = limit if threshold is None else np.maximum(limit, threshold)
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * limit))
+    schema = partial_schema(points, asked)
+    rows = min(batch_rows(centres.shape[1], k, broadcast_rows), max(1, ROUTE_VALUES // len(centres)))
+    found = None
+    for block in query_blocks(asked, rows):
+        batch = fetch_batch(block)
+        routes = np.zeros((len(batch), len(centres) + 1), dtype=bool)
+        routes[:, -1] = bool(extra)  # points without a direction are always looked at
+        if len(batch):
+            vectors = _unit(batch.vectors) if metric == "cosine" else batch.vectors
+            gaps = np.where(filled, _distances(vectors, centres), np.inf)
+            nearest = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
+            np.put_along_axis(routes, nearest, True, axis=1)
+            routes[:, :-1] &= filled
+        wanted = [int(c) for c in np.nonzero(routes[:, :-1].any(axis=0))[0]] + ([-1] if extra else [])
+        part = scan_points(points.where(F.col("cell").isin(wanted)), batch, k, metric, threshold, schema, routes)
+        found = part if found is None else found.unionByName(part)
+    return merge_best(found, k, metric)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

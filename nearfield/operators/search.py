@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +14,12 @@ from pyspark.sql import functions as F
 from nearfield.functions.filters import Filter, compile_filter
 from nearfield.functions.vectors import METRICS, matrix
 from nearfield.operators.topk import BestK
+from nearfield.session import stored
 
 MAX_K = 1000  # fixed value: largest topK and fetchK of a request
 BROADCAST_ROWS = 8192  # most queries that are sent to every task
 BROADCAST_BYTES = 128 << 20  # ... and most bytes of query vectors
-CELL_BYTES = 1 << 30  # vector bytes of the points of a grid cell
 STATE_ROWS = 4_000_000  # most hits a task keeps at a time, over all its queries
-SCAN_TASKS = 4096  # most scan tasks, or four per core where that is more
 MERGE_SPREAD = 64  # first-level groups per query when partial results are merged
 
 
@@ -36,17 +34,32 @@ class QueryBatch:
         return len(self.ids)
 
 
-def small_batch(queries: DataFrame, query_id: str, vector: str, max_rows: int = BROADCAST_ROWS) -> QueryBatch | None:
-    """The queries, if there are at most ``max_rows``: counted first, and fetched only then."""
-    if queries.count() > max_rows:
-        return None
+def fetch_batch(queries: DataFrame, query_id: str = "query_id", vector: str = "vector") -> QueryBatch:
     table = queries.select(query_id, vector).where(F.col(vector).isNotNull()).toArrow()
     ids = table.column(0).combine_chunks()
     if not table.num_rows:
         return QueryBatch(ids, np.zeros((0, 1)))
     vectors = table.column(1).combine_chunks()
-    batch = QueryBatch(ids, matrix(vectors, len(vectors[0])))
-    return batch if batch.vectors.nbytes <= BROADCAST_BYTES else None
+    return QueryBatch(ids, matrix(vectors, len(vectors[0])))
+
+
+def batch_rows(width: int, k: int, most: int = BROADCAST_ROWS) -> int:
+    """How many queries of ``width`` values one batch may hold."""
+    return max(1, min(most, STATE_ROWS // k, BROADCAST_BYTES // (8 * max(1, width))))
+
+
+def measure(queries: DataFrame, vector: str) -> tuple[int, int]:
+    """Number of queries and the longest vector, before any is fetched."""
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(1)).alias("width")).first()
+    return row["n"], max(1, row["width"])
+
+
+def small_batch(
+    queries: DataFrame, query_id: str, vector: str, max_rows: int = BROADCAST_ROWS, k: int = 1
+) -> QueryBatch | None:
+    """The queries, if they fit one batch: counted and measured first, and fetched only then."""
+    n, width = measure(queries, vector)
+    return fetch_batch(queries, query_id, vector) if n <= min(max_rows, batch_rows(width, k)) else None
 
 
 def search(
@@ -68,14 +81,13 @@ def search(
 
     ``where`` is applied before ranking, ``threshold`` keeps scores at or above
     it (distances at or below it).  Ties go to the smaller id.  Query ids must be
-    unique.  A small set of queries goes to every task and points stay where
-    they are; a larger one meets the points in the cells of a grid.  ``batch``
-    is what ``small_batch`` returned for the queries, if already at hand.
+    unique.  Points stay where they are: queries go to every task, in batches of
+    at most ``broadcast_rows``, one pass over the points for each.  ``batch`` is
+    what ``small_batch`` returned for the queries, if already at hand.
     """
     check_request(k, metric)
-    most = min(broadcast_rows, STATE_ROWS // k)
-    if batch is None or len(batch) > most:
-        batch = small_batch(queries, query_id, query_vector, most)
+    if batch is None or len(batch) > min(broadcast_rows, STATE_ROWS // k):
+        batch = small_batch(queries, query_id, query_vector, broadcast_rows, k)
     candidates = points.where(compile_filter(where, points.schema)) if where else points
     candidates = candidates.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).alias("vector"))
     asked = queries.where(F.col(query_vector).isNotNull()).select(
@@ -85,7 +97,8 @@ def search(
     if batch is not None:
         partial = scan_points(candidates, batch, k, metric, threshold, schema)
     else:
-        partial = _grid(candidates, asked, k, metric, threshold, schema)
+        _, width = measure(asked, "vector")
+        partial = _passes(candidates, asked, k, metric, threshold, schema, batch_rows(width, k, max(1, broadcast_rows)))
     return merge_best(partial, k, metric)
 
 
@@ -126,7 +139,6 @@ def scan_points(
 ) -> DataFrame:
     """One pass over the points; a task returns at most ``k`` rows per query, however many points it reads.
 
-    The number of tasks is bounded (without a shuffle), and so are the partial results.
     With ``routes`` (queries x cells, boolean) points carry a ``cell`` and meet
     only the queries routed to it.
     """
@@ -153,82 +165,45 @@ def scan_points(
         if id_type is not None:
             yield partial_rows(best, query_ids, id_type, TaskContext.get().partitionId())
 
-    return points.coalesce(max(SCAN_TASKS, 4 * context.defaultParallelism)).mapInArrow(scan, schema)
+    return points.mapInArrow(scan, schema)
 
 
-def _grid(points: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, schema: str) -> DataFrame:
-    """Every block of queries meets every block of points in one cell.
+def query_blocks(queries: DataFrame, rows: int) -> list[DataFrame]:
+    """The queries (``query_id, vector``) in blocks of about ``rows``, drawn by a hash of the id.
 
-    Blocks are drawn by a hash of the id, so no key or value can make a cell
-    grow.  A task holds the queries of a cell and reads its points as a stream;
-    it returns at most ``k`` rows per query.
+    They are stored first, so a block is a read of them.
     """
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    dim = max(1, size["dim"] or 1)
-    n_points = points.count()
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    p_blocks = max(1, math.ceil(n_points * 8 * dim / CELL_BYTES), min(cores, n_points // 4096))
-    q_blocks = max(1, math.ceil(size["n"] / min(BROADCAST_BYTES // (8 * dim), STATE_ROWS // k)))
-
-    def blocks_of(name: str, n: int):
-        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    asked = queries.select(
-        every(p_blocks).alias("p"), blocks_of("query_id", q_blocks).alias("q"), F.lit(0).alias("kind"),
-        "query_id", F.col("vector").alias("query_vector"),
-    )
-    offered = points.select(
-        blocks_of("id", p_blocks).alias("p"), every(q_blocks).alias("q"), F.lit(1).alias("kind"), "id", "vector"
-    )
-    cells = asked.unionByName(offered, allowMissingColumns=True)
-    cells = cells.repartition(min(p_blocks * q_blocks, 200_000), "p", "q")
-    ordered = cells.sortWithinPartitions("p", "q", "kind").select(
-        "p", "q", "kind", "query_id", "query_vector", "id", "vector"
-    )
-
-    def scan(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, asking, best, id_type = None, [], None, None
+    kept = stored(queries, "queries")
+    blocks = max(1, -(-kept.count() // max(1, rows)))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return [kept.where(number == i) for i in range(blocks)]
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            if best is not None:
-                yield partial_rows(best, pa.concat_arrays([ids for ids, _ in asking]), id_type, cell[0])
 
-        for block in blocks:
-            keys = np.stack([block.column(i).to_numpy() for i in range(3)], axis=1)
-            starts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]])
-            for first, last in zip(starts[:-1], starts[1:]):
-                if first == last:
-                    continue
-                here, part = tuple(keys[first, :2].tolist()), block.slice(first, last - first)
-                if here != cell:
-                    yield from finish()
-                    cell, asking, best = here, [], None
-                if keys[first, 2] == 0:
-                    asking.append((part.column(3), matrix(part.column(4), dim)))
-                elif asking:
-                    if best is None:
-                        best = BestK(np.concatenate([rows for _, rows in asking]), k, metric, threshold)
-                        id_type = part.column(5).type
-                    best.offer(part.column(5).to_numpy(zero_copy_only=False), matrix(part.column(6), dim))
-        yield from finish()
-
-    return ordered.mapInArrow(scan, schema)
+def _passes(
+    points: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, schema: str, rows: int
+) -> DataFrame:
+    """One pass over the points for each block of queries; points are never moved."""
+    found = None
+    for number, block in enumerate(query_blocks(queries, rows)):
+        batch = fetch_batch(block)
+        part = scan_points(points, batch, k, metric, threshold, schema)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def merge_best(partial: DataFrame, k: int, metric: str) -> DataFrame:
     """Rank partial results (``query_id, id, score, part``) and keep the ``k`` best per query.
 
-    Two levels: a query's partial results meet in up to ``MERGE_SPREAD`` groups
-    first, so the last step sees a bounded number of rows however many tasks
-    scanned points.
+    Three levels: a query's partial results meet in groups of tasks, those in
+    ``MERGE_SPREAD`` groups, and those in one, so no step sees more than a few
+    thousand of its rows however many tasks scanned points.
     """
     best_first = F.col("score").asc() if metric == "euclid" else F.col("score").desc()
-    group = F.pmod(F.col("part"), F.lit(MERGE_SPREAD))
-    near = Window.partitionBy("query_id", group).orderBy(best_first, F.col("id"))
-    some = partial.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).drop("rank", "part")
+    some = partial
+    for group in (F.pmod(F.col("part"), F.lit(MERGE_SPREAD**2)), F.pmod(F.col("part"), F.lit(MERGE_SPREAD))):
+        near = Window.partitionBy("query_id", group).orderBy(best_first, F.col("id"))
+        some = some.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).drop("rank")
+    some = some.drop("part")
     final = Window.partitionBy("query_id").orderBy(best_first, F.col("id"))
     ranked = some.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")

@@ -64,15 +64,26 @@ def test_exact_search(data, frames, metric, threshold, broadcast_rows):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
-def test_many_small_grid_cells(data, frames, metric, monkeypatch):
+def test_many_small_batches(data, frames, metric, monkeypatch):
     from nearfield.operators import search as module
 
-    monkeypatch.setattr(module, "CELL_BYTES", 1500)
     monkeypatch.setattr(module, "BROADCAST_BYTES", 400)
     got = search(*frames, 7, metric=metric, broadcast_rows=0)
+    assert "Exchange hashpartitioning(id" not in got._jdf.queryExecution().executedPlan().toString()
     assert listed(got) == brute(*data, 7, metric)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+def test_one_bad_point_or_query_spoils_no_other(spark, metric):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)]
+    bad = [(50, [float("nan"), 1.0, 2.0]), (51, [None, 1.0, 2.0]), (52, [float("inf"), 1.0, 2.0]), (53, [0.0, 1.0, 2.0])]
+    points = spark.createDataFrame(rows + bad, "id long, vector array<double>").coalesce(1)
+    got = search(points, points.withColumnRenamed("id", "query_id"), 5, metric=metric).collect()
+    assert len(got) == 44 * 5
+    of = lambda q: sorted((r.rank, r.id, r.score) for r in got if r.query_id == q)
+    assert of(50) == of(51) == of(52) == of(53)
+
+
 def test_more_hits_than_points(data, frames):
     assert listed(search(*frames, 500)) == brute(*data, 500, "cosine")
 
@@ -82,10 +93,14 @@ def test_index_search_is_exact(spark, data, frames, metric):
     points, queries = frames
     path = scratch_path(spark, "ix")
     build_index(points, path, 8, metric=metric)
-    assert listed(search_index(spark, path, queries, 7, probes=1)) == brute(*data, 7, metric)
+    assert listed(search_index(spark, path, queries, 7, probes=None)) == brute(*data, 7, metric)
     threshold = 0.3 if metric == "cosine" else 2.5
-    assert listed(search_index(spark, path, queries, 7, probes=2, threshold=threshold)) == brute(*data, 7, metric, threshold)
-    near = search_index(spark, path, queries, 7, probes=1, exact=False)
+    assert listed(search_index(spark, path, queries, 7, probes=8, threshold=threshold)) == brute(*data, 7, metric, threshold)
+    near = search_index(spark, path, queries, 7, probes=1)
+    # The same queries find the same, alone or among others.
+    few = queries.limit(3)
+    alone, among = listed(search_index(spark, path, few, 7, probes=1)), listed(search_index(spark, path, queries, 7, probes=1, broadcast_rows=4))
+    assert among == listed(near) and all(row in among for row in alone)
     share = recall(near, search(points, queries, 7, metric=metric)).first()[0]
     assert 0 < share <= 1
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.operators.embedding import HashingProvider
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -31,6 +33,23 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
     return vectors(spark, folder).join(docs, "id", "left")
 
 
+def free_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The same points with their payload in one VARIANT column; no key of it is known to the schema."""
+    payload = F.to_json(F.struct("lang", "source", "n_chars", "quality", "toxic"))
+    return points(spark, folder).select("id", "vector", "label", F.parse_json(payload).alias("payload"))
+
+
+class Refusing(HashingProvider):
+    """A provider that fails on texts with a certain word."""
+
+    word = "stupid"
+
+    def embed_batch(self, texts):
+        if any(self.word in text for text in texts):
+            raise ValueError("text refused")
+        return super().embed_batch(texts)
+
+
 def vector_queries(spark: SparkSession, folder: str) -> DataFrame:
     """Every stored vector as a query."""
     return vectors(spark, folder).select(F.col("id").alias("query_id"), "vector")

@@ -19,8 +19,10 @@ from nearfield.operators.index import build_index, search_index
 from nearfield.operators.points import check_dims, delete_points, points_info, replace_docs, upsert_points
 from nearfield.operators.search import search
 from nearfield.plans.ingest import (
+    ChunkOptions,
     compose_payload,
-    split_valid,
+    run_sync,
+    settle,
     sync_action,
     sync_points,
     sync_preview,
@@ -29,11 +31,11 @@ from nearfield.plans.ingest import (
 )
 from nearfield.plans.query import QueryOptions, query_summary, query_vectors, run_queries
 from nearfield.session import scratch_path, stored
-from nearfield.sources.files import csv_lines, extract_files
+from nearfield.sources.files import csv_lines, extract_files, read_csv_rows
 from nearfield.sources.rows import number_rows
 from nearfield.sources.sheets import sheet_cells, sheet_documents, sheet_preview, sheet_sync_stats
-from nearfield.sources.tables import scan_documents, source_status
-from nearfield.streaming.changes import ChangeLog, ChangeSettings, apply_changes, classify_changes
+from nearfield.sources.tables import PointTable, scan_documents, source_status
+from nearfield.streaming.changes import ChangeLog, ChangeSettings, apply_changes, classify_changes, follow_sheet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -484,6 +486,88 @@ def sheet_points(spark, folder):
     )
 
 
+REFUSING = lambda: given.Refusing(64, normalize=False)
+
+
+def _sync_run(spark, folder) -> tuple[DataFrame, DataFrame, PointTable]:
+    """Sync into a table that already has a point of every document."""
+    points = PointTable(spark, scratch_path(spark, "points"), buckets=16)
+    old = given.documents(spark, folder).select(
+        F.concat(F.lit("old-"), "doc_id").alias("id"), "doc_id", F.array_repeat(F.lit(1.0), 64).alias("vector"), "lang", F.lit(-1).alias("chunk_index")
+    )
+    points.upsert(old)
+    done, failed = run_sync(
+        given.sync_source(spark, folder), points, REFUSING, synced_at=F.lit("2024-01-01T00:00:00.000Z"), metadata=["lang"]
+    )
+    return done, failed, points
+
+
+@query("sync_run")
+def sync_run(spark, folder):
+    return _sync_run(spark, folder)[0]
+
+
+@query("sync_errors")
+def sync_errors(spark, folder):
+    return _sync_run(spark, folder)[1]
+
+
+@query("sync_written")
+def sync_written(spark, folder):
+    """The table after the sync: failed and skipped documents have their old point, the others their chunks."""
+    points = _sync_run(spark, folder)[2].read()
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda t, x: t + F.abs(x)), 6)
+    return points.select("id", "doc_id", "lang", "chunk_index", total.alias("weight"))
+
+
+@query("sheet_sync_errors")
+def sheet_errors(spark, folder):
+    """Every last row of a talk, of which some cannot be embedded."""
+    rows = sheet_cells(given.sheet(spark, folder).withColumn("turn_no", F.col("turn")), ["turn_no"])
+    how = {"sheet": "talks", "key": "conv_id", "text_columns": ["role", "text"], "order": ["turn_no"]}
+    points = sync_sheet(rows, REFUSING, spreadsheet="book", synced_at=F.lit("now"), error="error", **how)
+    docs = with_chunk_count(sheet_documents(rows, **how))
+    return sheet_sync_stats(docs, failed=settle(points)[1])
+
+
+@query("points_table")
+def points_table(spark, folder):
+    """Upsert, delete by id, by document and by filter, and replace, through the table on disk."""
+    points = PointTable(spark, scratch_path(spark, "points"), buckets=16)
+    all_ = given.vectors(spark, folder).withColumn("doc_id", F.pmod("id", F.lit(50)))
+    points.upsert(all_)
+    doubled = F.transform("vector", lambda x: x * F.lit(2).cast("float"))
+    points.upsert(all_.where("label <= 2").withColumn("vector", doubled))
+    points.delete(ids=all_.where("id % 11 = 0").select("id"))
+    points.delete(doc_id=7)
+    points.delete(where=flt.match("label", 5))
+    points.replace(all_.where("doc_id = 9 and id < 200").withColumn("label", F.lit(99)), all_.where("doc_id = 9").select("doc_id"))
+    total = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return points.read().select("id", "doc_id", "label", F.round(total, 5).alias("total"))
+
+
+@query("search_filtered_variant")
+def search_filtered_variant(spark, folder):
+    """The filter's keys are in a free payload."""
+    options = QueryOptions(where=SEARCH_FILTER)
+    return _hits(run_queries(given.free_points(spark, folder), given.vector_queries(spark, folder), options))
+
+
+@query("delete_filter_variant")
+def delete_filter_variant(spark, folder):
+    left = delete_points(given.free_points(spark, folder), where=flt.match("quality", 0)).remaining
+    return left.select("id", "label", F.coalesce(F.expr("try_variant_get(payload, '$.quality', 'int')"), F.lit(-1)).alias("quality"))
+
+
+@query("query_with_vectors")
+def query_with_vectors(spark, folder):
+    """Re-ranked hits with their vectors, of which the elements are summed."""
+    options = QueryOptions(top_k=5, fetch_k=20, mmr=True, mmr_lambda=0.7, where=SEARCH_FILTER, threshold=0.1, with_vectors=True, payload=["lang", "source"])
+    hits = run_queries(given.points(spark, folder), given.vector_queries(spark, folder), options)
+    total = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return _hits(hits, F.round("mmr_score", 6).alias("mmr_score"), "lang", "source", F.round(total, 5).alias("total"))
+
+
 @query("compose_payload")
 def payload(spark, folder):
     """A document's own source wins over the base one; German documents have none."""
@@ -528,3 +612,105 @@ def cdc_stream(spark, folder):
     log = ChangeLog(spark, scratch_path(spark, "change-log"))
     log.follow(given.change_events(stream), scratch_path(spark, "stream"), CHANGES, once=True).awaitTermination()
     return _changed(log.points())
+
+
+@query("cdc_compacted")
+def cdc_compacted(spark, folder):
+    """The same events in three batches, late ones among them, the log folded in between."""
+    events = given.table(spark, folder, "events")
+    log = ChangeLog(spark, scratch_path(spark, "change-log"))
+    for batch in range(3):
+        part = events.where(F.pmod("event_id", F.lit(3)) == 2 - batch)
+        log.write_batch(given.change_events(part), batch, CHANGES)
+        log.compact()
+    return _changed(log.points())
+
+
+@query("cdc_recovered")
+def cdc_recovered(spark, folder):
+    """The stream stops, more events arrive, and it goes on from its checkpoint."""
+    events = given.table(spark, folder, "events")
+    inbox, checkpoint = scratch_path(spark, "inbox"), scratch_path(spark, "stream")
+    log = ChangeLog(spark, scratch_path(spark, "change-log"))
+    for half in range(2):
+        events.where(F.pmod("event_id", F.lit(2)) == half).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(events.schema).parquet(inbox)
+        log.follow(given.change_events(stream), checkpoint, CHANGES, once=True).awaitTermination()
+    return _changed(log.points())
+
+
+@query("sheet_stream")
+def sheet_stream(spark, folder):
+    """A sheet exported as CSV, taken in by the scheduled query."""
+    inbox = scratch_path(spark, "exports")
+    rows = given.sheet(spark, folder).select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn").coalesce(1)
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**plain).csv(inbox)
+    log = ChangeLog(spark, scratch_path(spark, "change-log"))
+    settings = ChangeSettings(HASHING, metadata=["turn"])
+    follow_sheet(
+        log, inbox, rows.columns, scratch_path(spark, "stream"), settings,
+        spreadsheet="book", sheet="talks", key="conv_id", text_columns=["role", "text"], metadata_columns=["turn"],
+    ).awaitTermination()
+    return log.points().select("doc_id", "chunk_index", "text", "turn")
+
+
+# --- requests whose parts are not seen above -----------------------------------
+
+
+@query("sync_points_fixed")
+def fixed_points(spark, folder):
+    """A sync that cuts without regard to sentences."""
+    options = ChunkOptions(keep_sentences=False)
+    points = sync_points(given.sync_source(spark, folder), HASHING, options, synced_at=F.lit("now"))
+    return points.select("doc_id", "chunk_index", "start_index", "end_index", "tokens")
+
+
+@query("delete_dispatch")
+def delete_dispatch(spark, folder):
+    """Ids win over a document, a document over a filter; an empty list of ids counts as none."""
+    points = given.vectors(spark, folder).withColumn("doc_id", F.pmod("id", F.lit(50)))
+    requests = {
+        "all": {"ids": [1, 2, 3], "doc_id": 7, "where": flt.match("label", 5)},
+        "document": {"ids": [], "doc_id": 7, "where": flt.match("label", 5)},
+        "filter": {"where": flt.match("label", 5)},
+    }
+    out = None
+    for name, request in requests.items():
+        found = delete_points(points, **request)
+        row = found.deleted.agg(F.count(F.lit(1)).alias("deleted")).select(
+            F.lit(name).alias("request"), F.lit(found.deleted_by).alias("deleted_by"), "deleted"
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("ensure_dataset")
+def ensure_dataset(spark, folder):
+    """A table made by its first points; asking again changes nothing."""
+    points = PointTable(spark, scratch_path(spark, "points"), buckets=16)
+    _, made = points.upsert(given.vectors(spark, folder), metric="euclid")
+    again = points.ensure(64, "euclid")
+    return points.info().withColumns({"made": F.lit(made), "again": F.lit(again)})
+
+
+@query("csv_from_files")
+def csv_from_files(spark, folder):
+    """Customers exported as CSV and read again."""
+    path = scratch_path(spark, "csv")
+    columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    given.table(spark, folder, "customer").select(*columns).orderBy("c_custkey").coalesce(1).write.option("header", True).csv(path)
+    return csv_lines(read_csv_rows(spark, path), columns).select("row_number", "line")
+
+
+@query("extract_kinds")
+def extract_kinds(spark, folder):
+    """Pages as files of several kinds: ragged CSV, text, blank, one without a parser."""
+    kind = F.pmod("page_id", F.lit(4))
+    table = F.concat(F.lit("id,url\n"), F.col("page_id").cast("string"), F.lit(',"'), "url", F.lit('",more\n'))
+    content = F.when(kind == 0, table).when(kind == 2, F.lit(" \n\t ")).otherwise(F.col("html"))
+    ends = F.element_at(F.array(*map(F.lit, (".csv", ".txt", ".md", ".pdf"))), (kind + 1).cast("int"))
+    files = given.table(spark, folder, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string"), ends).alias("filename"), F.encode(content, "UTF-8").alias("content")
+    )
+    return extract_files(files).select("filename", "type", "content", F.coalesce("row_count", F.lit(-1)).alias("row_count"), "reason")

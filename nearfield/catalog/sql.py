@@ -196,6 +196,9 @@ SYNC_SOURCE = (
 )
 SHEET = "(SELECT row_number() OVER () AS doc_id, concat('role: ', role, chr(10), 'text: ', text) AS text FROM conversations)"
 LAST_TURN = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations) WHERE age = 1)"
+TO_SYNC = f"(SELECT * FROM {SYNC_SOURCE} WHERE text <> '')"
+REFUSED = "contains(text, 'stupid')"
+SETTLED = f"doc_id NOT IN (SELECT doc_id FROM chunk WHERE {REFUSED})"
 EVENT = """(
 SELECT event_id, ts, user_id AS doc_id, event_type,
   CASE event_type WHEN 'signup' THEN 'insert' WHEN 'click' THEN 'update' WHEN 'purchase' THEN 'update'
@@ -269,6 +272,7 @@ SQL: dict[str, str] = {
     "search_euclid": _search(_pairs(metric="euclid"), metric="euclid"),
     "search_threshold": _search(_pairs(), where="score >= 0.3"),
     "search_filtered": _search(_pairs(FILTERED)),
+    "search_filtered_variant": _search(_pairs(FILTERED)),
     "search_projection": _search(
         _pairs(POINTS), also=", lang, source, label", join=f"JOIN {POINTS} p ON p.vec_id = r.id"
     ),
@@ -296,6 +300,12 @@ SQL: dict[str, str] = {
         f"SELECT * FROM ({_pairs(FILTERED)}) WHERE score >= 0.1",
     )
     + f") r JOIN {POINTS} p ON p.vec_id = r.id",
+    "query_with_vectors": f"SELECT r.*, lang, source, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM ("
+    + _greedy(
+        "0.7 * score", "0.7 * score - 0.3 * carry", "greatest(coalesce(t.carry, -1), x.score)", 5, 20,
+        f"SELECT * FROM ({_pairs(FILTERED)}) WHERE score >= 0.1",
+    )
+    + f") r JOIN {POINTS} p ON p.vec_id = r.id",
     "query_flags": f"SELECT vec_id AS query_id, 5 AS top_k, least(coalesce(n, 0), 5) AS actual_k, coalesce(n, 0) > 0 AS mmr_applied, "
     f"false AS diversity_applied FROM embeddings LEFT JOIN (SELECT query_id, count(*) AS n FROM "
     f"({_pairs('(SELECT * FROM embeddings WHERE label >= 5)')}) WHERE score >= 0.35 GROUP BY 1) ON query_id = vec_id",
@@ -310,6 +320,7 @@ SQL: dict[str, str] = {
     "delete_ids": "SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "delete_doc": f"SELECT {SPAN_FIELDS} FROM ({_fixed_chunks('documents', 400)}) WHERE doc_id <> 7",
     "delete_filter": f"SELECT vec_id AS id, label, coalesce(quality, -1) AS quality FROM {POINTS} WHERE NOT coalesce(quality = 0, false)",
+    "delete_filter_variant": f"SELECT vec_id AS id, label, coalesce(quality, -1) AS quality FROM {POINTS} WHERE NOT coalesce(quality = 0, false)",
     "replace_by_doc": f"SELECT {SPAN_FIELDS} FROM ({_fixed_chunks('documents', 400)}) WHERE doc_id NOT IN "
     f"(SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT {SPAN_FIELDS} FROM ({_fixed_chunks('documents', 200)}) "
     "WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
@@ -346,6 +357,9 @@ SQL: dict[str, str] = {
     "csv_to_text": "SELECT row_number() OVER (ORDER BY c_custkey) AS row_number, concat('Row ', row_number() OVER (ORDER BY "
     "c_custkey), ': c_custkey: ', c_custkey, ', c_name: ', c_name, ', c_nationkey: ', c_nationkey, ', c_acctbal: ', c_acctbal, "
     "', c_mktsegment: ', c_mktsegment) AS line FROM customer",
+    "csv_from_files": "SELECT row_number() OVER (ORDER BY c_custkey) AS row_number, concat('Row ', row_number() OVER (ORDER BY "
+    "c_custkey), ': c_custkey: ', c_custkey, ', c_name: ', c_name, ', c_nationkey: ', c_nationkey, ', c_acctbal: ', c_acctbal, "
+    "', c_mktsegment: ', c_mktsegment) AS line FROM customer",
     "extract_files": f"SELECT filename, size, type, CASE WHEN reason IS NULL THEN {_clean('html')} END AS content, reason FROM ("
     "SELECT concat(page_id, '-', url) AS filename, octet_length(encode(html))::BIGINT AS size, "
     "lower(list_extract(string_split(concat(page_id, '-', url), '.'), -1)) AS type, html, "
@@ -387,9 +401,50 @@ SQL: dict[str, str] = {
         f"SELECT (SELECT count(*) FROM doc) AS documents_processed, count(*) AS chunks_created, count(*) AS points_upserted, "
         f"(SELECT count(*) FROM {SYNC_SOURCE}) - (SELECT count(*) FROM doc) AS documents_skipped FROM chunk",
     ),
+    "sync_run": _with_chunks(
+        TO_SYNC,
+        f"SELECT (SELECT count(*) FROM doc) - (SELECT count(DISTINCT doc_id) FROM chunk WHERE {REFUSED}) AS documents_processed, "
+        f"(SELECT count(*) FROM chunk WHERE {SETTLED}) AS chunks_created, (SELECT count(*) FROM chunk WHERE {SETTLED}) AS points_upserted, "
+        f"(SELECT count(*) FROM {SYNC_SOURCE}) - (SELECT count(*) FROM doc) AS documents_skipped, "
+        f"(SELECT count(DISTINCT doc_id) FROM chunk WHERE {REFUSED}) AS errors",
+    ),
+    "sync_errors": _with_chunks(TO_SYNC, f"SELECT DISTINCT doc_id, 'text refused' AS error FROM chunk WHERE {REFUSED}"),
+    "sync_written": _with_chunks(
+        TO_SYNC,
+        f"SELECT {_chunk_uuid('400/15/1/50')} AS id, doc_id, lang, chunk_index, coalesce(weight, 0.0) AS weight FROM chunk "
+        "JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) LEFT JOIN (SELECT doc_id, chunk_index, sum(abs(weight)) AS weight "
+        f"FROM ({_weights('chunk', 'doc_id, chunk_index')}) GROUP BY 1, 2) USING (doc_id, chunk_index) WHERE {SETTLED} "
+        "UNION ALL SELECT concat('old-', doc_id), doc_id, lang, -1, 64.0 FROM documents WHERE doc_id NOT IN "
+        f"(SELECT doc_id FROM chunk WHERE {SETTLED})",
+    ),
+    "sheet_sync_errors": _with_chunks(
+        f"(SELECT conv_id AS doc_id, concat('role: ', role, chr(10), 'text: ', text) AS text FROM {LAST_TURN})",
+        "SELECT (SELECT count(*) FROM doc) AS total_rows, (SELECT count(*) FROM doc) - count(DISTINCT doc_id) FILTER "
+        f"({REFUSED}) AS processed_rows, count(*) FILTER ({SETTLED}) AS new_chunks, 0::BIGINT AS updated_chunks, "
+        f"count(DISTINCT doc_id) FILTER ({REFUSED}) AS errors FROM chunk",
+    ),
+    "points_table": "SELECT vec_id AS id, vec_id % 50 AS doc_id, CASE WHEN vec_id % 50 = 9 THEN 99 ELSE label END AS label, "
+    "round(CASE WHEN label <= 2 AND vec_id % 50 <> 9 THEN 2 ELSE 1 END * list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings "
+    "WHERE CASE WHEN vec_id % 50 = 9 THEN vec_id < 200 ELSE vec_id % 11 <> 0 AND vec_id % 50 <> 7 AND label <> 5 END",
     "compose_payload": "SELECT doc_id, coalesce(CASE WHEN lang <> 'de' THEN source END, 'mongo') AS source, "
     f"'2024-01-01T00:00:00.000Z' AS synced_at, lang, coalesce(quality, -1) AS quality FROM {LABELLED}",
     "cdc_classify": f"SELECT event_id, doc_id, op, action FROM {CLASSIFIED}",
     "cdc_apply": _changed(KEPT_CHUNKS),
     "cdc_stream": _changed(""),
+    "cdc_compacted": _changed(""),
+    "cdc_recovered": _changed(""),
+    "sheet_stream": _with_chunks(
+        f"(SELECT concat('sheet_talks_', conv_id) AS doc_id, concat('role: ', role, chr(10), 'text: ', text) AS text FROM {LAST_TURN})",
+        "SELECT doc_id, chunk_index, c.text, turn::VARCHAR AS turn FROM chunk c "
+        f"JOIN (SELECT turn, concat('sheet_talks_', conv_id) AS doc_id FROM {LAST_TURN}) USING (doc_id)",
+    ),
+    "sync_points_fixed": f"SELECT {SPAN_FIELDS} FROM ({_fixed_chunks(TO_SYNC, 400)})",
+    "delete_dispatch": "SELECT 'all' AS request, 'ids' AS deleted_by, count(*) AS deleted FROM embeddings WHERE vec_id IN (1, 2, 3) "
+    "UNION ALL SELECT 'document', 'doc_id', count(*) FROM embeddings WHERE vec_id % 50 = 7 "
+    "UNION ALL SELECT 'filter', 'filter', count(*) FROM embeddings WHERE label = 5",
+    "ensure_dataset": "SELECT count(*) AS points, 64::INTEGER AS dim, 'euclid' AS metric, true AS made, false AS again FROM embeddings",
+    "extract_kinds": "SELECT concat('p', page_id, ['.csv', '.txt', '.md', '.pdf'][page_id % 4 + 1]) AS filename, "
+    "['csv', 'txt', 'md', 'pdf'][page_id % 4 + 1] AS type, CASE page_id % 4 WHEN 0 THEN concat('Row 1: id: ', page_id, ', url: ', url, "
+    f"', column_3: more') WHEN 1 THEN {_clean('html')} END AS content, CASE page_id % 4 WHEN 0 THEN 1 ELSE -1 END AS row_count, "
+    "CASE page_id % 4 WHEN 2 THEN 'No readable content found in file' WHEN 3 THEN 'No parser for pdf' END AS reason FROM pages",
 }

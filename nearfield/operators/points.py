@@ -41,7 +41,10 @@ def latest(df: DataFrame, key: str | list[str], order: Column) -> DataFrame:
     Every task first keeps one row per key of its own, so a key with very many
     rows costs no more than any other.
     """
-    window = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order.desc())
+    # Rows that tie are told apart by what they hold, so a repeated task chooses the same one.
+    plain = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    content = F.xxhash64(*[F.col(f"`{name}`") for name in plain])
+    window = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order.desc(), content)
     return df.withColumn("_place", F.row_number().over(window)).where(F.col("_place") == 1).drop("_place")
 
 
@@ -50,11 +53,12 @@ def upsert_points(
 ) -> DataFrame:
     """Points after an upsert: a new point replaces the whole old one of the same id.
 
-    Of new points sharing an id the last by ``order`` (else by position) counts.
+    Of new points sharing an id the last by ``order`` counts; rows that tie, or all without an ``order``, are told
+    apart by their content, the same way in every run.
     With ``dim`` a vector of another size fails the job; columns the new points
     lack become NULL.
     """
-    position = F.col(order) if order else F.monotonically_increasing_id()
+    position = F.col(order) if order else F.lit(0)
     fresh = latest(new.withColumn("_order", position), id, F.col("_order")).drop("_order")
     if order and order not in points.columns:
         fresh = fresh.drop(order)

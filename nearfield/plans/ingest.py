@@ -14,6 +14,7 @@ from nearfield.operators.embedding import EmbeddingProvider, embed_texts
 from nearfield.operators.points import without_keys
 from nearfield.session import stored
 from nearfield.sources.sheets import sheet_documents
+from nearfield.sources.tables import PointTable
 
 Factory = Callable[[], EmbeddingProvider]
 
@@ -187,6 +188,43 @@ def settle(points: DataFrame, *, error: str = "error") -> tuple[DataFrame, DataF
     return without_keys(tried.drop(error), failed, "doc_id"), failed
 
 
+def run_sync(
+    docs: DataFrame,
+    table: PointTable,
+    factory: Factory,
+    options: ChunkOptions = ChunkOptions(),
+    *,
+    synced_at: Column,
+    re_embed: bool = True,
+    text: str = "text",
+    embedding: str = "embedding",
+    **more,
+) -> tuple[DataFrame, DataFrame]:
+    """A bulk sync from documents to the points table: one row of counts of what was done, and ``doc_id, error``.
+
+    A document of which any chunk fails keeps its old points; those of the others are replaced.
+    """
+    points = sync_points(
+        docs, factory, options, synced_at=synced_at, re_embed=re_embed, text=text, embedding=embedding, error="error", **more
+    )
+    new, failed = settle(points)
+    new, failed = stored(new, "settled"), stored(failed, "failed")
+    written = new.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"), F.countDistinct("doc_id").alias("docs")).first()
+    if written.n:
+        table.ensure(written.dim, (table.spec() or (None, "cosine"))[1])
+        table.replace(new, new.select("doc_id"))
+    errors = failed.count()
+    action = sync_action(F.col(text), F.col(embedding), re_embed)
+    stats = docs.agg(
+        (F.count_if(action == "process") - errors).alias("documents_processed"),
+        F.lit(written.n).cast("bigint").alias("chunks_created"),
+        F.lit(written.n).cast("bigint").alias("points_upserted"),
+        F.count_if(action != "process").alias("documents_skipped"),
+        F.lit(errors).cast("bigint").alias("errors"),
+    )
+    return stats, failed
+
+
 def sync_sheet(
     rows: DataFrame,
     factory: Factory,
@@ -199,8 +237,12 @@ def sync_sheet(
     metadata_columns: list[str] | None = None,
     order: list[str],
     synced_at: Column,
+    error: str | None = None,
 ) -> DataFrame:
-    """The points of a sheet: the last row of each key, chunked and embedded."""
+    """The points of a sheet: the last row of each key, chunked and embedded.
+
+    With ``error`` failures of the provider are kept in that column, for :func:`settle`.
+    """
     metadata = metadata_columns or []
     docs = sheet_documents(
         rows, sheet=sheet, key=key, text_columns=text_columns, metadata_columns=metadata, order=order
@@ -212,7 +254,7 @@ def sync_sheet(
         keep_sentences=options.keep_sentences,
         keep=["row_key", *metadata],
     )
-    return embed_texts(chunks, factory).select(
+    return embed_texts(chunks, factory, error=error).select(
         F.col("chunk_id").alias("id"),
         "doc_id",
         F.lit("google_sheets").alias("source"),
@@ -226,4 +268,5 @@ def sync_sheet(
         "text",
         "vector",
         *metadata,
+        *([error] if error else []),
     )

@@ -113,7 +113,8 @@ def run_queries(
     if not options.reranks:
         return attach_payload(hits, points, columns, most_hits=most) if columns else hits
 
-    with_vectors = attach_payload(hits, points, ["vector"], most_hits=most)
+    # Vectors and payload of all hits in one read; both steps below take them from here.
+    with_vectors = stored(attach_payload(hits, points, list(dict.fromkeys(["vector", *columns])), most_hits=most), "hits")
     if options.mmr:
         own = queries.select("query_id", F.col("vector").alias("query_vector"))
         paired = with_vectors.join(F.broadcast(own) if batch is not None else own, "query_id")
@@ -123,7 +124,12 @@ def run_queries(
     ranked = picked.select(
         "query_id", F.col("mmr_rank").alias("rank"), "id", F.col("original_score").alias("score"), "mmr_score"
     )
-    return attach_payload(ranked, points, columns, most_hits=most) if columns else ranked
+    if not columns:
+        return ranked
+    found = with_vectors.select("query_id", "id", *columns)
+    return ranked.join(F.broadcast(found) if most is not None and most <= 1_000_000 else found, ["query_id", "id"]).select(
+        *ranked.columns, *columns
+    )
 
 
 def query_summary(results: DataFrame, queries: DataFrame, options: QueryOptions) -> DataFrame:

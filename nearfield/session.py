@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="nearfield-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
     return _own_folder
 
 
@@ -52,8 +55,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file on whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_stored: list[str] = []
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete everything that ``stored`` wrote so far; call it when no result that reads from it is needed any more."""
+    while _stored:
+        remove(spark, _stored.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, safe against lost executors."""
     path = scratch_path(df.sparkSession, name)
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -70,13 +70,20 @@ def sheet_preview(rows: DataFrame, order: list[str], *, sample: int = 3) -> Data
     )
 
 
-def sheet_sync_stats(chunk_counts: DataFrame, *, chunks: str = "chunks") -> DataFrame:
-    """One row of counts from one row per sheet row; all chunks count as new."""
-    rows = F.count(F.lit(1))
+def sheet_sync_stats(chunk_counts: DataFrame, *, chunks: str = "chunks", failed: DataFrame | None = None) -> DataFrame:
+    """One row of counts from one row per sheet row; all chunks count as new.
+
+    ``failed`` are the documents (``doc_id``) that could not be embedded: their rows count as errors, not as processed.
+    """
+    rows, bad = F.count(F.lit(1)), F.lit(False)
+    if failed is not None:
+        wrong = failed.select("doc_id").distinct().withColumn("_failed", F.lit(True))
+        chunk_counts = chunk_counts.join(wrong, "doc_id", "left")
+        bad = F.col("_failed").isNotNull()
     return chunk_counts.agg(
         rows.alias("total_rows"),
-        rows.alias("processed_rows"),
-        F.coalesce(F.sum(chunks), F.lit(0)).cast("bigint").alias("new_chunks"),
+        F.count_if(~bad).alias("processed_rows"),
+        F.coalesce(F.sum(F.when(~bad, F.col(chunks))), F.lit(0)).cast("bigint").alias("new_chunks"),
         F.lit(0).cast("bigint").alias("updated_chunks"),
-        F.lit(0).cast("bigint").alias("errors"),
+        F.count_if(bad).alias("errors"),
     )

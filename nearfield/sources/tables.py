@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearfield.functions.vectors import METRICS
-from nearfield.operators.points import delete_points, replace_docs, upsert_points
+from nearfield.operators.points import check_ids, delete_points, replace_docs, small_side, upsert_points, without_keys
+from nearfield.session import remove, stored
 
 
 def scan_documents(docs: DataFrame, *, only_missing: bool = False, embedding: str = "embedding") -> DataFrame:
@@ -29,92 +27,130 @@ def source_status(docs: DataFrame, *, embedding: str = "embedding") -> DataFrame
 
 
 class PointTable:
-    """A points table on disk: ``<path>/spec`` (vector size, metric) and one folder per version.
+    """A points table on disk: ``<path>/spec`` (vector size, metric, buckets) and parquet in buckets by a hash of the id.
 
-    A new version is written beside the old one and becomes current by its entry
-    in ``<path>/versions``, so a failed write leaves the old state in place.
+    A change rewrites the buckets it touches and no other file.  Their new content is stored first and then takes the
+    place of the old one, bucket by bucket; one job at a time may change a table.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, *, buckets: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._new_buckets = buckets
 
-    def _rows(self, name: str, schema: str) -> list:
+    def _spec(self) -> tuple[int, str, int] | None:
         try:
-            return self.spark.read.schema(schema).json(f"{self.path}/{name}").collect()
+            rows = self.spark.read.schema("dim int, metric string, buckets int").json(f"{self.path}/spec").collect()
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
-                return []
+                return None
             raise
+        return tuple(rows[0]) if rows else None
 
     def spec(self) -> tuple[int, str] | None:
-        rows = self._rows("spec", "dim int, metric string")
-        return (rows[0]["dim"], rows[0]["metric"]) if rows else None
+        found = self._spec()
+        return found[:2] if found else None
 
     def ensure(self, dim: int, metric: str = "cosine", *, create_if_missing: bool = True) -> bool:
         """True if the table was made just now; raises if it is missing or was made differently."""
         if metric not in METRICS:
             raise ValueError(f"unknown metric '{metric}'; use {', '.join(METRICS)}")
+        if not isinstance(dim, int) or dim < 1:
+            raise ValueError("vectors need at least one value")
         found = self.spec()
         if found is None and not create_if_missing:
             raise ValueError(f"no points table at {self.path}")
         if found is None:
-            self.spark.createDataFrame([(dim, metric)], "dim int, metric string").coalesce(1).write.json(
-                f"{self.path}/spec"
-            )
+            row = [(dim, metric, self._new_buckets)]
+            self.spark.createDataFrame(row, "dim int, metric string, buckets int").coalesce(1).write.json(f"{self.path}/spec")
             return True
         if found != (dim, metric):
             raise ValueError(f"points table at {self.path} has {found}, not {(dim, metric)}")
         return False
 
-    def _current(self) -> tuple[int, str] | None:
-        rows = self._rows("versions", "version int, schema string")
-        return max((r["version"], r["schema"]) for r in rows) if rows else None
+    def _bucket(self, id: str = "id"):
+        spec = self._spec()
+        return F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(spec[2] if spec else self._new_buckets)).cast("int")
+
+    def _all(self) -> DataFrame:
+        try:
+            return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/points")
+        except AnalysisException as problem:
+            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return self.spark.createDataFrame([], "id string, doc_id string, vector array<double>, bucket int")
 
     def read(self) -> DataFrame:
-        current = self._current()
-        if current is None:
-            empty = "id string, doc_id string, vector array<double>"
-            return self.spark.createDataFrame([], empty)
-        version, schema = current
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.path}/v{version}")
-
-    def write(self, points: DataFrame) -> int:
-        """Store ``points`` as the next version and return its number."""
-        current = self._current()
-        version = current[0] + 1 if current else 1
-        points.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(version, points.schema.json())], "version int, schema string").coalesce(
-            1
-        ).write.mode("append").json(f"{self.path}/versions")
-        return version
+        return self._all().drop("bucket")
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of the rows' ids; as many as the table has, at most."""
+        return sorted(r.bucket for r in rows.select(self._bucket().alias("bucket")).distinct().collect())
+
+    def _rewrite(self, points: DataFrame, touched: list[int]) -> None:
+        """Put ``points``, all of which belong to the ``touched`` buckets, in place of what these hold."""
+        fresh = stored(points.withColumn("bucket", self._bucket()), "buckets")
+        writer = fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(f"{self.path}/points")
+        filled = {r.bucket for r in fresh.select("bucket").distinct().collect()}
+        for bucket in set(touched) - filled:
+            remove(self.spark, f"{self.path}/points/bucket={bucket}")
+
+    def _in(self, touched: list[int]) -> DataFrame:
+        return self._all().where(F.col("bucket").isin(touched)).drop("bucket")
 
     def upsert(
-        self, new: DataFrame, *, order: str | None = None, metric: str = "cosine", create_if_missing: bool = True
+        self, new: DataFrame, *, order: str | None = None, metric: str = "cosine", create_if_missing: bool = True, uuids: bool = False
     ) -> tuple[int, bool]:
-        """Upsert points; returns how many were submitted and whether the table was made just now."""
+        """Upsert points; returns how many were submitted and whether the table was made just now.
+
+        Vectors (and with ``uuids`` the shape of the ids) are checked before anything is written.
+        """
+        new = stored(new, "submitted")
         spec = self.spec()
-        if spec is None:
-            first = new.select(F.size("vector").alias("dim")).first()
-            if first is None:
-                raise ValueError("give at least one point")
-            spec = (first["dim"], metric)
-        created = self.ensure(*spec, create_if_missing=create_if_missing)
-        old = self.read() if self._current() else new.drop(*[order] if order else []).limit(0)
-        self.write(upsert_points(old, new, order=order, dim=spec[0]))
-        return new.count(), created
+        seen = new.agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"),
+            F.count_if(F.col("vector").isNull() | F.col("id").isNull()).alias("bad"),
+        ).first()
+        if not seen.n:
+            raise ValueError("give at least one point")
+        if seen.bad:
+            raise ValueError(f"{seen.bad} points have no id or no vector")
+        dim = spec[0] if spec else seen.low
+        if (seen.low, seen.high) != (dim, dim) or dim < 1:
+            raise ValueError(f"expected {dim} values in every vector, found {seen.low} to {seen.high}")
+        if uuids and (wrong := check_ids(new).count()):
+            raise ValueError(f"{wrong} ids are not shaped like a UUID")
+        created = self.ensure(dim, spec[1] if spec else metric, create_if_missing=create_if_missing)
+        touched = self._touched(new)
+        old = self._in(touched)
+        if not old.columns or self._is_empty():
+            old = new.drop(*[order] if order else []).limit(0)
+        self._rewrite(upsert_points(old, new, order=order, dim=dim), touched)
+        return seen.n, created
+
+    def _is_empty(self) -> bool:
+        return self._all().isEmpty()
 
     def delete(self, **criteria) -> tuple[str, int]:
         """Delete points (see ``delete_points``); returns what decided and how many went."""
-        deletion = delete_points(self.read(), **criteria)
-        count = deletion.count()
+        found = delete_points(self.read(), **criteria)
+        gone = stored(found.deleted.select("id"), "deleted")
+        count = gone.count()
         if count:
-            self.write(deletion.remaining)
-        return deletion.deleted_by, count
+            touched = self._touched(gone)
+            self._rewrite(without_keys(self._in(touched), gone, "id"), touched)
+        return found.deleted_by, count
 
-    def replace(self, new: DataFrame, docs: DataFrame) -> None:
+    def replace(self, new: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id") -> None:
         """Replace all points of ``docs`` by ``new``."""
-        self.write(replace_docs(self.read(), new, docs) if self._current() else new)
+        new, docs = stored(new, "replacing"), stored(docs.select(doc_id).distinct(), "replaced")
+        if self._is_empty():
+            self._rewrite(new, self._touched(new))
+            return
+        gone = self.read().join(small_side(docs), doc_id, "left_semi").select("id")
+        touched = self._touched(gone.unionByName(new.select("id")))
+        self._rewrite(replace_docs(self._in(touched), new, docs, doc_id=doc_id), touched)
 
     def info(self) -> DataFrame:
         """One row: number of points, vector size and metric."""

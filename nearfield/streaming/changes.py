@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +19,7 @@ from nearfield.operators.chunking import chunk_documents
 from nearfield.operators.embedding import EmbeddingProvider, embed_texts
 from nearfield.operators.points import latest, without_keys
 from nearfield.plans.ingest import ChunkOptions, compose_payload
-from nearfield.session import stored
+from nearfield.session import remove, stored
 from nearfield.sources.sheets import sheet_cells, sheet_documents
 
 OPERATIONS = ("insert", "update", "delete")  # fixed values: the operations listened to
@@ -112,17 +113,50 @@ class ChangeLog:
         effective = effective_changes(changes, text=settings.text)
         changed_points(effective, settings).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
 
-    def points(self) -> DataFrame:
-        """The current points of the documents in the log."""
-        log = self.spark.read.parquet(f"{self.path}/log")
+    def _log(self) -> DataFrame | None:
+        try:
+            return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/log")
+        except AnalysisException as problem:
+            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    def _newest(self, log: DataFrame) -> DataFrame:
         # A change seen twice counts once, as written by the later batch.
         newest = Window.partitionBy("doc_id").orderBy(F.col("seq").desc(), F.col("batch").desc())
-        current = log.withColumn("_age", F.rank().over(newest)).where(F.col("_age") == 1)
-        return current.where(F.col("id").isNotNull()).drop("_age", "batch")
+        return log.withColumn("_age", F.rank().over(newest)).where(F.col("_age") == 1).drop("_age")
 
-    def compacted(self, base: DataFrame) -> DataFrame:
-        """``base`` points with the log applied, to be written as the next base."""
-        log = self.spark.read.parquet(f"{self.path}/log")
+    def points(self) -> DataFrame:
+        """The current points of the documents in the log; none for a log without changes."""
+        log = self._log()
+        if log is None:
+            return self.spark.createDataFrame([], "seq bigint, doc_id string, id string, vector array<double>")
+        return self._newest(log).where(F.col("id").isNotNull()).drop("batch")
+
+    def compact(self) -> int:
+        """Fold all batches into one and drop them; returns how many there were.
+
+        What is folded keeps each document's ``seq``, and a row without a point for documents that were deleted, so
+        changes that come late still lose.  The folded batch gets a number below all others and is complete before any
+        other goes: whatever fails, the log says the same.
+        """
+        log = self._log()
+        if log is None:
+            return 0
+        folded = [r.batch for r in log.select("batch").distinct().collect()]
+        if len(folded) < 2:
+            return len(folded)
+        base = min(0, *folded) - 1
+        self._newest(log).drop("batch").write.mode("overwrite").parquet(f"{self.path}/log/batch={base}")
+        for batch in folded:
+            remove(self.spark, f"{self.path}/log/batch={batch}")
+        return len(folded)
+
+    def applied_to(self, base: DataFrame) -> DataFrame:
+        """``base`` points with the log applied."""
+        log = self._log()
+        if log is None:
+            return base
         return without_keys(base, log, "doc_id").unionByName(self.points().drop("seq"), allowMissingColumns=True)
 
     def follow(

@@ -133,7 +133,7 @@ def test_compaction(spark, changes, tmp_path):
     base = spark.createDataFrame(
         [("d0", "x", "old", "base"), ("other", "y", "kept", "base")], "doc_id string, id string, category string, source string"
     )
-    assert summary(log.compacted(base)) == sorted([*expected(changes), ("other", "kept", "base")])
+    assert summary(log.applied_to(base)) == sorted([*expected(changes), ("other", "kept", "base")])
 
 
 def test_sheet_exports_are_taken_in_one_after_the_other(spark, tmp_path):

@@ -29,8 +29,9 @@ def test_upsert_replaces_whole_points_and_the_last_wins(spark, old):
         ("a", "d8", (3.0, 3.0), None), ("b", "d1", (0.0, 1.0), None), ("c", "d2", (1.0, 1.0), "y"), ("z", "d3", (4.0, 4.0), None)
     ]
     assert state(pt.upsert_points(got, new, order="turn")) == state(got)
-    by_position = pt.upsert_points(old, new.coalesce(1).drop("turn"))
-    assert state(by_position) == state(got)
+    # Without an order the content decides, the same way however the rows are dealt.
+    unordered = state(pt.upsert_points(old, new.coalesce(1).drop("turn")))
+    assert state(pt.upsert_points(old, new.orderBy("turn").repartition(3).drop("turn"))) == unordered
 
 
 def test_upsert_of_a_hot_id(spark, old):
@@ -99,9 +100,13 @@ def test_point_table(spark, old, tmp_path):
     with pytest.raises(ValueError):
         table.ensure(3)
     assert table.read().count() == 0
-    table.write(old)
-    new = new_points(spark, [("z", "d", [9.0, 9.0], 1)])
-    assert table.write(pt.upsert_points(table.read(), new, order="turn", dim=2)) == 2
+    table.upsert(old)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "points" / "points").rglob("*.parquet")}
+    assert len(files) == 3
+    table.upsert(new_points(spark, [("z", "d", [9.0, 9.0], 1), ("a", "d", [7.0, 7.0], 1)]), order="turn")
+    kept = [p for p, at in files.items() if p.exists() and p.stat().st_mtime_ns == at]
+    assert len(kept) >= 1  # buckets that hold neither id are left alone
+    assert {tuple(r.vector) for r in table.read().where("id in ('a', 'z')").collect()} == {(7.0, 7.0), (9.0, 9.0)}
     assert {r.id for r in table.read().collect()} == {"a", "b", "c", "z"}
 
 
@@ -114,6 +119,15 @@ def test_point_table_requests(spark, old, tmp_path):
     assert table.upsert(new, order="turn") == (3, False)
     assert table.read().columns == ["id", "doc_id", "vector"]
     assert table.info().first().asDict() == {"points": 2, "dim": 2, "metric": "cosine"}
+    assert table.delete(ids=["nobody"]) == ("ids", 0)
+    with pytest.raises(ValueError, match="UUID"):
+        table.upsert(new_points(spark, [("c", "d", [1.0, 1.0], 1)]), uuids=True)
+    fresh = PointTable(spark, str(tmp_path / "fresh"))
+    with pytest.raises(ValueError, match="expected 1 values"):
+        fresh.upsert(new_points(spark, [("c", "d", [1.0], 1), ("e", "d", [1.0, 2.0], 1)]))
+    with pytest.raises(ValueError, match="no vector"):
+        fresh.upsert(new_points(spark, [("c", "d", None, 1)]))
+    assert fresh.spec() is None
     with pytest.raises(Exception, match="expected 2 values"):
         table.upsert(new_points(spark, [("c", "d", [1.0], 1)]))
     assert table.info().first().points == 2  # the failed write left the old state

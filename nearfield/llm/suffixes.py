@@ -36,10 +36,10 @@ HOT, HOT_WINDOWS = 20_000, 4 << 20
 #: Windows in a segment, at most.
 SEGMENT = 4096
 #: Bytes of segments whose suffixes are sorted together, unless one key has more.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: The filter of repeated keys has at most so many bits (32 MB).
 FILTER_BITS = 1 << 28
-_TEXT_BYTES = 2 << 20
+_TEXT_BYTES = 1 << 20
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import shared
-from nearfield.session import scratch_path, stored
+from nearfield.session import remove, scratch_path, stored
 
 #: A file takes no further record beyond this size before compression.
 FILE_BYTES = 1 << 30
@@ -278,6 +278,7 @@ def archive(pages: DataFrame, least: int = 0, file_bytes: int = FILE_BYTES) -> D
     rows = with_first(with_digests(pages), least)
     streams = stored(write(rows, raw, file_bytes), "warc-streams-list")
     members = stored(normalise(streams.repartition(max(1, streams.count())), raw, clean), "warc-members-list")
+    remove(spark, raw)  # all of it has been rewritten
     parts = stored(read_index(members.repartition(max(1, members.count())), clean), "warc-parts")
     spread = parts.repartition(max(1, min(parts.count(), 4 * spark.sparkContext.defaultParallelism * 64)))
     return read(spread, clean)

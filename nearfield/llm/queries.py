@@ -102,6 +102,21 @@ def op7_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted)
 
 
+SQL["op4_warc_members"] = """
+WITH pay AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hashed AS (
+  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex,
+         min(page_id) OVER (PARTITION BY html) AS least_id FROM pay)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex || '0', (5 * i // 4 + 1)::INTEGER, 2))::INTEGER >> (3 - 5 * i % 4)::INTEGER) & 31), 1)), '')
+         AS payload_digest,
+       CASE WHEN least_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN least_id <> page_id THEN least_id END AS refers_to
+FROM hashed
+"""
+
+
 @query
 def op2_compression_language(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
@@ -132,7 +147,53 @@ def op5_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
 
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
     outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return reputation.judge(table(spark, folder, "pages"), outcomes, RULES)
+    judged = reputation.judge(table(spark, folder, "pages"), outcomes, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level(name: str, above: str | None) -> str:
+    """SQL of one level of shrinkage: units ``name`` (name, parent, n, bad) around the posterior of their parents."""
+    mean = f"(SELECT u.*, p.post AS mean FROM {name}s u JOIN {above}_posts p ON u.parent = p.name)" if above else f"{name}s"
+    return f"""
+{name}_units AS (SELECT * FROM {mean}),
+{name}_fit AS (
+  SELECT coalesce(1 / least(greatest((sum(n * (bad / n - mean) ** 2) - sum(mean * (1 - mean)))
+         / nullif(sum(mean * (1 - mean) * (n - 1)), 0), 1e-4), 0.9) - 1, 1 / 1e-4 - 1) AS strength
+  FROM {name}_units WHERE n > 0),
+{name}_posts AS (
+  SELECT name, n, strength, (bad + strength * mean) / (n + strength) AS post FROM {name}_units, {name}_fit)"""
+
+
+SQL["op5_host_reputation"] = f"""
+WITH urls AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+outcomes AS (
+  SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+hosts AS (
+  SELECT host AS name, regexp_extract(host, '[^.]*[.][^.]*$|^[^.]*$') AS parent, count(o.bad) AS n,
+         coalesce(sum(o.bad), 0)::BIGINT AS bad FROM urls LEFT JOIN outcomes o ON doc_id = page_id GROUP BY host),
+domains AS (
+  SELECT parent AS name, regexp_extract(parent, '[^.]*$') AS parent, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixs AS (
+  SELECT parent AS name, sum(n) AS n, sum(bad) AS bad,
+         (sum(sum(bad)) OVER () + 0.5) / (sum(sum(n)) OVER () + 10.0) AS mean FROM domains GROUP BY parent),
+{_level("suffix", None)},
+{_level("domain", "suffix")},
+{_level("host", "domain")},
+rules AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM urls)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN post - 1.645 * sqrt(post * (1 - post) / (n + strength + 1)) > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM rules JOIN host_posts ON name = host
+"""
 
 
 @query

@@ -48,7 +48,9 @@ _SYMBOLS = 64
 _LETTER = re.compile(r"[^\W\d_]")
 _ODD = re.compile(r"[0-9@$!|+*._~^#%&=:,;/\\-]|([^\W\d_])\1\1")
 _EDGE = ".,;:!?\"'()[]{}<>|&%#*=-_~"
-_TEXT_BYTES = 4 << 20
+_TEXT_BYTES = 2 << 20
+#: Words whose counts a task holds before it hands them on.
+COUNTED = 100_000
 _LONGEST = 40  # characters of a word written with signs; longer ones are codes or addresses, read as they stand
 
 
@@ -160,13 +162,13 @@ class Words:
                 yield int(self.doc[a]), " ".join(letters)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], size: int = _TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches of a bounded size of text."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TEXT_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
 
@@ -212,15 +214,20 @@ def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter(), Counter()]
-        for batch in _parts(batches):
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for toxic, counter in enumerate(seen):
+                columns = [pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([toxic] * len(counter), pa.int32())], names=["feature", "n", "toxic"])
+                counter.clear()
+
+        for batch in _parts(batches, _TEXT_BYTES // 4):
             found = _document_features(Words(batch.column("text")), model)
             for toxic, features in zip(batch.column("toxic").to_pylist(), found):
                 seen[toxic].update(features)
-        # Only what some toxic text has can tell; the others' counts are of no use.
-        rows = [(f, n, 1) for f, n in seen[1].items()] + [(f, n, 0) for f, n in seen[0].items()]
-        columns = list(zip(*rows)) or [(), (), ()]
-        types = (pa.string(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["feature", "n", "toxic"])
+            if sum(map(len, seen)) > COUNTED:
+                yield from counted()
+        yield from counted()
 
     totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)

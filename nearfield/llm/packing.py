@@ -101,9 +101,9 @@ def token_ids(word_ids: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
     ids = word_ids(coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
     word = coded.indices.to_numpy()
     size = sizes[word]
     ends = np.cumsum(size)

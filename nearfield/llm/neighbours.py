@@ -5,11 +5,12 @@ there are enough.  A graph over the centroids, searched in memory best first, fi
 to the list of its nearest centroid and, near a boundary, to further ones not much farther away (each closer to the
 vector than to a centroid chosen before).  A query reads all lists whose centroid is at most so many times as far as its
 nearest; that ratio is fitted on the sample to the wanted recall.  Lists with many vectors or queries are split by
-hashes of their ids, so a group meets in memory only up to GROUP_ROWS of either, whatever the data.
+hashes of ids and vectors, so a group meets in memory only up to about GROUP_ROWS of either, whatever the data.
 
 Nearness is the Euclidean distance in double precision, ties to the smaller id.  Vectors that are null, zero, or have
 null or non-finite components, null ids, and vectors of another than the most frequent dimension take no part.  Rows
-with one id are one candidate, of its least distance; a query's own id is none.  With few vectors all are found.
+with one id are one candidate, of its least distance; a query's own id is none.  Equal rows count once, but for the
+most frequent dimension.  With few vectors all are found.
 """
 
 from __future__ import annotations
@@ -167,12 +168,17 @@ def _first(q: np.ndarray, c: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndar
 
 def _best(q_ids, queries, c_ids, candidates, k):
     """(query, candidate, distance) of each query's ``k`` nearest, its own id left out."""
+    # Rows of one id stand together, so that a block's limit can be taken over ids.
+    order = np.argsort(c_ids, kind="stable")
+    c_ids, candidates = c_ids[order], candidates[order]
     norms, best = (queries**2).sum(axis=1), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     for at in range(0, len(candidates), 512):
         ids, block = c_ids[at : at + 512], candidates[at : at + 512]
         d = norms[:, None] + (block**2).sum(axis=1)[None, :] - 2 * queries @ block.T
         d[q_ids[:, None] == ids[None, :]] = np.inf
-        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if len(block) > k else np.full(len(d), np.finfo(np.float64).max)
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        least = np.minimum.reduceat(d, first, axis=1) if len(first) < len(ids) else d
+        limit = np.partition(least, k - 1, axis=1)[:, k - 1] if len(first) > k else np.full(len(d), np.finfo(np.float64).max)
         # The product is rounded, so all that might be among the nearest are measured exactly.
         near = d <= (limit + 1e-9 * (1 + norms + np.minimum(np.abs(limit), 1e300)))[:, None]
         q, c = np.nonzero(near & np.isfinite(d))
@@ -193,16 +199,17 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL) ->
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
     rows = rows.where("vec_id is not null and size(embedding) > 0")
     rows = rows.where(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
+    rows = rows.groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
     rows = stored(rows.withColumn("asks", is_query(F.col("vec_id"))), "vectors")
-    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("distinct"))
     common = sizes.orderBy(F.desc("n"), "size").first()
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if common is None:
         return spark.createDataFrame([], empty)
-    rows, width, total = rows.where(F.size("embedding") == common["size"]), common["size"], common.n
+    rows, width, total = rows.where(F.size("embedding") == common["size"]), common["size"], common.distinct
 
     most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * width)))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("embedding").toArrow()
+    picked = rows.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(most).select("embedding").toArrow()
     sample = np.asarray(picked.column("embedding").combine_chunks().flatten(), dtype=kind).reshape(-1, width)
     graph = Graph(balanced_centroids(sample, max(LEAST_LISTS, min(MAX_LISTS, total // LIST_ROWS))))
     ratio = fitted_ratio(graph, sample, recall, k)
@@ -227,7 +234,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL) ->
     counts = lists.groupBy("list").agg(F.count(F.when(F.col("asks"), 1)).alias("q"), F.count(F.when(~F.col("asks"), 1)).alias("c"))
     # At most MAX_LISTS rows.
     splits = counts.select("list", *[F.greatest(F.lit(1), F.ceil(F.col(n) / GROUP_ROWS)).cast("int").alias(f"{n}_parts") for n in "qc"])
-    mine = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    mine = lambda parts: F.pmod(F.xxhash64("id", "vector"), F.col(parts)).cast("int")
     all_ = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     dealt = lists.join(F.broadcast(splits), "list")
     dealt = dealt.withColumn("q_part", F.when(F.col("asks"), mine("q_parts"))).withColumn("c_part", F.when(~F.col("asks"), mine("c_parts")))

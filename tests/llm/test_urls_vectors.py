@@ -96,6 +96,34 @@ def test_ties_bad_rows_and_hot_vectors(spark, vectors, monkeypatch):
     assert len(few) == 2
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_an_id_with_many_rows_is_one_candidate(spark, vectors, monkeypatch, copies):
+    """Id 7 stands in 40 rows beside query 0, equal or not; it must not crowd out the others, nor fill one group."""
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 64)
+    near = [(vectors[0] + np.float32(1e-4) * (i % (41 - copies))).tolist() for i in range(1, 41)]
+    rows = [(i, vectors[i].tolist()) for i in range(300) if i != 7] + [(7, v) for v in near]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in neighbours.search(table, lambda i: i % 100 == 0, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in (0, 100, 200):
+        least = {}
+        for i, v in rows:
+            if i != q:
+                d = ((np.array(v) - vectors[q].astype(float)) ** 2).sum()
+                least[i] = min(d, least.get(i, d))
+        assert got[q] == sorted(least, key=lambda i: (least[i], i))[:10]
+
+
+def test_limit_of_a_block_is_over_ids(vectors):
+    x = vectors[:100].astype(float)
+    ids = np.array([7] * 50 + list(range(100, 150)))
+    x[:50] = x[0] + 1e-6 * np.arange(50)[:, None]
+    _, c, _ = neighbours._best(np.array([0]), x[:1], ids, x, 10)
+    d = ((x - x[0]) ** 2).sum(axis=1)
+    assert c.tolist() == [7, *(100 + np.argsort(d[50:], kind="stable")[:9]).tolist()]
+
+
 def test_graph_finds_the_nearest(vectors):
     graph = neighbours.Graph(neighbours.balanced_centroids(vectors, 200))
     ids, distance = graph.nearest(vectors[:200], 8)

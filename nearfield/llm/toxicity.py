@@ -2,8 +2,10 @@
 
 A character language model (trigrams over all documents, backing off to shorter ones) and a channel of disguises span a
 lattice of readings over each suspicious piece of text: look-alike signs stand for letters, signs between letters may
-be noise, letters said three times or more may be one or two, and the blanks of letters written apart may be dropped.
-Viterbi search takes the likeliest reading.  Other words have a single reading, themselves.
+be noise or blanks, letters said three times or more may be one or two, and the blanks of letters written apart may be
+dropped.  Viterbi search takes the likeliest reading.  A word with signs inside is read without blanks, with them, and as
+the words between its signs (Unicode punctuation, symbols and format characters), whatever its length.  Other words have
+a single reading, themselves.
 
 The restored words are scored by words and word beginnings that occur in toxic rows of a labelled sample far more often
 than chance explains.  A score is the chance that at least one of the text's telling words is meant (noisy or), over
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,17 +44,31 @@ LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t",
 }
-NOISE = "*.-_~^'#%&=:,;/\\"
 MASKED = "aeiou"  # what a star may hide
 
 _SYMBOLS = 64
 _LETTER = re.compile(r"[^\W\d_]")
-_ODD = re.compile(r"[0-9@$!|+*._~^#%&=:,;/\\-]|([^\W\d_])\1\1")
-_EDGE = ".,;:!?\"'()[]{}<>|&%#*=-_~"
+_SIGN_KINDS = {"Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Cc", "Cf"}
+
+
+def _signs() -> str:
+    """A character class of punctuation, symbols, controls and format characters that stand for no letter."""
+    codes = [c for c in range(0xE1000) if unicodedata.category(chr(c)) in _SIGN_KINDS and chr(c) not in LOOKALIKES]
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -1]) if c != after - 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+
+_NOISE_CLASS = _signs()
+_NOISE = re.compile(f"[{_NOISE_CLASS}]+")
+#: Signs that words are cut at; those that may be letters too cut in a second reading.
+_ANY_SIGN = re.compile(f"[{_NOISE_CLASS}@$!|+]+")
+_ODD = re.compile(rf"[0-9@$!|+{_NOISE_CLASS}]|([^\W\d_])\1\1")
+_EDGE = frozenset(c for c in map(chr, range(0xE1000)) if _NOISE.match(c) or c in "!|")
 _TEXT_BYTES = 2 << 20
 #: Words whose counts a task holds before it hands them on.
 COUNTED = 100_000
-_LONGEST = 40  # characters of a word written with signs; longer ones are codes or addresses, read as they stand
+_HELD = 1024  # places of a lattice after which the likeliest reading so far is settled, if none of them has settled it
 
 
 def _symbol_table() -> np.ndarray:
@@ -83,6 +100,7 @@ class CharModel:
     def read(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest reading: one choice (characters, log-chance) of each place."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        settled, held = [], 0
         for choices in [*lattice, [(" ", 0.0)]]:
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in states.items():
@@ -94,12 +112,20 @@ class CharModel:
                         x, y = y, z
                     if (x, y) not in after or total > after[x, y][0]:
                         after[x, y] = (total, text + chars)
-            states = after
-        return max(states.values())[1].strip()
+            states, held = after, held + 1
+            # All readings share what led to a single state, so texts of any length are read in linear time.
+            if len(states) == 1 or held == _HELD:
+                last = max(states, key=lambda s: states[s])
+                settled.append(states[last][1])
+                states, held = {last: (0.0, "")}, 0
+        return "".join([*settled, max(states.values())[1]]).strip()
 
 
-def lattice(text: str) -> list[list[tuple[str, float]]]:
-    """Readings of each place of lower-case ``text``; blanks are those between letters written apart."""
+def lattice(text: str, blanks: bool = False) -> list[list[tuple[str, float]]]:
+    """Readings of each place of lower-case ``text``; blanks are those between letters written apart.
+
+    With ``blanks``, signs that stand for no letter may be blanks too.
+    """
     places = []
     for run in re.finditer(r"(.)\1*", text):
         char, n = run[1], len(run[0])
@@ -110,9 +136,10 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
             chance = math.log(0.9 / len(letters))
             one = [(c, chance) for c in letters]
             places.extend([one] * n if n < 3 else [one])
-        elif char in NOISE:
+        elif _NOISE.match(char):
             stars = [(v, math.log(0.1)) for v in MASKED] if char == "*" else []
-            places.extend([[("", math.log(0.5)), *stars]] * (n if stars and n < 4 else 1))
+            other = [(" ", math.log(0.5))] if blanks else []
+            places.extend([[("", math.log(0.5)), *stars, *other]] * (n if stars and n < 4 else 1))
         elif n == 1:
             places.append([(char, 0.0)])
         elif n == 2:
@@ -127,15 +154,35 @@ def joined(letters: str, model: CharModel) -> set[str]:
     return {*model.read(lattice(letters)).split(), *model.read(lattice(letters.replace(" ", ""))).split()}
 
 
+def bare_word(word: str) -> str:
+    """``word`` without signs at its edges."""
+    a, b = 0, len(word)
+    while a < b and word[a] in _EDGE:
+        a += 1
+    while a < b and word[b - 1] in _EDGE:
+        b -= 1
+    return word[a:b]
+
+
 def restored(word: str, model: CharModel) -> list[str]:
-    """Lower-case readings of one word: as it stands without signs at its edges, and the likeliest if it looks odd."""
-    low = word.lower()
-    bare = low.strip(_EDGE)
+    """Lower-case readings of one word: as it stands without signs at its edges, and the likeliest if it looks odd.
+
+    If there are signs inside, they may be noise or blanks, or each of them ends a word.
+    """
+    bare = bare_word(word.lower())
     if not _LETTER.search(bare):
         return []
-    if not _ODD.search(bare) or len(bare) > _LONGEST:
+    if not _ODD.search(bare):
         return [bare]
-    return [bare, *model.read(lattice(bare)).split()]
+    forms = [bare, *model.read(lattice(bare)).split()]
+    if _NOISE.search(bare):
+        forms += model.read(lattice(bare, blanks=True)).split()
+    for cut in (_NOISE, _ANY_SIGN):
+        pieces = cut.split(bare)
+        for piece in pieces if len(pieces) > 1 else ():
+            if _LETTER.search(piece):
+                forms += [piece, *(model.read(lattice(piece)).split() if _ODD.search(piece) else ())]
+    return list(dict.fromkeys(forms))
 
 
 class Words:
@@ -151,14 +198,14 @@ class Words:
 
     def apart(self) -> Iterator[tuple[int, str]]:
         """(text, letters with blanks) where at least three single characters follow each other."""
-        single = np.fromiter((len(w.strip(_EDGE)) == 1 for w in self.distinct), bool, len(self.distinct))[self.at]
+        single = np.fromiter((len(bare_word(w)) == 1 for w in self.distinct), bool, len(self.distinct))[self.at]
         if not single.any():
             return
         joined = single[1:] & single[:-1] & (self.doc[1:] == self.doc[:-1])
         edges = np.flatnonzero(np.diff(np.r_[False, joined, False].astype(np.int8)))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a >= 2:
-                letters = [self.distinct[i].strip(_EDGE).lower() for i in self.at[a : b + 1].tolist()]
+                letters = [bare_word(self.distinct[i]).lower() for i in self.at[a : b + 1].tolist()]
                 yield int(self.doc[a]), " ".join(letters)
 
 

@@ -131,6 +131,29 @@ def test_toxic_words_are_restored(toxic, text, hit):
     assert 0 < base < 0.5
 
 
+@pytest.mark.parametrize(
+    ("text", "hit"),
+    [("you-are-on-the-on-the-worthless-1d10t-on-the-er-on", 1), ("the,idiot", 1), ("on/1d10t/er", 1), ("the_m0r0n", 1),
+     ("the|idiot", 1), ("\u201cidiot\u201d", 1), ("\u2014idiot\u2014the", 1), ("\u00a1idiot!", 1), ("i\u200bd\u200bi\u200bot", 1),
+     ("m" + "o" * 50 + "ron", 1), ("the.on" * 3000 + ".1d10t", 1), ("i-d-i-o-t/" + "on-the-" * 30, 1),
+     ("the-on-er-st/" * 40, 0), ("\u201cthe\u201d", 0)],
+)
+def test_words_between_signs_are_restored(toxic, text, hit):
+    import pyarrow as pa
+
+    model, weights, base = toxic
+    score = toxicity._scored(pa.array([text], pa.string()), model, weights, base)[0]
+    assert (score >= 0.5) == bool(hit)
+
+
+def test_settled_readings_are_the_likeliest(toxic, monkeypatch):
+    """A text whose states never come down to one is read alike in pieces, and in linear time."""
+    model = toxic[0]
+    assert model.read(toxicity.lattice("1d10t")) in model.read(toxicity.lattice("the-1d10t-on", blanks=True)).split()
+    places = toxicity.lattice("10" * 50_000)
+    assert len(model.read(places)) == 100_000
+
+
 def test_toxicity_of_tables(spark, toxic):
     docs = spark.createDataFrame([(1, "an idiot", 9), (1, "an idiot", 9), (None, None, 9), (3, "the on", 9)], "doc_id long, text string, score int")
     got = toxicity.scores(docs.select("doc_id", "text"), *toxic).collect()

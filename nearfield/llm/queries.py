@@ -215,3 +215,12 @@ def op1_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     from nearfield.llm import neighbours
 
     return neighbours.search(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+@query
+def op13_identity_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from nearfield.llm import alignment
+
+    return alignment.align(table(spark, folder, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))

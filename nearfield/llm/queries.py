@@ -224,3 +224,52 @@ def op13_identity_alignment(spark: SparkSession, folder: str) -> DataFrame:
     from nearfield.llm import alignment
 
     return alignment.align(table(spark, folder, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_dictionary_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from nearfield.llm import vector_codes
+
+    codes = vector_codes.encode(table(spark, folder, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _nearest(name: str, books: str) -> str:
+    """SQL of the entry of ``books`` (part, entry, place, x) that is nearest to each part of the vectors."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, (distance, entry)) AS entry, min(distance) AS distance
+  FROM (SELECT vec_id, v.part, entry, sum((v.x - b.x) ** 2)::BIGINT AS distance
+        FROM ints v JOIN {books} b ON v.part = b.part AND v.place = b.place GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _replaced(name: str, books: str, nearest: str) -> str:
+    """SQL of the codebooks after a round."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT part, entry, place, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM {books} LEFT JOIN (
+    SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM ints JOIN {nearest} USING (vec_id, part) GROUP BY ALL)
+  USING (part, entry, place))"""
+
+
+SQL["op11_dictionary_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ints AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(embedding) // 16) AS part, (i - 1) % (len(embedding) // 16) AS place,
+         floor(256 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+books0 AS MATERIALIZED (
+  SELECT part, rank - 1 AS entry, place, x FROM ints
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{_nearest("near0", "books0")},{_replaced("books1", "books0", "near0")},
+{_nearest("near1", "books1")},{_replaced("books2", "books1", "near1")},
+{_nearest("near2", "books2")},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error
+  FROM near2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM books2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""

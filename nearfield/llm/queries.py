@@ -273,3 +273,10 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
        (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM books2) AS codebooks_sha256
 FROM coded JOIN kept USING (vec_id)
 """
+
+
+@query
+def op12_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    from nearfield.llm import jaccard_join
+
+    return jaccard_join.components(table(spark, folder, "documents"))

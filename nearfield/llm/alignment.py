@@ -8,7 +8,7 @@ Fast path: ``identity`` maps each A id to the B id of the same bytes (-1 if none
 in one vector over A's vocabulary per task.  Only the pairs of all other groups are shuffled: once per slice of text and
 pair, to be counted, and back to their slice with the count and whether it is the highest of its B id.
 
-Neither tokenizer joins what a single blank between two plain letters, digits or signs parts, so texts are cut there into
+Neither tokenizer joins what a single blank between two other signs than white space parts, so texts are cut there into
 units; a unit is tokenised and aligned once while it is remembered, and documents are gathered from units.
 
 A text that is null or empty, or whose tokens of A or B don't spell the blank and the text, has no tokens: all its numbers
@@ -18,6 +18,8 @@ are 0 and its digest is ''.  Rows that repeat are documents each; an id may be n
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from nearfield.session import stored
 SLICE_CHARS = 1 << 20
 #: Characters of the units that a task remembers between slices.
 KNOWN_CHARS = 2 << 20
-#: Units tokenised at once.
-_BATCH = 2048
+#: Characters of units tokenised in one text.
+_TEXT_CHARS = 1 << 15
 
 _DOC = {n: "bigint" for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": "string"}
 _PART = {"slice": "bigint", "kind": "int", **_DOC, "codes": "binary", "times": "binary", "a": "int", "b": "int", "n": "bigint", "code": "int"}
@@ -77,100 +79,98 @@ class Tokenizers:
                 of_bytes[spelt] = i
         self.identity = np.array([of_bytes.get(spelt, -1) for spelt in self.a_bytes], np.int64)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A for a blank and each unit, and of B for each unit."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        return a, self.b.encode(units, num_threads=1)
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A for a blank and the text, and of B for the text."""
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        return np.array(a, np.int64), np.array(self.b.encode(text, num_threads=1), np.int64)
 
 
-def units(text: str) -> list[str]:
-    """The text cut at blanks that no token reaches over."""
-    parts = text.split(" ")
-    if all(p and _plain(p[0]) and _plain(p[-1]) for p in parts):
-        return parts
-    out, last = [parts[0]], parts[0]
-    for part in parts[1:]:
-        if last and part and _plain(last[-1]) and _plain(part[0]):
-            out.append(part)
-        else:
-            out[-1] += " " + part  # few: most texts have no double blanks
-        last = part
-    return out
+#: No token reaches over a single blank between two signs that are neither white space nor the sign B has for a blank.
+_CUT = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 
 
-def _plain(c: str) -> bool:
-    return "!" <= c <= "~" or (c >= "À" and c.isalpha())
+def units(text: str) -> list[str]:
+    """The text cut at blanks that no token reaches over."""
+    return _CUT.split(text)
 
 
-def groups(a_sizes: list[int], b_sizes: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(first A, end A, first B, end B) of each group."""
-    i = j = i0 = j0 = at_a = at_b = 0
-    for size in a_sizes:
-        at_a += size
-        i += 1
-        while at_b < at_a:
-            at_b += b_sizes[j]
-            j += 1
-        if at_a == at_b:
-            yield i0, i, j0, j
-            i0, j0 = i, j
+def _joinable(unit: str) -> bool:
+    return not any(c.isspace() or c == "\u2581" for c in (unit[0], unit[-1]))
 
 
 class Units:
     """Aligned units: numbers, groups as text, and links as codes (an A id for an identical pair, else beyond them)."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers, self.vocabulary = tokenizers, len(tokenizers.a_bytes)
+        self.tokenizers, self.vocabulary, self.b_vocabulary = tokenizers, len(tokenizers.a_bytes), len(tokenizers.b_bytes)
+        self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64) for x in (tokenizers.a_bytes, tokenizers.b_bytes))
+        self.identical = [f"{i}|{j}" for i, j in enumerate(tokenizers.identity.tolist())]
         self.clear()
 
     def clear(self) -> None:
         self.chars = 0
         self.number: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int, int, int]] = []  # A, B, groups, links, spelt right
         self.texts: list[bytes] = []
-        self.links: list[list[int]] = []
-        self.pair_code: dict[tuple[int, int], int] = {}
+        self.counts = [np.zeros((0, 5), np.int64)]  # of A, of B, groups, links, and whether the tokens spell the unit
+        self.links = [np.zeros(0, np.int64)]
 
     def add(self, new: list[str]) -> None:
-        for at in range(0, len(new), _BATCH):
-            part = new[at : at + _BATCH]
-            for unit, a, b in zip(part, *self.tokenizers.encode(part)):
-                self.number[unit] = len(self.texts)
-                self.chars += len(unit)
-                self._align(unit, a, b)
-
-    def _align(self, unit: str, a: list[int], b: list[int]) -> None:
-        spelt = b" " + unit.encode("utf-8", "surrogatepass")
-        a_bytes, b_bytes = self.tokenizers.a_bytes, self.tokenizers.b_bytes
-        a_sizes, b_sizes = [len(a_bytes[x]) for x in a], [len(b_bytes[x]) for x in b]
-        if b"".join(a_bytes[x] for x in a) != spelt or b"".join(b_bytes[x] for x in b) != spelt:
-            self.counts.append((0, 0, 0, 0, 0))
-            self.texts.append(b"")
-            self.links.append([])
-            return
-        texts, links, identity = [], [], self.tokenizers.identity
-        for i0, i, j0, j in groups(a_sizes, b_sizes):
-            texts.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            if i - i0 == 1 and j - j0 == 1 and identity[a[i0]] == b[j0]:
-                links.append(a[i0])
+        text: list[str] = []
+        chars = 0
+        for unit in new:
+            if not _joinable(unit):
+                self._add([unit])
                 continue
-            end_a, end_b = a_sizes[i0], b_sizes[j0]
-            x, y = i0, j0
-            while True:
-                code = self.pair_code.setdefault((a[x], b[y]), len(self.pair_code))
-                links.append(self.vocabulary + code)
-                step_a, step_b = end_a <= end_b, end_b <= end_a
-                if step_a and x + 1 == i and step_b:
-                    break
-                if step_a:
-                    x += 1
-                    end_a += a_sizes[x]
-                if step_b:
-                    y += 1
-                    end_b += b_sizes[y]
-        self.counts.append((len(a), len(b), len(texts), len(links), 1))
-        self.texts.append(";".join(texts).encode())
-        self.links.append(links)
+            if chars + len(unit) > _TEXT_CHARS and text:
+                self._add(text)
+                text, chars = [], 0
+            text.append(unit)
+            chars += len(unit)
+        if text:
+            self._add(text)
+
+    def _add(self, some: list[str]) -> None:
+        """Units that are tokenised in one text; one by one if that isn't spelt right."""
+        joined = " ".join(some)
+        a, b = self.tokenizers.encode(joined)
+        spelt = b" " + joined.encode("utf-8", "surrogatepass")
+        right = all(b"".join(map(x.__getitem__, ids.tolist())) == spelt for x, ids in ((self.tokenizers.a_bytes, a), (self.tokenizers.b_bytes, b)))
+        if right:
+            self._align(some, a, b)
+        elif len(some) > 1:
+            for unit in some:
+                self._add([unit])
+            return
+        else:
+            self.counts.append(np.zeros((1, 5), np.int64))
+            self.texts.append(b"")
+        self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
+        self.chars += len(joined)
+
+    def _align(self, some: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)  # of groups
+        last_a, last_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        first_a, first_b = np.r_[0, last_a[:-1]], np.r_[0, last_b[:-1]]
+        same = (last_a - first_a == 1) & (last_b - first_b == 1) & (self.tokenizers.identity[a[first_a]] == b[first_b])
+        # Between two ends of either kind lies one pair of tokens that overlap.
+        steps = np.union1d(ends_a, ends_b)
+        pair_a, pair_b = a[np.searchsorted(ends_a, steps)], b[np.searchsorted(ends_b, steps)]
+        self.links.append(np.where(same[np.searchsorted(ends, steps)], pair_a, self.vocabulary + pair_a * self.b_vocabulary + pair_b))
+
+        sizes = np.fromiter((len(u.encode("utf-8", "surrogatepass")) + 1 for u in some), np.int64, len(some))
+        unit_ends = np.cumsum(sizes)
+        counts = [np.searchsorted(x, unit_ends, side="right") for x in (ends_a, ends_b, ends, steps)]
+        self.counts.append(np.stack([*(np.diff(c, prepend=0) for c in counts), np.ones(len(some), np.int64)], axis=1))
+        name_a, name_b, identical = list(map(str, a.tolist())), list(map(str, b.tolist())), self.identical
+        texts = [
+            identical[i] if one else ",".join(name_a[i0:i1]) + "|" + ",".join(name_b[j0:j1])
+            for one, i, i0, i1, j0, j1 in zip(*(x.tolist() for x in (same, a[first_a], first_a, last_a, first_b, last_b)))
+        ]
+        at = 0
+        for end in counts[2].tolist():
+            self.texts.append(";".join(texts[at:end]).encode())
+            at = end
 
 
 def _batch(rows: int, **columns) -> pa.RecordBatch:
@@ -184,27 +184,21 @@ def _slice_rows(known: Units, ids: list, texts: list[str | None], number: int, s
     cut = [units(t) if t else [] for t in texts]
     if known.chars > KNOWN_CHARS:
         known.clear()
-    known.add(list({u for parts in cut for u in parts if u not in known.number}))
-    code_of = known.number.__getitem__
-    unit = np.fromiter((code_of(u) for parts in cut for u in parts), np.int64)
+    known.add(list({u for parts in cut for u in parts} - known.number.keys()))
+    unit = np.fromiter(itertools.chain.from_iterable(map(known.number.__getitem__, parts) for parts in cut), np.int64)
     ends = np.cumsum([len(parts) for parts in cut])
     starts = np.r_[0, ends[:-1]]
-    counts = np.array(known.counts, np.int64).reshape(-1, 5)
+    counts, links = np.concatenate(known.counts), np.concatenate(known.links)
     sums = np.vstack([np.zeros((1, 5), np.int64), np.cumsum(counts[unit], axis=0)])
     sums = sums[ends] - sums[starts]
     good = (sums[:, 4] == ends - starts) & (ends > starts)
     sums[~good] = 0
 
-    used, local = np.unique(unit, return_inverse=True)
-    lists = [known.links[u] for u in used.tolist()]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((c for one in lists for c in one), np.int64, int(sizes.sum()))
-    first = np.cumsum(sizes) - sizes
-    whole = np.repeat(good, ends - starts)  # units of texts that have tokens
-    local, doc = local[whole], np.repeat(np.arange(len(cut)), ends - starts)[whole]
-    size = sizes[local]
-    before = np.cumsum(size) - size
-    codes = flat[np.repeat(first[local] - before, size) + np.arange(int(size.sum()))]
+    doc = np.repeat(np.arange(len(cut)), ends - starts)
+    whole = good[doc]  # units of texts that have tokens
+    size, doc = counts[unit[whole], 3], doc[whole]
+    first = (np.cumsum(counts[:, 3]) - counts[:, 3])[unit[whole]]
+    codes = links[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
     span = int(codes.max()) + 1 if len(codes) else 1
     both, times = np.unique(np.repeat(doc, size) * span + codes, return_counts=True)
     doc, codes = both // span, both % span
@@ -214,15 +208,16 @@ def _slice_rows(known: Units, ids: list, texts: list[str | None], number: int, s
     pairs, local = np.unique(codes[irregular], return_inverse=True)
     total = np.zeros(len(pairs), np.int64)
     np.add.at(total, local, times[irregular])
-    of_code = list(known.pair_code)
-    named = [of_code[c - known.vocabulary] for c in pairs.tolist()]
     codes[irregular] = known.vocabulary + local
+    a, b = np.divmod(pairs - known.vocabulary, known.b_vocabulary)
 
     edges = np.searchsorted(doc, np.arange(len(cut) + 1)).tolist()
     codes, times = codes.astype(np.int32), times.astype(np.int32)
-    digests = [hashlib.sha256(b";".join([known.texts[u] for u in unit[s:e].tolist()])).hexdigest() if g else "" for s, e, g in zip(starts.tolist(), ends.tolist(), good.tolist())]
+    digests = [
+        hashlib.sha256(b";".join(map(known.texts.__getitem__, unit[s:e].tolist()))).hexdigest() if g else ""
+        for s, e, g in zip(starts.tolist(), ends.tolist(), good.tolist())
+    ]
     n, m = len(pairs), len(cut)
-    a, b = (np.fromiter((p[i] for p in named), np.int64, n) for i in (0, 1))
     yield _batch(n, slice=np.full(n, number), kind=np.zeros(n, np.int64), a=a, b=b, n=total, code=np.arange(n))
     own = dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums.T))
     packed = {name: [x[s:e].tobytes() for s, e in zip(edges, edges[1:])] for name, x in (("codes", codes), ("times", times))}

@@ -15,7 +15,7 @@ from nearfield.functions.vectors import cosine
 from nearfield.operators.chunking import chunk_documents, chunk_stats, split_sentences, with_chunk_count
 from nearfield.operators.context import assemble_context
 from nearfield.operators.embedding import embed_summary, embed_texts, provider_factory
-from nearfield.operators.index import build_index, search_index
+from nearfield.operators.index import build_index, fit_recall, search_index
 from nearfield.operators.points import check_dims, delete_points, points_info, replace_docs, upsert_points
 from nearfield.operators.search import search
 from nearfield.plans.ingest import (
@@ -86,7 +86,7 @@ def search_threshold(spark, folder):
 
 @query("search_blocked")
 def search_blocked(spark, folder):
-    """Queries in several batches, each a pass over the points."""
+    """More queries than go to every task: blocks of them meet blocks of points."""
     return _hits(search(given.vectors(spark, folder), given.vector_queries(spark, folder), 10, broadcast_rows=200))
 
 
@@ -107,6 +107,42 @@ def search_ann_probes(spark, folder):
     return _hits(search_index(spark, path, queries, 10, probes=3, broadcast_rows=300))
 
 
+def _landmark_index(spark, folder, keep: list[str]) -> str:
+    """Cells around the 64 vectors of the smallest ids."""
+    path = scratch_path(spark, "index")
+    points = given.points(spark, folder)
+    chosen = points.select("id", "vector").orderBy("id").limit(64).collect()
+    build_index(points, path, cells=len(chosen), metric="euclid", keep=keep, centres=np.array([r.vector for r in chosen], float))
+    return path
+
+
+@query("index_recall")
+def index_recall(spark, folder):
+    """What each number of probes finds of the ten best of every fifth vector, and the share of points it reads."""
+    queries = given.vector_queries(spark, folder).where("query_id % 5 = 0").orderBy("query_id").limit(1000)
+    measured = fit_recall(spark, _landmark_index(spark, folder, []), 10, queries=queries)
+    return measured.select("probes", F.round("recall", 6).alias("recall"), F.round("points_read", 6).alias("points_read"))
+
+
+@query("search_index_filtered")
+def search_index_filtered(spark, folder):
+    """Two cells, and further ones until ten points pass the filter; queries are sent to their cells."""
+    path = _landmark_index(spark, folder, ["lang", "n_chars", "toxic"])
+    return _hits(search_index(spark, path, given.vector_queries(spark, folder), 10, probes=2, where=SEARCH_FILTER, broadcast_rows=100))
+
+
+@query("query_index_filtered")
+def query_index_filtered(spark, folder):
+    """Filter, threshold, MMR and payload in one request on a fitted index, all cells probed."""
+    path = scratch_path(spark, "index")
+    build_index(given.points(spark, folder), path, cells=16, keep=["lang", "source", "n_chars", "toxic"])
+    options = QueryOptions(
+        top_k=5, fetch_k=20, where=SEARCH_FILTER, threshold=0.1, mmr=True, mmr_lambda=0.7, payload=["lang", "source"], probes=None
+    )
+    hits = run_queries(None, given.vector_queries(spark, folder), options, index=path)
+    return _hits(hits, F.round("mmr_score", 6).alias("mmr_score"), "lang", "source")
+
+
 def _holed(vectors: DataFrame) -> DataFrame:
     """Vectors of which some elements are missing or not a number."""
     element = lambda x, i: F.when((F.col("id") + i) % 97 == 0, F.lit(None)).when((F.col("id") * 3 + i) % 89 == 0, float("nan")).otherwise(x)

@@ -54,6 +54,15 @@ NEAR_AXES = (
     "WHERE axis IN (SELECT DISTINCT arg_max(axis, value) OVER (PARTITION BY vec_id) FROM "
     "(SELECT vec_id, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) AS axis FROM embeddings))"
 )
+LANDMARKS = """
+gaps AS MATERIALIZED (
+  SELECT p.vec_id, (row_number() OVER (PARTITION BY p.vec_id ORDER BY c.vec_id) - 1) AS cell, list_distance(p.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS gap
+  FROM embeddings p, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 64) c),
+placed AS MATERIALIZED (SELECT vec_id AS id, arg_min(cell, (gap, cell)) AS cell FROM gaps GROUP BY vec_id),
+sizes AS (SELECT cell, count(*) AS n FROM placed GROUP BY cell),
+near AS MATERIALIZED (
+  SELECT vec_id AS query_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY gap, cell) AS place
+  FROM gaps WHERE cell IN (SELECT cell FROM sizes))"""
 HOLED = (
     "(SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id + i - 1) % 97 = 0 OR (vec_id * 3 + i - 1) % 89 = 0 "
     "THEN 0 ELSE x END) AS embedding FROM embeddings)"
@@ -268,6 +277,27 @@ SQL: dict[str, str] = {
         f"search_holed_{metric}": _search(_pairs(HOLED, metric).replace("FROM embeddings q", f"FROM {HOLED} q"), metric=metric)
         for metric in METRIC
     },
+    "index_recall": f"""
+WITH {LANDMARKS},
+asked AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 5 = 0 ORDER BY vec_id LIMIT 1000),
+hits AS (SELECT query_id, id FROM ({_ranked(_pairs(metric="euclid"), "euclid")}) JOIN asked USING (query_id) WHERE rank <= 10),
+found AS (SELECT place, count(*) AS n FROM hits JOIN placed USING (id) JOIN near USING (query_id, cell) GROUP BY place),
+reads AS (SELECT place, avg(n) AS n FROM near JOIN sizes USING (cell) JOIN asked USING (query_id) GROUP BY place)
+SELECT place::INTEGER AS probes,
+  round(sum(coalesce(f.n, 0)) OVER upto / (SELECT count(*) FROM hits), 6)::DOUBLE AS recall,
+  round(sum(r.n) OVER upto / (SELECT count(*) FROM embeddings), 6)::DOUBLE AS points_read
+FROM reads r LEFT JOIN found f USING (place) WINDOW upto AS (ORDER BY place)""",
+    "search_index_filtered": f"""
+WITH {LANDMARKS},
+passed AS (SELECT vec_id AS id FROM {FILTERED}),
+held AS (SELECT cell, count(*) AS n FROM placed JOIN passed USING (id) GROUP BY cell),
+ordered AS (
+  SELECT query_id, cell, row_number() OVER w AS place, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM near JOIN held USING (cell) WINDOW w AS (PARTITION BY query_id ORDER BY place)),
+wanted AS (SELECT query_id, cell FROM ordered WHERE place <= 2 OR before < 10)
+SELECT query_id, rank, id, round(score, 6) AS score FROM ({_ranked(
+        "SELECT p.* FROM (" + _pairs(metric="euclid") + ") p JOIN placed USING (id) JOIN passed USING (id) JOIN wanted USING (query_id, cell)", "euclid"
+    )}) WHERE rank <= 10""",
     "search_dot": _search(_pairs(metric="dot"), metric="dot"),
     "search_euclid": _search(_pairs(metric="euclid"), metric="euclid"),
     "search_threshold": _search(_pairs(), where="score >= 0.3"),
@@ -448,3 +478,4 @@ SQL: dict[str, str] = {
     f"', column_3: more') WHEN 1 THEN {_clean('html')} END AS content, CASE page_id % 4 WHEN 0 THEN 1 ELSE -1 END AS row_count, "
     "CASE page_id % 4 WHEN 2 THEN 'No readable content found in file' WHEN 3 THEN 'No parser for pdf' END AS reason FROM pages",
 }
+SQL["query_index_filtered"] = SQL["query_request"]  # all cells probed: exact

@@ -267,3 +267,35 @@ def compile_filter(
 
 def filter_rows(df, spec: Filter | None, *, variant: str | None = None):
     return df.where(compile_filter(spec, df.schema, variant=variant))
+
+
+def cells_may_hold(spec: Filter, schema: T.StructType) -> Column:
+    """For a row that sums up many (``low_``, ``high_`` and ``seen_`` of a key): false only if none of them can pass ``spec``.
+
+    ``seen_`` has a bit for the hash of each value.  Keys that are not summed up leave everything possible.
+    """
+    check(spec)
+
+    def possible(entry: Mapping[str, Any]) -> Column:
+        key = entry["key"]
+        if key not in schema.names or not isinstance(schema[key].dataType, (T.StringType, T.NumericType, T.BooleanType)):
+            return F.lit(True)
+        dtype = schema[key].dataType
+        low, high, seen = (F.col(f"`{what}_{key}`") for what in ("low", "high", "seen"))
+        if _holds(entry, low, dtype) is None:
+            return F.lit(False)
+        if "range" in entry:
+            held = [BOUNDS[name](high if name in ("gte", "gt") else low, F.lit(v)) for name, v in entry["range"].items()]
+        else:
+            value = F.lit(entry["match"]["value"])
+            held = [low <= value, value <= high]
+            own = value.cast(dtype)
+            place = F.pmod(F.xxhash64(own), F.lit(63)).cast("int")
+            bit = F.call_function("shiftrightunsigned", seen, place).bitwiseAND(F.lit(1)) == 1
+            held.append(bit | (own != value))  # a value that the type cannot hold
+        return F.coalesce(reduce(operator.and_, held), F.lit(False))
+
+    parts = [possible(entry) for entry in spec.get("must") or []]
+    if spec.get("should"):
+        parts.append(reduce(operator.or_, [possible(entry) for entry in spec["should"]]))
+    return reduce(operator.and_, parts) if parts else F.lit(True)

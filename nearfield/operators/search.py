@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.filters import Filter, compile_filter
 from nearfield.functions.vectors import METRICS, matrix
-from nearfield.operators.topk import BestK
-from nearfield.session import stored
+from nearfield.operators.blockjoin import block_counts, meet
+from nearfield.operators.topk import BestK, partial_rows
 
 MAX_K = 1000  # fixed value: largest topK and fetchK of a request
 BROADCAST_ROWS = 8192  # most queries that are sent to every task
@@ -81,9 +81,9 @@ def search(
 
     ``where`` is applied before ranking, ``threshold`` keeps scores at or above
     it (distances at or below it).  Ties go to the smaller id.  Query ids must be
-    unique.  Points stay where they are: queries go to every task, in batches of
-    at most ``broadcast_rows``, one pass over the points for each.  ``batch`` is
-    what ``small_batch`` returned for the queries, if already at hand.
+    unique.  At most ``broadcast_rows`` queries go to every task and the points stay
+    where they are; more of them meet the points block by block (``blockjoin``).
+    ``batch`` is what ``small_batch`` returned for the queries, if already at hand.
     """
     check_request(k, metric)
     if batch is None or len(batch) > min(broadcast_rows, STATE_ROWS // k):
@@ -97,8 +97,9 @@ def search(
     if batch is not None:
         partial = scan_points(candidates, batch, k, metric, threshold, schema)
     else:
-        _, width = measure(asked, "vector")
-        partial = _passes(candidates, asked, k, metric, threshold, schema, batch_rows(width, k, max(1, broadcast_rows)))
+        n, width = measure(asked, "vector")
+        rows = batch_rows(width, k, max(1, broadcast_rows))
+        partial = _by_blocks(candidates, asked, n, width, k, metric, threshold, schema, rows)
     return merge_best(partial, k, metric)
 
 
@@ -115,19 +116,6 @@ def partial_schema(points: DataFrame, queries: DataFrame) -> str:
     return f"query_id {query_type}, id {id_type}, score double, part int"
 
 
-def partial_rows(best: BestK, query_ids: pa.Array, id_type: pa.DataType, part: int) -> pa.RecordBatch:
-    q, ids, score = best.result()
-    return pa.RecordBatch.from_arrays(
-        [
-            query_ids.take(pa.array(q)),
-            pa.array(ids, id_type),
-            pa.array(score),
-            pa.array(np.full(len(q), part, dtype=np.int32)),
-        ],
-        ["query_id", "id", "score", "part"],
-    )
-
-
 def scan_points(
     points: DataFrame,
     batch: QueryBatch,
@@ -168,27 +156,15 @@ def scan_points(
     return points.mapInArrow(scan, schema)
 
 
-def query_blocks(queries: DataFrame, rows: int) -> list[DataFrame]:
-    """The queries (``query_id, vector``) in blocks of about ``rows``, drawn by a hash of the id.
-
-    They are stored first, so a block is a read of them.
-    """
-    kept = stored(queries, "queries")
-    blocks = max(1, -(-kept.count() // max(1, rows)))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return [kept.where(number == i) for i in range(blocks)]
-
-
-def _passes(
-    points: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, schema: str, rows: int
+def _by_blocks(
+    points: DataFrame, queries: DataFrame, n: int, width: int, k: int, metric: str, threshold: float | None, schema: str, rows: int
 ) -> DataFrame:
-    """One pass over the points for each block of queries; points are never moved."""
-    found = None
-    for number, block in enumerate(query_blocks(queries, rows)):
-        batch = fetch_batch(block)
-        part = scan_points(points, batch, k, metric, threshold, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    """Queries that are too many for one batch meet the points block by block, in tasks."""
+    sizes = [(0, n, points.count())]
+    parts = block_counts(sizes, rows, 2 * points.sparkSession.sparkContext.defaultParallelism)
+    cell = F.lit(0).alias("cell")
+    asked = queries.select(cell, "query_id", "vector")
+    return meet(points.select(cell, "id", "vector"), asked, parts, k, metric, threshold, width, schema)
 
 
 def merge_best(partial: DataFrame, k: int, metric: str) -> DataFrame:

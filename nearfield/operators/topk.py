@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 PAIR_BUDGET = 4_000_000  # rough scores held at a time
 GATHER_BUDGET = 8_000_000  # vector values gathered at a time for exact scores
@@ -149,3 +150,17 @@ def _ranks(ids: np.ndarray) -> np.ndarray:
     if ids.dtype.kind in "iu":
         return ids
     return np.unique(ids, return_inverse=True)[1]
+
+
+def partial_rows(best: BestK, query_ids: pa.Array, id_type: pa.DataType, part: int) -> pa.RecordBatch:
+    """What a task found, as rows (query_id, id, score, part)."""
+    q, ids, score = best.result()
+    return pa.RecordBatch.from_arrays(
+        [
+            query_ids.take(pa.array(q)),
+            pa.array(ids, id_type),
+            pa.array(score),
+            pa.array(np.full(len(q), part, dtype=np.int32)),
+        ],
+        ["query_id", "id", "score", "part"],
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.filters import Filter, check
 from nearfield.operators.embedding import EmbeddingProvider, embed_texts
+from nearfield.operators.index import search_index
 from nearfield.operators.rerank import (
     DEFAULT_DIVERSITY_WEIGHT,
     DEFAULT_FETCH_K,
@@ -36,6 +37,8 @@ class QueryOptions:
     fetch_k: int = DEFAULT_FETCH_K
     diversity: bool = False
     diversity_weight: float = DEFAULT_DIVERSITY_WEIGHT
+    probes: int | None = 4  # cells of an index that a query reads; None is all
+    wanted_recall: float | None = None  # ... or as many as reach this by measurement
 
     def __post_init__(self):
         for name, value, low, high in (
@@ -43,6 +46,8 @@ class QueryOptions:
             ("fetch_k", self.fetch_k, 1, MAX_K),
             ("mmr_lambda", self.mmr_lambda, 0, 1),
             ("diversity_weight", self.diversity_weight, 0, 1),
+            ("probes", 1 if self.probes is None else self.probes, 1, float("inf")),
+            ("wanted_recall", 0 if self.wanted_recall is None else self.wanted_recall, 0, 1),
             ("threshold", 0 if self.threshold is None or self.metric != "cosine" else self.threshold, 0, 1),
         ):
             if not low <= value <= high:
@@ -85,30 +90,54 @@ def query_vectors(
 
 
 def run_queries(
-    points: DataFrame,
+    points: DataFrame | None,
     queries: DataFrame,
     options: QueryOptions = QueryOptions(),
     *,
+    index: str | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``query_id, rank, id, score`` plus payload, plus ``original_score, mmr_score`` after re-ranking.
 
     Points carry ``id, vector`` and payload columns, queries ``query_id, vector``.
     MMR wins where both re-rankers are on.  Vectors and payload join only the hits.
+    With ``index``, the path of a cell index, its points are searched (with its
+    metric), filter, threshold and re-ranking included; ``points`` is not used.
     """
-    batch = small_batch(queries, "query_id", "vector", broadcast_rows)
-    hits = search(
-        points,
-        queries,
-        options.fetch,
-        metric=options.metric,
-        where=options.where,
-        threshold=options.threshold,
-        broadcast_rows=broadcast_rows,
-        batch=batch,
-    )
-    # A proven bound on the hits, where the queries are few.
-    most = options.fetch * len(batch) if batch is not None else None
+    if index is not None:
+        spark = queries.sparkSession
+        points = spark.read.parquet(f"{index}/points")
+        number = queries.count()
+        few = number <= broadcast_rows
+        number = queries.count()
+        few = number <= broadcast_rows
+        hits = search_index(
+            spark,
+            index,
+            queries,
+            options.fetch,
+            probes=options.probes,
+            wanted_recall=options.wanted_recall,
+            where=options.where,
+            threshold=options.threshold,
+            broadcast_rows=broadcast_rows,
+        )
+        most = options.fetch * number if few else None
+    else:
+        batch = small_batch(queries, "query_id", "vector", broadcast_rows)
+        few = batch is not None
+        hits = search(
+            points,
+            queries,
+            options.fetch,
+            metric=options.metric,
+            where=options.where,
+            threshold=options.threshold,
+            broadcast_rows=broadcast_rows,
+            batch=batch,
+        )
+        # A proven bound on the hits, where the queries are few.
+        most = options.fetch * len(batch) if few else None
     columns = list(dict.fromkeys([*options.payload, *(["vector"] if options.with_vectors else [])]))
     if not options.reranks:
         return attach_payload(hits, points, columns, most_hits=most) if columns else hits
@@ -117,7 +146,7 @@ def run_queries(
     with_vectors = stored(attach_payload(hits, points, list(dict.fromkeys(["vector", *columns])), most_hits=most), "hits")
     if options.mmr:
         own = queries.select("query_id", F.col("vector").alias("query_vector"))
-        paired = with_vectors.join(F.broadcast(own) if batch is not None else own, "query_id")
+        paired = with_vectors.join(F.broadcast(own) if few else own, "query_id")
         picked = rerank_mmr(paired, top_k=options.top_k, lambda_=options.mmr_lambda, fetch_k=options.fetch_k)
     else:
         picked = rerank_diversity(with_vectors, top_k=options.top_k, weight=options.diversity_weight)

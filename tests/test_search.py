@@ -209,3 +209,95 @@ def test_values_beyond_single_precision():
                 if metric == "cosine":
                     order = order / np.sqrt((points**2).sum(axis=1)) / np.sqrt((queries[i] ** 2).sum())
             assert ids[q == i].tolist() == np.argsort(order, kind="stable")[:8].tolist(), metric
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+def test_blocks_of_queries_meet_blocks_of_points(data, frames, metric, monkeypatch):
+    """More queries than go to every task: none is fetched, and nothing depends on how the blocks are cut."""
+    from nearfield.operators import blockjoin
+
+    monkeypatch.setattr(blockjoin, "PACK_ROWS", 7)
+    monkeypatch.setattr(blockjoin, "BLOCK_POINTS", 20)
+    points, queries = frames
+    hits = search(points, queries, 7, metric=metric, broadcast_rows=3)
+    assert listed(hits) == brute(*data, 7, metric)
+    plan = hits._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_many_copies_of_one_point_and_one_query(spark):
+    points = [(i, [1.0, 0.0]) for i in range(3000)] + [(5000 + i, [0.0, float(i + 1)]) for i in range(5)]
+    queries = [(i, [1.0, 0.001 * i]) for i in range(50)]
+    frames = [spark.createDataFrame(rows, f"{name} long, vector array<double>") for rows, name in ((points, "id"), (queries, "query_id"))]
+    hits = search(*frames, 4, broadcast_rows=5)
+    assert listed(hits) == brute(points, queries, 4, "cosine")
+
+
+@pytest.fixture(scope="module")
+def payload_index(spark):
+    """Points around eight far apart centres, the payload telling them apart in part."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 6)) * 10
+    rows = [
+        (i, (centres[i % 8] + rng.normal(size=6)).tolist(), f"kind{i % 8 // 2}", int(i % 50), None if i % 3 else "rare") for i in range(400)
+    ]
+    points = spark.createDataFrame(rows, "id long, vector array<double>, kind string, n int, tag string")
+    path = scratch_path(spark, "index")
+    build_index(points, path, 8, metric="euclid", keep=["kind", "n", "tag"], centres=centres)
+    queries = spark.createDataFrame([(i, v) for i, v, *_ in rows[:40]], "query_id long, vector array<double>")
+    return points, path, queries
+
+
+FILTERS = [
+    {"must": [{"key": "kind", "match": {"value": "kind2"}}]},
+    {"must": [{"key": "n", "range": {"gte": 40}}], "must_not": [{"key": "tag", "match": {"value": "rare"}}]},
+    {"should": [{"key": "kind", "match": {"value": "kind0"}}, {"key": "n", "range": {"lt": 2}}]},
+    {"must": [{"key": "kind", "match": {"value": "nowhere"}}]},
+    {"must": [{"key": "n", "match": {"value": 3.5}}]},
+    {"must": [{"key": "n", "match": {"value": "3"}}]},
+]
+
+
+@pytest.mark.parametrize("where", FILTERS)
+@pytest.mark.parametrize("broadcast_rows", [1000, 7])
+def test_filtered_index_search(payload_index, spark, where, broadcast_rows):
+    points, path, queries = payload_index
+    exact = listed(search(points, queries, 5, metric="euclid", where=where))
+    every = search_index(spark, path, queries, 5, probes=None, where=where, broadcast_rows=broadcast_rows)
+    assert listed(every) == exact
+    # One probe goes on until five points pass, so no query comes back with fewer than there are.
+    some = search_index(spark, path, queries, 5, probes=1, where=where, broadcast_rows=broadcast_rows)
+    assert some.count() == len(exact)
+
+
+def test_a_filter_leaves_out_cells_unread(payload_index, spark):
+    from nearfield.operators.index import Cells
+
+    _, path, _ = payload_index
+    assert (Cells(spark, path, {"must": [{"key": "kind", "match": {"value": "kind2"}}]}).counts > 0).sum() == 2
+    assert (Cells(spark, path, {"must": [{"key": "n", "range": {"gt": 49}}]}).counts > 0).sum() == 0
+    assert len(Cells(spark, path, {"must": [{"key": "kind", "match": {"value": "kind2"}}]}).points.inputFiles()) > 0
+
+
+def test_a_request_on_the_index(payload_index, spark):
+    points, path, queries = payload_index
+    options = QueryOptions(top_k=3, fetch_k=8, metric="euclid", where=FILTERS[1], threshold=30.0, mmr=True, payload=["kind"], probes=None)
+    by_index, exact = (run_queries(p, queries, options, index=i).orderBy("query_id", "rank").collect() for p, i in ((None, path), (points, None)))
+    assert by_index == exact and exact
+
+
+def test_measured_recall(payload_index, spark):
+    from nearfield.operators.index import fit_recall, fitted_probes
+
+    points, path, queries = payload_index
+    table = {r.probes: r for r in fit_recall(spark, path, 10, queries=queries).collect()}
+    assert sorted(table) == list(range(1, 9)) and table[8].recall == 1 and table[8].points_read == pytest.approx(1)
+    exact = search(points, queries, 10, metric="euclid")
+    for probes in (1, 3):
+        found = search_index(spark, path, queries, 10, probes=probes)
+        assert recall(found, exact).first()[0] == pytest.approx(table[probes].recall)
+    wanted = fitted_probes(spark, path, table[3].recall)
+    assert table[wanted].recall >= table[3].recall
+    assert listed(search_index(spark, path, queries, 10, wanted_recall=1.0)) == listed(exact)
+    drawn = fit_recall(spark, path, 10).collect()
+    assert len(drawn) == 8 and all(a.recall <= b.recall for a, b in zip(drawn, drawn[1:]))

@@ -14,7 +14,7 @@ from nearfield.functions import text as tx
 from nearfield.functions.vectors import cosine
 from nearfield.operators.chunking import chunk_documents, chunk_stats, split_sentences, with_chunk_count
 from nearfield.operators.context import assemble_context
-from nearfield.operators.embedding import embed_summary, embed_texts, provider_factory
+from nearfield.operators.embedding import EmbeddingCache, embed_summary, embed_texts, provider_factory
 from nearfield.operators.index import build_index, fit_recall, search_index
 from nearfield.operators.points import check_dims, delete_points, points_info, replace_docs, upsert_points
 from nearfield.operators.search import search
@@ -556,6 +556,53 @@ def sync_written(spark, folder):
     return points.select("id", "doc_id", "lang", "chunk_index", total.alias("weight"))
 
 
+def _sync_twice(spark, folder) -> tuple[DataFrame, PointTable]:
+    """A sync, and after some documents have changed, become blank, gone or come, one of what changed."""
+    kind = F.pmod("doc_id", F.lit(10))
+    docs = given.documents(spark, folder).select("doc_id", "text", "lang")
+    text = F.when(kind == 0, F.concat("text", F.lit(" changed again"))).when(kind == 2, F.lit(" " * 80)).otherwise(F.col("text"))
+    points = PointTable(spark, scratch_path(spark, "points"), buckets=16)
+    how = {"metadata": ["lang"], "embedding": None, "cache": EmbeddingCache(spark, scratch_path(spark, "cache"))}
+    run_sync(docs.where(kind != 3), points, COUNTING, synced_at=F.lit("first"), **how)
+    later = docs.where(kind != 1).withColumn("text", text)
+    return run_sync(later, points, COUNTING, synced_at=F.lit("second"), only_changed=True, drop_gone=True, **how)[0], points
+
+
+@query("sync_incremental")
+def sync_incremental(spark, folder):
+    """The table after both: unchanged documents have the points of the first sync."""
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda t, x: t + F.abs(x)), 6)
+    return _sync_twice(spark, folder)[1].read().select("id", "doc_id", "lang", "chunk_index", "synced_at", total.alias("weight"))
+
+
+@query("sync_incremental_stats")
+def sync_incremental_stats(spark, folder):
+    return _sync_twice(spark, folder)[0]
+
+
+def _cached(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Every other document's chunks through a cache, then all chunks, twice: the last vectors, and the texts sent each time."""
+    cache, sent, before = EmbeddingCache(spark, scratch_path(spark, "cache")), [], 0
+    chunks = chunk_documents(given.documents(spark, folder))
+    for run, part in enumerate((chunks.where("doc_id % 2 = 1"), chunks, chunks), 1):
+        vectors = cache.embed(part, HASHING)
+        after = cache.known(HASHING()).count()
+        sent.append((run, after - before))
+        before = after
+    return vectors, spark.createDataFrame(sent, "run int, texts bigint")
+
+
+@query("embed_cached")
+def embed_cached(spark, folder):
+    weights = _cached(spark, folder)[0].select("doc_id", "chunk_index", F.posexplode("vector").alias("bucket", "weight"))
+    return weights.where(F.col("weight") != 0).withColumn("weight", F.round("weight", 6))
+
+
+@query("embed_cache_runs")
+def embed_cache_runs(spark, folder):
+    return _cached(spark, folder)[1]
+
+
 @query("sheet_sync_errors")
 def sheet_errors(spark, folder):
     """Every last row of a talk, of which some cannot be embedded."""

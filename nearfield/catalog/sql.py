@@ -479,3 +479,26 @@ SELECT query_id, rank, id, round(score, 6) AS score FROM ({_ranked(
     "CASE page_id % 4 WHEN 2 THEN 'No readable content found in file' WHEN 3 THEN 'No parser for pdf' END AS reason FROM pages",
 }
 SQL["query_index_filtered"] = SQL["query_request"]  # all cells probed: exact
+TWICE = "(SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN text || ' changed again' ELSE text END AS text FROM documents)"
+SQL["sync_incremental"] = _with_chunks(
+    TWICE,
+    f"SELECT {_chunk_uuid('400/15/1/50')} AS id, doc_id, lang, chunk_index, CASE WHEN doc_id % 10 IN (0, 3) THEN 'second' ELSE 'first' END "
+    "AS synced_at, coalesce(weight, 0.0) AS weight FROM chunk JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) LEFT JOIN "
+    f"(SELECT doc_id, chunk_index, sum(abs(weight)) AS weight FROM ({_weights('chunk', 'doc_id, chunk_index')}) GROUP BY 1, 2) "
+    "USING (doc_id, chunk_index) WHERE doc_id % 10 NOT IN (1, 2)",
+)
+SQL["sync_incremental_stats"] = _with_chunks(
+    TWICE,
+    """, later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN repeat(' ', 80) ELSE text END AS text FROM doc WHERE doc_id % 10 <> 1),
+  same AS (SELECT count(DISTINCT doc_id) AS n FROM chunk WHERE doc_id % 10 > 3)
+SELECT (SELECT count(*) FROM later WHERE length(text) > 0) - n AS documents_processed,
+  (SELECT count(*) FROM chunk WHERE doc_id % 10 IN (0, 3)) AS chunks_created, (SELECT count(*) FROM chunk WHERE doc_id % 10 IN (0, 3)) AS points_upserted,
+  (SELECT count(*) FROM later WHERE coalesce(length(text), 0) = 0) AS documents_skipped, 0::BIGINT AS errors, n AS documents_unchanged,
+  (SELECT count(DISTINCT doc_id) FROM chunk WHERE doc_id % 10 = 1) AS documents_dropped FROM same""",
+)
+SQL["embed_cached"] = SQL["embed_chunks"]
+SQL["embed_cache_runs"] = _with_chunks(
+    "documents",
+    ", seen AS (SELECT count(DISTINCT text) AS texts, count(DISTINCT text) FILTER (doc_id % 2 = 1) AS odd FROM chunk) "
+    "SELECT 1 AS run, odd AS texts FROM seen UNION ALL SELECT 2, texts - odd FROM seen UNION ALL SELECT 3, 0 FROM seen",
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol, runtime_checkable
@@ -10,11 +11,13 @@ from typing import Protocol, runtime_checkable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from nearfield.functions.vectors import arrow_vectors
+from nearfield.session import stored
 
 SLICE = 100  # fixed value: texts per provider call
 WORD_GAP = "[ \\t\\n\\v\\f\\r]+"
@@ -27,7 +30,8 @@ class EmbeddingProvider(Protocol):
     name: str
     dimensions: int
     max_input_tokens: int
-    # A provider may also set ``slice_size``, the most texts per call (100 unless set).
+    # A provider may also set ``slice_size``, the most texts per call (100 unless set), and for calls that may fail for a
+    # while ``retries`` (0 unless set) and ``retry_wait``, the seconds before the first one, doubled before each further one.
 
     def embed_batch(self, texts: Sequence[str]) -> np.ndarray:
         """A ``len(texts) x dimensions`` matrix, rows in the order of ``texts``."""
@@ -102,15 +106,26 @@ def embed_texts(
     column; without, it fails the job.
     """
 
+    def attempt(provider: EmbeddingProvider, texts: list[str]) -> np.ndarray:
+        for left in range(getattr(provider, "retries", 0), -1, -1):
+            try:
+                return provider.embed_batch(texts)
+            except Exception:
+                if not left:
+                    raise
+                time.sleep(getattr(provider, "retry_wait", 0.5) * 2 ** (provider.retries - left))
+        raise AssertionError
+
     def call(provider: EmbeddingProvider, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
-        if error is None:
-            return provider.embed_batch(texts), [None] * len(texts)
         try:
-            return provider.embed_batch(texts), [None] * len(texts)
-        except Exception as problem:  # find the texts at fault; the others get their vectors
+            return attempt(provider, texts), [None] * len(texts)
+        except Exception as problem:  # find the texts at fault by halves; the others get their vectors
+            if error is None:
+                raise
             if len(texts) == 1:
                 return np.zeros((1, provider.dimensions)), [str(problem) or type(problem).__name__]
-            parts = [call(provider, [one]) for one in texts]
+            half = len(texts) // 2
+            parts = [call(provider, texts[:half]), call(provider, texts[half:])]
             return np.concatenate([rows for rows, _ in parts]), [m for _, found in parts for m in found]
 
     @arrow_udf("struct<vector:array<double>,error:string>")
@@ -166,3 +181,55 @@ def embed_summary(chunks: DataFrame, dimensions: int, *by: str) -> DataFrame:
         F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("total_tokens"),
         F.lit(dimensions).alias("embedding_dimensions"),
     )
+
+
+class EmbeddingCache:
+    """Vectors of texts that were embedded before, in a table below ``path`` keyed by the digest of the text.
+
+    A provider, by name and size, has a table of its own, so another model never gets its vectors.  One job at a time may
+    add to a cache; a job that fails leaves it as it was or with whole new vectors, which the next one then finds.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, provider: EmbeddingProvider) -> str:
+        return f"{self.path}/{provider.name}-{provider.dimensions}"
+
+    def known(self, provider: EmbeddingProvider) -> DataFrame:
+        """(digest, vector)"""
+        try:
+            return self.spark.read.schema("digest binary, vector array<double>").parquet(self._folder(provider))
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "digest binary, vector array<double>")
+
+    def embed(
+        self,
+        df: DataFrame,
+        factory: Callable[[], EmbeddingProvider],
+        *,
+        text: str = "text",
+        vector: str = "vector",
+        error: str | None = None,
+    ) -> DataFrame:
+        """``embed_texts`` through the cache: only texts it doesn't know reach the provider, each of them once.
+
+        What the provider returns is added before the result is put together; texts that fail are not, so they are
+        tried again by the next run.  Equal texts are told apart before the vectors join them, and adaptive execution
+        splits those that make up much of the data.
+        """
+        provider = factory()
+        rows = df.withColumn("_digest", F.unhex(F.sha2(F.col(text), 256)))
+        texts = rows.where(F.col(text).isNotNull()).select("_digest", F.col(text).alias("text")).dropDuplicates(["_digest"])
+        unknown = texts.join(self.known(provider).select(F.col("digest").alias("_digest")), "_digest", "left_anti")
+        tried = stored(embed_texts(unknown, factory, vector="vector", error="error" if error else None), "embedded")
+        good = tried.where(F.col("error").isNull()) if error else tried
+        good.select(F.col("_digest").alias("digest"), F.col("vector")).write.mode("append").parquet(self._folder(provider))
+        found = self.known(provider).select(F.col("digest").alias("_digest"), F.col("vector").alias(vector))
+        joined = rows.join(found, "_digest", "left")
+        if error:
+            failed = tried.where(F.col("error").isNotNull()).select("_digest", F.col("error").alias(error))
+            joined = joined.join(failed, "_digest", "left")
+        return joined.select(*df.columns, vector, *([error] if error else []))

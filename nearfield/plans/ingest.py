@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import text as tx
 from nearfield.operators.chunking import chunk_documents, with_chunk_count
-from nearfield.operators.embedding import EmbeddingProvider, embed_texts
-from nearfield.operators.points import without_keys
+from nearfield.operators.embedding import EmbeddingCache, EmbeddingProvider, embed_texts
+from nearfield.operators.points import small_side, without_keys
 from nearfield.session import stored
 from nearfield.sources.sheets import sheet_documents
 from nearfield.sources.tables import PointTable
@@ -156,10 +156,12 @@ def sync_points(
     re_embed: bool = True,
     share_copies: bool = False,
     error: str | None = None,
+    cache: EmbeddingCache | None = None,
 ) -> DataFrame:
     """The points a bulk sync produces; replace those of the same documents with ``replace_docs``.
 
     With ``error`` failures of the provider are kept in that column, for :func:`settle`.
+    With a ``cache`` only texts that it doesn't know reach the provider.
     """
     known = F.col(embedding) if embedding else F.lit(None)
     taken = docs.where(sync_action(F.col(text), known, re_embed) == "process")
@@ -173,7 +175,10 @@ def sync_points(
         keep_sentences=options.keep_sentences,
         keep=fields,
     )
-    points = embed_texts(chunks, factory, share_copies=share_copies, error=error)
+    if cache is not None:
+        points = cache.embed(chunks, factory, error=error)
+    else:
+        points = embed_texts(chunks, factory, share_copies=share_copies, error=error)
     composed = compose_payload(points, source=source, synced_at=synced_at, metadata=fields)
     return composed.withColumnRenamed("chunk_id", "id")
 
@@ -188,6 +193,37 @@ def settle(points: DataFrame, *, error: str = "error") -> tuple[DataFrame, DataF
     return without_keys(tried.drop(error), failed, "doc_id"), failed
 
 
+HASH = "content_hash"  # payload column: what a document's points were made from
+
+
+def content_hash(docs: DataFrame, factory: Factory, options: ChunkOptions, *, text: str, metadata: list[str]) -> Column:
+    """A number that changes with a document's text, its metadata, how it is cut, and the model."""
+    provider = factory()
+    how = (provider.name, provider.dimensions, options.chunk_tokens, options.overlap_percent, options.keep_sentences)
+    fields = [F.coalesce(F.to_json(F.struct(F.col(f"`{name}`"))), F.lit("")) for name in metadata if name != text]
+    return F.xxhash64(F.col(f"`{text}`"), *fields, F.lit(str(how)))
+
+
+def compare_documents(docs: DataFrame, points: DataFrame, digest: Column, *, doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, state`` of every document of the source or of the table: new, changed, same or gone.
+
+    ``digest`` is the documents' own; points carry theirs in ``content_hash``.  Only ids and digests are compared, in one
+    full join; ids of the source must be unique.  Documents without a point are new, however often they are synced.
+    """
+    own = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("own"))
+    kept = F.col(HASH) if HASH in points.columns else F.lit(None).cast("bigint")
+    known = points.select(F.col("doc_id").cast(own.schema["doc_id"].dataType).alias("doc_id"), kept.alias("kept"))
+    one = F.when(F.min("kept") == F.max("kept"), F.min("kept")).alias("kept")
+    known = known.groupBy("doc_id").agg(one, F.lit(True).alias("known"))
+    state = (
+        F.when(F.col("known").isNull(), F.lit("new"))
+        .when(F.col("own").isNull(), F.lit("gone"))
+        .when(F.coalesce(F.col("own") == F.col("kept"), F.lit(False)), F.lit("same"))
+        .otherwise(F.lit("changed"))
+    )
+    return own.join(known, "doc_id", "full").select("doc_id", state.alias("state"))
+
+
 def run_sync(
     docs: DataFrame,
     table: PointTable,
@@ -196,32 +232,60 @@ def run_sync(
     *,
     synced_at: Column,
     re_embed: bool = True,
+    doc_id: str = "doc_id",
     text: str = "text",
-    embedding: str = "embedding",
+    embedding: str | None = "embedding",
+    metadata: list[str] | None = None,
+    only_changed: bool = False,
+    drop_gone: bool = False,
     **more,
 ) -> tuple[DataFrame, DataFrame]:
     """A bulk sync from documents to the points table: one row of counts of what was done, and ``doc_id, error``.
 
-    A document of which any chunk fails keeps its old points; those of the others are replaced.
+    A document of which any chunk fails keeps its old points; those of all others that are processed are replaced, also
+    where a text has become blank and leaves none.  Points remember a digest of what they were made from: with
+    ``only_changed`` documents whose digest is still the same are neither embedded nor rewritten, and with ``drop_gone``
+    the points of documents that the source no longer has are deleted.  A document that was replaced has its old points
+    nowhere else, as a document is one bucket of the table.
     """
+    fields = list(metadata or [])
+    digest = content_hash(docs, factory, options, text=text, metadata=fields)
+    action = sync_action(F.col(text), F.col(embedding) if embedding else F.lit(None), re_embed)
+    taken, same, gone = docs.where(action == "process"), 0, None
+    if only_changed or drop_gone:
+        states = stored(compare_documents(docs, table.read(), digest, doc_id=doc_id), "states")
+        if only_changed:
+            unchanged = states.where("state = 'same'").select(F.col("doc_id").alias(doc_id))
+            same = docs.where(action == "process").join(unchanged, doc_id, "left_semi").count()
+            taken = taken.join(small_side(states.where("state in ('new', 'changed')").select(F.col("doc_id").alias(doc_id))), doc_id, "left_semi")
+        if drop_gone:
+            gone = states.where("state = 'gone'").select("doc_id")
+    taken = taken.withColumn(HASH, digest)
     points = sync_points(
-        docs, factory, options, synced_at=synced_at, re_embed=re_embed, text=text, embedding=embedding, error="error", **more
-    )
+        taken, factory, options, synced_at=synced_at, re_embed=re_embed, doc_id=doc_id, text=text, embedding=embedding, error="error",
+        metadata=[*fields, HASH], **more,
+    )
     new, failed = settle(points)
     new, failed = stored(new, "settled"), stored(failed, "failed")
-    written = new.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"), F.countDistinct("doc_id").alias("docs")).first()
+    written = new.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    replaced = without_keys(taken.select(F.col(doc_id).alias("doc_id")), failed, "doc_id")
+    if gone is not None:
+        replaced = replaced.unionByName(gone)
     if written.n:
         table.ensure(written.dim, (table.spec() or (None, "cosine"))[1])
-        table.replace(new, new.select("doc_id"))
+    if written.n or table.spec() is not None:
+        table.replace(new, replaced)
     errors = failed.count()
-    action = sync_action(F.col(text), F.col(embedding), re_embed)
     stats = docs.agg(
-        (F.count_if(action == "process") - errors).alias("documents_processed"),
+        (F.count_if(action == "process") - errors - same).alias("documents_processed"),
         F.lit(written.n).cast("bigint").alias("chunks_created"),
         F.lit(written.n).cast("bigint").alias("points_upserted"),
         F.count_if(action != "process").alias("documents_skipped"),
         F.lit(errors).cast("bigint").alias("errors"),
     )
+    if only_changed or drop_gone:
+        dropped = gone.count() if gone is not None else 0
+        stats = stats.withColumns({"documents_unchanged": F.lit(same).cast("bigint"), "documents_dropped": F.lit(dropped).cast("bigint")})
     return stats, failed
 
 

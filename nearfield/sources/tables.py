@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import METRICS
@@ -26,11 +26,19 @@ def source_status(docs: DataFrame, *, embedding: str = "embedding") -> DataFrame
     )
 
 
+FILE_POINTS = 1_000_000  # about as many points per file of a bucket
+
+
 class PointTable:
-    """A points table on disk: ``<path>/spec`` (vector size, metric, buckets) and parquet in buckets by a hash of the id.
+    """A points table on disk: ``<path>/spec`` (vector size, metric, buckets) and parquet in buckets.
+
+    A point's bucket is a hash of its document (of its id, if it has none), so all points of a document are in one bucket,
+    and replacing or deleting by document reads and rewrites the buckets of those documents only.  A bucket has as many
+    files as its number of points asks for.  Changes by id look the ids up first, reading no column but these.
 
     A change rewrites the buckets it touches and no other file.  Their new content is stored first and then takes the
-    place of the old one, bucket by bucket; one job at a time may change a table.
+    place of the old one, bucket by bucket; one job at a time may change a table.  Choose the number of ``buckets`` for
+    the size that is to come: what a change rewrites is at least one of them.
     """
 
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = 64):
@@ -68,9 +76,13 @@ class PointTable:
             raise ValueError(f"points table at {self.path} has {found}, not {(dim, metric)}")
         return False
 
-    def _bucket(self, id: str = "id"):
+    def _hash(self, key: Column) -> Column:
         spec = self._spec()
-        return F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(spec[2] if spec else self._new_buckets)).cast("int")
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(spec[2] if spec else self._new_buckets)).cast("int")
+
+    def _bucket(self, rows: DataFrame) -> Column:
+        own = F.col("id").cast("string")
+        return self._hash(F.coalesce(F.col("doc_id").cast("string"), own) if "doc_id" in rows.columns else own)
 
     def _all(self) -> DataFrame:
         try:
@@ -83,17 +95,24 @@ class PointTable:
     def read(self) -> DataFrame:
         return self._all().drop("bucket")
 
-    def _touched(self, rows: DataFrame) -> list[int]:
-        """The buckets of the rows' ids; as many as the table has, at most."""
-        return sorted(r.bucket for r in rows.select(self._bucket().alias("bucket")).distinct().collect())
+    def _distinct(self, buckets: DataFrame) -> list[int]:
+        """The buckets in a column of them; as many as the table has, at most."""
+        return sorted(r.bucket for r in buckets.select("bucket").distinct().collect())
+
+    def _holding(self, ids: DataFrame) -> DataFrame:
+        """The buckets that hold points of these ids."""
+        return self._all().select("id", "bucket").join(small_side(ids.select("id").distinct()), "id", "left_semi").select("bucket")
 
     def _rewrite(self, points: DataFrame, touched: list[int]) -> None:
         """Put ``points``, all of which belong to the ``touched`` buckets, in place of what these hold."""
-        fresh = stored(points.withColumn("bucket", self._bucket()), "buckets")
-        writer = fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        fresh = stored(points.withColumn("bucket", self._bucket(points)), "buckets")
+        sizes = fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per bucket
+        files = self.spark.createDataFrame([(r.bucket, -(-r.n // FILE_POINTS)) for r in sizes], "bucket int, files int")
+        dealt = fresh.join(F.broadcast(files), "bucket").withColumn("file", F.pmod(F.xxhash64(F.col("id").cast("string")), F.col("files")))
+        dealt = dealt.repartition("bucket", "file").select(*points.columns, "bucket")
+        writer = dealt.write.mode("overwrite").options(partitionOverwriteMode="dynamic", maxRecordsPerFile=FILE_POINTS)
         writer.partitionBy("bucket").parquet(f"{self.path}/points")
-        filled = {r.bucket for r in fresh.select("bucket").distinct().collect()}
-        for bucket in set(touched) - filled:
+        for bucket in set(touched) - {r.bucket for r in sizes}:
             remove(self.spark, f"{self.path}/points/bucket={bucket}")
 
     def _in(self, touched: list[int]) -> DataFrame:
@@ -122,7 +141,8 @@ class PointTable:
         if uuids and (wrong := check_ids(new).count()):
             raise ValueError(f"{wrong} ids are not shaped like a UUID")
         created = self.ensure(dim, spec[1] if spec else metric, create_if_missing=create_if_missing)
-        touched = self._touched(new)
+        own = new.select(self._bucket(new).alias("bucket"))
+        touched = self._distinct(own.unionByName(self._holding(new)))  # a point may come under another document
         old = self._in(touched)
         if not old.columns or self._is_empty():
             old = new.drop(*[order] if order else []).limit(0)
@@ -134,22 +154,33 @@ class PointTable:
 
     def delete(self, **criteria) -> tuple[str, int]:
         """Delete points (see ``delete_points``); returns what decided and how many went."""
-        found = delete_points(self.read(), **criteria)
-        gone = stored(found.deleted.select("id"), "deleted")
+        found = delete_points(self._scan(criteria), **criteria)
+        gone = stored(found.deleted.select("id", "bucket"), "deleted")
         count = gone.count()
         if count:
-            touched = self._touched(gone)
+            touched = self._distinct(gone)
             self._rewrite(without_keys(self._in(touched), gone, "id"), touched)
         return found.deleted_by, count
 
+    def _scan(self, criteria: dict) -> DataFrame:
+        """The points that a deletion may concern: of one bucket, if it is by document."""
+        all_ = self._all()
+        doc_id = criteria.get("doc_id")
+        by_document = doc_id is not None and doc_id != "" and criteria.get("ids") in (None, [], ()) and criteria.get("doc_column", "doc_id") == "doc_id"
+        return all_.where(F.col("bucket") == self._hash(F.lit(doc_id))) if by_document else all_
+
     def replace(self, new: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id") -> None:
         """Replace all points of ``docs`` by ``new``."""
         new, docs = stored(new, "replacing"), stored(docs.select(doc_id).distinct(), "replaced")
+        own = new.select(self._bucket(new).alias("bucket"))
         if self._is_empty():
-            self._rewrite(new, self._touched(new))
+            self._rewrite(new, self._distinct(own))
             return
-        gone = self.read().join(small_side(docs), doc_id, "left_semi").select("id")
-        touched = self._touched(gone.unionByName(new.select("id")))
+        if doc_id == "doc_id":
+            theirs = docs.select(self._hash(F.col(doc_id)).alias("bucket"))
+        else:  # buckets don't go by this column
+            theirs = self._all().select(doc_id, "bucket").join(small_side(docs), doc_id, "left_semi").select("bucket")
+        touched = self._distinct(own.unionByName(theirs))
         self._rewrite(replace_docs(self._in(touched), new, docs, doc_id=doc_id), touched)
 
     def info(self) -> DataFrame:

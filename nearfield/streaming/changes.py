@@ -10,14 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearfield.functions import text as tx
 from nearfield.operators.chunking import chunk_documents
 from nearfield.operators.embedding import EmbeddingProvider, embed_texts
-from nearfield.operators.points import latest, without_keys
+from nearfield.operators.points import latest, small_side, without_keys
 from nearfield.plans.ingest import ChunkOptions, compose_payload
 from nearfield.session import remove, stored
 from nearfield.sources.sheets import sheet_cells, sheet_documents
@@ -122,9 +122,10 @@ class ChangeLog:
             return None
 
     def _newest(self, log: DataFrame) -> DataFrame:
-        # A change seen twice counts once, as written by the later batch.
-        newest = Window.partitionBy("doc_id").orderBy(F.col("seq").desc(), F.col("batch").desc())
-        return log.withColumn("_age", F.rank().over(newest)).where(F.col("_age") == 1).drop("_age")
+        # A change seen twice counts once, as written by the later batch.  Only the keys are compared; rows with their
+        # vectors are joined afterwards, and stay where they are while the documents are few.
+        newest = log.groupBy("doc_id").agg(F.max(F.struct("seq", "batch")).alias("newest")).select("doc_id", "newest.*")
+        return log.join(small_side(newest), ["doc_id", "seq", "batch"], "left_semi")
 
     def points(self) -> DataFrame:
         """The current points of the documents in the log; none for a log without changes."""

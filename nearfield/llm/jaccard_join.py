@@ -10,8 +10,8 @@ difference.  The domain of shingles is cut by hash into k // 2 + 1 first-level p
 difference, and each of these into three, of which all subsets of two are enumerated: two sets that link agree wholly in
 some subset, whose sum of hashes is the signature.  Every pair is decided on the whole sets afterwards.
 
-Only keys that two different nodes share are dealt out.  Within a key, nodes are held against a few single ones first
-(stars), which joins groups of copies without squares; nodes of one component need no further look.  Keys that stay open
+Only keys that two different nodes share are dealt out.  Within a key, all nodes are held against a single one first (a
+star), which joins groups of copies without squares; nodes of one component need no further look.  Keys that stay open
 are settled pair by pair if they have at most SMALL nodes.  The nodes of larger ones are keyed anew by the prefixes of
 their sets, rarest shingles first: two sets that share c shingles have one in common among the first a - c + 1 and
 b - c + 1 of them, in any one order.  What common passages or near copies make equal comes last in that order, so such
@@ -35,7 +35,6 @@ from nearfield.session import stored
 WORDS, PERCENT = 3, 90
 #: A group of sizes reaches this much further than the one before.
 BAND = 1.25
-STARS = 3
 #: Nodes of an open key that are paired with each other at most; sides of a block.
 SMALL, BLOCK = 16, 512
 #: Slots of the table of frequencies that orders shingles (8 MB), and the filter of shared keys (32 MB at most).
@@ -62,6 +61,24 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+class Overlaps:
+    """Some sets by their shingles, to hold another set against all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.owners = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def similar(self, one: np.ndarray, percent: int) -> np.ndarray:
+        """The places of the sets that link with ``one``."""
+        first = np.searchsorted(self.shingles, one)
+        size = np.searchsorted(self.shingles, one, side="right") - first
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        both = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(one) - both)))
+
+
 def largest(size: int, percent: int) -> int:
     """The size of the largest set that may link with one of ``size``."""
     return 100 * size // percent
@@ -274,17 +291,18 @@ def _blocks(rows: DataFrame, sets: DataFrame, stats: DataFrame, total: int, perc
     groups = left.unionByName(right).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.desc("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, mine = None, []
+        group, mine, index = None, [], None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for key, a, b, asks, node, root, found in zip(*(batch.column(n).to_pylist() for n in ("key", "a", "b", "asks", "node", "root", "found"))):
                 if (key, a, b) != group:
-                    group, mine = (key, a, b), []
+                    group, mine, index = (key, a, b), [], None
                 one = np.frombuffer(found, np.uint64)
                 if asks:
                     mine.append((node, root, one))
-                else:
-                    out += [(n, node) for n, r, other in mine if r != root and similar(other, one, percent)]
+                elif mine:
+                    index = index or Overlaps([m[2] for m in mine])
+                    out += [(mine[i][0], node) for i in index.similar(one, percent).tolist() if mine[i][1] != root]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return stored(groups.mapInArrow(run, "a bigint, b bigint").distinct(), "block-links")
@@ -305,45 +323,45 @@ def _open(rows: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFram
     return stored(rows.join(stats.select("key"), "key", "left_semi"), "open-rows"), groups, stats
 
 
+def _pairs_of_small(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Pairs (a, b) of two roots within keys of at most SMALL nodes."""
+    few = rows.join(stats.where(F.col("size") <= SMALL).select("key"), "key")
+    pairs = few.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")).join(few, "key")
+    return pairs.where("a < node and a_root <> root").select("a", F.col("node").alias("b")).distinct()
+
+
 def links(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) whose components are those of all links between nodes of one key of stored ``candidates`` (key, node)."""
-    spark = candidates.sparkSession
-    none = spark.createDataFrame([], "a bigint, b bigint")
-    found, roots, keys, anew = none, None, candidates, False
-    while True:
-        for step in range(STARS):
-            rows, groups, stats = _open(keys, roots)
-            total = rows.count()
-            if not total:
-                return found
-            other = groups.join(stats.select("key", "large"), "key").where("root <> large")
-            other = other.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)), "node", "root")).alias("a"))
-            stars = stats.select("key", "size").join(other, "key").select("key", "size", F.col("a.node").alias("a"), F.col("a.root").alias("a_root"))
-            pairs = shared.attach(rows, stored(stars, "stars"), "key", "size", total).where("root <> a_root")
-            new = _linked(pairs.select("a", F.col("node").alias("b")).distinct(), sets, percent)
-            keys = rows
-            if new.isEmpty():
-                continue
-            found = found.unionByName(new)
-            roots = shared.components(found)
+    """(a, b) whose components are those of all links between nodes of one key of stored ``candidates`` (key, node).
+
+    Components are made once for the keys of either kind, after the star; what small keys add later is only returned.
+    """
+    found = candidates.sparkSession.createDataFrame([], "a bigint, b bigint")
+    keys, roots = candidates, None
+    for anew in (False, True):
         rows, groups, stats = _open(keys, roots)
-        small = stats.where(F.col("size") <= SMALL)
-        few = rows.join(small.select("key"), "key")
-        pairs = few.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")).join(few, "key")
-        pairs = pairs.where("a < node and a_root <> root").select("a", F.col("node").alias("b")).distinct()
-        new = _linked(pairs, sets, percent)
-        found = found.unionByName(new)
+        total = rows.count()
+        if not total:
+            return found
+        # One node against all others of its key; by a hash, so that keys of much the same nodes choose the same one.
+        other = groups.join(stats.select("key", "large"), "key").where("root <> large")
+        other = other.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "root")).alias("a"))
+        stars = stats.select("key", "size").join(other, "key").select("key", "size", F.col("a.node").alias("a"), F.col("a.root").alias("a_root"))
+        pairs = shared.attach(rows, stored(stars, "stars"), "key", "size", total).where("root <> a_root")
+        found = found.unionByName(_linked(pairs.select("a", F.col("node").alias("b")).distinct(), sets, percent))
         roots = shared.components(found)
+        rows, groups, stats = _open(rows, roots)
+        found = found.unionByName(_linked(_pairs_of_small(rows, stats), sets, percent))
         stats = stored(stats.where(F.col("size") > SMALL), "large-keys")
         rows = stored(rows.join(stats.select("key"), "key", "left_semi"), "large-rows")
-        if rows.isEmpty():
+        total = rows.count()
+        if not total:
             return found
         if anew:
-            return found.unionByName(_blocks(rows, sets, stats, rows.count(), percent))
+            return found.unionByName(_blocks(rows, sets, stats, total, percent))
         made = stored(_rarest_first(rows.select("node").distinct(), sets, percent), "prefix-keys")
         many = stored(made.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-prefixes")
         keys = stored(shared.attach(made, many, "key", "size", made.count()).select("key", "node"), "candidates")
-        anew = True
+    raise AssertionError
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

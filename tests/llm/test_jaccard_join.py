@@ -74,7 +74,6 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 1)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     monkeypatch.setattr(jaccard_join, "SIDE", 5)
-    monkeypatch.setattr(jaccard_join, "STARS", 1)
     rows = made(4, 2, 40, 4, (40, 60))
     assert run(spark, rows) == plain(rows)
 
@@ -122,3 +121,13 @@ def test_sets_that_link_share_a_signature_and_a_prefix(percent):
 def test_similarity_at_the_border():
     ten = np.arange(10, dtype=np.uint64)
     assert jaccard_join.similar(ten, ten[:9]) and not jaccard_join.similar(ten, ten[:8]) and not jaccard_join.similar(ten[:0], ten[:0])
+
+
+def test_one_set_against_many():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 60, (40, 30))
+    sets = [np.unique(row).astype(np.uint64) for row in base] + [np.unique(base[0]).astype(np.uint64)]
+    index = jaccard_join.Overlaps(sets)
+    for percent in (20, 50, 90):
+        for one in [*sets, np.arange(1000, 1010, dtype=np.uint64)]:
+            assert index.similar(one, percent).tolist() == [i for i, s in enumerate(sets) if jaccard_join.similar(s, one, percent)]

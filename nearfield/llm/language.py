@@ -1,8 +1,8 @@
 """Language by compression: the language whose dictionary makes a text smallest.
 
 Per learned language a raw-content dictionary for zstandard holds pieces of a bounded sample of its labelled texts.
-The letters of every whole text are compressed with each dictionary, in blocks; the smallest sum names the language (ties: the smaller name),
-and a narrow margin to the second marks the answer as rejected.  Texts without letters, null texts, and all texts if no
+The words of every whole text are compressed with each dictionary, in blocks; the smallest sum names the language (ties: the smaller name),
+and a narrow margin to the second marks the answer as rejected.  Texts without letters (numerals and signs are none), null texts, and all texts if no
 language could be learned, are ``und`` with score 0.  Rows are judged one by one: repeated rows and extra columns don't
 matter, and null or empty labels are never learned.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled texts per language that are learned from, at most, and the characters taken of each.
+#: Labelled texts per language that are learned from, at most, and the characters taken of each, from a place drawn by hash.
 SAMPLE_ROWS = 96
 SAMPLE_CHARS = 1200
 DICTIONARY_BYTES = 110_000
@@ -38,18 +38,25 @@ def letters(text: str) -> bytes:
 
 
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionary content per language, from rows (doc_id, text, lang) chosen by a hash of the text."""
-    piece = F.substring("text", 1, SAMPLE_CHARS)
+    """Dictionary content per language, from rows (doc_id, text, lang) chosen by a hash of the text.
+
+    Each of the chosen texts gives a piece from anywhere in it, and all pieces of a language the same share of the bytes.
+    """
     rows = labelled.where("text is not null and lang is not null and lang <> '' and text rlike '\\\\p{L}'")
-    rows = rows.select("lang", piece.alias("piece"), F.xxhash64("text").alias("key"))
-    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
-    # A task passes on only its first rows of each language, so none gathers a whole one.
-    chosen = rows.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).distinct()
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("key"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    # Copies are one before they are ranked, and a task passes on only its first keys of each language.
+    chosen = rows.select("lang", "key").distinct().withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).drop("place")
+    start = F.pmod(F.xxhash64("key", F.lit("start")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    pieces = rows.join(chosen, ["lang", "key"]).select("lang", "key", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("piece"))
     found: dict[str, list[tuple[int, str]]] = {}
-    for row in chosen.select("lang", "key", "piece").collect():
+    for row in pieces.distinct().collect():  # SAMPLE_ROWS of each language
         found.setdefault(row.lang, []).append((row.key, row.piece))
-    # What stands last in a dictionary is cheapest to point at; the order among samples doesn't matter.
-    return {lang: b" ".join(letters(p) for _, p in sorted(pieces))[-DICTIONARY_BYTES:] for lang, pieces in found.items()}
+    out = {}
+    for lang, own in found.items():
+        share = DICTIONARY_BYTES // len(own)
+        out[lang] = b" ".join(letters(piece)[:share] for _, piece in sorted(own))
+    return out
 
 
 def languages(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
@@ -71,8 +78,9 @@ def languages(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                data = letters(text.as_py() or "")
-                if not data or not names:
+                text = text.as_py() or ""
+                data = letters(text)
+                if not data or not names or not any(c.isalpha() for c in text):
                     out.append(("und", 0.0, True))
                     continue
                 blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]

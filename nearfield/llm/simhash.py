@@ -9,7 +9,8 @@ table v keeps the positions whose vector has an odd product with v.  For up to r
 their vectors, so fingerprints that differ in at most r bits agree in what table v keeps.  Equal fingerprints are one
 node.  A bucket of over BUCKET nodes is split by a fresh family of tables, again without a miss, until all are small;
 buckets are compared in a sorted stream and give at most one link per node, to the first of its group in the bucket.
-Rows whose doc_id is null belong to the component of their fingerprint (null if no row with an id has it).
+Rows with one id are documents each, linked by their own texts only.  Rows whose doc_id is null link like any other, and
+belong to the component of their fingerprint (null if no row with an id is in it).
 """
 
 from __future__ import annotations
@@ -170,18 +171,13 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
     marks = stored(fingerprints(docs, words), "fingerprints")
-    named = marks.where(F.col("doc_id").isNotNull())
-    groups = named.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"))
+    groups = marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     groups = stored(groups, "fingerprint-groups")
-    roots = shared.components(links(groups.select("fp", "node"), radius))
-    groups = groups.join(roots, "node", "left")
-    groups = stored(groups.select("fp", "size", F.coalesce("root", "node").alias("component_id")), "fingerprint-components")
-    return shared.attach(marks, groups, "fp", "size", marks.count(), "left")
-
-
-def near_dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; all columns kept."""
-    groups = near_groups(docs, words, radius)
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    wide = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    return shared.without(wide, gone, "doc_id").select("row.*")
+    # Nodes are fingerprints, not ids: an id that stands with several texts is in several components, or joins none.
+    roots = shared.components(links(groups.select("fp", F.col("fp").alias("node")), radius))
+    groups = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = stored(groups, "fingerprint-roots")
+    least = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = shared.attach(groups, stored(least, "component-ids"), "root", "n", groups.count())
+    named = stored(named.select("fp", "size", "component_id"), "fingerprint-components")
+    return shared.attach(marks, named, "fp", "size", marks.count(), "left")

@@ -86,12 +86,21 @@ def test_groups(spark):
             least[r] = min(least[r], i)
     got = Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_groups(docs, 4, 4).collect())
     assert got == Counter((i, m, least[r]) for i, m, r in zip(ids, marks, roots))
-    left = simhash.near_dedup(docs, 4, 4)
-    assert left.columns == docs.columns
-    assert {r.doc_id for r in left.where("doc_id is not null").collect()} == set(least.values())
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_an_id_that_stands_with_several_texts_joins_nothing(spark):
+    draw = random.Random(4)
+    a, b = (" ".join(draw.choice("abcdefgh") * draw.randint(1, 3) for _ in range(80)) for _ in range(2))
+    rows = [(3, a), (5, a + " tail"), (5, b), (9, b), (None, b), (7, b + " tail")]
+    marks = [plain_fingerprint(t, 4) for _, t in rows]
+    near = [(marks[i] ^ marks[j]).bit_count() <= 4 for i, j in ((0, 1), (0, 2), (2, 5))]
+    assert near == [True, False, True]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_groups(docs, 4, 4).collect())
+    assert got == Counter((i, m, 3 if t.startswith(a) else 5) for (i, t), m in zip(rows, marks))
+
+
 WORDS = ["", None, "A b  c\t\td\x1ce", "it's 12 <|endoftext|> x<|startoftext|>y", "e\u0301a", "don't\nI'll", "\r\n \n",
          "\u03a3\u0391\u03a3 \u0130 \u00df", "x&amp; a,b ... $$$ wor!d wo!!", "the " * 5000]
 

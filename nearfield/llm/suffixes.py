@@ -9,7 +9,9 @@ follow each other in a document: they are one segment.  A first pass counts keys
 a key make a shard: its suffix array is built by induced sorting (suffixes classified, the substrings between leftmost
 smaller positions sorted and named, the string of names sorted, and the rest induced bucket by bucket in linear time),
 and the common prefixes of neighbours, in text order, tell the repeated windows.  Keys with very many segments (HOT) are
-cut into single windows, dealt out and counted by their digests instead, so no shard is unbounded.
+first cut into pieces at places that their content names; equal pieces, the inside of a passage that very many documents
+share, are counted by partial aggregation and collapsed to one.  What is left goes to the key's shard if it is few enough,
+else its single windows are counted by their digests, so no shard is unbounded.
 
 Null texts are empty.  Rows that repeat id and text count as copies of each other.  An empty table gives no rows.
 """
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import shared
@@ -33,6 +35,8 @@ LENGTH = 200
 GRAM = 40
 #: Segments of one key, and windows in them, that may meet in one shard.
 HOT, HOT_WINDOWS = 20_000, 4 << 20
+#: Windows in a piece of a hot segment, on average.
+PIECE = 16
 #: Windows in a segment, at most.
 SEGMENT = 4096
 #: Bytes of segments whose suffixes are sorted together, unless one key has more.
@@ -260,24 +264,32 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return _induce(text, smaller, lms[_sorted_names(name[lms], depth // 2 + 1)])
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """In text order, whether a suffix and the one before it in ``sa``, or after it, share ``length`` bytes."""
-    words = _words(np.r_[text, np.zeros(length + 8, np.uint8)], len(text) + length)
-    a, b = sa[:-1], sa[1:]
-    fits = np.maximum(a, b) + length <= len(text)
-    a, b = a[fits], b[fits]
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        same = words[a + at] == words[b + at]
-        a, b = a[same], b[same]
-    shared_prefix = np.zeros(len(text), bool)
-    shared_prefix[a] = shared_prefix[b] = True
-    return shared_prefix
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """In text order: the suffix before each one in ``sa`` (-1 for the first), and how many bytes, up to ``most``, they share."""
+    n = len(text)
+    words = _words(np.r_[text, np.zeros(most + 16, np.uint8)], n + most)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    shared_bytes = np.zeros(n, np.int64)
+    at, i = 0, np.flatnonzero(before >= 0)
+    while len(i) and at < most:
+        other = words[i + at] ^ words[before[i] + at]
+        differs = other != 0
+        # The lowest set bit is in the first byte that differs.
+        low = other[differs] & (~other[differs] + np.uint64(1))
+        shared_bytes[i[differs]] = at + np.bitwise_count(low - np.uint64(1)) // 8
+        i, at = i[~differs], at + 8
+    shared_bytes[i] = most
+    rest = n - np.maximum(np.arange(n), before)  # neither may reach past the end
+    return before, np.minimum(np.minimum(shared_bytes, most), np.where(before >= 0, rest, 0))
 
 
 def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each segment whether each of its windows occurs again in any of them, itself included."""
     text = np.frombuffer(b"\xff".join(segments), np.uint8)  # a byte that UTF-8 never has
-    found = common_prefixes(text, suffix_array(text, length), length)
+    before, prefix = permuted_common_prefixes(text, suffix_array(text, length), length)
+    found = prefix >= length
+    found[before[found]] = True  # the suffix before it shares as much
     out, at = [], 0
     for segment in segments:
         out.append(found[at : at + len(segment) - length + 1])
@@ -329,46 +341,109 @@ def _in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
-def segments(texts: DataFrame, keys: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """Second pass: (key, segment, id, hash, first, last) of segments whose key may be repeated.
-
-    Of a key with more than ``hot`` segments come single windows instead, with their digest as segment and part of it as key.
-    """
-    spark = texts.sparkSession
-    table = spark.sparkContext.broadcast(_filter(keys, FILTER_BITS))
-    # At most a millionth of all are hot.
+def _hot_keys(keys: DataFrame, hot: int) -> np.ndarray:
+    """The keys whose segments are too many for one shard, sorted; of all of them at most a millionth."""
     segments, windows = keys.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in ("segments", "windows")]).first()
-    many_segments, many_windows = max(hot, segments // 1_000_000), max(HOT_WINDOWS, windows // 1_000_000)
-    many = (F.col("segments") > many_segments) | (F.col("windows") > many_windows)
-    hot_keys = np.sort(keys.where(many).select("key").toArrow().column("key").to_numpy().view(np.uint64))
+    many = (F.col("segments") > max(hot, segments // 1_000_000)) | (F.col("windows") > max(HOT_WINDOWS, windows // 1_000_000))
+    return np.sort(keys.where(many).select("key").toArrow().column("key").to_numpy().view(np.uint64))
+
+
+def _is_among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return np.isin(keys, some) if len(some) else np.zeros(len(keys), bool)
+
+
+def segments(texts: DataFrame, keys: DataFrame, length: int, hot_keys: np.ndarray) -> DataFrame:
+    """Second pass: (key, segment, id, hash, first, last) of segments whose key may be repeated, but for ``hot_keys``."""
+    table = texts.sparkSession.sparkContext.broadcast(_filter(keys, FILTER_BITS))
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             found = Windows(batch.column("data"), length)
             doc, first, last, key = found.segments()
-            hit = _in_filter(table.value, key)
+            hit = _in_filter(table.value, key) & ~_is_among(key, hot_keys)
             doc, first, last, key = doc[hit], first[hit], last[hit], key[hit]
-            many = np.isin(key, hot_keys) if len(hot_keys) else np.zeros(len(key), bool)
             base, ids, hashes = found.offsets[doc], batch.column("id"), batch.column("hash")
             data = found.data.tobytes()
-            rows = [
-                (k, data[o + a : o + b + length], d, a, b)
-                for k, o, d, a, b in zip(*(x[~many].tolist() for x in (key.view(np.int64), base, doc, first, last)))
-            ]
-            for o, d, a, b in zip(*(x[many].tolist() for x in (base, doc, first, last))):
-                for at in range(a, b + 1):
-                    mark = xxhash.xxh3_128_digest(data[o + at : o + at + length])
-                    rows.append((int.from_bytes(mark[:8], "little", signed=True), mark, d, at, at))
-            for at in range(0, len(rows), 20_000):
-                k, s, d, a, b = zip(*rows[at : at + 20_000])
+            for at in range(0, len(key), 20_000):
+                k, o, d, a, b = (x[at : at + 20_000] for x in (key.view(np.int64), base, doc, first, last))
+                rows = [data[o_ + a_ : o_ + b_ + length] for o_, a_, b_ in zip(o.tolist(), a.tolist(), b.tolist())]
                 of = pa.array(d)
-                columns = [pa.array(k, kinds[0]), pa.array(s, kinds[1]), ids.take(of), hashes.take(of), pa.array(a, kinds[4]), pa.array(b, kinds[5])]
+                columns = [pa.array(k), pa.array(rows, kinds[1]), ids.take(of), hashes.take(of), pa.array(a), pa.array(b)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "segment", "id", "hash", "first", "last"])
 
     return texts.mapInArrow(run, f"key bigint, segment binary, {_RANGE}")
 
 
+def pieces(texts: DataFrame, length: int, hot_keys: np.ndarray) -> DataFrame:
+    """The segments of ``hot_keys`` in pieces: (key, digest, segment, id, hash, first, last), stored.
+
+    A piece ends where the hash of a window's first gram says so, so what a passage has inside falls into the same
+    pieces wherever the passage stands, and only the pieces at its edges differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = Windows(batch.column("data"), length)
+            doc, first, last, key = found.segments()
+            hit = _is_among(key, hot_keys)
+            ids, hashes, data = batch.column("id"), batch.column("hash"), found.data.tobytes()
+            rows: list[tuple] = []
+            for d, a, b, k in zip(*(x[hit].tolist() for x in (doc, first, last, key.view(np.int64)))):
+                base = int(found.offsets[d])
+                cuts = np.flatnonzero(found.grams[base + a + 1 : base + b + 1] % np.uint64(PIECE) == 0) + a + 1
+                for start, end in zip([a, *cuts.tolist()], [*cuts.tolist(), b + 1]):
+                    piece = data[base + start : base + end - 1 + length]
+                    rows.append((k, xxhash.xxh3_128_digest(piece), piece, d, start, end - 1))
+            for at in range(0, len(rows), 20_000):
+                k, mark, piece, d, a, b = zip(*rows[at : at + 20_000])
+                of = pa.array(d)
+                columns = [pa.array(k), pa.array(mark, pa.binary()), pa.array(piece, pa.binary()), ids.take(of), hashes.take(of), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "digest", "segment", "id", "hash", "first", "last"])
+
+    return stored(texts.mapInArrow(run, f"key bigint, digest binary, segment binary, {_RANGE}"), "hot-pieces")
+
+
+def _window_rows(distinct: DataFrame, length: int) -> DataFrame:
+    """(digest, id, hash, first, last) of every window of distinct pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts = (pc.binary_length(part.column("segment")).to_numpy() - length + 1).tolist()
+                marks = [
+                    xxhash.xxh3_128_digest(piece[i : i + length])
+                    for piece, n in zip(part.column("segment").to_pylist(), counts) for i in range(n)
+                ]
+                of = pa.array(np.repeat(np.arange(len(counts)), counts))
+                starts = part.column("first").take(of).to_numpy() + np.concatenate([np.arange(n) for n in counts])
+                columns = [pa.array(marks, pa.binary()), *(part.column(n).take(of) for n in ("id", "hash")), pa.array(starts), pa.array(starts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "hash", "first", "last"])
+
+    return distinct.select("segment", "id", "hash", "first").mapInArrow(run, f"digest binary, {_RANGE}")
+
+
+def hot_ranges(texts: DataFrame, length: int, hot_keys: np.ndarray, hot: int) -> tuple[DataFrame, DataFrame]:
+    """What ``hot_keys`` have: ranges of starts that are known to be repeated, and segments for shards.
+
+    Equal pieces are counted by their digest, and those that occur again are repeated throughout.  One of each kind is
+    left; the pieces of a key that then has few enough go to its shard.  Of the others single windows are counted.
+    """
+    cut = pieces(texts, length, hot_keys)
+    one = F.min(F.struct("id", "hash", "first", "last", "segment")).alias("one")
+    distinct = stored(cut.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("size"), one).select("key", "digest", "size", "one.*"), "distinct-pieces")
+    again = stored(distinct.where("size > 1").select("digest", "size"), "repeated-pieces")
+    whole = shared.attach(cut.select("digest", "id", "hash", "first", "last"), again, "digest", "size", cut.count()).drop("digest")
+    left = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    still = distinct.join(F.broadcast(left.where(F.col("n") > hot).select("key")), "key", "left_semi")  # at most as many as hot keys
+    rest = distinct.join(F.broadcast(left.where(F.col("n") <= hot).select("key")), "key", "left_semi")
+    windows = stored(_window_rows(still, length), "hot-windows")
+    twice = stored(windows.groupBy("digest").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "repeated-windows")
+    single = shared.attach(windows, twice, "digest", "size", windows.count()).drop("digest")
+    return whole.unionByName(single), rest.select("key", "segment", "id", "hash", "first", "last")
+
+
 def ranges(parts: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, hash, first, last): starts of repeated windows, from segments dealt out by key and sorted."""
     names = ["id", "hash", "first", "last"]
@@ -425,6 +500,15 @@ def ranges(parts: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Dat
     return parts.mapInArrow(run, _RANGE)
 
 
+def joined_ranges(found: DataFrame) -> DataFrame:
+    """Ranges of starts that overlap or follow each other as one."""
+    document = Window.partitionBy("id", "hash").orderBy("first", "last")
+    before = F.max("last").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("first") <= before + 1, 0).otherwise(1)).over(document.rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.distinct().withColumn("island", island)
+    return rows.groupBy("id", "hash", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def _kept(rows: DataFrame, length: int) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) from rows (id, data, starts of repeated windows)."""
 
@@ -454,9 +538,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.  ``length`` is GRAM bytes at least."""
     texts = _texts(docs)
     keys = repeated_keys(texts, length)
-    parts = segments(texts, keys, length, hot).repartition("key").sortWithinPartitions("key", "segment")
-    found = ranges(parts, length, shard_bytes).groupBy("id", "hash")
-    found = stored(found.agg(F.collect_set(F.struct("first", "last")).alias("found")), "repeated-ranges")
+    hot_keys = _hot_keys(keys, hot)
+    parts, more = segments(texts, keys, length, hot_keys), None
+    if len(hot_keys):
+        more, rest = hot_ranges(texts, length, hot_keys, hot)
+        parts = parts.unionByName(rest)
+    found = ranges(parts.repartition("key").sortWithinPartitions("key", "segment"), length, shard_bytes)
+    found = joined_ranges(found if more is None else found.unionByName(more)).groupBy("id", "hash")
+    found = stored(found.agg(F.collect_list(F.struct("first", "last")).alias("found")), "repeated-ranges")
     own = [F.coalesce("id", F.lit(-1 << 63)), F.col("hash")]
     bits = shared.filter_bits(found.count())
     marks = found.select(F.explode(F.array(*shared.slots(own, bits))).alias("slot"))

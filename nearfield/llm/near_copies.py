@@ -90,7 +90,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             columns = [pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], names=["row", "doc_id", "node", "bands", "sig"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, node bigint, bands array<bigint>, sig binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(shared.tidy(run), "row bigint, doc_id bigint, node bigint, bands array<bigint>, sig binary")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 columns = [pa.array([_node(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("row"), *columns], names=["row", "node", "found"])
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, node bigint, found binary")
+    return docs.select("row", "text").mapInArrow(shared.tidy(run), "row bigint, node bigint, found binary")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for n in ("a_sig", "sig"))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= agree)) if batch.num_rows else batch.select(["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(shared.tidy(run), "a bigint, b bigint")
 
 
 def _sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
             columns = [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(shared.tidy(run), "a bigint, b bigint")
 
 
 def _block_pairs(rows: DataFrame, stats: DataFrame, total: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _block_pairs(rows: DataFrame, stats: DataFrame, total: int) -> DataFrame:
             columns = [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    return groups.mapInArrow(run, "a bigint, b bigint")
+    return groups.mapInArrow(shared.tidy(run), "a bigint, b bigint")
 
 
 def links(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -12,10 +12,10 @@ A null text is empty: one piece of the end id.  Repeated rows are packed each.
 from __future__ import annotations
 
 import bisect
-import itertools
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm import shared
 from nearfield.session import stored
 
 CAPACITY = 4096
@@ -30,8 +31,8 @@ END_ID = 1
 #: Expected pieces of one length that one task numbers together.
 SLICE_ROWS = 4096
 #: Words whose ids a task remembers between batches of text.
-KNOWN_WORDS = 300_000
-_TEXT_BYTES = 4 << 20  # text tokenised at once
+KNOWN_WORDS = 150_000
+_TEXT_BYTES = 2 << 20  # text tokenised at once
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), ...
@@ -46,10 +47,22 @@ class WordIds:
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {"": []}
+        self.tokenizer = tokenizer
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = {"": 0}  # number of a word, whose ids are from starts[number] on up to the next
+        self.ids, self.starts = array("i"), array("q", [0, 0])
+
+    def _add(self, words: list[str], ids: Iterable[list[int]]) -> None:
+        for word, own in zip(words, ids):
+            if word not in self.known:
+                self.known[word] = len(self.starts) - 1
+                self.ids.extend(own)
+                self.starts.append(len(self.ids))
 
     def _add_letters(self, words: list[str]) -> None:
         for at in range(0, len(words), 8192):
@@ -58,18 +71,19 @@ class WordIds:
             for part, ids in zip(parts, (e.ids for e in found)):
                 cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
                 if len(cuts) == len(part):
-                    self.known.update((word, ids[a:b]) for word, a, b in zip(part, [0, *cuts], cuts))
+                    self._add(part, (ids[a:b] for a, b in zip([0, *cuts], cuts)))
                 else:
                     self._add_single(part)
 
     def _add_single(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+            self._add(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
         if len(self.known) > KNOWN_WORDS:
-            self.known = {"": []}
+            self._clear()
         known, letters, single, parts = self.known, set(), set(), []
         for word in words:
             low = word.lower()
@@ -81,14 +95,22 @@ class WordIds:
                     letters.add(bare)
                 if signs not in known:
                     single.add(signs)
-                parts.append((bare, signs))
+                parts += (bare, signs)
             else:
                 if word not in known:
                     single.add(word)
-                parts.append((word, ""))
+                parts += (word, "")
         self._add_single(list(single))
         self._add_letters(list(letters))
-        return [known[a] + known[b] if b else known[a] for a, b in parts]
+        number = np.fromiter(map(known.__getitem__, parts), np.int32, len(parts))
+        ids, starts = np.array(self.ids, np.int32), np.array(self.starts, np.int64)
+        size = np.diff(starts)[number]
+        return ids[ranges(starts[number], size)], size.reshape(-1, 2).sum(axis=1)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of them, in a row."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def token_ids(word_ids: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,17 +122,12 @@ def token_ids(word_ids: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
-    ids = word_ids(coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))
-    starts = np.cumsum(sizes, dtype=np.int32) - sizes
+    flat, sizes = word_ids(coded.dictionary.to_pylist())
     word = coded.indices.to_numpy()
     size = sizes[word]
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    out = flat[np.repeat(starts[word] - (ends - size), size) + np.arange(total)]
+    out = flat[ranges((np.cumsum(sizes) - sizes)[word], size)]
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return out, np.r_[0, ends][offsets]
+    return out, np.r_[0, np.cumsum(size)][offsets]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -142,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 at = to
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(shared.tidy(run), PIECES)
 
 
 class Multiset:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,27 @@ HASHES = 2
 _BUCKET_BITS = 15  # bitmap_construct_agg makes bitmaps of 32,768 bits
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a task, before and after which memory that is no longer used goes back to the system.
+
+    Python workers live on from task to task and stage to stage, and would else keep what the largest of them needed.
+    """
+
+    def release() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    def whole(batches: Iterator) -> Iterator:
+        release()
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their group, one key of which may own much of the rows.
 

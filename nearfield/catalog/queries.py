@@ -642,6 +642,14 @@ def delete_filter_variant(spark, folder):
     return left.select("id", "label", F.coalesce(F.expr("try_variant_get(payload, '$.quality', 'int')"), F.lit(-1)).alias("quality"))
 
 
+@query("search_filtered_shredded")
+def search_filtered_shredded(spark, folder):
+    """The same on a stored table that keeps the filter's keys as columns beside the payload, by document."""
+    keys = {"lang": "string", "n_chars": "double", "toxic": "double"}
+    kept = stored(flt.shred(given.free_points(spark, folder), keys).sortWithinPartitions("payload_keys.lang"), "points")
+    return _hits(run_queries(kept, given.vector_queries(spark, folder), QueryOptions(where=SEARCH_FILTER)))
+
+
 @query("query_with_vectors")
 def query_with_vectors(spark, folder):
     """Re-ranked hits with their vectors, of which the elements are summed."""

@@ -502,3 +502,4 @@ SQL["embed_cache_runs"] = _with_chunks(
     ", seen AS (SELECT count(DISTINCT text) AS texts, count(DISTINCT text) FILTER (doc_id % 2 = 1) AS odd FROM chunk) "
     "SELECT 1 AS run, odd AS texts FROM seen UNION ALL SELECT 2, texts - odd FROM seen UNION ALL SELECT 3, 0 FROM seen",
 )
+SQL["search_filtered_shredded"] = SQL["search_filtered"]

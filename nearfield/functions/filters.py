@@ -165,6 +165,28 @@ def _lookup(key: str, schema: T.StructType, variant: str | None) -> tuple[Column
     return None
 
 
+#: A struct of payload keys that stand as typed columns beside a variant column has its name and this.
+SHREDDED = "_keys"
+
+
+def shred(df, keys: Mapping[str, str], *, variant: str = "payload"):
+    """``df`` with the named keys of its free payload as typed columns too, in a struct beside it.
+
+    ``keys`` gives ``string``, ``double`` or ``boolean`` for each.  A value of another kind is NULL there.  Filters on
+    these keys compare plain columns, which the scan of a stored table checks against its row groups, and leave the
+    payload itself unread.
+    """
+    kinds = {"string": "string", "double": "number", "boolean": "bool"}
+    if unknown := [kind for kind in keys.values() if kind not in kinds]:
+        raise ValueError(f"unknown kind '{unknown[0]}'; use {', '.join(kinds)}")
+
+    def typed(key: str, kind: str) -> Column:
+        value = F.try_variant_get(F.col(f"`{variant}`"), "$" + "".join(f"['{part}']" for part in key.split(".")), "variant")
+        return F.when(F.schema_of_variant(value).rlike(_VARIANT_KINDS[kinds[kind]]), F.try_variant_get(value, "$", kind))
+
+    return df.withColumn(variant + SHREDDED, F.struct(*[typed(key, kind).alias(key) for key, kind in keys.items()]))
+
+
 def _holds(entry: Mapping[str, Any], column: Column, dtype: T.DataType) -> Column | None:
     """The entry as a comparison on ``column``; None where the types can never agree."""
     if isinstance(dtype, T.ArrayType):
@@ -229,13 +251,24 @@ def compile_filter(
     free = [field.name for field in schema if isinstance(field.dataType, T.VariantType)]
     variant = variant or (free[0] if len(free) == 1 else None)
 
-    def positive(entry: Mapping[str, Any]) -> Column:
+    beside = f"{variant}{SHREDDED}"
+    typed = schema[beside].dataType if variant and beside in schema.names else T.StructType()
+
+    def look_up(entry: Mapping[str, Any]) -> tuple[Column, T.DataType] | None:
+        """Where an entry's key is; a typed column beside the payload, if the entry is of its kind."""
         found = _lookup(entry["key"], schema, variant)
+        if found and isinstance(found[1], T.VariantType) and entry["key"] in typed.names:
+            own = F.col(f"`{beside}`").getField(entry["key"]), typed[entry["key"]].dataType
+            return own if _holds(entry, *own) is not None else found
+        return found
+
+    def positive(entry: Mapping[str, Any]) -> Column:
+        found = look_up(entry)
         held = found and _holds(entry, *found)
         return F.lit(False) if held is None else held
 
     def negative(entry: Mapping[str, Any]) -> Column:
-        found = _lookup(entry["key"], schema, variant)
+        found = look_up(entry)
         held = found and _holds(entry, *found)
         if held is None:
             return F.lit(True)
@@ -248,13 +281,13 @@ def compile_filter(
         by_key: dict[tuple[str, type], list[Any]] = {}
         rest = []
         for entry in entries:
-            found = _lookup(entry["key"], schema, variant)
+            found = look_up(entry)
             scalar = found and not isinstance(found[1], (T.ArrayType, T.VariantType, T.StructType))
             if "match" in entry and scalar and _holds(entry, *found) is not None:
                 by_key.setdefault((entry["key"], type(entry["match"]["value"])), []).append(entry["match"]["value"])
             else:
                 rest.append(positive(entry))
-        lists = [_lookup(key, schema, variant)[0].isin(values) for (key, _), values in by_key.items()]
+        lists = [look_up({"key": key, "match": {"value": values[0]}})[0].isin(values) for (key, _), values in by_key.items()]
         return reduce(operator.or_, lists + rest)
 
     parts = [positive(entry) for entry in spec.get("must") or []]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import METRICS
 from nearfield.operators.points import check_ids, delete_points, replace_docs, small_side, upsert_points, without_keys
-from nearfield.session import remove, stored
+from nearfield.session import remove, settings, stored
 
 
 def scan_documents(docs: DataFrame, *, only_missing: bool = False, embedding: str = "embedding") -> DataFrame:
@@ -27,6 +27,9 @@ def source_status(docs: DataFrame, *, embedding: str = "embedding") -> DataFrame
 
 
 FILE_POINTS = 1_000_000  # about as many points per file of a bucket
+SIZE = "vector_size"  # a column of the stored points
+#: Parquet as a source that answers counts and extremes from the footers of its files.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
 
 
 class PointTable:
@@ -90,10 +93,10 @@ class PointTable:
         except AnalysisException as problem:
             if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-            return self.spark.createDataFrame([], "id string, doc_id string, vector array<double>, bucket int")
+            return self.spark.createDataFrame([], f"id string, doc_id string, vector array<double>, bucket int, {SIZE} int")
 
     def read(self) -> DataFrame:
-        return self._all().drop("bucket")
+        return self._all().drop("bucket", SIZE)
 
     def _distinct(self, buckets: DataFrame) -> list[int]:
         """The buckets in a column of them; as many as the table has, at most."""
@@ -109,14 +112,14 @@ class PointTable:
         sizes = fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per bucket
         files = self.spark.createDataFrame([(r.bucket, -(-r.n // FILE_POINTS)) for r in sizes], "bucket int, files int")
         dealt = fresh.join(F.broadcast(files), "bucket").withColumn("file", F.pmod(F.xxhash64(F.col("id").cast("string")), F.col("files")))
-        dealt = dealt.repartition("bucket", "file").select(*points.columns, "bucket")
+        dealt = dealt.repartition("bucket", "file").select(*points.columns, F.size("vector").alias(SIZE), "bucket")
         writer = dealt.write.mode("overwrite").options(partitionOverwriteMode="dynamic", maxRecordsPerFile=FILE_POINTS)
         writer.partitionBy("bucket").parquet(f"{self.path}/points")
         for bucket in set(touched) - {r.bucket for r in sizes}:
             remove(self.spark, f"{self.path}/points/bucket={bucket}")
 
     def _in(self, touched: list[int]) -> DataFrame:
-        return self._all().where(F.col("bucket").isin(touched)).drop("bucket")
+        return self._all().where(F.col("bucket").isin(touched)).drop("bucket", SIZE)
 
     def upsert(
         self, new: DataFrame, *, order: str | None = None, metric: str = "cosine", create_if_missing: bool = True, uuids: bool = False
@@ -183,9 +186,22 @@ class PointTable:
         touched = self._distinct(own.unionByName(theirs))
         self._rewrite(replace_docs(self._in(touched), new, docs, doc_id=doc_id), touched)
 
+    def totals(self) -> DataFrame:
+        """One row: number of points, smallest and largest vector size, to be planned within ``FOOTERS``.
+
+        Sizes are a column of their own, so these come from the footers of the files and no point is read.
+        """
+        return self._all().agg(F.count(F.lit(1)).alias("points"), F.min(SIZE).alias("min_dim"), F.max(SIZE).alias("max_dim"))
+
     def info(self) -> DataFrame:
         """One row: number of points, vector size and metric."""
         dim, metric = self.spec() or (None, None)
-        return self.read().agg(
-            F.count(F.lit(1)).alias("points"), F.lit(dim).cast("int").alias("dim"), F.lit(metric).cast("string").alias("metric")
-        )
+        with settings(self.spark, FOOTERS):
+            points = self.totals().first().points
+        return self.spark.createDataFrame([(points, dim, metric)], "points bigint, dim int, metric string")
+
+    def fits(self) -> bool:
+        """Whether all vectors have the table's size."""
+        with settings(self.spark, FOOTERS):
+            found = self.totals().first()
+        return not found.points or (found.min_dim, found.max_dim) == (self.spec()[0],) * 2

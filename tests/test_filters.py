@@ -166,3 +166,30 @@ def test_random_filters(spark):
             assert got[f"f{i}"] == passes(row, spec), (row, spec)
     for spec in specs[:10]:
         assert {r.id for r in flt.filter_rows(df, spec).collect()} == {r["id"] for r in rows if passes(r, spec)}
+
+
+def test_shredded_payload_agrees_and_is_pushed_down(spark, tmp_path):
+    """Keys that stand beside the payload as columns: the same rows, row groups skipped, payload not read."""
+    from nearfield.functions import filters as flt
+    from pyspark.sql import functions as F
+
+    payloads = [{"lang": "en", "n": 3, "ok": True}, {"lang": "fr", "n": 2.5}, {"lang": 7, "n": "3", "ok": "true"}, {"n": None}, {}, {"lang": "en", "n": 10**6}]
+    import json
+
+    rows = [(i, json.dumps(payloads[i % len(payloads)])) for i in range(60)]
+    free = spark.createDataFrame(rows, "id long, body string").select("id", F.parse_json("body").alias("payload"))
+    shredded = flt.shred(free, {"lang": "string", "n": "double", "ok": "boolean"})
+    specs = [
+        flt.match("lang", "en"), flt.match("lang", 7), flt.match("n", 3), flt.match("n", "3"), flt.range_("n", gte=2.5, lt=100), flt.match("ok", True),
+        flt.none_of("lang", ["en", "fr"]), flt.any_of("lang", ["fr", "de"]), flt.none_of("n", [3]),
+        {"must": [{"key": "lang", "match": {"value": "en"}}], "must_not": [{"key": "n", "range": {"gt": 5}}]},
+    ]
+    shredded.orderBy(F.col("payload_keys.lang")).write.parquet(str(tmp_path / "points"))
+    kept = spark.read.parquet(str(tmp_path / "points"))
+    for spec in specs:
+        want = sorted(r.id for r in flt.filter_rows(free, spec).collect())
+        assert sorted(r.id for r in flt.filter_rows(kept, spec).collect()) == want
+    plan = flt.filter_rows(kept, specs[0]).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(payload_keys.lang,en)" in plan and "variant" not in plan.split("ReadSchema")[1]
+    with pytest.raises(ValueError, match="unknown kind"):
+        flt.shred(free, {"lang": "text"})

@@ -136,3 +136,20 @@ def test_point_table_requests(spark, old, tmp_path):
     assert table.delete(doc_id="d2") == ("doc_id", 1)
     assert table.delete(ids=["nobody"]) == ("ids", 0)
     assert {r.id for r in table.read().collect()} == {"n"}
+
+
+def test_info_comes_from_footers(spark, old, tmp_path):
+    from nearfield.session import settings
+    from nearfield.sources.tables import FOOTERS
+
+    table = PointTable(spark, str(tmp_path / "points"))
+    table.upsert(old)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    with settings(spark, FOOTERS):
+        plan = table.totals()._jdf.queryExecution().toString()
+        assert "PushedAggregation: [COUNT(*), MIN(vector_size), MAX(vector_size)]" in plan
+        assert table.totals().first().asDict() == {"points": 3, "min_dim": 2, "max_dim": 2}
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    assert table.info().first().asDict() == {"points": 3, "dim": 2, "metric": "cosine"} and table.fits()
+    assert "vector_size" not in table.read().columns
+    assert PointTable(spark, str(tmp_path / "none")).info().first().points == 0

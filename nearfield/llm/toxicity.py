@@ -68,7 +68,6 @@ _EDGE = frozenset(c for c in map(chr, range(0xE1000)) if _NOISE.match(c) or c in
 _TEXT_BYTES = 2 << 20
 #: Words whose counts a task holds before it hands them on.
 COUNTED = 100_000
-_HELD = 1024  # places of a lattice after which the likeliest reading so far is settled, if none of them has settled it
 
 
 def _symbol_table() -> np.ndarray:
@@ -99,11 +98,11 @@ class CharModel:
 
     def read(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest reading: one choice (characters, log-chance) of each place."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        settled, held = [], 0
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        settled: list[str] = []
         for choices in [*lattice, [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, back) in states.items():
                 for chars, chance in choices:
                     x, y, total = a, b, score + chance
                     for char in chars:
@@ -111,14 +110,22 @@ class CharModel:
                         total += float(self.log[x, y, z])
                         x, y = y, z
                     if (x, y) not in after or total > after[x, y][0]:
-                        after[x, y] = (total, text + chars)
-            states, held = after, held + 1
-            # All readings share what led to a single state, so texts of any length are read in linear time.
-            if len(states) == 1 or held == _HELD:
-                last = max(states, key=lambda s: states[s])
-                settled.append(states[last][1])
-                states, held = {last: (0.0, "")}, 0
-        return "".join([*settled, max(states.values())[1]]).strip()
+                        after[x, y] = (total, (chars, back))  # readings share what they have in common
+            states = after
+            if len(states) == 1:  # all readings agree on what led here
+                (last, (_, back)) = next(iter(states.items()))
+                settled.append(_spelt(back))
+                states = {last: (0.0, None)}
+        return "".join([*settled, _spelt(max(states.values(), key=lambda s: s[0])[1])]).strip()
+
+
+def _spelt(back: tuple | None) -> str:
+    """The characters that lead to the end of a chain of (characters, what was before)."""
+    out = []
+    while back is not None:
+        out.append(back[0])
+        back = back[1]
+    return "".join(reversed(out))
 
 
 def lattice(text: str, blanks: bool = False) -> list[list[tuple[str, float]]]:
@@ -339,11 +346,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, dict[str, flo
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Copies bear witness once: of texts whose sentences have the same smallest hash, one row is learned from.
-    sentences = F.filter(F.split(F.lower("text"), r"[.\n]+"), lambda part: F.length(part) > 20)
-    sketch = F.coalesce(F.array_min(F.transform(sentences, lambda part: F.xxhash64(part))), F.xxhash64("text"))
-    sample = sample.join(F.broadcast(chosen), "doc_id").select("text", "toxic", sketch.alias("sketch"))
-    sample = sample.dropDuplicates(["sketch", "toxic"]).drop("sketch")
+    # Copies bear witness once: of texts that are equal but for case and white space, the row of the least id.
+    same = F.xxhash64(F.btrim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
+    sample = sample.join(F.broadcast(chosen), "doc_id").groupBy(same.alias("same"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one"))
+    sample = sample.select("one.text", "toxic")
     return model, *telling_words(stored(sample, "labelled"), model)
 
 

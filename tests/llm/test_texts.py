@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -100,6 +101,35 @@ def test_language(spark):
     assert language.dictionaries(docs.limit(0)) == {}
 
 
+def test_language_against_one_compressor_at_a_time(spark):
+    """Samples come from anywhere in a text, copies count once, and numerals are no letters."""
+    import zstandard
+
+    draw = random.Random(6)
+    speech = {"aa": ["kalo", "mira", "tus", "fena"], "bb": ["zwork", "schlim", "prat", "grun"], "cc": ["ελα", "νερο", "φως", "γη"]}
+    text = lambda lang, n: " ".join(draw.choice(speech[lang]) for _ in range(n))
+    rows = [(i, text(lang, 900), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 10)]
+    rows += [(100 + i, rows[0][1], "aa") for i in range(50)]
+    learned = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    assert set(learned) == set(speech) and all(len(d) <= language.DICTIONARY_BYTES + 100 for d in learned.values())
+    heads = [language.letters(t[: language.SAMPLE_CHARS]) for _, t, lang in rows if lang == "bb"]
+    assert not all(head in learned["bb"] for head in heads)  # not from the start only
+    asked = [(i, text(lang, draw.choice([1, 3, 40, 3000]))) for i, lang in enumerate(["aa", "bb", "cc"] * 8)] + [(90, "² ½ ① Ⅷ"), (91, "²x"), (92, "🙂 12")]
+    how = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_GREEDY, window_log=18, chain_log=16, hash_log=17, search_log=4, min_match=4,
+        target_length=0, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    want = {}
+    for i, t in asked:
+        data, sizes = language.letters(t), {}
+        for name, content in learned.items():
+            packer = zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes[name] = sum(len(packer.compress(data[at : at + 4096])) for at in range(0, len(data), 4096))
+        want[i] = min(sizes, key=lambda n: (sizes[n], n)) if any(c.isalpha() for c in t) else "und"
+    got = language.languages(spark.createDataFrame(asked, "doc_id long, text string"), learned).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == want and want[90] == want[92] == "und" != want[91]
+
+
 @pytest.fixture(scope="module")
 def toxic(spark):
     draw = random.Random(4)
@@ -146,14 +176,48 @@ def test_words_between_signs_are_restored(toxic, text, hit):
     assert (score >= 0.5) == bool(hit)
 
 
-def test_settled_readings_are_the_likeliest(toxic, monkeypatch):
-    """A text whose states never come down to one is read alike in pieces, and in linear time."""
+@pytest.mark.parametrize("blanks", [False, True])
+@pytest.mark.parametrize("word", ["1d10t", "$tup1d", "a*s", "he11o", "cooool", "b-a-d", "i.d+1o_t", "ssss", "st4**d", "0"])
+def test_readings_are_the_likeliest_of_all(toxic, word, blanks):
+    model = toxic[0]
+    places = toxicity.lattice(word, blanks)
+    best, at_best = -1e9, set()
+    for path in itertools.product(*places):
+        score, x, y = sum(chance for _, chance in path), 0, 0
+        text = "".join(chars for chars, _ in path)
+        for char in text + " ":
+            z = model.symbol(char)
+            score += float(model.log[x, y, z])
+            x, y = y, z
+        if score > best + 1e-9:
+            best, at_best = score, set()
+        if score > best - 1e-9:
+            at_best.add(text.strip())
+    assert model.read(places) in at_best
+
+
+def test_long_readings(toxic):
+    """A text whose states never come down to one is read whole, in linear time."""
     model = toxic[0]
     assert model.read(toxicity.lattice("1d10t")) in model.read(toxicity.lattice("the-1d10t-on", blanks=True)).split()
     places = toxicity.lattice("10" * 50_000)
     assert len(model.read(places)) == 100_000
 
 
+def test_labelled_copies_are_learned_from_once(spark):
+    texts = [(1, "bad words here. A shared sentence of some length."), (2, "Bad  words here. a shared sentence of some length. "),
+             (3, "other words. A shared sentence of some length."), (4, None), (5, None)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in texts] + [(9, 0)], "doc_id long, toxic int")
+    seen = []
+    original = toxicity.telling_words
+    toxicity.telling_words = lambda rows, model: (seen.extend(tuple(r) for r in rows.collect()), ({}, 0.1))[1]
+    try:
+        toxicity.fitted(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    finally:
+        toxicity.telling_words = original
+    assert sorted(t or "" for t, _ in seen) == ["", texts[0][1], texts[2][1]]
+
+
 def test_toxicity_of_tables(spark, toxic):
     docs = spark.createDataFrame([(1, "an idiot", 9), (1, "an idiot", 9), (None, None, 9), (3, "the on", 9)], "doc_id long, text string, score int")
     got = toxicity.scores(docs.select("doc_id", "text"), *toxic).collect()

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield.llm.reputation import LONG_SUFFIXES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -148,7 +150,8 @@ def op5_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
     outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     judged = reputation.judge(table(spark, folder, "pages"), outcomes, RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    numbers = [F.round(name, 6).alias(name) for name in ("rate", "bound")]
+    return judged.select("page_id", "host", "path", "rule", "verdict", *numbers)
 
 
 def _level(name: str, above: str | None) -> str:
@@ -171,11 +174,16 @@ WITH urls AS (
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 outcomes AS (
   SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-hosts AS (
-  SELECT host AS name, regexp_extract(host, '[^.]*[.][^.]*$|^[^.]*$') AS parent, count(o.bad) AS n,
+counted AS (
+  SELECT host AS name, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS labels, count(o.bad) AS n,
          coalesce(sum(o.bad), 0)::BIGINT AS bad FROM urls LEFT JOIN outcomes o ON doc_id = page_id GROUP BY host),
+named AS (
+  SELECT *, CASE WHEN list_contains({list(LONG_SUFFIXES)}, array_to_string(labels[-2:], '.')) THEN 2 ELSE 1 END AS depth FROM counted),
+hosts AS (
+  SELECT name, n, bad, array_to_string(labels[-depth:], '.') AS suffix, CASE WHEN regexp_matches(array_to_string(labels, '.'), '^[0-9.]*$|\\]$')
+         THEN array_to_string(labels, '.') ELSE array_to_string(labels[-depth - 1:], '.') END AS parent FROM named),
 domains AS (
-  SELECT parent AS name, regexp_extract(parent, '[^.]*$') AS parent, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+  SELECT parent AS name, suffix AS parent, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixs AS (
   SELECT parent AS name, sum(n) AS n, sum(bad) AS bad,
          (sum(sum(bad)) OVER () + 0.5) / (sum(sum(n)) OVER () + 10.0) AS mean FROM domains GROUP BY parent),
@@ -191,7 +199,8 @@ rules AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM urls)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN post - 1.645 * sqrt(post * (1 - post) / (n + strength + 1)) > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN post - 1.645 * sqrt(post * (1 - post) / (n + strength + 1)) > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
+  round(post, 6) AS rate, round(post - 1.645 * sqrt(post * (1 - post) / (n + strength + 1)), 6) AS bound
 FROM rules JOIN host_posts ON name = host
 """
 

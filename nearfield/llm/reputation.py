@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from nearfield.llm import shared
 from nearfield.session import stored
 
-#: Suffixes of more than one label under which domains are registered.
+#: Suffixes of more than one label under which domains are registered, where no table of them is given.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za")
 #: A host is blocked if its rate of bad pages is surely above this, by so many posterior deviations.
 MAX_BAD, DEVIATIONS = 0.3, 1.645
@@ -45,15 +45,37 @@ def fitting_rule(rules: Sequence[Rule]) -> Column:
     return found
 
 
-def suffix(name: Column) -> Column:
-    last, two = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(last)
+def registered(hosts: DataFrame, suffixes: DataFrame | Sequence[str] = LONG_SUFFIXES) -> DataFrame:
+    """``hosts`` (with ``host``) and their ``domain`` and ``suffix``.
 
-
-def domain(name: Column) -> Column:
-    """The suffix and one label before it; an address in numbers is its own domain."""
-    labels = F.when(F.substring_index(name, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(name, ".", -3))
-    return F.when(name.rlike(r"^[0-9.]*$|\]$"), name).otherwise(F.coalesce(labels, F.substring_index(name, ".", -2)))
+    ``suffixes`` are the names under which domains are registered, as a list or a table (suffix) in the form of the public
+    suffix list: the longest that ends a host counts, ``*.`` stands for any label, ``!`` takes a name out again, and
+    a host that none ends has its last label as suffix.  A domain is its suffix and one label before it; an address in
+    numbers is its own.  User parts and ports are not of the name.
+    """
+    spark = hosts.sparkSession
+    if not isinstance(suffixes, DataFrame):
+        suffixes = spark.createDataFrame([(s,) for s in suffixes], "suffix string")
+    rules = suffixes.select(F.lower(F.regexp_replace("suffix", r"^!|^[*][.]", "")).alias("tail"), F.substring("suffix", 1, 1).alias("kind"))
+    rules = rules.where("tail <> ''").groupBy("tail").agg(
+        F.max((F.col("kind") == "!").cast("int")).alias("less"), F.max((F.col("kind") == "*").cast("int")).alias("more")
+    )
+    rules = stored(rules, "suffix-rules")
+    deepest = rules.agg(F.max(F.size(F.split("tail", "[.]")))).first()[0] or 1
+    bare = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
+    named = hosts.withColumn("_bare", bare)
+    tails = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(deepest)), lambda n: F.call_function("substring_index", F.col("_bare"), F.lit("."), -n)))
+    asked = named.select("host", "_bare", F.explode(tails).alias("tail"))
+    side = F.broadcast(rules) if rules.count() <= shared.BROADCAST_ROWS else rules
+    labels = F.size(F.split("tail", "[.]"))
+    # How many labels the suffix has; an exception goes before all other rules.
+    length = F.when(F.col("less") == 1, F.lit(1000) + labels - 1).when(F.col("more") == 1, labels + 1).otherwise(labels)
+    best = asked.join(side, "tail").groupBy("host").agg(F.max(length).alias("_labels"))
+    found = named.join(best, "host", "left").withColumn("_labels", F.coalesce(F.when(F.col("_labels") >= 1000, F.col("_labels") - 1000).otherwise(F.col("_labels")), F.lit(1)))
+    last = lambda n: F.call_function("substring_index", F.col("_bare"), F.lit("."), -n)
+    address = F.col("_bare").rlike(r"^[0-9.]*$|\]$")
+    found = found.withColumn("suffix", last(F.col("_labels"))).withColumn("domain", F.when(address, F.col("_bare")).otherwise(last(F.col("_labels") + 1)))
+    return found.drop("_bare", "_labels")
 
 
 def _strength(units: DataFrame) -> float:
@@ -76,10 +98,9 @@ def _shrunk(units: DataFrame) -> tuple[DataFrame, float]:
     return units.withColumn("post", (F.col("bad") + strength * F.col("mean")) / (F.col("n") + strength)), strength
 
 
-def reputations(hosts: DataFrame, max_bad: float, deviations: float) -> DataFrame:
+def reputations(hosts: DataFrame, max_bad: float, deviations: float, suffixes: DataFrame | Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """Stored ``hosts`` (host, pages, n, bad) with rate, bound and verdict."""
-    bare = F.regexp_replace("host", r"^.*@|:[0-9]*$", "")
-    hosts = stored(hosts.withColumn("domain", domain(bare)).withColumn("suffix", suffix(bare)), "hosts")
+    hosts = stored(registered(stored(hosts, "counted-hosts"), suffixes), "hosts")
     sums = [F.sum(c).alias(c) for c in ("pages", "n", "bad")]
     domains = stored(hosts.groupBy("domain", "suffix").agg(*sums, F.count(F.lit(1)).alias("units")), "domains")
     suffixes = stored(domains.groupBy("suffix").agg(*sums, F.count(F.lit(1)).alias("units")), "suffixes")
@@ -100,7 +121,12 @@ def reputations(hosts: DataFrame, max_bad: float, deviations: float) -> DataFram
 
 
 def judge(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], max_bad: float = MAX_BAD, deviations: float = DEVIATIONS
+    pages: DataFrame,
+    outcomes: DataFrame,
+    rules: Sequence[Rule],
+    max_bad: float = MAX_BAD,
+    deviations: float = DEVIATIONS,
+    suffixes: DataFrame | Sequence[str] = LONG_SUFFIXES,
 ) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, and the host's rate and bound; ``outcomes`` are (page_id, bad)."""
     url = F.col("url").cast("string")
@@ -111,7 +137,7 @@ def judge(
     hosts = counted.groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    rated = stored(reputations(hosts, max_bad, deviations), "reputations")
+    rated = stored(reputations(hosts, max_bad, deviations, suffixes), "reputations")
     judged = shared.attach(rows, rated, "host", "pages", rows.count()).withColumn("found", fitting_rule(rules))
     verdict = F.coalesce("found.verdict", "by_host").alias("verdict")
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict, "rate", "bound")

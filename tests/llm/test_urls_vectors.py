@@ -132,3 +132,18 @@ def test_graph_finds_the_nearest(vectors):
     assert np.mean(np.isclose(distance, want, atol=1e-3)) > 0.95
     sizes = [len(p) for p in np.array_split(vectors, 200)]
     assert max(sizes) <= 2 * min(sizes)
+
+
+def test_registered_domains_by_a_table_of_suffixes(spark):
+    rules = spark.createDataFrame([(s,) for s in ("com", "co.uk", "*.ck", "!www.ck", "github.io", "b.c.example")], "suffix string")
+    want = {
+        "a.b.com": ("b.com", "com"), "com": ("com", "com"), "x.co.uk": ("x.co.uk", "co.uk"), "y.x.co.uk": ("x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "a.b.foo.ck": ("b.foo.ck", "foo.ck"), "www.ck": ("www.ck", "ck"), "z.www.ck": ("www.ck", "ck"), "me.github.io": ("me.github.io", "github.io"),
+        "a.unknown.zz": ("unknown.zz", "zz"), "a.b.c.example": ("a.b.c.example", "b.c.example"), "127.0.0.1": ("127.0.0.1", "1"), "": ("", ""), "u@m.x.com:80": ("x.com", "com"),
+    }
+    hosts = spark.createDataFrame([(h, 1) for h in want], "host string, pages int")
+    got = {r.host: (r.domain, r.suffix) for r in reputation.registered(hosts, rules).collect()}
+    assert got == want
+    short = {r.host: (r.domain, r.suffix) for r in reputation.registered(hosts).collect()}
+    assert short["y.x.co.uk"] == ("x.co.uk", "co.uk") and short["me.github.io"] == ("github.io", "io")
+    assert reputation.registered(hosts, rules.limit(0)).count() == len(want)

@@ -734,7 +734,8 @@ def cdc_recovered(spark, folder):
 def sheet_stream(spark, folder):
     """A sheet exported as CSV, taken in by the scheduled query."""
     inbox = scratch_path(spark, "exports")
-    rows = given.sheet(spark, folder).select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn").coalesce(1)
+    rows = given.sheet(spark, folder).select("conv_id", "turn", "role", "text")
+    rows = rows.repartitionByRange("conv_id").sortWithinPartitions("conv_id", "turn")  # all turns of a talk in one file
     plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows.write.options(**plain).csv(inbox)
     log = ChangeLog(spark, scratch_path(spark, "change-log"))
@@ -787,7 +788,7 @@ def ensure_dataset(spark, folder):
 
 @query("csv_from_files")
 def csv_from_files(spark, folder):
-    """Customers exported as CSV and read again."""
+    """Customers exported as CSV and read again; rows are numbered within a file, so it is one file."""
     path = scratch_path(spark, "csv")
     columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     given.table(spark, folder, "customer").select(*columns).orderBy("c_custkey").coalesce(1).write.option("header", True).csv(path)

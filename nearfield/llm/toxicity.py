@@ -264,10 +264,14 @@ def _document_features(words: Words, model: CharModel) -> list[set[str]]:
 
 
 def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, float], float]:
-    """Features with their toxic share, learned from rows (text, toxic); and the share of toxic rows with none of them."""
+    """Features with their toxic share, learned from rows (text, toxic, witness); and the share of toxic rows with none of them.
+
+    What several rows of one witness say counts once: a feature has as many voices as witnesses have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter(), Counter()]
+        at, own = None, set()  # the witness whose rows are being read, and its features so far
 
         def counted() -> Iterator[pa.RecordBatch]:
             for toxic, counter in enumerate(seen):
@@ -277,17 +281,25 @@ def telling_words(labelled: DataFrame, model: CharModel) -> tuple[dict[str, floa
 
         for batch in _parts(batches, _TEXT_BYTES // 4):
             found = _document_features(Words(batch.column("text")), model)
-            for toxic, features in zip(batch.column("toxic").to_pylist(), found):
-                seen[toxic].update(features)
+            found += [set()] * (batch.num_rows - len(found))
+            for witness, toxic, features in zip(batch.column("witness").to_pylist(), batch.column("toxic").to_pylist(), found):
+                if (witness, toxic) != at:
+                    if at is not None:
+                        seen[at[1]].update(own)
+                    at, own = (witness, toxic), set()
+                own |= features
             if sum(map(len, seen)) > COUNTED:
                 yield from counted()
+        if at is not None:
+            seen[at[1]].update(own)
         yield from counted()
 
-    totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.countDistinct("witness").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return {}, MOST_BASE if bad else 0.5 / (good + 10.0)
-    counts = labelled.mapInArrow(run, "feature string, n bigint, toxic int").groupBy("feature")
+    together = labelled.select("witness", "toxic", "text").repartition("witness").sortWithinPartitions("witness", "toxic")
+    counts = together.mapInArrow(run, "feature string, n bigint, toxic int").groupBy("feature")
     counts = counts.agg(
         F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("bad"), F.sum("n").alias("all")
     )
@@ -346,10 +358,13 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, dict[str, flo
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Copies bear witness once: of texts that are equal but for case and white space, the row of the least id.
+    # Of texts that are equal but for case and white space the row of the least id is learned from.  Rows that share their
+    # sentence of the smallest hash are one witness, so a passage that many rows have doesn't speak for itself many times.
     same = F.xxhash64(F.btrim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
     sample = sample.join(F.broadcast(chosen), "doc_id").groupBy(same.alias("same"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("one"))
-    sample = sample.select("one.text", "toxic")
+    sentences = F.filter(F.split(F.lower("text"), r"[.\n]+"), lambda part: F.length(part) > 20)
+    witness = F.coalesce(F.array_min(F.transform(sentences, lambda part: F.xxhash64(part))), F.xxhash64("text"))
+    sample = sample.select("one.text", "toxic").withColumn("witness", witness)
     return model, *telling_words(stored(sample, "labelled"), model)
 
 

@@ -289,3 +289,37 @@ def op12_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     from nearfield.llm import jaccard_join
 
     return jaccard_join.components(table(spark, folder, "documents"))
+
+
+SQL["op12_partenum_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM docs),
+members AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS component_id FROM sets
+"""
+
+SQL["op6_suffix_dedup"] = """
+WITH docs AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+starts AS MATERIALIZED (
+  SELECT r, s, hash(array_slice(b, s + 1, s + 200)) AS mark FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS s FROM docs)),
+again AS (SELECT r, s FROM starts WHERE mark IN (SELECT mark FROM starts GROUP BY mark HAVING count(*) > 1)),
+runs AS (
+  SELECT r, min(s) AS first, max(s) + 200 AS stop FROM (
+    SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS run FROM (
+      SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM again))
+  GROUP BY r, run),
+kept AS (
+  SELECT r, count(*) AS spans, sum(stop - first) AS removed, list(first ORDER BY first) AS firsts, list(stop ORDER BY first) AS stops FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN spans IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(1, len(firsts) + 2), lambda i:
+    hex(array_slice(b, CASE WHEN i = 1 THEN 1 ELSE stops[i - 1] + 1 END, coalesce(firsts[i], octet_length(b))))), '')) END) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import shared
-from nearfield.session import stored
+from nearfield.session import settings, stored
 
 WORDS, SEED = 5, 42
 LEAST = 0.8
@@ -130,7 +130,8 @@ def _sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     bits = shared.filter_bits(wanted.count())
     marks = wanted.select(F.explode(F.array(*shared.slots([F.col("row")], bits))).alias("slot"))
     texts = shared.maybe_in(docs.select("row", "text"), shared.filter_table(marks, "candidate-filter"), [F.col("row")], bits, "maybe")
-    return stored(sets(texts.where("maybe")).join(wanted.select("row"), "row").select("node", "found"), "candidate-sets")
+    with settings(docs.sparkSession, shared.SMALL_BATCHES):
+        return stored(sets(texts.where("maybe")).join(wanted.select("row"), "row").select("node", "found"), "candidate-sets")
 
 
 def _verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -248,7 +249,8 @@ def without_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` with one row of each group, all columns kept."""
     wide = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")), "numbered")
     texts = wide.select("row", F.col("all.doc_id").cast("bigint").alias("doc_id"), F.col("all.text").cast("string").alias("text"))
-    marks = stored(sketches(texts), "sketches")
+    with settings(docs.sparkSession, shared.SMALL_BATCHES):
+        marks = stored(sketches(texts), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
     nodes = marks.groupBy("node").agg(first, F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     nodes = stored(nodes.withColumn("row", F.col("first.row")), "nodes")

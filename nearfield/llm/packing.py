@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import shared
-from nearfield.session import stored
+from nearfield.session import settings, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -325,7 +325,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """One row per piece, with the sequence it is in and its offset there."""
     spark = docs.sparkSession
     key = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())  # fixed once stored
-    cut = stored(pieces(docs, tokenizer_path, capacity, end_id).withColumn("key", key), "pieces")
+    with settings(spark, shared.SMALL_BATCHES):
+        cut = stored(pieces(docs, tokenizer_path, capacity, end_id).withColumn("key", key), "pieces")
     # At most one row per length up to the capacity.
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     fixed, remain = reduce(counts, capacity)

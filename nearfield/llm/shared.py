@@ -18,6 +18,8 @@ BROADCAST_ROWS = 50_000
 MAX_FILTER_BITS = 1 << 31
 BITS_PER_KEY = 16
 HASHES = 2
+#: For steps on whole texts: an Arrow batch of ten thousand rows takes tens of MB, in the JVM and in the worker.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _BUCKET_BITS = 15  # bitmap_construct_agg makes bitmaps of 32,768 bits
 
 

@@ -9,6 +9,7 @@ task's work.  Rows travel in packs, so a block that is needed in several places
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ from nearfield.operators.topk import BestK, partial_rows
 
 PACK_ROWS = 1024
 BLOCK_POINTS = 250_000  # about as many points meet a block of queries in one task
+BLOCK_QUERIES = 1 << 16  # most queries of a block; every point travels once for each block of queries
+BLOCK_BYTES = 32 << 20  # ... and most bytes of their vectors
+BLOCK_HITS = 1_000_000  # ... and most hits that a task keeps for them
 MOST_PARTITIONS = 20_000
 
 
@@ -56,16 +60,27 @@ def _pack(rows: DataFrame, width: int, ids: str) -> DataFrame:
     )
 
 
+def block_rows(width: int, k: int) -> int:
+    """How many queries of ``width`` values a block holds.
+
+    What fits a task's memory, however few queries would be sent to every task: smaller blocks only copy the points
+    more often.
+    """
+    return max(1, min(BLOCK_QUERIES, BLOCK_HITS // k, BLOCK_BYTES // (8 * max(1, width))))
+
+
 def block_counts(sizes: list[tuple[int, int, int]], query_rows: int, tasks: int) -> list[tuple[int, int, int]]:
     """(cell, blocks of queries, blocks of points) for cells of (cell, queries, points).
 
-    Points get blocks until all cells together keep ``tasks`` tasks busy, as far as a cell's share of the work goes.
+    Both get blocks until all cells together keep ``tasks`` tasks busy, as far as a cell's share of the work goes: queries
+    about the root of twice its tasks, as each block of points copies them and adds hits, and points what is left.
     """
     work = sum(q * p for _, q, p in sizes) or 1
     out = []
     for cell, queries, points in sizes:
-        q_parts = max(1, -(-queries // query_rows))
-        fair = -(-tasks * queries * points // (work * q_parts))
+        share = -(-tasks * queries * points // work)
+        q_parts = max(1, -(-queries // query_rows), min(math.isqrt(2 * share), queries // PACK_ROWS))
+        fair = -(-share // q_parts)
         out.append((cell, q_parts, max(1, -(-points // BLOCK_POINTS), min(fair, -(-points // PACK_ROWS)))))
     return out
 

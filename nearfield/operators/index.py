@@ -19,7 +19,7 @@ from pyspark.sql.functions import arrow_udf
 
 from nearfield.functions.filters import Filter, cells_may_hold, compile_filter
 from nearfield.functions.vectors import arrow_vectors, matrix
-from nearfield.operators.blockjoin import block_counts, meet
+from nearfield.operators.blockjoin import block_counts, block_rows, meet
 from nearfield.operators.search import (
     BROADCAST_ROWS,
     attach_payload,
@@ -213,7 +213,7 @@ def search_index(
     routed = _routed(asked, cells, probes, enough, width)
     demand = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per cell
     sizes = [(c, q, int(cells.counts[c]) if c >= 0 else cells.extra) for c, q in sorted(demand.items())]
-    parts = block_counts(sizes, rows, 2 * spark.sparkContext.defaultParallelism)
+    parts = block_counts(sizes, block_rows(width, k), 2 * spark.sparkContext.defaultParallelism)
     points = points.where(F.col("cell").isin([c for c, _, _ in sizes]))
     return merge_best(meet(points, routed, parts, k, metric, threshold, width, schema), k, metric)
 

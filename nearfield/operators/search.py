@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.filters import Filter, compile_filter
 from nearfield.functions.vectors import METRICS, matrix
-from nearfield.operators.blockjoin import block_counts, meet
+from nearfield.operators.blockjoin import block_counts, block_rows, meet
 from nearfield.operators.topk import BestK, partial_rows
 
 MAX_K = 1000  # fixed value: largest topK and fetchK of a request
@@ -98,8 +98,7 @@ def search(
         partial = scan_points(candidates, batch, k, metric, threshold, schema)
     else:
         n, width = measure(asked, "vector")
-        rows = batch_rows(width, k, max(1, broadcast_rows))
-        partial = _by_blocks(candidates, asked, n, width, k, metric, threshold, schema, rows)
+        partial = _by_blocks(candidates, asked, n, width, k, metric, threshold, schema)
     return merge_best(partial, k, metric)
 
 
@@ -157,11 +156,11 @@ def scan_points(
 
 
 def _by_blocks(
-    points: DataFrame, queries: DataFrame, n: int, width: int, k: int, metric: str, threshold: float | None, schema: str, rows: int
+    points: DataFrame, queries: DataFrame, n: int, width: int, k: int, metric: str, threshold: float | None, schema: str
 ) -> DataFrame:
     """Queries that are too many for one batch meet the points block by block, in tasks."""
     sizes = [(0, n, points.count())]
-    parts = block_counts(sizes, rows, 2 * points.sparkSession.sparkContext.defaultParallelism)
+    parts = block_counts(sizes, block_rows(width, k), 2 * points.sparkSession.sparkContext.defaultParallelism)
     cell = F.lit(0).alias("cell")
     asked = queries.select(cell, "query_id", "vector")
     return meet(points.select(cell, "id", "vector"), asked, parts, k, metric, threshold, width, schema)

@@ -225,6 +225,20 @@ def test_blocks_of_queries_meet_blocks_of_points(data, frames, metric, monkeypat
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("most", [3, 100])
+def test_points_travel_once_for_each_block_of_queries(data, frames, most, monkeypatch):
+    """A block holds what fits a task, not just what would be sent to every task, and many blocks find the same."""
+    from nearfield.operators import blockjoin
+    from nearfield.operators import search as module
+
+    monkeypatch.setattr(blockjoin, "BLOCK_QUERIES", most)
+    seen = []
+    monkeypatch.setattr(module, "meet", lambda points, queries, parts, *more: seen.append(parts) or blockjoin.meet(points, queries, parts, *more))
+    assert listed(search(*frames, 7, broadcast_rows=2)) == brute(*data, 7, "cosine")
+    [(_, q_parts, _)] = seen[0]
+    assert q_parts == -(-len(data[1]) // most)
+
+
 def test_many_copies_of_one_point_and_one_query(spark):
     points = [(i, [1.0, 0.0]) for i in range(3000)] + [(5000 + i, [0.0, float(i + 1)]) for i in range(5)]
     queries = [(i, [1.0, 0.001 * i]) for i in range(50)]

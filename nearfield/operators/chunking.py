@@ -15,6 +15,7 @@ from nearfield.functions import text as tx
 
 SEARCH_RADIUS = 200  # fixed value: furthest a sentence end is looked for, in characters
 RADIUS_SHARE = 0.1  # fixed value: ... and at most this share of the text
+TEXTS = 64  # texts that a task has in hand at a time
 SHIFT_SHARE = 0.3  # fixed value: a sentence end must lie within this share of the chunk size
 
 
@@ -150,25 +151,26 @@ def _cutter(size: int, overlap: int, min_chars: int, keep_sentences: bool = True
 
 def _chunk_counter(size: int, overlap: int, min_chars: int, keep_sentences: bool):
     """Arrow UDF from texts to numbers of chunks."""
-    cut = _cutter(size, overlap, min_chars, keep_sentences)
+    cut, most = _cutter(size, overlap, min_chars, keep_sentences), TEXTS
 
     @arrow_udf("int")
     def chunk_count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            yield pa.array([0 if text is None else len(cut(text)) for text in column.to_pylist()], pa.int32())
+            for at in range(0, len(column), most):
+                yield pa.array([0 if text is None else len(cut(text)) for text in column.slice(at, most).to_pylist()], pa.int32())
 
     return chunk_count
 
 
 def _sentence_cutter(size: int, overlap: int, min_chars: int):
     """An Arrow UDF: text -> array of chunks that end at sentence ends where one is near."""
-    cut, per_token = _cutter(size, overlap, min_chars), tx.CHARS_PER_TOKEN
+    cut, per_token, most = _cutter(size, overlap, min_chars), tx.CHARS_PER_TOKEN, TEXTS
 
     @arrow_udf(CHUNK_TYPE)
-    def sentence_chunks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
+    def sentence_chunks(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in (column.slice(at, most) for column in columns for at in range(0, len(column), most)):
             offsets, index, start, end, body, tokens = [0], [], [], [], [], []
-            for text in column.to_pylist():
+            for text in texts.to_pylist():
                 chunks = cut(text) if text is not None else []
                 for i, (s, e, piece) in enumerate(chunks):
                     counted = len(text) if len(text) < min_chars else len(piece)

@@ -21,6 +21,7 @@ from nearfield.session import stored
 
 SLICE = 100  # fixed value: texts per provider call
 WORD_GAP = "[ \\t\\n\\v\\f\\r]+"
+BLOCK = 256  # texts whose words, or rows whose vectors, are held at a time
 
 
 @runtime_checkable
@@ -51,7 +52,7 @@ class HashingProvider:
     def __init__(self, dimensions: int = 64, normalize: bool = True):
         self.dimensions = dimensions
         self.normalize = normalize
-        self._slot = lru_cache(maxsize=1 << 17)(self._hash_word)
+        self._slot = lru_cache(maxsize=1 << 15)(self._hash_word)
 
     def _hash_word(self, word: str) -> tuple[int, float]:
         if not word:
@@ -60,6 +61,10 @@ class HashingProvider:
         return int(digest[:8], 16) % self.dimensions, 1.0 if int(digest[8], 16) < 8 else -1.0
 
     def embed_batch(self, texts: Sequence[str]) -> np.ndarray:
+        parts = [self._embed_block(texts[at : at + BLOCK]) for at in range(0, len(texts), BLOCK)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.dimensions))
+
+    def _embed_block(self, texts: Sequence[str]) -> np.ndarray:
         words = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), WORD_GAP)
         coded = words.flatten().dictionary_encode()
         slots = np.array([self._slot(word) for word in coded.dictionary.to_pylist()]).reshape(-1, 2)[coded.indices]
@@ -135,29 +140,34 @@ def embed_texts(
         last: tuple[str, np.ndarray, str | None] | None = None
         for column in columns:
             codes = column.dictionary_encode()
-            texts = codes.dictionary.to_pylist()
+            texts = codes.dictionary
             table = np.zeros((len(texts), provider.dimensions))
             failures: list[str | None] = [None] * len(texts)
             todo = list(range(len(texts)))
-            if last is not None and texts and texts[0] == last[0]:  # a run of copies goes on
+            if last is not None and len(texts) and texts[0].as_py() == last[0]:  # a run of copies goes on
                 table[0], failures[0] = last[1:]
                 todo = todo[1:]
             for at in range(0, len(todo), size):
                 part = todo[at : at + size]
-                table[part], messages = call(provider, [texts[i] for i in part])
+                table[part], messages = call(provider, texts.slice(part[0], len(part)).to_pylist())
                 for i, message in zip(part, messages):
                     failures[i] = message
-            if texts:
+            if len(texts):
                 tail = int(pc.max(codes.indices).as_py())  # new texts are coded in order of appearance
-                last = (texts[tail], table[tail].copy(), failures[tail])
+                last = (texts[tail].as_py(), table[tail].copy(), failures[tail])
             messages = pa.array([*failures, None], pa.string())
-            rows = codes.indices.fill_null(len(texts)).to_numpy()
-            vectors = arrow_vectors(np.vstack([table, np.zeros((1, provider.dimensions))])[rows])
-            found = messages.take(pa.array(rows))
-            absent = np.equal(rows, len(texts)) | found.is_valid().to_numpy(zero_copy_only=False)
-            if absent.any():
-                vectors = pc.if_else(pa.array(absent), pa.scalar(None, vectors.type), vectors)
-            yield pa.StructArray.from_arrays([vectors, found], ["vector", "error"])
+            table = np.vstack([table, np.zeros((1, provider.dimensions))])
+            places = codes.indices.fill_null(len(texts)).to_numpy()
+            for at in range(0, len(places), BLOCK):
+                rows = places[at : at + BLOCK]
+                vectors = arrow_vectors(table[rows])
+                found = messages.take(pa.array(rows))
+                absent = np.equal(rows, len(texts)) | found.is_valid().to_numpy(zero_copy_only=False)
+                if absent.any():
+                    vectors = pc.if_else(pa.array(absent), pa.scalar(None, vectors.type), vectors)
+                yield pa.StructArray.from_arrays([vectors, found], ["vector", "error"])
+            del column, codes, texts, table, messages
+        pa.default_memory_pool().release_unused()
 
     if share_copies:
         together = df.withColumn("_copies", F.xxhash64(text)).hint("rebalance", F.col("_copies"))
@@ -224,7 +234,8 @@ class EmbeddingCache:
         rows = df.withColumn("_digest", F.unhex(F.sha2(F.col(text), 256)))
         texts = rows.where(F.col(text).isNotNull()).select("_digest", F.col(text).alias("text")).dropDuplicates(["_digest"])
         unknown = texts.join(self.known(provider).select(F.col("digest").alias("_digest")), "_digest", "left_anti")
-        tried = stored(embed_texts(unknown, factory, vector="vector", error="error" if error else None), "embedded")
+        tried = embed_texts(unknown, factory, vector="vector", error="error" if error else None)
+        tried = stored(tried.drop("text"), "embedded")
         good = tried.where(F.col("error").isNull()) if error else tried
         good.select(F.col("_digest").alias("digest"), F.col("vector")).write.mode("append").parquet(self._folder(provider))
         found = self.known(provider).select(F.col("digest").alias("_digest"), F.col("vector").alias(vector))

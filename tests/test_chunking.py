@@ -134,3 +134,18 @@ def test_sentences_drop_blanks(spark):
 def test_stats_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
     assert chunk_stats(empty).collect()[0].asDict() == {"chunks": 0, "avg_chunk_chars": None}
+
+
+def test_few_texts_are_cut_at_a_time():
+    import pyarrow as pa
+
+    from nearfield.operators import chunking
+
+    texts = [None if i % 9 == 4 else f"Sentence number {i}. " * (i % 40) for i in range(3 * chunking.TEXTS + 1)]
+    cut = chunking._cutter(*chunking.chunk_sizes(50, 10), 20)
+    found = list(chunking._sentence_cutter(*chunking.chunk_sizes(50, 10), 20).func(iter([pa.array(texts)])))
+    assert max(map(len, found)) <= chunking.TEXTS
+    pieces = [[c["chunk_text"] for c in chunks] for part in found for chunks in part.to_pylist()]
+    assert pieces == [[piece for _, _, piece in cut(t)] if t is not None else [] for t in texts]
+    counts = list(chunking._chunk_counter(*chunking.chunk_sizes(50, 10), 20, True).func(iter([pa.array(texts)])))
+    assert max(map(len, counts)) <= chunking.TEXTS and [n for part in counts for n in part.to_pylist()] == list(map(len, pieces))

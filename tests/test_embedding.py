@@ -96,3 +96,27 @@ def test_failures_are_kept_apart(spark):
     assert {r.doc_id for r in rows} == {i for i in range(200) if i % 10} and all(r.vector is not None for r in rows)
     with pytest.raises(Exception, match="cannot embed this"):
         sync_points(docs, Picky, synced_at=F.lit("t"), embedding=None).collect()
+
+
+def test_words_of_few_texts_are_held_at_a_time():
+    """What a task holds doesn't grow with its rows; results don't depend on the cut."""
+    from nearfield.operators.embedding import BLOCK, HashingProvider
+
+    provider, seen = HashingProvider(8), []
+    whole = provider._embed_block
+    provider._embed_block = lambda texts: seen.append(len(texts)) or whole(texts)
+    texts = [f"word{i} word{i % 7} other" for i in range(3 * BLOCK + 5)]
+    got = provider.embed_batch(texts)
+    assert max(seen) <= BLOCK and sum(seen) == len(texts)
+    assert (got == whole(texts)).all() and provider.embed_batch([]).shape == (0, 8)
+
+
+def test_vectors_come_in_blocks(spark):
+    from nearfield.operators.embedding import BLOCK, HashingProvider
+
+    texts = [(i, None if i % 50 == 3 else f"text {i % 900}") for i in range(5 * BLOCK + 1)]
+    rows = embed_texts(spark.createDataFrame(texts, "n int, text string").coalesce(1), lambda: HashingProvider(8)).collect()
+    provider = HashingProvider(8)
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.vector is None if r.text is None else r.vector == provider.embed_batch([r.text])[0].tolist()

@@ -189,10 +189,15 @@ def settle(points: DataFrame, *, error: str = "error") -> tuple[DataFrame, DataF
     The points are stored first, so the provider runs once.
     """
     tried = stored(points, "embedded")
-    failed = tried.where(F.col(error).isNotNull()).groupBy("doc_id").agg(F.min(error).alias("error"))
+    failed = failures(tried, error=error)
     return without_keys(tried.drop(error), failed, "doc_id"), failed
 
 
+def failures(tried: DataFrame, *, error: str = "error") -> DataFrame:
+    """``doc_id, error`` of each document of which a chunk failed."""
+    return tried.where(F.col(error).isNotNull()).groupBy("doc_id").agg(F.min(error).alias("error"))
+
+
 HASH = "content_hash"  # payload column: what a document's points were made from
 
 
@@ -265,8 +270,9 @@ def run_sync(
         taken, factory, options, synced_at=synced_at, re_embed=re_embed, doc_id=doc_id, text=text, embedding=embedding, error="error",
         metadata=[*fields, HASH], **more,
     )
-    new, failed = settle(points)
-    new, failed = stored(new, "settled"), stored(failed, "failed")
+    tried = stored(points, "embedded")
+    failed = stored(failures(tried), "failed")
+    new = without_keys(tried.drop("error"), failed, "doc_id")  # read from there again; a copy would only take room
     written = new.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     replaced = without_keys(taken.select(F.col(doc_id).alias("doc_id")), failed, "doc_id")
     if gone is not None:
@@ -274,7 +280,7 @@ def run_sync(
     if written.n:
         table.ensure(written.dim, (table.spec() or (None, "cosine"))[1])
     if written.n or table.spec() is not None:
-        table.replace(new, replaced)
+        table.replace(new, replaced, kept=True)
     errors = failed.count()
     stats = docs.agg(
         (F.count_if(action == "process") - errors - same).alias("documents_processed"),

@@ -152,3 +152,16 @@ def test_a_document_is_one_bucket(spark, tmp_path, monkeypatch):
     table.replace(spark.createDataFrame([("new", 5, [1.0, 1.0])], "id string, doc_id long, vector array<double>"), spark.createDataFrame([(5,), (6,)], "doc_id long"))
     assert [r.id for r in table.read().where("doc_id in (5, 6)").collect()] == ["new"]
     assert table.delete(ids=["new", "3-0"]) == ("ids", 2)
+
+
+def test_a_sync_stores_its_points_once(spark, tmp_path):
+    """Beside the table itself only what the provider returned is written, and not again for every step."""
+    from nearfield import session
+
+    docs = spark.createDataFrame([(i, f"Some text of document {i}. " * 20) for i in range(30)], "doc_id long, text string")
+    table, before = PointTable(spark, str(tmp_path / "points"), buckets=4), len(session._stored)
+    for again in range(2):
+        run_sync(docs, table, lambda: HashingProvider(8), synced_at=F.lit(str(again)), embedding=None)
+    wide = [p for p in session._stored[before:] if "vector" in spark.read.parquet(p).columns]
+    assert len(wide) == 2
+    assert table.read().select("synced_at").distinct().collect() == [("1",)] and table.read().select("doc_id").distinct().count() == 30

@@ -210,6 +210,11 @@ def search_index(
         wanted = [int(c) for c in np.flatnonzero(routes[:, :-1].any(axis=0))] + ([-1] if cells.extra else [])
         partial = scan_points(points.where(F.col("cell").isin(wanted)), batch, k, metric, threshold, schema, routes)
         return merge_best(partial, k, metric)
+    if probes is None:  # every query reads every cell, so they are one: queries travel, and keep their hits, once
+        together, number = F.lit(0).alias("cell"), int(cells.counts.sum()) + cells.extra
+        parts = block_counts([(0, n, number)], block_rows(width, k), 2 * spark.sparkContext.defaultParallelism)
+        points, asked = points.select("id", "vector", together), asked.select(together, "query_id", "vector")
+        return merge_best(meet(points, asked, parts, k, metric, threshold, width, schema), k, metric)
     routed = _routed(asked, cells, probes, enough, width)
     demand = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per cell
     sizes = [(c, q, int(cells.counts[c]) if c >= 0 else cells.extra) for c, q in sorted(demand.items())]

@@ -109,8 +109,6 @@ def run_queries(
         points = spark.read.parquet(f"{index}/points")
         number = queries.count()
         few = number <= broadcast_rows
-        number = queries.count()
-        few = number <= broadcast_rows
         hits = search_index(
             spark,
             index,

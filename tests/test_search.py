@@ -272,6 +272,18 @@ FILTERS = [
 ]
 
 
+def test_all_cells_are_one_for_many_queries(spark, data, frames, monkeypatch):
+    """Queries that read every cell are not sent to each of them."""
+    from nearfield.operators import index as module
+
+    path, seen = scratch_path(spark, "index"), []
+    build_index(frames[0], path, cells=5)
+    whole = module.meet
+    monkeypatch.setattr(module, "meet", lambda points, queries, parts, *more: seen.append(parts) or whole(points, queries, parts, *more))
+    assert listed(search_index(spark, path, frames[1], 7, probes=None, broadcast_rows=3)) == brute(*data, 7, "cosine")
+    assert [cell for cell, _, _ in seen[0]] == [0]
+
+
 @pytest.mark.parametrize("where", FILTERS)
 @pytest.mark.parametrize("broadcast_rows", [1000, 7])
 def test_filtered_index_search(payload_index, spark, where, broadcast_rows):

@@ -27,7 +27,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles the row with the smallest id."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles the row with the smallest id.
+
+    Pairs come from covering SimHash and, where its radius doesn't reach, from MinHash keys; whole sets decide.
+    """
     return near_copies.without_near_copies(docs)
 
 

@@ -1,6 +1,8 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of LEAST or more, transitively.
 
-Words and shingles are those of ``simhash``; repeats don't count.  Texts of one set are one node.  Nodes that share one of
+Words and shingles are those of ``simhash``; repeats don't count.  Texts of one set are one node.  First come the pairs that
+covering SimHash links (``simhash.links``, the operator of op10).  Its radius finds near equal texts without a miss, but
+few of a similarity near LEAST, so for what it leaves unlinked nodes that share one of
 BANDS keys, each made of BAND_ROWS MinHash values, are candidates: a pair of similarity 0.8 shares none with a chance of
 7e-5.  Candidates are linked only if their whole sets are similar enough.  Within a key all pairs are decided, save those
 that are linked already and those whose one-byte MinHash values agree in under AGREE of all places (chance 1e-6 at 0.8):
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm import shared
+from nearfield.llm import shared, simhash
 from nearfield.session import settings, stored
 
 WORDS, SEED = 5, 42
@@ -37,15 +39,7 @@ _CHUNK = 2048  # shingles hashed at once
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct XXH64 of the shingles, sorted."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(found)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    last = ends[min(words, len(found)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip((ends - sizes).tolist(), last)], np.uint64))
+    return np.unique(simhash.shingle_hashes(text, words)).astype(np.uint64)
 
 
 def minima(found: np.ndarray) -> np.ndarray:
@@ -75,22 +69,25 @@ def _node(found: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, node, bands, sig) for rows (row, doc_id, text)."""
+    """(row, doc_id, node, bands, sig, fp) for rows (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands, signs = [], [], []
+            nodes, bands, signs, marks = [], [], [], []
             for text in batch.column("text"):
-                found = shingles(text.as_py())
+                hashes = simhash.shingle_hashes(text.as_py(), WORDS)
+                found = np.unique(hashes).astype(np.uint64)
+                marks.append(simhash.folded(hashes))
                 least = minima(found)
                 nodes.append(_node(found))
                 keys = [xxhash.xxh3_64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, BAND_ROWS))]
                 bands.append(np.array(keys, np.uint64).view(np.int64).tolist())
                 signs.append((least >> np.uint64(20)).astype(np.uint8).tobytes())
-            columns = [pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], names=["row", "doc_id", "node", "bands", "sig"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(np.array(marks, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], names=["row", "doc_id", "node", "bands", "sig", "fp"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(shared.tidy(run), "row bigint, doc_id bigint, node bigint, bands array<bigint>, sig binary")
+    kind = "row bigint, doc_id bigint, node bigint, bands array<bigint>, sig binary, fp bigint"
+    return docs.select("row", "doc_id", "text").mapInArrow(shared.tidy(run), kind)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -202,18 +199,28 @@ def _block_pairs(rows: DataFrame, stats: DataFrame, total: int) -> DataFrame:
     return groups.mapInArrow(shared.tidy(run), "a bigint, b bigint")
 
 
+def covered(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that covering SimHash links, equal fingerprints included, and those of them that are similar."""
+    marks = nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size"))
+    marks = stored(marks, "fingerprint-nodes")
+    equal = shared.attach(nodes.select("fp", "node"), marks, "fp", "size", nodes.count()).where("node <> a")
+    near = simhash.links(marks.select("fp", F.col("a").alias("node")))  # (node, first of its group)
+    pairs = equal.select("a", F.col("node").alias("b")).unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = stored(pairs.distinct(), "covered-pairs")
+    agreeing = stored(_agreeing(pairs, nodes), "agreeing-pairs")
+    return pairs, stored(_verified(agreeing, _sets_of(agreeing, nodes, docs), least), "near-pairs")
+
+
 def links(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b) that join all similar nodes; ``nodes`` (node, row, bands, sig) and ``docs`` (row, text) are stored."""
-    spark = nodes.sparkSession
+    """(a, b) that join all similar nodes; ``nodes`` (node, row, bands, sig, fp) and ``docs`` (row, text) are stored."""
+    decided, found = covered(nodes, docs, least)
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     buckets = stored(buckets, "bands")
     many = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-bands")
     rows = stored(shared.attach(buckets, many, "key", "size", buckets.count()).select("key", "node"), "candidates")
-    found = decided = spark.createDataFrame([], "a bigint, b bigint")
-    roots, rows = None, rows.withColumn("root", F.col("node"))
+    roots, rows = shared.components(found), rows.withColumn("root", F.col("node"))
     for step in range(STARS + 1):
-        if roots is not None:
-            rows = rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        rows = rows.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
         stats = groups.groupBy("key").agg(
             F.sum("n").alias("size"), F.max("n").alias("most"), F.max(F.struct("n", "root")).getField("root").alias("large")
@@ -252,7 +259,7 @@ def without_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     with settings(docs.sparkSession, shared.SMALL_BATCHES):
         marks = stored(sketches(texts), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
-    nodes = marks.groupBy("node").agg(first, F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    nodes = marks.groupBy("node").agg(first, F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.min("fp").alias("fp"))
     nodes = stored(nodes.withColumn("row", F.col("first.row")), "nodes")
     roots = shared.components(links(nodes, texts, least))
     groups = nodes.select("node", "first", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -35,11 +35,11 @@ BUCKET = 1024
 _CHUNK = 1 << 16  # hashes whose bits are counted at once
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 of the shingles, repeats included."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII white space and A-Z only
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(sizes + 1) - 1
@@ -47,7 +47,11 @@ def fingerprint(text: str | None, words: int) -> int:
     width = min(words, len(found))
     digest = xxhash.xxh64_intdigest
     last = ends[width - 1 :].tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), last)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), last)], dtype="<u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles as an unsigned integer."""
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
@@ -55,6 +59,11 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """The fingerprint of a text."""
+    return folded(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp), one row per document; fp as a signed long."""
 

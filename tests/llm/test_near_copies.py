@@ -77,3 +77,25 @@ def test_rows_not_ids_are_removed(spark):
     assert " ".join(two) in {r.text for r in left}
     nothing = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.drop_near_copies(spark, nothing, "").count() == 0
+
+
+def test_covering_simhash_gives_candidates(spark, rows):
+    """Pairs whose fingerprints differ in four bits or less are linked by the covering tables alone, others are not."""
+    from pyspark.sql import functions as F
+
+    from nearfield.llm import shared, simhash
+    from nearfield.session import stored
+
+    docs = stored(spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(rows[:124])], "row long, doc_id long, text string"), "docs")
+    marks = stored(near_copies.sketches(docs), "marks")
+    nodes = stored(marks.groupBy("node").agg(F.min("row").alias("row"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.min("fp").alias("fp")), "nodes")
+    pairs, found = near_copies.covered(nodes, docs)
+    fps = {r.node: (r.fp, rows[r.row][1]) for r in nodes.collect()}
+    assert all(fp & (2**64 - 1) == simhash.fingerprint(t, 5) for fp, t in fps.values())
+    root = {r.node: r.root for r in shared.components(pairs).collect()}
+    close = [(a, b) for a, b in itertools.combinations(fps, 2) if ((fps[a][0] ^ fps[b][0]) & (2**64 - 1)).bit_count() <= 4]
+    assert len(close) > 10 and all(root[a] == root[b] for a, b in close)
+    assert found.count() > 5
+    for r in found.collect():
+        a, b = (plain_set(fps[n][1]) for n in (r.a, r.b))
+        assert len(a & b) >= 0.8 * len(a | b) - 1e-9

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import shared
-from nearfield.llm.near_copies import shingles
+from nearfield.llm.near_copies import Overlaps, shingles
 from nearfield.session import stored
 
 WORDS, PERCENT = 3, 90
@@ -61,24 +61,6 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Overlaps:
-    """Some sets by their shingles, to hold another set against all of them at once."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        self.shingles, self.owners = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
-
-    def similar(self, one: np.ndarray, percent: int) -> np.ndarray:
-        """The places of the sets that link with ``one``."""
-        first = np.searchsorted(self.shingles, one)
-        size = np.searchsorted(self.shingles, one, side="right") - first
-        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        both = np.bincount(self.owners[at], minlength=len(self.sizes))
-        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(one) - both)))
-
-
 def largest(size: int, percent: int) -> int:
     """The size of the largest set that may link with one of ``size``."""
     return 100 * size // percent

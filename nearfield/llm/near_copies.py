@@ -6,7 +6,9 @@ few of a similarity near LEAST, so for what it leaves unlinked nodes that share
 BANDS keys, each made of BAND_ROWS MinHash values, are candidates: a pair of similarity 0.8 shares none with a chance of
 7e-5.  Candidates are linked only if their whole sets are similar enough.  Within a key all pairs are decided, save those
 that are linked already and those whose one-byte MinHash values agree in under AGREE of all places (chance 1e-6 at 0.8):
-first against a few single nodes, which joins groups of copies without squares, then what is left in blocks.
+first against a few single nodes, which joins groups of copies without squares, then what is left: keys of at most SMALL
+nodes give their pairs, larger ones are decided on the whole sets in blocks, inside tasks, which give only such links as
+join something; so no row stands for a pair of a large group.
 
 Of each group one row stays, that of the smallest id (a null id loses to any other, ties to the row that is read first).
 Texts without words, or null, are copies of each other.
@@ -31,7 +33,8 @@ BANDS, BAND_ROWS = 24, 5
 #: Of the BANDS * BAND_ROWS bytes, those that have to agree.
 AGREE = 73
 STARS = 3
-BLOCK = 512
+#: Nodes of an open key whose pairs become rows, at most; sides of a block.
+SMALL, BLOCK = 16, 512
 #: Nodes that are held against one other in one task.
 SIDE = 1024
 _CHUNK = 2048  # shingles hashed at once
@@ -64,6 +67,46 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
+class Overlaps:
+    """Some sets by their shingles, to hold another set against all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.owners = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def both(self, one: np.ndarray) -> np.ndarray:
+        """How many shingles each of the sets has in common with ``one``."""
+        first = np.searchsorted(self.shingles, one)
+        size = np.searchsorted(self.shingles, one, side="right") - first
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(self.owners[at], minlength=len(self.sizes))
+
+    def similar(self, one: np.ndarray, percent: int) -> np.ndarray:
+        """The places of the sets that share ``percent`` of 100 with ``one``, and something at all."""
+        both = self.both(one)
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(one) - both)))
+
+
+class Joined:
+    """Groups of numbers that links join."""
+
+    def __init__(self):
+        self.to: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.to.get(x, x)) != x:
+            self.to[x] = x = self.to.get(up, up)
+        return x
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the link joins two groups."""
+        a, b = self.root(a), self.root(b)
+        self.to[a] = b
+        return a != b
+
+
 def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
@@ -120,10 +163,9 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(shared.tidy(run), "a bigint, b bigint")
 
 
-def _sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, found) of the nodes in ``pairs``; no other texts are hashed or leave their place."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-    wanted = stored(wanted, "candidate-rows")
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, found) of the nodes ``wanted`` (node); no other texts are hashed or leave their place."""
+    wanted = stored(wanted.distinct().join(nodes.select("node", "row"), "node"), "candidate-rows")
     bits = shared.filter_bits(wanted.count())
     marks = wanted.select(F.explode(F.array(*shared.slots([F.col("row")], bits))).alias("slot"))
     texts = shared.maybe_in(docs.select("row", "text"), shared.filter_table(marks, "candidate-filter"), [F.col("row")], bits, "maybe")
@@ -131,6 +173,11 @@ def _sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         return stored(sets(texts.where("maybe")).join(wanted.select("row"), "row").select("node", "found"), "candidate-sets")
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    """(node) for the nodes in ``pairs`` (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def _verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar; ``a`` may be in very many of them."""
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
@@ -158,20 +205,29 @@ def _verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(shared.tidy(run), "a bigint, b bigint")
 
 
-def _block_pairs(rows: DataFrame, stats: DataFrame, total: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, root, sig) under one key, of two roots and with values that agree.
+def _dealt(rows: DataFrame, stats: DataFrame, total: int, *rest: str) -> DataFrame:
+    """Rows (key, a, b, asks, minor, *rest): groups of one key meet in blocks of about BLOCK nodes of either side.
 
-    ``a`` is not of the key's largest group; groups meet in blocks of about BLOCK nodes of either side.
+    Those that ``asks`` are not of the key's largest group.
     """
     parts = stats.withColumn("a_parts", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int"))
     parts = parts.withColumn("b_parts", F.ceil(F.col("size") / BLOCK).cast("int")).drop("most")
     dealt = shared.attach(rows, parts, "key", "size", total).withColumn("minor", F.col("root") != F.col("large"))
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int").alias(n[0])
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[0])
-    rest = ["minor", "node", "root", "sig"]
-    left = dealt.where("minor").select("key", part("a_parts"), all_("b_parts"), F.lit(True).alias("asks"), *rest)
-    right = dealt.select("key", all_("a_parts"), part("b_parts"), F.lit(False).alias("asks"), *rest)
-    groups = left.unionByName(right).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.desc("asks"))
+    left = dealt.where("minor").select("key", part("a_parts"), all_("b_parts"), F.lit(True).alias("asks"), "minor", *rest)
+    right = dealt.select("key", all_("a_parts"), part("b_parts"), F.lit(False).alias("asks"), "minor", *rest)
+    return left.unionByName(right)
+
+
+def _by_block(dealt: DataFrame) -> DataFrame:
+    """Blocks one after the other, those that ask first."""
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.desc("asks"))
+
+
+def _small_pairs(rows: DataFrame, stats: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, root, sig) under one key, of two roots and with values that agree."""
+    groups = _by_block(_dealt(rows, stats, total, "node", "root", "sig"))
     agree = AGREE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +255,39 @@ def _block_pairs(rows: DataFrame, stats: DataFrame, total: int) -> DataFrame:
     return groups.mapInArrow(shared.tidy(run), "a bigint, b bigint")
 
 
+def _block_links(rows: DataFrame, known: DataFrame, stats: DataFrame, total: int, least: float) -> DataFrame:
+    """Links (a, b) of rows (key, node, root) under one key and of two roots; ``known`` has the sets of all.
+
+    Pairs are decided where they meet; a block gives at most one link for each of its nodes.
+    """
+    groups = _by_block(_dealt(rows, stats, total, "node", "root").join(known, "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, mine, index, joined = None, [], None, Joined()
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for key, a, b, asks, node, root, found in zip(*(batch.column(n) for n in ("key", "a", "b", "asks", "node", "root", "found"))):
+                place = (key.as_py(), a.as_py(), b.as_py())
+                if place != group:
+                    group, mine, index, joined = place, [], None, Joined()
+                node, root, one = node.as_py(), root.as_py(), np.frombuffer(found.as_py(), np.uint64)
+                if asks.as_py():
+                    mine.append((node, root, one))
+                    continue
+                if not mine:
+                    continue
+                if index is None:
+                    index = Overlaps([m[2] for m in mine])
+                    nodes, roots = (np.array([m[i] for m in mine], np.int64) for i in (0, 1))
+                both = index.both(one)
+                near = (both >= least * (index.sizes + len(one) - both) - 1e-9) & (roots != root)
+                out += [(n, node) for n in nodes[near].tolist() if joined.add(n, node)]
+            columns = [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    return groups.mapInArrow(shared.tidy(run), "a bigint, b bigint").distinct()
+
+
 def covered(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(a, b) that covering SimHash links, equal fingerprints included, and those of them that are similar."""
     marks = nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size"))
@@ -208,7 +297,7 @@ def covered(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> tuple[Da
     pairs = equal.select("a", F.col("node").alias("b")).unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = stored(pairs.distinct(), "covered-pairs")
     agreeing = stored(_agreeing(pairs, nodes), "agreeing-pairs")
-    return pairs, stored(_verified(agreeing, _sets_of(agreeing, nodes, docs), least), "near-pairs")
+    return pairs, stored(_verified(agreeing, _sets_of(_both(agreeing), nodes, docs), least), "near-pairs")
 
 
 def links(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -239,7 +328,14 @@ def links(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
             pairs = shared.attach(rows, stars, "key", "size", total)
             pairs = pairs.where("root <> a_root").select("a", F.col("node").alias("b"))
         else:
-            pairs = _block_pairs(rows.join(nodes.select("node", "sig"), "node"), stats, total)
+            large = stored(stats.where(F.col("size") > SMALL), "large-keys")
+            many = stored(rows.join(large.select("key"), "key", "left_semi"), "large-rows")
+            if size := many.count():
+                known = _sets_of(many.select("node"), nodes, docs)
+                with settings(docs.sparkSession, shared.SMALL_BATCHES):
+                    found = found.unionByName(stored(_block_links(many, known, large, size, least), "block-links"))
+            small = rows.join(large.select("key"), "key", "left_anti").join(nodes.select("node", "sig"), "node")
+            pairs = _small_pairs(small, stats.where(F.col("size") <= SMALL), total)
         pairs = pairs.distinct().join(decided, ["a", "b"], "left_anti").join(decided.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidate-pairs")
         decided = decided.unionByName(pairs)
@@ -247,7 +343,7 @@ def links(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
             pairs = stored(_agreeing(pairs, nodes), "agreeing-pairs")
         if pairs.isEmpty():
             continue
-        found = found.unionByName(stored(_verified(pairs, _sets_of(pairs, nodes, docs), least), "near-pairs"))
+        found = found.unionByName(stored(_verified(pairs, _sets_of(_both(pairs), nodes, docs), least), "near-pairs"))
         roots = shared.components(found)
     return found
 

@@ -99,3 +99,23 @@ def test_covering_simhash_gives_candidates(spark, rows):
     for r in found.collect():
         a, b = (plain_set(fps[n][1]) for n in (r.a, r.b))
         assert len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def test_no_rows_for_pairs_of_a_large_group(spark, monkeypatch):
+    """Many texts that share keys but mostly fail the threshold: rows grow with the texts, not with their pairs."""
+    draw, sizes, stored = random.Random(11), [], near_copies.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    hot = [draw.choice(VOCABULARY) for _ in range(150)]
+    rows = [(i, " ".join(changed(draw, hot, draw.choice((0.01, 0.025, 0.03))))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    want, _ = plain_kept(rows)
+    assert 30 < len(want) < 270
+    assert sorted(r.row for r in left.collect()) == sorted(want)
+    assert max(n for n, name in sizes if "pairs" in name or "links" in name) < 10 * len(rows)

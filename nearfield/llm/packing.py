@@ -12,10 +12,12 @@ A null text is empty: one piece of the end id.  Repeated rows are packed each.
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,13 @@ END_ID = 1
 #: Expected pieces of one length that one task numbers together.
 SLICE_ROWS = 4096
 #: Words whose ids a task remembers between batches of text.
-KNOWN_WORDS = 150_000
-_TEXT_BYTES = 2 << 20  # text tokenised at once
+KNOWN_WORDS = 400_000
+#: Letters that lower-case one by one whatever stands beside them, and signs that may follow them in a word.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_SIGNS = ".,;:!?|*&$%#"
+_PLAIN = f"^[{_LETTERS}]+[{_SIGNS}]*$"
+_LOW_LETTERS = "".join(c for c in map(chr, range(0x180)) if re.match(f"[{_LETTERS}]", c) and c.lower() == c)
+_TEXT_BYTES = 4 << 20  # text tokenised at once
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), ...
@@ -43,7 +50,8 @@ class WordIds:
 
     The tokenizer lower-cases a word and cuts it into runs (of letters, of signs, ...), whose last ids it marks.  Words
     of letters and perhaps signs after them are put together from both parts; letters are one run, so many words are
-    tokenised in one text and told apart by the marks.  All other words are tokenised one by one.
+    tokenised in one text and told apart by the marks.  All other words are tokenised one by one.  Words of the usual
+    letters are cut and lower-cased by Arrow, so Python looks up their distinct parts only.
     """
 
     def __init__(self, tokenizer):
@@ -57,39 +65,52 @@ class WordIds:
         self.known = {"": 0}  # number of a word, whose ids are from starts[number] on up to the next
         self.ids, self.starts = array("i"), array("q", [0, 0])
 
-    def _add(self, words: list[str], ids: Iterable[list[int]]) -> None:
-        for word, own in zip(words, ids):
-            if word not in self.known:
-                self.known[word] = len(self.starts) - 1
-                self.ids.extend(own)
-                self.starts.append(len(self.ids))
+    def _add(self, words: list[str], ids: list[int], ends: np.ndarray) -> None:
+        """New words, all different, with their ids in a row."""
+        first = len(self.starts) - 1
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.starts.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
+        self.ids.extend(ids)
 
     def _add_letters(self, words: list[str]) -> None:
         for at in range(0, len(words), 8192):
             parts = [words[k : k + 256] for k in range(at, min(at + 8192, len(words)), 256)]
             found = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
             for part, ids in zip(parts, (e.ids for e in found)):
-                cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
-                if len(cuts) == len(part):
-                    self._add(part, (ids[a:b] for a, b in zip([0, *cuts], cuts)))
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part):
+                    self._add(part, ids, ends)
                 else:
                     self._add_single(part)
 
     def _add_single(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            self._add(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, [i for ids in found for i in ids], np.cumsum([len(ids) for ids in found]))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        """Numbers of both parts of words of usual letters and signs."""
+        low, out = pc.utf8_lower(words), np.empty((len(words), 2), np.int32)
+        trimmed = (pc.utf8_rtrim(low, _SIGNS), self._add_letters), (pc.utf8_ltrim(low, _LOW_LETTERS), self._add_single)
+        for place, (parts, add) in enumerate(trimmed):
+            coded = parts.dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            add([p for p in distinct if p not in self.known])
+            out[:, place] = self._numbers(distinct)[coded.indices.to_numpy()]
+        return out
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and how many each has."""
-        if len(self.known) > KNOWN_WORDS:
-            self._clear()
+    def _others(self, words: list[str]) -> np.ndarray:
         known, letters, single, parts = self.known, set(), set(), []
         for word in words:
             low = word.lower()
-            bare = low.rstrip(".,;:!?|*&$%#")
+            bare = low.rstrip(_SIGNS)
             # The form of sigma at a word's end depends on what follows, so such words are left as they are.
-            if bare.isalpha() and "\u03c2" not in bare:
+            # Some letters become two runs when the tokenizer normalises them.
+            if bare.isalpha() and "\u03c2" not in bare and unicodedata.normalize("NFC", bare).isalpha():
                 signs = low[len(bare) :]
                 if bare not in known:
                     letters.add(bare)
@@ -100,9 +121,19 @@ class WordIds:
                 if word not in known:
                     single.add(word)
                 parts += (word, "")
-        self._add_single(list(single))
         self._add_letters(list(letters))
-        number = np.fromiter(map(known.__getitem__, parts), np.int32, len(parts))
+        self._add_single([word for word in single if word not in known])
+        return self._numbers(parts).reshape(-1, 2)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        if len(self.known) > KNOWN_WORDS:
+            self._clear()
+        plain = pc.match_substring_regex(words, _PLAIN)
+        number, usual = np.empty((len(words), 2), np.int32), plain.to_numpy(zero_copy_only=False)
+        number[usual] = self._plain(words.filter(plain))
+        number[~usual] = self._others(words.filter(pc.invert(plain)).to_pylist())
+        number = number.ravel()
         ids, starts = np.array(self.ids, np.int32), np.array(self.starts, np.int64)
         size = np.diff(starts)[number]
         return ids[ranges(starts[number], size)], size.reshape(-1, 2).sum(axis=1)
@@ -122,7 +153,7 @@ def token_ids(word_ids: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
-    flat, sizes = word_ids(coded.dictionary.to_pylist())
+    flat, sizes = word_ids(coded.dictionary)
     word = coded.indices.to_numpy()
     size = sizes[word]
     out = flat[ranges((np.cumsum(sizes) - sizes)[word], size)]

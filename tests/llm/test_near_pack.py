@@ -170,3 +170,32 @@ def test_pack(spark):
         assert end <= 64
     assert len(sequences) <= -(-sum(r.length for r in got) // 64) + 3
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_each_word_is_tokenised_once():
+    """Words come back after 160,000 others: the tokenizer sees each part of letters only once."""
+    tokenizer, seen = Tokenizer.from_file(PATH), []
+
+    class Counted:
+        def get_vocab(self):
+            return tokenizer.get_vocab()
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            seen.extend(word for text in texts for word in text.split())
+            return tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in str(n)) for n in range(100_000, 260_000)]
+    word_ids = packing.WordIds(Counted())
+    for part in (words[:80_000], words[80_000:], [f"{w.upper()}." for w in words[:1000]], words[:1000]):
+        ids, ends = packing.token_ids(word_ids, pa.array([" ".join(part)]))
+        assert ids.tolist() == tokenizer.encode(" ".join(part), add_special_tokens=False).ids
+    assert len(seen) == len(words) + 1
+
+
+def test_letters_that_normalise_to_two_runs():
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [f"a{c}! {c}., Ä{c}?" for c in "क़য়གྷİΣ×µŉſŸ"]
+    ids, ends = packing.token_ids(packing.WordIds(tokenizer), pa.array(texts))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids

@@ -10,6 +10,10 @@ difference.  The domain of shingles is cut by hash into k // 2 + 1 first-level p
 difference, and each of these into three, of which all subsets of two are enumerated: two sets that link agree wholly in
 some subset, whose sum of hashes is the signature.  Every pair is decided on the whole sets afterwards.
 
+Before whole sets are sent to each other, their marks are: MARK bits, each of which tells whether the set's shingles in its
+share of the hashes are even in number.  Two marks differ in no more bits than their sets do in shingles, so a pair whose
+marks differ in more than the bound doesn't link.
+
 Only keys that two different nodes share are dealt out.  Within a key, all nodes are held against a single one first (a
 star), which joins groups of copies without squares; nodes of one component need no further look.  Keys that stay open
 are settled pair by pair if they have at most SMALL nodes.  The nodes of larger ones are keyed anew by the prefixes of
@@ -42,6 +46,8 @@ SLOTS = 1 << 20
 FILTER_BITS = 1 << 28
 #: Nodes that are held against one other in one task.
 SIDE = 1024
+#: Bits of a mark, a power of two.
+MARK = 2048
 
 _U = np.uint64
 
@@ -101,6 +107,12 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def mark(found: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of MARK shares of the hashes."""
+    counts = np.bincount((found & _U(MARK - 1)).astype(np.int64), minlength=MARK)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _sketches(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, hash, n_shingles, node, keys) for rows (doc_id, hash, text)."""
 
@@ -163,7 +175,7 @@ def _shared_keys(firsts: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Stored (node, found): the sets of ``wanted`` (doc_id, hash); other texts stay where they are."""
+    """Stored (node, found, n, mark): the sets of ``wanted`` (doc_id, hash); other texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,20 +183,41 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 found = [shingles(t.as_py(), words) for t in part.column("text")]
                 made = [pa.array([_node(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["node", "found"])
+                made += [pa.array([len(f) for f in found], pa.int64()), pa.array([mark(f) for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["node", "found", "n", "mark"])
 
     own = [F.coalesce("doc_id", F.lit(-1 << 63)), F.col("hash")]
     bits = shared.filter_bits(wanted.count())
     marks = wanted.select(F.explode(F.array(*shared.slots(own, bits))).alias("slot"))
     picked = shared.maybe_in(texts, shared.filter_table(marks, "candidate-filter"), own, bits, "maybe").where("maybe").drop("maybe")
     exact = picked.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (picked["hash"] == wanted["hash"]), "left_semi")
-    made = exact.select("text").mapInArrow(run, "node bigint, found binary")
-    return stored(made.groupBy("node").agg(F.any_value("found").alias("found")), "candidate-sets")  # rows may repeat
+    made = exact.select("text").mapInArrow(run, "node bigint, found binary, n bigint, mark binary")
+    one = made.groupBy("node").agg(F.any_value(F.struct("found", "n", "mark")).alias("set"))  # rows may repeat
+    return stored(one.select("node", "set.*"), "candidate-sets")
+
+
+def _maybe_linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored pairs of stored ``pairs`` (a, b) whose marks allow a link; ``a`` may be in very many of them."""
+    marks = sets.select("node", "n", "mark")
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    a_rows = stored(sizes.join(marks.toDF("a", "a_n", "a_mark"), "a"), "pair-marks")
+    b_rows = stored(pairs.join(marks.withColumnRenamed("node", "b"), "b"), "marked-pairs")
+    rows = shared.attach(b_rows, a_rows, "a", "size", b_rows.count()).select("a", "b", "n", "a_n", "mark", "a_mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for n in ("a_mark", "mark"))
+                sizes = batch.column("n").to_numpy() + batch.column("a_n").to_numpy()
+                near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= sizes * (100 - percent) // (100 + percent)
+                yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return stored(rows.mapInArrow(run, "a bigint, b bigint"), "maybe-linked")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Stored pairs (a, b) that link; ``a`` may be in very many of them, so its set goes to each part of its partners."""
-    pairs = stored(pairs, "pairs")
+    pairs, sets = _maybe_linked(stored(pairs, "pairs"), sets, percent), sets.select("node", "found")
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     sizes = stored(sizes.withColumn("parts", F.ceil(F.col("size") / SIDE).cast("int")), "pair-sizes")
     dealt = shared.attach(pairs, sizes, "a", "size", pairs.count())
@@ -215,7 +248,7 @@ def _rarest_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A set has a prefix for every class of sizes that a partner may have: so many shingles as the two together can lack,
     and one more.  A key is a shingle with both classes.
     """
-    own = stored(nodes.join(sets, "node"), "open-sets")
+    own = stored(nodes.join(sets.select("node", "found"), "node"), "open-sets")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -264,7 +297,7 @@ def _blocks(rows: DataFrame, sets: DataFrame, stats: DataFrame, total: int, perc
     """Stored links (a, b) of rows (key, node, root) under one key and of two roots, decided block by block in tasks."""
     parts = stats.withColumn("a_parts", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int"))
     parts = parts.withColumn("b_parts", F.ceil(F.col("size") / BLOCK).cast("int")).drop("most")
-    dealt = shared.attach(rows, parts, "key", "size", total).withColumn("minor", F.col("root") != F.col("large")).join(sets, "node")
+    dealt = shared.attach(rows, parts, "key", "size", total).withColumn("minor", F.col("root") != F.col("large")).join(sets.select("node", "found"), "node")
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int").alias(n[0])
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[0])
     rest = ["minor", "node", "root", "found"]

@@ -131,3 +131,37 @@ def test_one_set_against_many():
     for percent in (20, 50, 90):
         for one in [*sets, np.arange(1000, 1010, dtype=np.uint64)]:
             assert index.similar(one, percent).tolist() == [i for i, s in enumerate(sets) if jaccard_join.similar(s, one, percent)]
+
+
+@pytest.mark.parametrize("percent", [90, 60])
+def test_marks_allow_all_links(percent):
+    draw = random.Random(percent)
+    for size in [*range(1, 60), *range(60, 1500, 97)]:
+        a, b = sets_that_link(draw, size, percent)
+        if jaccard_join.similar(a, b, percent):
+            marks = [np.frombuffer(jaccard_join.mark(x), np.uint64) for x in (a, b)]
+            assert np.bitwise_count(marks[0] ^ marks[1]).sum() <= jaccard_join.difference(len(a) + len(b), percent)
+
+
+def test_sets_are_sent_only_where_marks_allow_a_link(spark, monkeypatch):
+    """Of pairs that share a signature but mostly fail the threshold few get to see each other's sets."""
+    draw, seen, stored = random.Random(5), {}, jaccard_join.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    hot = [f"w{draw.randint(0, 5000)}" for _ in range(400)]
+    texts = [" ".join(f"x{draw.randint(0, 5000)}" if draw.random() < 0.03 else w for w in hot) for _ in range(40)]
+    texts += [" ".join([*hot[:-1], f"y{n}"]) for n in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(398)} for t in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert {r.doc_id: r.component_id for r in jaccard_join.components(docs).collect()} == dict(enumerate(root))
+    assert sum(seen["pairs"]) > 20 and sum(seen["maybe-linked"]) < sum(seen["pairs"]) / 2

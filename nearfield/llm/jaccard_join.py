@@ -12,14 +12,15 @@ some subset, whose sum of hashes is the signature.  Every pair is decided on the
 
 Before whole sets are sent to each other, their marks are: MARK bits, each of which tells whether the set's shingles in its
 share of the hashes are even in number.  Two marks differ in no more bits than their sets do in shingles, so a pair whose
-marks differ in more than the bound doesn't link.
+marks differ in more than the bound doesn't link.  Sets of nodes that no mark leaves a partner stay where they are.
 
 Only keys that two different nodes share are dealt out.  Within a key, all nodes are held against a single one first (a
 star), which joins groups of copies without squares; nodes of one component need no further look.  Keys that stay open
 are settled pair by pair if they have at most SMALL nodes.  The nodes of larger ones are keyed anew by the prefixes of
 their sets, rarest shingles first: two sets that share c shingles have one in common among the first a - c + 1 and
 b - c + 1 of them, in any one order.  What common passages or near copies make equal comes last in that order, so such
-keys are as small as the differences allow; any that is still large is decided in blocks, inside tasks.
+keys are as small as the differences allow; any that is still large is decided in blocks, inside tasks: first on marks of
+SHORT bits, then on whole marks, then on the sets of those nodes that may have a partner in their block.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import shared
-from nearfield.llm.near_copies import Overlaps, shingles
+from nearfield.llm.near_copies import Joined, Overlaps, shingles
 from nearfield.session import stored
 
 WORDS, PERCENT = 3, 90
@@ -48,6 +49,10 @@ FILTER_BITS = 1 << 28
 SIDE = 1024
 #: Bits of a mark, a power of two.
 MARK = 2048
+#: Up to this share of repeated sets they are merged wherever sets are read, else once, into a table of its own.
+FEW = 1 / 16
+#: Bits of a mark that is sent to every block, a power of two; nodes whose marks are held against a block's at once.
+SHORT, AT_ONCE = 512, 64
 
 _U = np.uint64
 
@@ -107,9 +112,9 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def mark(found: np.ndarray) -> bytes:
-    """The parity of a set's shingles in each of MARK shares of the hashes."""
-    counts = np.bincount((found & _U(MARK - 1)).astype(np.int64), minlength=MARK)
+def mark(found: np.ndarray, bits: int = MARK) -> bytes:
+    """The parity of a set's shingles in each of ``bits`` shares of the hashes."""
+    counts = np.bincount((found & _U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
@@ -175,7 +180,10 @@ def _shared_keys(firsts: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Stored (node, found, n, mark): the sets of ``wanted`` (doc_id, hash); other texts stay where they are."""
+    """(node, found, n, mark, short), from stored tables: the sets of ``wanted`` (doc_id, hash) and of few others.
+
+    No text leaves its place, and a set only if a second row has it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,17 +191,41 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 found = [shingles(t.as_py(), words) for t in part.column("text")]
                 made = [pa.array([_node(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
-                made += [pa.array([len(f) for f in found], pa.int64()), pa.array([mark(f) for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["node", "found", "n", "mark"])
-
-    own = [F.coalesce("doc_id", F.lit(-1 << 63)), F.col("hash")]
+                made += [pa.array([len(f) for f in found], pa.int64())]
+                made += [pa.array([mark(f, bits) for f in found], pa.binary()) for bits in (MARK, SHORT)]
+                yield pa.RecordBatch.from_arrays(made, names=["node", "found", "n", "mark", "short"])
+
+    picked = _maybe_of(texts, wanted, [F.coalesce("doc_id", F.lit(-1 << 63)), F.col("hash")], "candidate-filter")
+    made = stored(picked.select("text").mapInArrow(run, "node bigint, found binary, n bigint, mark binary, short binary"), "candidate-sets")
+    again = stored(made.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "repeated-sets")
+    repeats = again.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not repeats:
+        return made
+    single, several = (_maybe_of(made, again, [F.col("node")], "repeated-filter", maybe) for maybe in (False, True))
+    one = several.groupBy("node").agg(F.any_value(F.struct("found", "n", "mark", "short")).alias("set")).select("node", "set.*")
+    sets = single.unionByName(one)
+    return sets if repeats <= FEW * made.count() else stored(sets, "single-sets")
+
+
+def _maybe_of(rows: DataFrame, wanted: DataFrame, keys: list[Column], name: str, maybe: bool = True) -> DataFrame:
+    """``rows`` whose keys may be among those of stored ``wanted``, or surely are not; none leaves its place."""
     bits = shared.filter_bits(wanted.count())
-    marks = wanted.select(F.explode(F.array(*shared.slots(own, bits))).alias("slot"))
-    picked = shared.maybe_in(texts, shared.filter_table(marks, "candidate-filter"), own, bits, "maybe").where("maybe").drop("maybe")
-    exact = picked.join(wanted.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (picked["hash"] == wanted["hash"]), "left_semi")
-    made = exact.select("text").mapInArrow(run, "node bigint, found binary, n bigint, mark binary")
-    one = made.groupBy("node").agg(F.any_value(F.struct("found", "n", "mark")).alias("set"))  # rows may repeat
-    return stored(one.select("node", "set.*"), "candidate-sets")
+    marks = wanted.select(F.explode(F.array(*shared.slots(keys, bits))).alias("slot"))
+    probed = shared.maybe_in(rows, shared.filter_table(marks, name), keys, bits, "maybe")
+    return probed.where(F.col("maybe") == F.lit(maybe)).drop("maybe")
+
+
+def _likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (key, ...) without most of those whose key is not in stored ``keys``; a filter of all keys is broadcast."""
+    return _maybe_of(rows, keys, [F.col("key")], "key-filter")
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, node: str) -> DataFrame:
+    """Stored ``rows`` with ``found``, the set of their ``node``; other sets stay where they are."""
+    sets = sets.select(F.col("node").alias(node), "found")
+    if rows.count() <= shared.BROADCAST_ROWS:
+        return sets.join(F.broadcast(rows), node)
+    return rows.join(_maybe_of(sets, rows, [F.col(node)], "sent-filter"), node)
 
 
 def _maybe_linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,13 +249,15 @@ def _maybe_linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Stored pairs (a, b) that link; ``a`` may be in very many of them, so its set goes to each part of its partners."""
-    pairs, sets = _maybe_linked(stored(pairs, "pairs"), sets, percent), sets.select("node", "found")
+    pairs = _maybe_linked(stored(pairs, "pairs"), sets, percent)
+    if pairs.isEmpty():
+        return pairs
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     sizes = stored(sizes.withColumn("parts", F.ceil(F.col("size") / SIDE).cast("int")), "pair-sizes")
     dealt = shared.attach(pairs, sizes, "a", "size", pairs.count())
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    b_rows = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(True).alias("asks"), "b", "found")
-    a_rows = sizes.join(sets.withColumnRenamed("node", "a"), "a")
+    dealt = stored(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "dealt-pairs")
+    b_rows = _with_sets(dealt, sets, "b").select("a", "part", F.lit(True).alias("asks"), "b", "found")
+    a_rows = _with_sets(sizes, sets, "a")
     a_rows = a_rows.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), F.col("a").alias("b"), "found")
     rows = b_rows.unionByName(a_rows).repartition("a", "part").sortWithinPartitions("a", "part", "asks")
 
@@ -293,49 +327,113 @@ def prefixes(size: int, percent: int) -> Iterator[tuple[int, int]]:
         other = least + width
 
 
-def _blocks(rows: DataFrame, sets: DataFrame, stats: DataFrame, total: int, percent: int) -> DataFrame:
-    """Stored links (a, b) of rows (key, node, root) under one key and of two roots, decided block by block in tasks."""
+def _by_block(dealt: DataFrame) -> DataFrame:
+    """Blocks one after the other, those that ask first."""
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.desc("asks"))
+
+
+def _dealt(rows: DataFrame, stats: DataFrame, total: int) -> DataFrame:
+    """Rows (key, a, b, asks, node, root): the nodes of one key meet in blocks of about BLOCK nodes of either side.
+
+    Those that ask are not of the key's largest group.
+    """
     parts = stats.withColumn("a_parts", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int"))
     parts = parts.withColumn("b_parts", F.ceil(F.col("size") / BLOCK).cast("int")).drop("most")
-    dealt = shared.attach(rows, parts, "key", "size", total).withColumn("minor", F.col("root") != F.col("large")).join(sets.select("node", "found"), "node")
+    dealt = shared.attach(rows, parts, "key", "size", total).withColumn("minor", F.col("root") != F.col("large"))
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int").alias(n[0])
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[0])
-    rest = ["minor", "node", "root", "found"]
-    left = dealt.where("minor").select("key", part("a_parts"), all_("b_parts"), F.lit(True).alias("asks"), *rest)
-    right = dealt.select("key", all_("a_parts"), part("b_parts"), F.lit(False).alias("asks"), *rest)
-    groups = left.unionByName(right).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", F.desc("asks"))
+    left = dealt.where("minor").select("key", part("a_parts"), all_("b_parts"), F.lit(True).alias("asks"), "node", "root")
+    return left.unionByName(dealt.select("key", all_("a_parts"), part("b_parts"), F.lit(False).alias("asks"), "node", "root"))
+
+
+def _asked(dealt: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Stored rows of ``dealt`` (key, a, b, asks, node, root) that marks of a ``kind`` allow a link in their block, of two roots.
+
+    No row stands for a pair.
+    """
+    names = ["key", "a", "b", "asks", "node", "root"]
+    groups = _by_block(dealt.join(sets.select("node", "n", F.col(kind).alias("mark")), "node").select(*names, "n", "mark"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, mine, hit = None, [], np.empty(0, bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in [*names, "n"]}
+            marks = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            place = np.stack([own[n].astype(np.int64) for n in names[:4]])
+            edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            out = []
+            for first, last in zip(edges, edges[1:]):
+                if (now := tuple(place[:3, first].tolist())) != group:
+                    group, mine, hit = now, [], np.empty(0, bool)
+                if place[3, first]:
+                    mine.append((own["node"][first:last], own["root"][first:last], own["n"][first:last], marks[first:last]))
+                    continue
+                if not mine:
+                    continue
+                mine = [tuple(np.concatenate(column) for column in zip(*mine))]  # whole by now
+                nodes, roots, sizes, theirs = mine[0]
+                hit = hit if len(hit) else np.zeros(len(nodes), bool)
+                for at in range(first, last, AT_ONCE):
+                    to = slice(at, min(last, at + AT_ONCE))
+                    apart = np.bitwise_count(theirs[:, None] ^ marks[None, to]).sum(axis=2, dtype=np.int64)
+                    near = (apart <= (sizes[:, None] + own["n"][to]) * (100 - percent) // (100 + percent)) & (roots[:, None] != own["root"][to])
+                    new = near.any(axis=1) & ~hit
+                    hit |= new
+                    for asks, one, root in ((True, nodes[new], roots[new]), (False, own["node"][to][near.any(axis=0)], own["root"][to][near.any(axis=0)])):
+                        out.append([*(np.full(len(one), x) for x in (*now, asks)), one, root])
+            if out:
+                kinds = (np.int64, np.int32, np.int32, bool, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out), kinds)], names=names)
+
+    return stored(groups.mapInArrow(run, "key bigint, a int, b int, asks boolean, node bigint, root bigint"), f"asked-by-{kind}")
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, stats: DataFrame, total: int, percent: int) -> DataFrame:
+    """Stored links (a, b) of rows (key, node, root) under one key and of two roots, decided block by block in tasks.
+
+    A block gives at most one link for each of its nodes.
+    """
+    asked = _dealt(rows, stats, total)
+    for kind in ("short", "mark"):
+        asked = _asked(asked, sets, kind, percent)
+    groups = _by_block(_with_sets(asked, sets, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, mine, index = None, [], None
+        group, mine, index, joined = None, [], None, Joined()
         for batch in batches:
             out: list[tuple[int, int]] = []
             for key, a, b, asks, node, root, found in zip(*(batch.column(n).to_pylist() for n in ("key", "a", "b", "asks", "node", "root", "found"))):
                 if (key, a, b) != group:
-                    group, mine, index = (key, a, b), [], None
+                    group, mine, index, joined = (key, a, b), [], None, Joined()
                 one = np.frombuffer(found, np.uint64)
                 if asks:
                     mine.append((node, root, one))
                 elif mine:
                     index = index or Overlaps([m[2] for m in mine])
-                    out += [(mine[i][0], node) for i in index.similar(one, percent).tolist() if mine[i][1] != root]
+                    out += [(mine[i][0], node) for i in index.similar(one, percent).tolist() if mine[i][1] != root and joined.add(mine[i][0], node)]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return stored(groups.mapInArrow(run, "a bigint, b bigint").distinct(), "block-links")
 
 
 def _open(rows: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored rows (key, node, root) of the keys with nodes of several roots; their groups; (key, size, most, large)."""
+    """Stored rows (key, node, root) of the keys with nodes of several roots; their (key, root, node); (key, size, most, large)."""
     rows = rows.select("key", "node")
     rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(rows.select("key", "node", "root"), "rooted")
-    groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    if roots is None:  # each node is a group
+        groups = rows.select("key", "root", F.lit(1).alias("n"), F.xxhash64("node").alias("same"))
+    else:
+        groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"))
     large = F.max(F.struct("n", "root")).getField("root").alias("large")
-    stats = groups.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"), large).where("most < size")
+    stats = groups.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"), large, F.bit_xor("same").alias("same")).where("most < size")
     # Keys with the same nodes are one.
-    same = rows.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("same"))
-    stats = stats.join(same, "key").groupBy("size", "same").agg(F.min(F.struct("key", "most", "large")).alias("s")).select("s.*", "size")
+    stats = stats.groupBy("size", "same").agg(F.min(F.struct("key", "most", "large")).alias("s")).select("s.*", "size")
     stats = stored(stats, "open-keys")
-    return stored(rows.join(stats.select("key"), "key", "left_semi"), "open-rows"), groups, stats
+    rows = stored(_likely(rows, stats).join(stats.select("key"), "key", "left_semi"), "open-rows")
+    return rows, rows if roots is None else rows.groupBy("key", "root").agg(F.min("node").alias("node")), stats
 
 
 def _pairs_of_small(rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -375,7 +473,7 @@ def links(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return found.unionByName(_blocks(rows, sets, stats, total, percent))
         made = stored(_rarest_first(rows.select("node").distinct(), sets, percent), "prefix-keys")
         many = stored(made.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-prefixes")
-        keys = stored(shared.attach(made, many, "key", "size", made.count()).select("key", "node"), "candidates")
+        keys = stored(shared.attach(_likely(made, many), many, "key", "size", made.count()).select("key", "node"), "candidates")
     raise AssertionError
 
 

@@ -165,3 +165,48 @@ def test_sets_are_sent_only_where_marks_allow_a_link(spark, monkeypatch):
                 root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
     assert {r.doc_id: r.component_id for r in jaccard_join.components(docs).collect()} == dict(enumerate(root))
     assert sum(seen["pairs"]) > 20 and sum(seen["maybe-linked"]) < sum(seen["pairs"]) / 2
+
+
+def test_only_sets_with_a_likely_partner_are_sent(spark, monkeypatch):
+    """Sets of nodes that share keys but have no likely partner stay where they are, in pairs as in blocks."""
+    draw, sent, with_sets = random.Random(6), [], jaccard_join._with_sets
+
+    def counted(rows, sets, node):
+        out = with_sets(rows, sets, node)
+        sent.append((out.count(), sets.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_with_sets", counted)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    hot = [f"w{draw.randint(0, 5000)}" for _ in range(400)]
+    texts = [" ".join(f"x{draw.randint(0, 5000)}" if draw.random() < 0.03 else w for w in hot) for _ in range(60)]
+    texts += [" ".join([*hot[:-1], f"y{n}"]) for n in range(3)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == plain(rows)
+    assert sent and all(found < sets / 2 for found, sets in sent)
+
+
+def test_asked_nodes_have_a_partner_of_another_root(spark, monkeypatch):
+    """Marks drop no node of a block that links with one of another root, and those that surely don't."""
+    monkeypatch.setattr(jaccard_join, "AT_ONCE", 3)
+    draw = random.Random(7)
+    found = {node: np.unique(np.array([draw.getrandbits(64) for _ in range(200)], np.uint64)) for node in range(20)}
+    for node in range(5):
+        found[100 + node] = np.unique(np.r_[found[node][3:], np.uint64(node)])
+    sets = spark.createDataFrame([(n, len(f), jaccard_join.mark(f), jaccard_join.mark(f, jaccard_join.SHORT)) for n, f in found.items()], "node long, n long, mark binary, short binary")
+    roots = {n: 104 if n == 4 else n for n in found}
+    dealt = [(1, 0, 0, asks, n, roots[n]) for n in found for asks in ((True, False) if n < 100 else (False,))]
+    dealt = spark.createDataFrame(dealt, "key long, a int, b int, asks boolean, node long, root long").repartition(3)
+    for kind in ("short", "mark"):
+        got = sorted((r.asks, r.node) for r in jaccard_join._asked(dealt, sets, kind, 90).collect())
+        assert got == [(False, 100), (False, 101), (False, 102), (False, 103), (True, 0), (True, 1), (True, 2), (True, 3)]
+
+
+def test_repeated_rows_leave_one_set(spark, monkeypatch):
+    rows = made(8, 6, 3, 2) * 2 + [(None, "a b c d e f g h i j k l m n")] * 3
+    for few in (0, 1):
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        texts = jaccard_join.stored(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) hash").repartition(3), "t")
+        sets = jaccard_join._sets(texts, jaccard_join.stored(texts.select("doc_id", "hash").distinct(), "w"), 3)
+        assert sorted(r.node for r in sets.select("node").collect()) == sorted({jaccard_join._node(jaccard_join.shingles(t, 3)) for _, t in rows})
